@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "simhash")
+MODULES = ("packing", "substrings", "simhash")
 
 
 def _gathered(name: str) -> dict:
