@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "substrings", "simhash")
+MODULES = ("packing", "pieces", "substrings", "simhash")
 
 
 def _gathered(name: str) -> dict:
