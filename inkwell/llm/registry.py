@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "pieces", "substrings", "simhash")
+MODULES = ("packing", "pieces", "substrings", "languages", "simhash")
 
 
 def _gathered(name: str) -> dict:
