@@ -38,7 +38,8 @@ def test_base_measures(spark):
 
 
 def test_lines_go_first(spark):
-    clean = "\n".join(f"This is plain sentence number {i} of a text that says different {w} things, all in order." for i, w in enumerate(["red", "old", "new", "odd"]))
+    rng = random.Random(1)
+    clean = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(15)) + "." for _ in range(5))
     texts = [
         clean,
         clean + "\nAll rights reserved.\nHome | News | About | Contact | Login",
