@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "pieces", "quality", "substrings", "languages", "simhash")
+MODULES = ("packing", "pieces", "private", "quality", "substrings", "languages", "simhash")
 
 
 def _gathered(name: str) -> dict:
