@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "pieces", "private", "quality", "substrings", "neighbours", "languages", "simhash")
+MODULES = ("packing", "pieces", "templates", "private", "quality", "substrings", "neighbours", "languages", "simhash")
 
 
 def _gathered(name: str) -> dict:
