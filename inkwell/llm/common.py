@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,11 +25,23 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests, a laptop) a
     temporary one is made.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as cut() chooses it."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """As cut(), but as a compressed table in the shared folder; for results of many rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

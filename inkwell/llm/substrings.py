@@ -14,7 +14,7 @@ passage in a third of all documents reaches the exchange once per task.  Hashes
 
 Defined cases: null text has no words; documents under WINDOW words keep everything; "earlier" is the smaller id, then
 the smaller start; a null id is later than any other; repeated rows (same id, same text) are one document and both keep
-what the document keeps; columns other than id and text are ignored by the digest and kept by the stage.
+what the document keeps; rows of one id with different texts are told apart by a tag of the text; columns other than id and text are ignored by the digest and kept by the stage.
 """
 
 from __future__ import annotations
@@ -30,16 +30,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, in_passes, small_batches, table
+from inkwell.llm.common import cut_table, in_passes, small_batches, spread, table
 
 WINDOW = 20
 #: Words of an anchor; a window has WINDOW - K + 1 of them to pick from.
-K = 8
+K = 6
 LAST = (1 << 63) - 1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
-DEALT = "deal long, doc long, row long, pos int, low int, high int, anchor long, context long, done boolean"
+#: A row per anchor.  place packs, highest bits first: position (31), tag of the text (23), position - first window (4),
+#: position - last window (4).  Ranges settled before the exchange have a negative place (first window, tag), their last
+#: window as context, and a hash of the document as anchor, so that they don't meet at a hot anchor.
+DEALT = "doc long, place long, anchor long, context long"
+TAG = (1 << 23) - 1
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,152 +125,156 @@ def anchors(low: np.ndarray, high: np.ndarray, counts: np.ndarray) -> tuple[np.n
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, row key, text) to anchors; what repeats a context of the same pass is settled here."""
-    names = [x.split(" ")[0] for x in DEALT.split(", ")]
+    """Rows (doc, tag, text) to anchors; what repeats a context of the same pass is settled here."""
     for batch in batches:
-        ids = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-        keys = batch.column(1).to_numpy(zero_copy_only=False)
-        texts = [t or "" for t in batch.column(2).to_pylist()]
+        ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+        texts = [t or "" for t in batch.column("text").to_pylist()]
         for i, j in in_passes(texts, 8_000_000):
             low, high, counts = word_hashes(texts[i:j])
             doc, pos, first, last, seed, context = anchors(low, high, counts)
-            own, row = ids[i:j][doc], keys[i:j][doc]
+            own, tag = ids[i:j][doc], tags[i:j][doc]
             order = np.lexsort((pos, own, context, seed))
-            same = np.zeros(len(order), bool)
             s, c = seed[order], context[order]
+            same = np.zeros(len(order), bool)
             same[1:] = (s[1:] == s[:-1]) & (c[1:] == c[:-1])
             # A repeated row holds the very same places; such a pair is one occurrence, not a repeat.
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             twin = same & (own[order] == own[order][head]) & (pos[order] == pos[order][head])
-            done = np.zeros(len(order), bool)
-            done[order] = same & ~twin
-            drop = np.zeros(len(order), bool)
-            drop[order] = twin
-            keep = np.nonzero(~done & ~drop)[0]
-            lines = [(seed[keep].view(np.int64), own[keep], row[keep], pos[keep], first[keep], last[keep], seed[keep].view(np.int64), context[keep].view(np.int64), np.zeros(len(keep), bool))]
-            out = np.nonzero(done)[0]
+            keep, out = np.sort(order[~same]), order[same & ~twin]
+            place = pos << 31 | tag << 8 | (pos - first) << 4 | (pos - last)
+            columns = [(own[keep], place[keep], seed[keep].view(np.int64), context[keep].view(np.int64))]
             if len(out):  # their ranges, joined where they touch
-                out = out[np.lexsort((first[out], row[out]))]
+                out = out[np.lexsort((first[out], doc[out]))]
                 fresh = np.ones(len(out), bool)
-                fresh[1:] = (row[out][1:] != row[out][:-1]) | (first[out][1:] > last[out][:-1] + WINDOW)
+                fresh[1:] = (doc[out][1:] != doc[out][:-1]) | (first[out][1:] > last[out][:-1] + 1)
                 begin = np.nonzero(fresh)[0]
                 end = np.append(begin[1:], len(out)) - 1
-                z = np.zeros(len(begin), np.int64)
-                lines.append((row[out][begin], own[out][begin], row[out][begin], z, first[out][begin], last[out][end], z, z, np.ones(len(begin), bool)))
-            for values in lines:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
+                at = out[begin]
+                columns.append((own[at], -1 - (first[at] << 23 | tag[at]), mixed((own[at] + first[at]).astype(np.uint64)).view(np.int64), last[out][end]))
+            for values in columns:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["doc", "place", "anchor", "context"])
+
+
+CLASSES = "doc long, tag int, low int, high int, open boolean"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted anchors to rows (doc, row, pos, low, high, open): repeats of a context, and open firsts where an anchor has several contexts."""
+    """Anchors in order to ranges of windows: repeats of a context, and open ones, the first of each context of an anchor that has several."""
     held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        rows = rows.combine_chunks()
-        seeds = rows.column("anchor").to_numpy()
-        done = rows.column("done").to_numpy(zero_copy_only=False)
-        tail = int(np.searchsorted(~((seeds == seeds[-1]) & (done == done[-1]))[::-1], True))
-        whole = len(seeds) - tail
-        if done[-1]:
-            whole = len(seeds)
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        anchor = rows.column("anchor").to_numpy()
+        whole = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
         if whole:
             yield _resolved(rows.slice(0, whole))
-        held = rows.slice(whole) if whole < len(seeds) else None
+        held = rows.slice(whole)
     if held is not None and held.num_rows:
         yield _resolved(held)
 
 
 def _resolved(rows: pa.Table) -> pa.RecordBatch:
-    seed, context, doc, pos = (rows.column(c).to_numpy() for c in ("anchor", "context", "doc", "pos"))
-    done = rows.column("done").to_numpy(zero_copy_only=False)
-    n = len(seed)
-    new_seed = np.ones(n, bool)
-    new_seed[1:] = (seed[1:] != seed[:-1]) | done[1:]
-    new_context = new_seed.copy()
-    new_context[1:] |= context[1:] != context[:-1]
+    doc, place, seed, context = (rows.column(c).to_numpy() for c in ("doc", "place", "anchor", "context"))
+    done = np.nonzero(place < 0)[0]
+    settled = -1 - place[done]
+    live = np.nonzero(place >= 0)[0]
+    seed, own, at, of = seed[live], context[live], place[live], doc[live]
+    n = len(live)
+    new_seed, new_context = np.ones(n, bool), np.ones(n, bool)
+    new_seed[1:] = seed[1:] != seed[:-1]
+    new_context[1:] = new_seed[1:] | (own[1:] != own[:-1])
     group = np.cumsum(new_seed) - 1
-    several = np.bincount(group, new_context)[group] > 1
+    several = np.bincount(group, new_context)[group] > 1 if n else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(new_context, np.arange(n), 0))
-    first = (doc == doc[head]) & (pos == pos[head])
-    out = np.nonzero(done | ~first | several)[0]
-    columns = [pa.array(rows.column(c).to_numpy()[out]) for c in ("doc", "row", "pos", "low", "high")]
-    return pa.RecordBatch.from_arrays([*columns, pa.array((first & several & ~done)[out])], ["doc", "row", "pos", "low", "high", "open"])
+    pos = at >> 31
+    first = (of == of[head]) & (pos == pos[head])
+    out = np.nonzero(~first | several)[0]
+    at, pos = at[out], pos[out]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([of[out], doc[done]])),
+            pa.array(np.concatenate([at >> 8 & TAG, settled & TAG]).astype(np.int32)),
+            pa.array(np.concatenate([pos - (at >> 4 & 15), settled >> 23]).astype(np.int32)),
+            pa.array(np.concatenate([pos - (at & 15), context[done]]).astype(np.int32)),
+            pa.array(np.concatenate([first[out], np.zeros(len(done), bool)])),
+        ],
+        [x.split(" ")[0] for x in CLASSES.split(", ")],
+    )
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Ranges (low, high) of each document as one sorted array of packed longs."""
+    packed = F.shiftleft(F.col("low").cast("long"), 32).bitwiseOR(F.col("high").cast("long"))
+    return rows.groupBy("doc", "tag").agg(F.sort_array(F.collect_set(packed)).alias("marks"))
 
 
-def _packed(*columns: str):
-    """All (columns) of a row as one sorted array, for a join that needs a document's marks together."""
-    return F.sort_array(F.collect_set(F.struct(*columns)))
+def mark_ranges(column: pa.ListArray) -> list[np.ndarray | None]:
+    """Per row the ranges [n, 2] of first and last windows, None without marks."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64))
+    return [np.stack([x >> 32, x & 0xFFFFFFFF], axis=1) if len(x) else None for x in np.split(values, ends[:-1])] if len(ends) else []
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc, text, marks) to the hashes of the windows that the marks name."""
+    """(doc, tag, text, own, marks) to the hashes of the windows that the marks name."""
     for batch in batches:
-        ids, keys = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
-        texts, marks = batch.column("text").to_pylist(), batch.column("marks").to_pylist()
+        ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+        texts, marks = batch.column("text").to_pylist(), mark_ranges(batch.column("marks"))
         for i, j in in_passes(texts, 8_000_000):
             low, high, counts = word_hashes([t or "" for t in texts[i:j]])
             base = np.cumsum(counts) - counts
             first, second = Rolling(low, BASE[0]), Rolling(high, BASE[1])
-            starts, which = [], []
-            for x in range(i, j):
-                own = np.unique(np.concatenate([np.arange(m["low"], m["high"] + 1) for m in marks[x]]))
-                starts.append(own + base[x - i])
-                which.append(np.full(len(own), x))
-            at, x = np.concatenate(starts), np.concatenate(which)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(first.of(at, WINDOW).view(np.int64)), pa.array(second.of(at, WINDOW).view(np.int64)), pa.array(ids[x]), pa.array(keys[x]), pa.array((at - base[x - i]).astype(np.int32))],
-                ["h1", "h2", "doc", "row", "start"],
-            )
+            own = [np.unique(spread(m[:, 0], m[:, 1] - m[:, 0] + 1)) for m in marks[i:j]]
+            x = np.repeat(np.arange(j - i), [len(w) for w in own])
+            start = np.concatenate(own)
+            at = start + base[x]
+            hashes = (first.of(at, WINDOW).view(np.int64), second.of(at, WINDOW).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(ids[i + x]), pa.array(tags[i + x]), pa.array(start.astype(np.int32))], ["h1", "h2", "doc", "tag", "start"])
 
 
 def removals(keyed: DataFrame) -> DataFrame:
-    """(row, low, high): first and last of runs of windows to remove, for rows (doc, row, text) of documents."""
+    """(doc, tag, low, high): first and last of runs of windows to remove, for rows (doc, tag, text, own) of documents."""
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = keyed.select("doc", "row", "text").mapInArrow(_seeds, DEALT)
-    seeds = seeds.repartition(n, "deal").sortWithinPartitions("done", "anchor", "context", "doc", "pos")
-    classes = cut(seeds.mapInArrow(_classes, "doc long, row long, pos int, low int, high int, open boolean"))
-    settled = classes.where("not open").select("row", "low", "high")
-    marks = classes.where("open").groupBy("row").agg(_packed("low", "high").alias("marks"))
-    # Both joins of the texts deal them by row in the same way, so the exchange of the texts is made once.
-    at = keyed.join(marks.hint("shuffle_hash"), "row").select("doc", "row", "text", "marks")
-    windows = at.mapInArrow(_windows, "h1 long, h2 long, doc long, row long, start int")
-    windows = cut(windows)
+    seeds = keyed.select("doc", "tag", "text").mapInArrow(_seeds, DEALT)
+    seeds = seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "place")
+    classes = cut_table(seeds.mapInArrow(_classes, CLASSES))
+    settled = classes.where("not open").drop("open")
+    # The texts meet these marks, and in the end the removals, over one and the same exchange.
+    marked = keyed.join(_together(classes.where("open")).hint("shuffle_hash"), ["doc", "tag"])
+    windows = marked.mapInArrow(_windows, "h1 long, h2 long, doc long, tag int, start int")
     firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = windows.join(firsts, ["h1", "h2"]).where("doc <> first.doc or start <> first.start")
-    return settled.unionByName(later.select("row", F.col("start").alias("low"), F.col("start").alias("high")))
+    return settled.unionByName(later.select("doc", "tag", F.col("start").alias("low"), F.col("start").alias("high")))
 
 
-def covered(n_words: int, marks: list | None, window: int = WINDOW) -> np.ndarray:
+def covered(n_words: int, marks: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which of a document's words some removed window covers."""
-    change = np.zeros(n_words + 1, np.int32)
-    for m in marks or ():
-        change[m["low"]] += 1
-        change[m["high"] + window] -= 1
+    change = np.bincount(marks[:, 0], minlength=n_words + 1) - np.bincount(marks[:, 1] + window, minlength=n_words + 1)
     return np.cumsum(change)[:n_words] > 0
 
 
 def with_removals(docs: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Run finish over rows of docs with the columns row, doc, text, marks and all of docs as the struct own."""
+    """Run finish over rows of docs with the columns doc, tag, text, own (the other columns of docs) and marks."""
     small_batches(docs.sparkSession)
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"),
+        F.xxhash64(F.col(text_col)).bitwiseAND(TAG).cast("int").alias("tag"),
         F.col(text_col).cast("string").alias("text"),
         F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("own"),
     )
-    found = removals(keyed).groupBy("row").agg(_packed("low", "high").alias("marks"))
-    return keyed.join(found.hint("shuffle_hash"), "row", "left").mapInArrow(finish, schema)
+    return keyed.join(_together(removals(keyed)).hint("shuffle_hash"), ["doc", "tag"], "left").mapInArrow(finish, schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = pc.struct_field(batch.column("own"), 0)
         total, removed, sums = [], [], []
-        for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+        for text, marks in zip(batch.column("text").to_pylist(), mark_ranges(batch.column("marks")), strict=True):
             words = (text or "").encode().split()
             gone = 0
-            if marks:
+            if marks is not None:
                 out = covered(len(words), marks)
                 gone = int(out.sum())
                 kept = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
@@ -278,9 +286,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keys, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def kept_text(text: str | None, marks: list | None) -> str | None:
+def kept_text(text: str | None, marks: np.ndarray | None) -> str | None:
     """text without its removed words; white space between kept words stays as it is."""
-    if not text or not marks:
+    if not text or marks is None:
         return text
     spans = [m.span() for m in WORD.finditer(text)]
     out = covered(len(spans), marks).tolist()
@@ -305,7 +313,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("own")
-            kept = [kept_text(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)]
+            kept = [kept_text(t, m) for t, m in zip(batch.column("text").to_pylist(), mark_ranges(batch.column("marks")), strict=True)]
             columns = [pc.struct_field(own, i).cast(t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("text"), pa.array(kept, pa.string())], [*(f.name for f in others), text_col, out_col])
 
