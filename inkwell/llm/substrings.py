@@ -162,6 +162,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors in order to ranges of windows: repeats of a context, and open ones, the first of each context of an anchor that has several."""
     held = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = pa.Table.from_batches([batch])
         rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
         anchor = rows.column("anchor").to_numpy()
@@ -220,6 +222,8 @@ def mark_ranges(column: pa.ListArray) -> list[np.ndarray | None]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tag, text, own, marks) to the hashes of the windows that the marks name."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
         texts, marks = batch.column("text").to_pylist(), mark_ranges(batch.column("marks"))
         for i, j in in_passes(texts, 8_000_000):
