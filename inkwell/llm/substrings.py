@@ -116,7 +116,7 @@ def anchors(low: np.ndarray, high: np.ndarray, counts: np.ndarray) -> tuple[np.n
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.nonzero(new)[0]
-    last = np.append(first[1:], len(starts)) - 1
+    last = np.append(first[1:], len(starts))[: len(first)] - 1
     a, b, at, doc = starts[first], starts[last], anchor[first], doc[first]
     seed = Rolling(low, BASE[0]).of(at, K)
     context = Rolling(high, BASE[1]).of(a, b + WINDOW - a) ^ mixed((at - a).astype(np.uint64))

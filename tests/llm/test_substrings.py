@@ -76,3 +76,8 @@ def test_anchor_follows_from_the_window_alone():
 
 def test_empty_table(spark):
     assert substrings.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_short_documents(spark):
+    df = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.kept_text for r in substrings.deduplicated(df).collect()} == {1: "a few words", 2: None}
