@@ -128,7 +128,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
                 inlines.append(
                     {
                         "block_pre": pre, "inline_ord": i, "depth": level, "kind": node.kind, "start": place(nodes.place(node.start)), "end": place(nodes.place(node.end)),
-                        "text": _clean(plain(node.children) if node.children else node.text), "destination": _clean(node.destination), "title": _clean(node.title),
+                        "text": _clean(plain(node.children) if node.children or node.kind in ("link", "image") else node.text), "destination": _clean(node.destination), "title": _clean(node.title),
                         "bracketed": node.bracketed, "ref_label": _clean(node.ref_label), "label_end": None if node.label_end is None else place(nodes.place(node.label_end)),
                     }
                 )
