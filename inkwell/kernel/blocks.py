@@ -54,6 +54,7 @@ class Options:
     tagfilter: bool = True
     alerts: bool = True
     front_matter: bool = True
+    footnotes: bool = False  # labels that begin with ^ are notes, not link references
     nesting: int = 256
     blocks: int | None = None
     inlines: int | None = None
@@ -530,7 +531,7 @@ class BlockParser:
 
     def definitions(self, paragraph: Block) -> None:
         """Take leading reference definitions out of a paragraph into blocks of their own before it."""
-        found, rest = self.take_definitions(self.text, paragraph.pieces)
+        found, rest = self.take_definitions(self.text, paragraph.pieces, self.options.footnotes)
         if not found:
             return
         siblings = paragraph.parent.children

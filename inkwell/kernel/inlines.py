@@ -89,13 +89,13 @@ def source_place(marks: list[tuple[int, int]], at: int) -> int:
     return place[1] + at - place[0]
 
 
-def take_definitions(text: str, pieces: list[tuple[int, int, int]]) -> tuple[list[dict], list[tuple[int, int, int]]]:
+def take_definitions(text: str, pieces: list[tuple[int, int, int]], footnotes: bool = False) -> tuple[list[dict], list[tuple[int, int, int]]]:
     """Leading reference definitions of a paragraph, and the pieces that are left."""
     content, marks = content_of(text, pieces)
     found, at = [], 0
     while at < len(content) and content[at] == "[":
         label = LABEL.match(content, at)
-        if not label or not label[1].strip() or content[label.end() : label.end() + 1] != ":":
+        if not label or not label[1].strip() or (footnotes and label[1][0] == "^") or content[label.end() : label.end() + 1] != ":":
             break
         i = SPACE.match(content, label.end() + 1).end()
         if i >= len(content) or content.count("\n", label.end(), i) > 1:
@@ -334,7 +334,7 @@ class InlineParser:
         if len(label) > 999 or not label.strip() or (label is own and re.search(r"(?<!\\)(?:\\\\)*[\[]", own)):
             return None
         key = label_key(label)
-        known = self.references.get(key)
+        known = None if self.options.footnotes and key.startswith("^") else self.references.get(key)
         if known is None:
             return None
         known["used"] = True

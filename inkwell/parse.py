@@ -140,7 +140,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
 def parse(docs: DataFrame, profile: str = "github", id_col: str = "doc_id", source_col: str = "source", with_inlines: bool = True, mode: str = "PERMISSIVE", **limits) -> DataFrame:
     """(doc_id, source binary, blocks, inlines, refs, parse_error), one row a document.
 
-    limits: nesting, blocks, inlines, references, source_bytes.  A document beyond one has null children and a
+    limits: nesting, blocks, inlines, references, source_bytes; footnotes=True keeps [^labels] from being link references.  A document beyond one has null children and a
     parse_error; mode FAILFAST raises instead.  with_inlines=False skips all inline work.
     """
     options = Options.profile(profile, **limits)
