@@ -10,6 +10,53 @@ from pyspark.sql.window import Window
 
 from inkwell import patches, views
 
+# Syntax for parse(…, inline_rules=, line_rules=, container_rules=).
+HIGHLIGHT = ("highlight", r"==(?=\S)([^=\n]+?)(?<=\S)==", "mark")
+TABLE_OF_CONTENTS = ("table-of-contents:block", r"@toc(?:[ \t]*\{(?P<options>[^}]*)\})?")
+EMBED = ("embed", r"(?P<url>https://(?P<host>[A-Za-z0-9.-]+)(?:/\S*)?)")
+IMPORT = ("import", r"@import[ \t]+\"(?P<path>[^\"]+)\"(?:[ \t]*\{(?P<options>[^}]*)\})?")
+SOURCE = ("source", r"@source[ \t]+\"(?P<path>[^\"]+)\"(?:[ \t]*\{(?P<options>[^}]*)\})?")
+ATTRIBUTES = ("attributes:block", r"\{:?[ \t]*(?P<attributes>[#.A-Za-z][^{}\n]{0,1023})\}")
+TABS = ("tabs:group", r"@tabs", r"@endtabs")
+TAB = ("tabs:item", r"@tab[ \t]+(?P<title>.{1,256})")
+
+
+def paired_delimiter(kind: str, sign: str, element: str) -> tuple[str, str, str]:
+    """Inline syntax between two equal delimiters on one line."""
+    import re
+
+    own = re.escape(sign)
+    return kind, rf"{own}(?=\S)((?:(?!{own})[^\n])+?)(?<=\S){own}", element
+
+
+def attribute_list(attributes: Column) -> Column:
+    """(id, classes) of an attribute list."""
+    parts = F.split(F.trim(attributes), r"\s+")
+    return F.struct(F.get(F.transform(F.filter(parts, lambda p: p.startswith("#")), lambda p: F.substring(p, 2, 1000)), F.lit(0)).alias("id"), F.transform(F.filter(parts, lambda p: p.startswith(".")), lambda p: F.substring(p, 2, 1000)).alias("classes"))
+
+
+def attributed(blocks: DataFrame) -> DataFrame:
+    """(doc_id, pre, target_pre, attributes) of attribute blocks: the next sibling, or the one before at the end."""
+    side = Window.partitionBy("doc_id", "parent_pre").orderBy("pre")
+    rows = blocks.withColumn("target_pre", F.coalesce(F.lead("pre").over(side), F.lag("pre").over(side)))
+    return rows.where("kind = 'attributes:block'").select("doc_id", "pre", "target_pre", attribute_list(F.col("ext")["attributes"]).alias("attributes"))
+
+
+def embeds(blocks: DataFrame, hosts: list[str]) -> DataFrame:
+    """Embedded URLs of allowed hosts."""
+    return blocks.where("kind = 'embed'").select("doc_id", "pre", F.col("ext")["url"].alias("url"), F.lower(F.col("ext")["host"]).alias("host")).where(F.col("host").isin([h.lower() for h in hosts]))
+
+
+def imports(blocks: DataFrame, resources: DataFrame) -> DataFrame:
+    """(doc_id, pre, kind, path, code): import and source directives with the lines they ask for."""
+    rows = blocks.where("kind in ('import', 'source')").select("doc_id", "pre", "kind", F.col("ext")["path"].alias("path"), F.coalesce(F.col("ext")["options"], F.lit("")).alias("options"))
+    rows = rows.where(safe_path(F.col("path"), ("md", "markdown", "txt", "py", "php", "js", "json", "sql", "yaml", "yml", "sh", "c", "java"))).join(resources, "path")
+    first = F.regexp_extract("options", r"lines:\s*\"?([0-9]{1,6})", 1)
+    last = F.regexp_extract("options", r"lines:\s*\"?[0-9]{1,6}-([0-9]{1,6})", 1)
+    code = F.when(first == "", F.col("text")).otherwise(selected_lines(F.col("text"), first.cast("int"), F.when(last == "", first).otherwise(last).cast("int")))
+    return rows.select("doc_id", "pre", "kind", "path", code.alias("code"))
+
+
 FOOTNOTE_USE = r"\[\^([^\]\s]{1,200})\](?!:)"
 FOOTNOTE_TEXT = r"^\[\^([^\]\s]{1,200})\]:[ \t]*([\s\S]*)$"
 

@@ -55,6 +55,12 @@ class Options:
     alerts: bool = True
     front_matter: bool = True
     footnotes: bool = False  # labels that begin with ^ are notes, not link references
+    #: Further inline syntax: (kind, pattern whose group 1 is the text, HTML element). The first sign of a match must be fixed.
+    inline_rules: tuple[tuple[str, str, str], ...] = ()
+    #: Further one-line root blocks: (kind, pattern); named groups become attributes.
+    line_rules: tuple[tuple[str, str], ...] = ()
+    #: Further containers at the root: (kind, opening pattern, closing pattern); what stands between is parsed as blocks.
+    container_rules: tuple[tuple[str, str, str], ...] = ()
     nesting: int = 256
     blocks: int | None = None
     inlines: int | None = None
@@ -183,7 +189,7 @@ class BlockParser:
 
     def add(self, kind: str, start: int) -> Block:
         parent = self.tip
-        while parent.kind in LEAVES or (parent.kind == "list" and kind != "list-item") or (kind == "list-item" and parent.kind != "list"):
+        while parent.kind in LEAVES or ("ext" in parent.data and "closer" not in parent.data) or (parent.kind == "list" and kind != "list-item") or (kind == "list-item" and parent.kind != "list"):
             self.close(parent)
             parent = parent.parent
         block = Block(kind, start, start, parent)
@@ -261,6 +267,8 @@ class BlockParser:
                 line.advance(block.data["width"])
                 return True
             return False
+        if "closer" in block.data:
+            return True
         if kind == "fenced-code":
             fence = block.data["mark"]
             if line.indent <= 3:
@@ -314,6 +322,8 @@ class BlockParser:
                     line.advance(4)
                     return self.add("indented-code", line.base + line.at)
                 return container
+            if (own := self.custom(rest, container, line)) is not None:
+                return own
             c = rest[0]
             if c == ">":
                 self.leave(container)
@@ -392,6 +402,42 @@ class BlockParser:
                 continue
             return container
 
+    def custom(self, rest: str, container: Block, line: Line) -> Block | None:
+        """A block of the line and container rules; its parent, since the line is used up and blank to it."""
+        options = self.options
+        home = container
+        while home.kind in ("paragraph", "list"):
+            home = home.parent
+        if not (options.line_rules or options.container_rules) or (home.parent is not None and "closer" not in home.data):
+            return None
+        for kind, pattern in options.line_rules:
+            if found := re.fullmatch(pattern, rest.rstrip(" \t")):
+                self.leave(home)
+                block = self.add(kind, line.base + line.next)
+                block.data["ext"] = {k: v for k, v in found.groupdict().items() if v is not None}
+                return self.used_up(block, line)
+        if "closer" in home.data and re.fullmatch(home.data["closer"], rest.rstrip(" \t")):
+            self.leave(home)
+            return self.used_up(home, line)
+        for kind, opener, closer in options.container_rules:
+            if found := re.fullmatch(opener, rest.rstrip(" \t")):
+                self.leave(home)
+                block = self.add(kind, line.base + line.next)
+                block.data |= {"closer": closer, "ext": {k: v for k, v in found.groupdict().items() if v is not None}}
+                self.extend(block, line.base + len(line.text))
+                line.at = line.next = len(line.text)
+                line.blank, line.indent = True, 0
+                return block
+        return None
+
+    def used_up(self, block: Block, line: Line) -> Block:
+        self.extend(block, line.base + len(line.text))
+        self.close(block)
+        self.tip = block.parent
+        line.at = line.next = len(line.text)
+        line.blank, line.indent = True, 0
+        return block.parent
+
     def leave(self, container: Block) -> None:
         """Close what the line did not match, or the paragraph it interrupts."""
         target = container.parent if container.kind == "paragraph" else container

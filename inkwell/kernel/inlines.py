@@ -165,6 +165,9 @@ class InlineParser:
     def parse(self) -> list[Node]:
         content, n, at = self.content, len(self.content), 0
         special = SPECIAL_LINKS if self.options.autolinks else SPECIAL
+        rules = [(kind, re.compile(pattern)) for kind, pattern, _ in self.options.inline_rules]
+        if rules:
+            special = re.compile("|".join([special.pattern, *(f"(?={p.pattern})[\\s\\S]" for _, p in rules)]))
         while at < n:
             found = special.search(content, at)
             stop = found.start() if found else n
@@ -173,7 +176,13 @@ class InlineParser:
                 at = stop
             if found is None:
                 break
-            at = self.sign(content[at], at, found[0])
+            for kind, pattern in rules:
+                if own := pattern.match(content, at):
+                    self.nodes.append(Node(kind, at, own.end(), own[1]))
+                    at = own.end()
+                    break
+            else:
+                at = self.sign(content[at], at, found[0])
         self.emphasise(0)
         return merged(self.nodes)
 

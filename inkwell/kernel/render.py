@@ -35,6 +35,7 @@ class Html:
         self.parser = BlockParser(text, options)
         self.root = self.parser.parse()
         self.text, self.options, self.policy = text, options, policy
+        self.own = {kind: element for kind, _, element in options.inline_rules}
 
     def inlines(self, pieces: list) -> list[Node]:
         return InlineParser(self.text, pieces, self.parser.references, self.options).parse()
@@ -79,6 +80,8 @@ class Html:
                     stack.extend(reversed(node.children))
             elif node.kind == "autolink":
                 out.append(f'<a href="{self.url(node.destination)}">{escape(node.text)}</a>')
+            elif node.kind in self.own:
+                out.append(f"<{self.own[node.kind]}>{escape(node.text)}</{self.own[node.kind]}>")
             elif node.kind == "html-inline":
                 out.append(self.raw(node.text))
             else:
@@ -132,6 +135,10 @@ class Html:
             self.item(block, tight, out, stack)
         elif kind == "gfm:table":
             out.append(self.table(block))
+        elif "ext" in block.data:
+            out.append(f'<div data-kind="{escape(kind)}"{"".join(f' data-{escape(k)}="{escape(v)}"' for k, v in block.data["ext"].items())}>\n')
+            stack.append("</div>\n")
+            stack.extend((c, False) for c in reversed(block.children))
 
     def item(self, block: Block, tight: bool, out: list[str], stack: list) -> None:
         shown = [c for c in block.children if c.kind != "link-reference-definition"]
@@ -169,12 +176,12 @@ class Html:
         return self.inline(InlineParser(text, [(0, len(text), 0)], self.parser.references, self.options).parse())
 
 
-def to_html(source: str | bytes | None, profile: str = "github", policy: Policy | None = None) -> str | None:
+def to_html(source: str | bytes | None, profile: str = "github", policy: Policy | None = None, **options) -> str | None:
     """HTML of one document; null stays null."""
     if source is None:
         return None
     text = source.decode("utf-8", "replace") if isinstance(source, bytes) else source
-    return Html(text.replace("\0", "\ufffd"), Options.profile(profile), policy or Policy()).render()
+    return Html(text.replace("\0", "\ufffd"), Options.profile(profile, **options), policy or Policy()).render()
 
 
 def inline_to_html(source: str | None, profile: str = "github", policy: Policy | None = None) -> str | None:
@@ -182,3 +189,68 @@ def inline_to_html(source: str | None, profile: str = "github", policy: Policy |
         return None
     page = Html("", Options.profile(profile), policy or Policy())
     return page.inline(InlineParser(source, [(0, len(source), 0)], {}, page.options).parse())
+
+
+class Markdown(Html):
+    """The same document in one style: ATX headings, fenced code, - bullets, --- breaks."""
+
+    def lines_of(self, block: Block) -> list[str]:
+        text, data, kind = self.text, block.data, block.kind
+        if kind == "paragraph":
+            own = [text[a:b].strip(" \t") if i == len(block.pieces) - 1 else text[a:b].lstrip(" \t") for i, (a, b, _) in enumerate(block.pieces)]
+            own = [x if k == len(own) - 1 else re.sub(" {2,}$", "\\\\", x).rstrip(" ") for k, x in enumerate(own)]
+            return own
+        if kind in ("atx-heading", "setext-heading"):
+            return [f"{'#' * block.level} {' '.join(text[a:b].strip(' \t') for a, b, _ in block.pieces)}".rstrip(" ")]
+        if kind == "thematic-break":
+            return ["---"]
+        if kind in ("fenced-code", "indented-code"):
+            code = code_of(text, block)
+            fence = "`" * max(3, 1 + max(map(len, re.findall("`+", code)), default=0))
+            return [fence + data.get("info", ""), *code.split("\n")[:-1], fence]
+        if kind == "html-block":
+            return code_of(text, block)[:-1].split("\n")
+        if kind in ("link-reference-definition", "frontmatter:block"):
+            return re.split("\r\n|\r|\n", text[block.start : block.end])
+        if kind == "gfm:table":
+            row = lambda cells: "| " + " | ".join(text[a:b] for a, b in cells) + " |"
+            marks = {None: "---", "left": ":---", "right": "---:", "center": ":---:"}
+            return [row(data["header"]), "| " + " | ".join(marks[a] for a in data["align"]) + " |", *map(row, data["rows"])]
+        if kind in ("block-quote", "github:alert"):
+            own = self.joined(block.children)
+            own = [f"[!{data['alert'].upper()}]", *own] if kind == "github:alert" else own
+            return [f"> {x}".rstrip(" ") for x in own] or [">"]
+        if kind == "list":
+            return self.list_lines(block)
+        return re.split("\r\n|\r|\n", text[block.start : block.end])
+
+    def list_lines(self, block: Block) -> list[str]:
+        out: list[str] = []
+        for k, item in enumerate(block.children):
+            mark = f"{block.data['start'] + k}. " if block.data["ordered"] else "- "
+            task = {"checked": "[x] ", "unchecked": "[ ] "}.get(item.data.get("task"), "")
+            own = self.joined(item.children, block.data["loose"]) or [""]
+            if k and block.data["loose"]:
+                out.append("")
+            out.append((mark + task + own[0]).rstrip(" "))
+            out += [(" " * len(mark) + x) if x else "" for x in own[1:]]
+        return out
+
+    def joined(self, blocks: list[Block], loose: bool = True) -> list[str]:
+        out: list[str] = []
+        for k, block in enumerate(blocks):
+            if k and (loose or block.kind == "paragraph"):
+                out.append("")
+            if k and block.kind == blocks[k - 1].kind == "list" and block.data["ordered"] == blocks[k - 1].data["ordered"]:
+                out += ["<!-- -->", ""]
+            out += self.lines_of(block)
+        return out
+
+    def render(self) -> str:
+        own = self.joined(self.root.children)
+        return "\n".join(own) + "\n" if own else ""
+
+
+def to_markdown(source: str | None, profile: str = "github") -> str | None:
+    """source in one style; parsing it again gives the same structure."""
+    return None if source is None else Markdown(source.replace("\0", "\ufffd"), Options.profile(profile), Policy()).render()

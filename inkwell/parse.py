@@ -30,6 +30,7 @@ BLOCK = _struct(
     pre=_I, last_pre=_I, depth=_I, parent_pre=_I, sibling=_I, kind=_S, start=_I, end=_I, level=_I, ordered=_B, loose=_B, start_number=_I, marker=_S, task_state=_S, info=_S,
     language=_S, code=_S, fence_closed=_B, html=_S, html_type=_I, alert_type=_S, label_key=_S, fence=_S, content=_S, text=_S, fold=_S, header=T.ArrayType(_S), align=T.ArrayType(_S),
     rows=T.ArrayType(T.ArrayType(_S)), row_ranges=T.ArrayType(RANGE), content_ranges=T.ArrayType(RANGE),
+    ext=T.MapType(_S, _S),
 )
 INLINE = _struct(block_pre=_I, inline_ord=_I, depth=_I, kind=_S, start=_I, end=_I, text=_S, destination=_S, title=_S, bracketed=_B, ref_label=_S, label_end=_I)
 REFERENCE = _struct(label_key=_S, destination=_S, title=_S, block_pre=_I, used=_B)
@@ -93,6 +94,8 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
         data, kind = block.data, block.kind
         row = dict.fromkeys(BLOCK.names)
         row |= {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
+        if "ext" in data:
+            row["ext"] = list(data["ext"].items())
         if block.pieces:
             row["content_ranges"] = [{"start": place(a), "end": place(b)} for a, b, _ in block.pieces]
         if kind == "list":

@@ -76,3 +76,23 @@ def test_files(spark, tmp_path):
 def test_sanitizer():
     assert sanitized('<p onclick=x class="a">t<script>x</script><center>u</center><a href="javascript:1">l</a><img src=i.png></p>') == '<p class="a">tu<a>l</a><img src="i.png" /></p>'
     assert sanitized(None) is None and sanitized("<b>x") == "<b>x</b>"
+
+
+def test_custom_syntax(spark):
+    from inkwell.kernel.render import Policy, to_html, to_markdown
+
+    source = "@toc {min: 2}\n\na ==b c== d ++e++\n\n@tabs\n@tab One\n- x\n@endtabs\nafter\n\n{#top .wide .tall}\n# H\n\nhttps://video.example/1\n\n@import \"a.py\" {lines: 2-3}\n"
+    rules = {"inline_rules": (ext.HIGHLIGHT, ext.paired_delimiter("insert", "++", "ins")), "line_rules": (ext.TABLE_OF_CONTENTS, ext.TAB, ext.ATTRIBUTES, ext.EMBED, ext.IMPORT), "container_rules": (ext.TABS,)}
+    own = parsed_of(spark, source, **rules)
+    b = blocks(own).persist()
+    kinds = [r.kind for r in b.where("depth > 0").orderBy("pre").collect()]
+    assert kinds == ["table-of-contents:block", "paragraph", "tabs:group", "tabs:item", "list", "list-item", "paragraph", "paragraph", "attributes:block", "atx-heading", "embed", "import"]
+    assert [(r.kind, r.text) for r in inlines(own).where("kind in ('highlight', 'insert')").orderBy("inline_ord").collect()] == [("highlight", "b c"), ("insert", "e")]
+    at = ext.attributed(b).first()
+    assert b.where(f"pre = {at.target_pre}").first().kind == "atx-heading" and at.attributes.id == "top" and at.attributes.classes == ["wide", "tall"]
+    assert [r.url for r in ext.embeds(b, ["video.example"]).collect()] == ["https://video.example/1"] and ext.embeds(b, []).count() == 0
+    assert ext.imports(b, spark.createDataFrame([("a.py", "1\n2\n3\n4\n")], "path string, text string")).first().code == "2\n3"
+    assert "<mark>b c</mark> d <ins>e</ins>" in to_html(source, "github", Policy.spec(), **rules)
+    plain = "Title\n=====\n\n* a\n* b\n\n    code\n\n1) x\n\n   y\n\n***\n> q\n\n| a |\n|:-|\n| 1 |\n"
+    once = to_markdown(plain)
+    assert once == to_markdown(once) and to_html(once) == to_html(plain)
