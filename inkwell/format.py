@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,18 +40,53 @@ def heading_spacing(t: lint.Tables) -> DataFrame:
     return patches.patch(rows, at, at + F.col("gap"), F.lit(" "), "heading spacing")
 
 
-def bullet_marker(t: lint.Tables) -> DataFrame:
-    """Bullet lists with the same marker, but for lists beside another and lines that would become a break."""
+def _lists_alone(t: lint.Tables, ordered: bool) -> DataFrame:
+    """(doc_id, list_pre, marker) of lists with no list of the same sort right beside them."""
     lists = t.blocks.where("kind = 'list'").select("doc_id", F.col("pre").alias("list_pre"), "parent_pre", "sibling", "ordered", "marker")
     side = Window.partitionBy("doc_id", "parent_pre").orderBy("sibling")
-    alone = lambda f: F.coalesce(f("sibling").over(side) != F.col("sibling") + (1 if f is F.lead else -1), F.lit(True)) | f("ordered").over(side)
-    lists = lists.withColumn("alone", alone(F.lag) & alone(F.lead)).where(f"not ordered and marker <> '{BULLET}'").where("alone").select("doc_id", "list_pre")
+    apart = lambda f, step: F.coalesce(f("sibling").over(side) != F.col("sibling") + step, F.lit(True)) | (f("ordered").over(side) != F.col("ordered"))
+    return lists.withColumn("alone", apart(F.lag, -1) & apart(F.lead, 1)).where("alone").where(F.col("ordered") == ordered).select("doc_id", "list_pre", "marker")
+
+
+def bullet_marker(t: lint.Tables) -> DataFrame:
+    """Bullet lists with the same marker, but for lists beside another and lines that would become a break."""
+    lists = _lists_alone(t, False).where(f"marker <> '{BULLET}'").drop("marker")
     items = t.blocks.where("kind = 'list-item'").select("doc_id", F.col("parent_pre").alias("list_pre"), "start", "end")
     rows = _source_of(t, items.join(lists, ["doc_id", "list_pre"]))
     rows = rows.where(~F.col("own").rlike(r"^[*+][ \t]*-[ \t]*-[ \t-]*(?:\r|\n|$)"))
     return patches.patch(rows, F.col("start"), F.col("start") + 1, F.lit(BULLET), "bullet marker")
 
 
+def ordered_delimiter(t: lint.Tables) -> DataFrame:
+    """Ordered lists with a full stop after the number, but for lists beside another."""
+    lists = _lists_alone(t, True).where("marker <> '.'").drop("marker")
+    items = t.blocks.where("kind = 'list-item'").select("doc_id", F.col("parent_pre").alias("list_pre"), "start", "end")
+    rows = _source_of(t, items.join(lists, ["doc_id", "list_pre"])).withColumn("digits", F.length(F.regexp_extract("own", "^[0-9]+", 0)))
+    at = F.col("start") + F.col("digits")
+    return patches.patch(rows, at, at + 1, F.lit("."), "ordered list delimiter")
+
+
+def fence_marker(t: lint.Tables) -> DataFrame:
+    """Fences of backticks, longer than any run inside; an info string with a backtick keeps its fence."""
+    rows = t.blocks.where("kind = 'fenced-code' and startswith(fence, '~') and not contains(info, '`')").select("doc_id", "start", "end", "fence", "code", "fence_closed")
+    runs = F.array_max(F.transform(F.regexp_extract_all("code", F.lit("`+"), F.lit(0)), F.length))
+    rows = rows.withColumn("new", F.repeat(F.lit("`"), F.greatest(F.length("fence"), F.coalesce(runs, F.lit(0)) + 1)))
+    begin = patches.patch(rows, F.col("start"), F.col("start") + F.length("fence"), F.col("new"), "fence marker")
+    shut = _source_of(t, rows.where("fence_closed")).withColumn("last", F.regexp_extract("own", "(~+)[ \t]*$", 1)).withColumn("tail", F.length(F.regexp_extract("own", "~+([ \t]*)$", 1)))
+    at = F.col("end") - F.col("tail") - F.length("last")
+    return begin.unionByName(patches.patch(shut, at, at + F.length("last"), F.col("new"), "fence marker"))
+
+
+def definition_spacing(t: lint.Tables) -> DataFrame:
+    """One blank after the colon of a reference definition on one line."""
+    rows = _source_of(t, t.blocks.where("kind = 'link-reference-definition'").select("doc_id", "start", "end")).where(~F.col("own").rlike("[\r\n]"))
+    head = F.regexp_extract("own", r"^(\[(?:[^\\\[\]]|\\.)+\]:)([ \t]*)\S", 1)
+    gap = F.regexp_extract("own", r"^(\[(?:[^\\\[\]]|\\.)+\]:)([ \t]*)\S", 2)
+    rows = rows.withColumn("head", head).withColumn("gap", gap).where("head <> '' and gap <> ' '")
+    at = F.col("start") + F.octet_length("head")
+    return patches.patch(rows, at, at + F.length("gap"), F.lit(" "), "definition spacing")
+
+
 def table_delimiter(t: lint.Tables) -> DataFrame:
     """Delimiter rows of top-level tables as --- with the colons of their alignment."""
     rows = _source_of(t, t.blocks.where("kind = 'gfm:table' and depth = 1").select("doc_id", "start", "end", "align"))
@@ -72,7 +109,8 @@ def blank_lines(t: lint.Tables) -> DataFrame:
 
 
 PASSES = {
-    "no-trailing-spaces": trailing_spaces, "atx-heading-spacing": heading_spacing, "fence-info-spacing": fence_info_spacing, "bullet-marker": bullet_marker,
+    "no-trailing-spaces": trailing_spaces, "atx-heading-spacing": heading_spacing, "fence-marker": fence_marker, "fence-info-spacing": fence_info_spacing, "bullet-marker": bullet_marker,
+    "ordered-list-delimiter": ordered_delimiter, "reference-definition-spacing": definition_spacing,
     "table-delimiter": table_delimiter, "blank-lines": blank_lines, "final-newline": final_newline,
 }
 
@@ -80,12 +118,13 @@ PASSES = {
 def format_patches(parsed: DataFrame, passes: tuple[str, ...] = tuple(PASSES), extra: tuple = ()) -> DataFrame:
     """Patches of the passes; extra are further functions of the tables. Removed blank lines win over their trailing blanks."""
     tables = lint.Tables(parsed)
-    found = None
-    for run in [*(PASSES[p] for p in passes), *extra]:
-        rows = run(tables).select(*patches.COLUMNS)
-        found = rows if found is None else found.unionByName(rows)
-    gone = found.where("description = 'blank lines'").select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
-    return found.alias("p").join(gone.alias("g"), F.expr("p.doc_id = g.doc_id and p.description <> 'blank lines' and p.start >= g.a and p.end <= g.b"), "left_anti")
+    runs = {p: PASSES[p](tables).select(*patches.COLUMNS) for p in passes}
+    if {"no-trailing-spaces", "blank-lines"} <= runs.keys():
+        gone = runs["blank-lines"].select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
+        own = runs["no-trailing-spaces"].alias("p").join(gone.alias("g"), F.expr("p.doc_id = g.doc_id and p.start >= g.a and p.end <= g.b"), "left_anti")
+        runs["no-trailing-spaces"] = own.select(*patches.COLUMNS)
+    every = [*runs.values(), *(run(tables).select(*patches.COLUMNS) for run in extra)]
+    return reduce(DataFrame.unionByName, every)
 
 
 def format_documents(documents: DataFrame, profile: str = "github", source_col: str = "source") -> DataFrame:

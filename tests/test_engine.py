@@ -121,6 +121,13 @@ def test_limits(spark):
     assert parse(docs, with_inlines=False).first().inlines is None
 
 
+def test_more_passes(spark):
+    source = "~~~ js\na ``` b\n~~~ \n\n1) x\n2) y\n\nt\n\n1) a\n1. b\n\n[k]:/u\n"
+    docs = spark.createDataFrame([(1, source)], "doc_id long, source string")
+    done = bytes(formatting.format_documents(docs).first().source).decode()
+    assert done == "````js\na ``` b\n```` \n\n1. x\n2. y\n\nt\n\n1) a\n1. b\n\n[k]: /u\n"
+
+
 SPEC = [
     ("\tfoo\tbaz\n", "<pre><code>foo\tbaz\n</code></pre>\n"),
     ("- foo\n\n\t\tbar\n", "<ul>\n<li>\n<p>foo</p>\n<pre><code>  bar\n</code></pre>\n</li>\n</ul>\n"),
