@@ -9,7 +9,10 @@ Text of a page counts when it lies in a slot and not inside furniture (menus, he
 adverts, forms, scripts, styles, reader comments); where a page marks its article, only text in there counts, and the
 template takes nothing away from it, since copies of an article on one host repeat as exactly as a menu does.
 
-Occurrence vectors are kept as sums of page hashes, so they add up map-side and a host with a third of all pages costs
+Copies of an article on one host repeat as exactly as a menu does, so pages of a host vote once per distinct content,
+the text that remains without a template; one page stands for all of its content.
+
+Occurrence vectors are kept as sums of content hashes, so they add up map-side and a host with a third of all pages costs
 each task one row a token.  A host's template is a bounded list of token hashes.
 
 Defined cases: null html is empty and gives empty text; a null url is a host of its own without template; repeated rows
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import cut, small_batches, table
 
-#: Pages that a host needs before a template is deduced.
+#: Distinct contents that a host's pages need before a template is deduced.
 LEAST_PAGES = 8
-#: Share of a host's pages that a valid class spans.
+#: Share of a host's contents that a valid class spans.
 SUPPORT = 0.9
 #: Tokens that a valid class has.
 LEAST_TOKENS = 3
@@ -217,27 +220,45 @@ def host_of(url: str | None) -> str | None:
     return found[1].lower() if found else None
 
 
-def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages, vector, at) of the pages of a task: how many pages hold a token, the sum of their hashes with counts, the sum of its places."""
+def page_contents(pages: DataFrame) -> DataFrame:
+    """(host, content, tokens): one page for every distinct content of a host, its token hashes in page order as bytes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list] = {}
-            counts: dict[str, int] = {}
-            urls, htmls, ids = batch.column("url").to_pylist(), batch.column("html").to_pylist(), batch.column("page_id").to_pylist()
-            for url, html, page in zip(urls, htmls, ids, strict=True):
+            own: dict[tuple[str, int], bytes] = {}
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host = host_of(url)
                 if host is None:
                     continue
+                page = Page(html or "")
+                tokens = np.array([t for t, _ in page.tokens()], np.uint64).tobytes()
+                key = host, xxhash.xxh3_64_intdigest(page.main_text(None))
+                own[key] = min(tokens, own.get(key, tokens))
+            contents = np.array([c for _, c in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in own], pa.string()), pa.array(contents), pa.array(own.values(), pa.binary())], ["host", "content", "tokens"])
+
+    small_batches(pages.sparkSession, 2000)
+    found = pages.select("url", "html").mapInArrow(kernel, "host string, content long, tokens binary")
+    return found.groupBy("host", "content").agg(F.min("tokens").alias("tokens"))
+
+
+def page_tokens(contents: DataFrame) -> DataFrame:
+    """(host, token, n_pages, vector, at) of the contents of a task: how many hold a token, the sum of their hashes with counts, the sum of its places."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[str, int], list] = {}
+            counts: dict[str, int] = {}
+            for host, content, packed in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "tokens")), strict=True):
                 counts[host] = counts.get(host, 0) + 1
                 seen: dict[int, list] = {}
-                tokens = Page(html or "").tokens()
-                for i, (token, _) in enumerate(tokens):
+                tokens = np.frombuffer(packed, np.uint64).tolist()
+                for i, token in enumerate(tokens):
                     seen.setdefault(token, [0, i / len(tokens)])[0] += 1
                 for token, (n, at) in seen.items():
                     own = sums.setdefault((host, token), [0, 0, 0.0])
                     own[0] += 1
-                    own[1] += xxhash.xxh3_64_intdigest(f"{page}\0{url}\0{n}")
+                    own[1] += xxhash.xxh3_64_intdigest(f"{content}\0{n}")
                     own[2] += at
             for host, n in counts.items():
                 sums[host, 0] = [n, 0, 0.0]
@@ -248,8 +269,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 ["host", "token", "n_pages", "vector", "at"],
             )
 
-    small_batches(pages.sparkSession, 2000)
-    return pages.select("page_id", "url", "html").mapInArrow(kernel, "host string, token long, n_pages long, vector long, at double")
+    return contents.mapInArrow(kernel, "host string, token long, n_pages long, vector long, at double")
 
 
 def _wrapping(column):
@@ -260,7 +280,7 @@ def _wrapping(column):
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template array<long>): tokens of the valid classes of every host, nested by their place in its pages."""
-    tokens = page_tokens(pages).groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), _wrapping(F.col("vector")).alias("vector"), F.sum("at").alias("at"))
+    tokens = page_tokens(page_contents(pages)).groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), _wrapping(F.col("vector")).alias("vector"), F.sum("at").alias("at"))
     tokens = cut(tokens.where(f"token = 0 or n_pages >= {LEAST_PAGES // 2}"))
     hosts = tokens.where(f"token = 0 and n_pages >= {LEAST_PAGES}").select("host", F.col("n_pages").alias("all_pages"))
     wide = tokens.where("token <> 0").join(hosts, "host").where(F.col("n_pages") >= SUPPORT * F.col("all_pages"))

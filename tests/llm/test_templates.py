@@ -44,3 +44,13 @@ def test_furniture():
     assert templates.Page("").main_text(None) == ""
     assert templates.Page('<p title="' * 3000 + "x").main_text(None).endswith("x")
     assert templates.Page("<b>" * 50_000 + "deep").main_text(None) == "deep"
+
+
+def test_copies_of_one_article_are_one_vote(spark):
+    """A host of copies of one article keeps its text, whatever stands in the furniture around it."""
+    page = "<html><body><nav>menu {}</nav><div><h1>One story</h1><div>first part</div><div>second part</div><div>{}</div></div></body></html>"
+    rows = [(i, f"http://copies.example/{i}", page.format(i, "third part")) for i in range(38)]
+    rows += [(i, f"http://copies.example/{i}", f"<html><body><div><p>other {i}</p></div></body></html>") for i in (38, 39)]
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "One story first part second part third part" for i in range(38))
+    assert got[38] == "other 38" and got[39] == "other 39"
