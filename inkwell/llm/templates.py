@@ -6,8 +6,7 @@ all pages of a host with enough pages and has several tokens; its tokens nest in
 in the page.  A page is matched against the template in order, and what the template doesn't hold are its slots.
 
 Text of a page counts when it lies in a slot and not inside furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments); where a page marks its article, only text in there counts, and the
-template takes nothing away from it, since copies of an article on one host repeat as exactly as a menu does.
+adverts, forms, scripts, styles, reader comments); where a page marks its article, only the slots in there count.
 
 Copies of an article on one host repeat as exactly as a menu does, so pages of a host vote once per distinct content,
 the text that remains without a template; one page stands for all of its content.
@@ -199,7 +198,7 @@ class Page:
     def main_text(self, template: list[int] | None) -> str:
         """Text of the slots outside furniture; in the marked article if there is one."""
         fixed: set[int] = set()
-        if template and not self.marked:
+        if template:
             place = {t: i for i, t in enumerate(template)}
             reached = -1
             for token, block in self.tokens():

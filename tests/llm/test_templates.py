@@ -54,3 +54,15 @@ def test_copies_of_one_article_are_one_vote(spark):
     got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == "One story first part second part third part" for i in range(38))
     assert got[38] == "other 38" and got[39] == "other 39"
+
+
+def test_slots_decide_in_marked_pages(spark):
+    """Blocks that repeat inside the article of all pages of a host go; copies of one article keep their text."""
+    page = "<html><body><nav>menu</nav><article><h1>Story {0}</h1><p>text of {0}</p><div class=x7>Pass it on</div><div class=x8>All rights reserved</div></article></body></html>"
+    rows = [(i, f"http://owl.example/{i}", page.format(i)) for i in range(12)]
+    rows += [(i, f"http://copies.example/{i}", page.format("one")) for i in range(20, 40)]
+    rows += [(i, "http://few.example/", page.format(i)) for i in range(40, 45)]
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} text of {i}" for i in range(12))
+    assert all(got[i] == "Story one text of one Pass it on All rights reserved" for i in range(20, 40))
+    assert all(got[i] == f"Story {i} text of {i} Pass it on All rights reserved" for i in range(40, 45))
