@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,19 @@ BLOCK = frozenset(
 )
 FURNITURE = frozenset("nav header footer aside form script style noscript template iframe button select option datalist dialog menu svg canvas object embed audio video head title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: Open elements that the start of an element closes, up to the innermost holder.
+_CELLS = ("td", "th")
+_ROWS = (*_CELLS, "tr")
+_PARTS = (*_ROWS, "tbody", "thead", "tfoot", "caption", "colgroup")
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "option": (("option",), ("select", "datalist", "optgroup")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
+    **dict.fromkeys(_CELLS, (_CELLS, ("table", "tr"))),
+    "tr": ((*_ROWS, "caption", "colgroup"), ("table", "tbody", "thead", "tfoot")),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (_PARTS, ("table",))),
+}
 #: Words of class, id and role that name furniture.
 NAMES = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead "
@@ -81,6 +95,7 @@ class Page:
         self.opens: list[tuple[int, int]] = []  # (element, blocks before it)
         self.marked = False
         stack = [0]
+        places: dict[str | frozenset, list[int]] = {}  # places in the stack of the open elements of a name, and of all blocks
         parts: list[str] = []
         at, n, quotes = 0, len(html), True
 
@@ -91,6 +106,17 @@ class Page:
                 if text:
                     self.blocks.append((text, stack[-1]))
 
+        def last(names: frozenset | tuple) -> int:
+            return max((places[k][-1] for k in ((names,) if names is BLOCK else names) if places.get(k)), default=0)
+
+        def shut(place: int) -> None:
+            """Close the elements from that place of the stack on."""
+            while len(stack) > place:
+                name = self.names[stack.pop()]
+                places[name].pop()
+                if name in BLOCK:
+                    places[BLOCK].pop()
+
         while at < n:
             sign = html.find("<", at)
             if sign < 0:
@@ -119,35 +145,24 @@ class Page:
             if name in BLOCK or name in RAW:
                 flush()
             if close:
-                if name in self.open_names(stack):
-                    while stack[-1] and self.names[stack.pop()] != name:
-                        pass
+                if places.get(name) and (name in BLOCK or name in FURNITURE or places[name][-1] > last(MARKED)):  # an inline end tag doesn't end the article
+                    shut(places[name][-1])
                 continue
-            if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.names[stack[k]] == "p":
-                        del stack[k:]
-                        break
-                    if self.names[stack[k]] in BLOCK:
-                        break
-            elif name == "li":
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.names[stack[k]] == "li":
-                        del stack[k:]
-                        break
-                    if self.names[stack[k]] in ("ul", "ol", "menu"):
-                        break
+            if name in CLOSES_P and last(BLOCK) and self.names[stack[last(BLOCK)]] == "p":
+                shut(last(BLOCK))
+            ends, holders = CLOSES.get(name, ((), ()))
+            if ends and (first := min((places[e][k] for e in ends if places.get(e) and (k := bisect(places[e], last(holders))) < len(places[e])), default=0)):
+                shut(first)
             element = self.add(name, stack[-1], attributes)
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(html, at)
                 at = n if end is None else end.end()
             elif name not in VOID and not attributes.endswith("/"):
+                for key in (name, BLOCK) if name in BLOCK else (name,):
+                    places.setdefault(key, []).append(len(stack))
                 stack.append(element)
         flush()
 
-    def open_names(self, stack: list[int]) -> set[str]:
-        return {self.names[e] for e in stack[-64:]}
-
     def add(self, name: str, parent: int, attributes: str) -> int:
         element = len(self.names)
         in_article = name in ("header", "footer") and self.inside(parent, MARKED)

@@ -66,3 +66,21 @@ def test_slots_decide_in_marked_pages(spark):
     assert all(got[i] == f"Story {i} text of {i}" for i in range(12))
     assert all(got[i] == "Story one text of one Pass it on All rights reserved" for i in range(20, 40))
     assert all(got[i] == f"Story {i} text of {i} Pass it on All rights reserved" for i in range(40, 45))
+
+
+def test_many_open_elements():
+    """End tags close elements however deep they lie, and elements without end tags don't nest."""
+    main = "<article><p>story</p></article><div>after</div>"
+    text = lambda html: templates.Page(html).main_text(None)
+    assert text(f"<header><form><select>{'<option>x' * 100}</select></form></header>{main}") == "story"
+    assert text(f"<header><nav><dl>{'<dt>a<dd>b' * 50}</dl></nav></header>{main}") == "story"
+    assert text(f"<header><div>{'<i>x' * 100}</div></header>{main}") == "story"
+    assert text(f"<article>story{'<i>x' * 70}</article><div>after</div>") == "story" + " ".join("x" * 70).replace(" ", "")
+    assert text(f"<article><table>{'<tr><td>x<td>y' * 40}</table></article><div>after</div>") == " ".join("xy" * 40)
+    assert text("<b>" * 100 + "<article>one</b> two</article><div>after</div>") == "one two"
+    paths = lambda html: templates.Page(html).paths
+    assert paths("<select><optgroup><option>a<option>b<optgroup><option>c</select>") == paths("<select><optgroup><option>a</option><option>b</option></optgroup><optgroup><option>c</option></optgroup></select>")
+    assert paths("<table><tr><td>a<table><tr><td>b<td>c</table><td>d<tr><th>e<tbody><tr><td>f</table>") == paths(
+        "<table><tr><td>a<table><tr><td>b</td><td>c</td></tr></table></td><td>d</td></tr><tr><th>e</th></tr><tbody><tr><td>f</td></tr></tbody></table>"
+    )
+    assert text("<p>" + "<b>" * 100_000 + "<hr>" * 100_000 + "deep") == "deep"
