@@ -30,8 +30,6 @@ SMOOTHING = 0.5
 ROUNDS = 12
 #: Log-likelihood that each further language must bring, as a multiple of log(trigrams) / 2.
 PENALTY = 2.0
-#: Languages that a document may hold; the nested sets end there.
-SET_MOST = 4
 UNKNOWN = "und"
 
 
@@ -109,12 +107,16 @@ def proportions(texts: list[str | None], probability: np.ndarray) -> np.ndarray:
     full, _ = maximised(likely, count, begin, np.full((len(has), len(probability)), 1 / len(probability)), ROUNDS)
     order = np.argsort(-full, axis=1, kind="stable")
     best, best_share = np.full(len(has), -np.inf), np.zeros_like(full)
-    for k in range(1, min(SET_MOST, len(probability)) + 1):
+    most = np.add.reduceat(count * np.log(np.maximum(likely.max(axis=1), 1e-300)), begin)  # no mixture is likelier
+    for k in range(1, len(probability) + 1):
+        penalty = PENALTY * (k - 1) * np.log(np.maximum(total, 2)) / 2
+        if (most - penalty <= best).all():
+            break
         inside = np.zeros(full.shape, bool)
         np.put_along_axis(inside, order[:, :k], True, axis=1)
         start = np.where(inside, full + 1e-6, 0)
         share, fit = maximised(likely, count, begin, start / start.sum(axis=1, keepdims=True), ROUNDS // 3 if k > 1 else 0)
-        fit -= PENALTY * (k - 1) * np.log(np.maximum(total, 2)) / 2
+        fit -= penalty
         better = fit > best
         best[better], best_share[better] = fit[better], share[better]
     out[has] = best_share

@@ -40,3 +40,17 @@ def test_maximised_is_a_likelihood_maximum():
     for _ in range(200):
         other = rng.dirichlet(np.ones(3))
         assert (count * np.log(likely @ other)).sum() <= best[0] + 1e-6
+
+
+def test_sets_of_more_than_four_languages():
+    """A text that mixes six languages evenly keeps all six."""
+    rng = np.random.default_rng(1)
+    words = [["".join(rng.choice(list(letters), 6)) for _ in range(40)] for letters in ("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzäö")]
+    texts = [" ".join(rng.choice(own, 400)) for own in words]
+    counts = np.full((7, languages.BUCKETS), languages.SMOOTHING)
+    for k, text in enumerate(texts):
+        _, bucket, n = languages.trigrams([text])
+        counts[k, bucket] += n
+    share = languages.proportions([" ".join(texts[:6]), texts[2]], counts / counts.sum(axis=1, keepdims=True))
+    assert (share[0][:6] > 0.1).all() and share[0][6] < 0.01 and abs(share[0].sum() - 1) < 1e-6
+    assert (share[1] > 0).sum() == 1 and share[1][2] > 0.999
