@@ -4,7 +4,7 @@ The tree is fitted on SAMPLE vectors at most (those of least hashed id), every r
 visits leaves best bin first: a priority queue holds tree nodes by the inner product with their centroid, the best is
 taken out, inner nodes put their children in, leaves are visited.  How many leaves a query visits is calibrated: PROBES
 bounded probe queries are searched exactly over all rows, and the visits widen until the leaves hold RECALL of the true
-neighbours.
+neighbours.  A query whose leaves hold fewer than K other rows so far goes on to further leaves.
 
 Rows of a leaf are dealt in chunks of CHUNK, and so are the queries that visit it, so a vector shared by a third of all
 rows makes more chunks, not a larger task.  Each (leaf, row chunk, query chunk) returns its K best per query, packed in
@@ -90,17 +90,18 @@ class Tree:
             todo += [(kids[j], own[best == j]) for j in np.unique(best)]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves that best-bin-first comes to."""
+    def visits(self, query: np.ndarray, most: int, filled: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first leaves that best-bin-first comes to, further ones until they hold the least number of rows; filled has the rows a leaf."""
         worth = self.centres @ query
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+        heap, out, met = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or met < least):
             _, node = heapq.heappop(heap)
             if kids := self.children[node]:
                 for kid in kids:
                     heapq.heappush(heap, (-float(worth[kid]), kid))
             else:
                 out.append(self.leaf_of[node])
+                met += filled.get(out[-1], 0) if filled else 0
         return out
 
 
@@ -170,14 +171,14 @@ def calibrated(tree: Tree, rows: DataFrame, probes: list[tuple[int, list[float]]
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id_col, score) of the k nearest rows found for every row where is_query holds for id."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col).dropDuplicates(["id"])
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().combine_chunks()
+    rows = usable(vectors, id_col, vector_col).dropDuplicates(["id", "v"])
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).toArrow().combine_chunks()
     if not sample.num_rows:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     column = sample.column("v").combine_chunks()
     points = matrix(column[0] if isinstance(column, list) else column)
     tree = Tree(points)
-    probes = [(r.id, r.v) for r in rows.where(is_query).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(PROBES).collect()]
+    probes = [(r.id, r.v) for r in rows.where(is_query).orderBy(F.xxhash64("id", F.lit(1)), "id", "v").limit(PROBES).collect()]
     if not probes:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     most = calibrated(tree, rows, probes, recall, k)
@@ -189,19 +190,21 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [shared.value.visits(q, most) for q in matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.list_(pa.int32())), *batch.columns], ["leaves", "id", "v"])
+            own = batch.column(2).to_pylist()  # rows of the query's id, no candidates
+            leaves = [shared.value.visits(q, most, filled, k + n) for q, n in zip(matrix(batch.column(1)), own, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.list_(pa.int32())), *batch.columns[:2]], ["leaves", "id", "v"])
 
     kept = cut(rows.mapInArrow(to_leaf, "leaf int, id long, v array<double>"))
-    asked = cut(rows.where(is_query).mapInArrow(to_visits, "leaves array<int>, id long, v array<double>"))
-    visits = asked.select(F.explode("leaves").alias("leaf"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    filled = {r.leaf: r["count"] for r in kept.groupBy("leaf").count().collect()}  # a row a leaf
+    asked = cut(rows.where(is_query).withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("id"))).mapInArrow(to_visits, "leaves array<int>, id long, v array<double>"))
+    visits = asked.select(F.explode("leaves").alias("leaf"), F.col("id").alias("query_id"), F.xxhash64("v").alias("q_key"), F.col("v").alias("q"))
     parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias(name))
     sizes = F.broadcast(cut(parts(kept, "row_parts").join(parts(visits, "query_parts"), "leaf")))  # a row a leaf
     piece = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["leaf", "a", "b"]
     left = kept.join(sizes, "leaf").withColumn("a", piece("id", "row_parts")).withColumn("b", all_of("query_parts")).select(*keys, "id", "v")
-    right = visits.join(sizes, "leaf").withColumn("b", piece("query_id", "query_parts")).withColumn("a", all_of("row_parts")).select(*keys, "query_id", "q")
+    right = visits.join(sizes, "leaf").withColumn("b", piece("query_id", "query_parts")).withColumn("a", all_of("row_parts")).select(*keys, "query_id", "q_key", "q")
 
     def compared(own: pa.Table, queries: pa.Table) -> pa.Table:
         ids, x = own.column("id").to_numpy(), matrix(own.column("v").combine_chunks())
@@ -213,11 +216,11 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                 found, score = best(x, ids, q[i + j], asks[i + j], rough[:, j], k)
                 out_ids.append(found)
                 out_scores.append(score)
-        return pa.table({"query_id": pa.array(asks[: len(out_ids)]), "ids": pa.array(out_ids, pa.list_(pa.int64())), "scores": pa.array(out_scores, pa.list_(pa.float64()))})
+        return pa.table({"query_id": pa.array(asks[: len(out_ids)]), "q_key": queries.column("q_key")[: len(out_ids)], "ids": pa.array(out_ids, pa.list_(pa.int64())), "scores": pa.array(out_scores, pa.list_(pa.float64()))})
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, "query_id long, ids array<long>, scores array<double>")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, "query_id long, q_key long, ids array<long>, scores array<double>")
     pairs = F.transform(F.arrays_zip("ids", "scores"), lambda p: F.struct((-p["scores"]).alias("s"), p["ids"].alias("id")))
-    ranked = found.select("query_id", pairs.alias("p")).groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
+    ranked = found.select("query_id", "q_key", pairs.alias("p")).groupBy("query_id", "q_key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
     each = ranked.select("query_id", F.posexplode("p").alias("at", "p"))
     return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("p.id").alias(id_col), (-F.col("p.s")).alias("score"))
 

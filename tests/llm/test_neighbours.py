@@ -66,3 +66,16 @@ def test_visits_cover_all_leaves():
     leaves = tree.visits(x[0], 10**6)
     assert sorted(leaves) == list(range(len(tree.leaf_of)))
     assert set(tree.assigned(x)) <= set(leaves)
+
+
+def test_sparse_leaves_and_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    x[::20] *= 1000  # far from all others, alone in their leaves
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(400)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("id") % 20 == 0, recall=0.01).groupBy("query_id").count().collect()
+    assert len(got) == 20 and all(r["count"] == neighbours.K for r in got)
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [1.0, 1.0]), (20, [0.5, 0.5]), (20, [2.0, 2.0]), (1, [1.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, df.schema), F.col("id") % 20 == 0).collect()
+    want = [(0, 1, 20, 6.0), (0, 2, 1, 5.0), (0, 3, 1, 3.0), (0, 4, 20, 1.5), (20, 1, 1, 2.0), (20, 1, 1, 8.0), (20, 2, 0, 1.5), (20, 2, 0, 6.0), (20, 3, 1, 1.0), (20, 3, 1, 4.0)]
+    assert sorted(map(tuple, got)) == want
