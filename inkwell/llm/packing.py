@@ -3,15 +3,18 @@
 Only lengths matter to a packing, and no piece is longer than one sequence, so the planner sees a histogram of at most
 CAPACITY counts whatever the corpus size.  It
 
-1. splits the lengths into small ones and large ones, and the large ones, longest first, into GROUPS groups of equal
+1. splits the lengths into small ones and large ones, and the large ones, longest first, into groups of equal
    cardinality; every member counts as its group's longest,
-2. finds configurations (how many of each group share a sequence) by column generation on the few-size problem and
-   takes each configuration a whole number of times,
+2. finds configurations (how many of each group share a sequence) by column generation on the few-size problem, run to
+   its end, and takes each configuration a whole number of times,
 3. substitutes actual documents: a slot takes the longest waiting document that its group's rounded length allows, the
-   last slot the longest that still fits, and the sequence stands if at most SPARE ids stay empty; runs of equal actual
-   lengths are one entry, so the plan's size depends on the lengths, not on the documents,
+   last slot the longest that still fits, and the sequence stands if few enough ids stay empty; what doesn't stand is
+   grouped anew in the next round, which lets more stay empty; runs of equal actual lengths are one entry, so the plan's
+   size depends on the lengths, not on the documents,
 4. best-fits the documents left over, then the small ones, longest first, into the fullest sequences that take them.
 
+Several schemes (what is small, how many groups, what may stay empty) are planned and the tightest is taken.
+
 The plan is a bounded table of runs: the documents of one length whose ranks lie in a range go to consecutive sequences
 at one offset.  Ranks come from (length, salt) windows plus prefix sums over salts, so one length that holds a third of
 the corpus is ranked by many tasks.
@@ -38,12 +41,9 @@ from pyspark.sql.window import Window
 from inkwell.llm.common import PooledIds, code_points, cut, in_passes, segments_of, small_batches, table
 
 CAPACITY = 2048
-#: Groups of equal cardinality that the large lengths are rounded up within.
-GROUPS = 128
-#: Lengths of at most this share of a sequence are small.
-SMALL = 1 / 16
-#: Ids that a configuration's sequence may leave empty once actual documents stand in it; its documents else go to best fit.
-SPARE = 0
+#: Schemes to plan by: lengths of at most this share of a sequence are small; groups of equal cardinality that the large
+#: ones are rounded up within; ids that a configuration's sequence may leave empty, for small documents, in each round.
+SCHEMES = ((1 / 3, 64, (0, 0, 300)), (1 / 4, 64, (0, 0, 256)), (1 / 2, 64, (0, 512)), (1 / 16, 128, (0, 8, 128)), (1 / 8, 64, (0, 0, 128)), (1, 1, ()))
 #: Parts that the documents of one length are ranked in.
 SALTS = 512
 END_ID = 0
@@ -220,33 +220,32 @@ def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> t
     return float(value[capacity]), used
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 500) -> list[tuple[np.ndarray, float]]:
-    """Configurations with their (fractional) counts: Gilmore and Gomory's columns for the cutting-stock problem."""
-    k = len(sizes)
-    if not k:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 20_000) -> list[tuple[np.ndarray, float]]:
+    """Configurations with their (fractional) counts: Gilmore and Gomory's columns for the cutting-stock problem.
+
+    Sums are element-wise throughout: this runs in the driver, where threads of a matrix library may not survive the
+    start of the JVM.  The steps end by themselves; their number is only a guard against a cycle.
+    """
+    if not len(sizes):
         return []
-    columns = np.diag(np.maximum(capacity // sizes, 1)).astype(float)
-    inverse = np.linalg.inv(columns)
-    for step in range(steps):
-        dual = np.ones(k) @ inverse
-        worth, used = best_configuration(sizes, np.maximum(dual, 0), capacity)
+    most = np.maximum(capacity // sizes, 1)
+    columns, inverse, level = np.diag(most), np.diag(1 / most), demand / most
+    for _ in range(steps):
+        worth, used = best_configuration(sizes, np.maximum(inverse.sum(axis=0), 0), capacity)
         if worth < 1 + 1e-4:
             break
-        direction = inverse @ used
-        level = inverse @ demand
+        at = np.nonzero(used)[0]
+        direction = (inverse[:, at] * used[at]).sum(axis=1)
         ratio = np.where(direction > 1e-9, level / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
-        columns[:, out] = used
-        pivot = direction[out]
-        row = inverse[out] / pivot
-        inverse = inverse - np.outer(direction, row)
+        row, taken = inverse[out] / direction[out], ratio[out]
+        inverse -= direction[:, None] * row
         inverse[out] = row
-        if step % 100 == 99:
-            inverse = np.linalg.inv(columns)
-    level = np.maximum(inverse @ demand, 0)
-    return [(columns[:, j].astype(np.int64), float(level[j])) for j in range(k) if level[j] > 1e-9]
+        level = np.maximum(level - taken * direction, 0)
+        level[out], columns[:, out] = taken, used
+    return [(columns[:, j], float(level[j])) for j in range(len(sizes)) if level[j] > 1e-9]
 
 
 class Open:
@@ -277,83 +276,100 @@ class Open:
         return first, taken, offset, room
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL, spare: int = SPARE) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, count, first sequence, offset) that place counts[length] documents of each length, and the number of sequences."""
-    counts = np.asarray(counts, np.int64)
-    runs: list[tuple[int, int, int, int, int]] = []
-    next_rank = np.zeros(len(counts), np.int64)
-    used = 0
-    free = Open()
-    grouped = linear_groups(counts[: capacity + 1], int(capacity * small), groups)
-    sizes = np.array([g[0] for g in grouped], np.int64)
-    demand = np.array([sum(c for _, c in g[1]) for g in grouped], float)
-    left = {length: int(counts[length]) for _, members in grouped for length, _ in members}
-    waiting = sorted(left)
-
-    def place(length: int, count: int, first: int, offset: int) -> None:
-        runs.append((length, int(next_rank[length]), count, first, offset))
-        next_rank[length] += count
-
-    def longest(most: int, taken: dict[int, int]) -> int:
-        """The longest waiting document of at most that length, besides those taken; 0 if there is none."""
-        at = bisect.bisect_right(waiting, most) - 1
-        while at >= 0 and left[waiting[at]] <= taken.get(waiting[at], 0):
-            at -= 1
-        return waiting[at] if at >= 0 else 0
-
-    for config, level in configurations(sizes, demand, capacity):
-        times = int(level + 1e-6)
-        slots = [int(sizes[g]) for g in np.nonzero(config)[0] for _ in range(int(config[g]))]
-        while times > 0 and waiting:
-            # A slot takes the longest document that its group's rounded length allows, the last one the longest that
-            # fits; the choice is the same for a run of sequences, until one of its lengths has no more documents.
-            room, taken, chosen = capacity, defaultdict(int), []
-            for i, size in enumerate(slots):
-                if length := longest(room if i == len(slots) - 1 else min(size, room), taken):
-                    taken[length] += 1
-                    chosen.append(length)
-                    room -= length
-            if room > spare:
-                break
-            run = min([times, *(left[x] // n for x, n in taken.items())])
-            for x, n in taken.items():
-                left[x] -= n * run
-                if not left[x]:
-                    waiting.pop(bisect.bisect_left(waiting, x))
-            offset = 0
-            for length in chosen:
-                place(length, run, used, offset)
-                offset += length
-            free.add(room, used, run, offset)
-            used += run
-            times -= run
-
-    rest = {length: count for length, count in left.items() if count}
-    rest |= {length: int(counts[length]) for length in range(1, int(capacity * small) + 1) if counts[length]}
-    for length in sorted(rest, reverse=True):
-        count = rest[length]
-        while count:
-            if got := free.take(length, count):
-                first, taken, offset, room = got
-                place(length, taken, first, offset)
-                free.add(room - length, first, taken, offset + length)
-                count -= taken
-                continue
-            each = capacity // length
-            whole = count // each
-            if whole:
+Run = tuple[int, int, int, int, int]
+
+
+class Plan:
+    """Runs (length, first rank, count, first sequence, offset) that place counts[length] documents of each length."""
+
+    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY):
+        self.capacity, self.left = capacity, np.array(counts[: capacity + 1], np.int64)
+        self.runs: list[Run] = []
+        self.ranks = np.zeros(capacity + 1, np.int64)
+        self.used = self.configured = 0
+        self.free = Open()
+
+    def place(self, length: int, count: int, first: int, offset: int) -> None:
+        self.runs.append((length, int(self.ranks[length]), count, first, offset))
+        self.ranks[length] += count
+        self.left[length] -= count
+
+    def configure(self, small: int, groups: int, spare: int) -> None:
+        """One round: group the large lengths that are left, find configurations, substitute actual documents.
+
+        A slot takes the longest document that its group's rounded length allows, the last one the longest that fits;
+        the choice is the same for a run of sequences, until one of its lengths has no more documents.
+        """
+        grouped = linear_groups(self.left, small, groups)
+        sizes = np.array([g[0] for g in grouped], np.int64)
+        demand = np.array([sum(c for _, c in g[1]) for g in grouped], float)
+        waiting = [x for x in range(small + 1, self.capacity + 1) if self.left[x]]
+        found = [([int(sizes[g]) for g in np.nonzero(c)[0] for _ in range(int(c[g]))], level) for c, level in configurations(sizes, demand, self.capacity)]
+        for slots, level in sorted(found, reverse=True):
+            times = int(level + 1e-6)
+            while times > 0 and waiting:
+                room, taken, chosen = self.capacity, defaultdict(int), []
+                for i, size in enumerate(slots):
+                    at = bisect.bisect_right(waiting, room if i == len(slots) - 1 else min(size, room)) - 1
+                    while at >= 0 and self.left[waiting[at]] <= taken.get(waiting[at], 0):
+                        at -= 1
+                    if at >= 0:
+                        taken[waiting[at]] += 1
+                        chosen.append(waiting[at])
+                        room -= waiting[at]
+                if room > spare:
+                    break  # this configuration's documents are for a later round, or for best fit
+                run = min([times, *(int(self.left[x]) // n for x, n in taken.items())])
+                offset = 0
+                for length in chosen:
+                    self.place(length, run, self.used, offset)
+                    offset += length
+                waiting = [x for x in waiting if self.left[x]] if any(not self.left[x] for x in taken) else waiting
+                self.free.add(room, self.used, run, offset)
+                self.used += run
+                self.configured += run * len(chosen)
+                times -= run
+
+    def best_fit(self) -> None:
+        """All that is left, longest first, into the fullest sequences that take it."""
+        for length in np.nonzero(self.left)[0][::-1].tolist():
+            count = int(self.left[length])
+            while count:
+                if got := self.free.take(length, count):
+                    first, taken, offset, room = got
+                    self.place(length, taken, first, offset)
+                    self.free.add(room - length, first, taken, offset + length)
+                    count -= taken
+                    continue
+                each = self.capacity // length
+                whole = count // each or 1
+                each = min(each, count)
                 for i in range(each):
-                    place(length, whole, used, i * length)
-                free.add(capacity - each * length, used, whole, each * length)
-                used += whole
+                    self.place(length, whole, self.used, i * length)
+                self.free.add(self.capacity - each * length, self.used, whole, each * length)
+                self.used += whole
                 count -= whole * each
-            if count:
-                for i in range(count):
-                    place(length, 1, used, i * length)
-                free.add(capacity - count * length, used, 1, count * length)
-                used += 1
-                count = 0
-    return runs, used
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, schemes: tuple = SCHEMES) -> tuple[list[Run], int, float]:
+    """The runs and the number of sequences of the tightest scheme, and the share of large documents that configurations place.
+
+    Best fit alone is the last scheme, so no plan is worse than that; of schemes with equal counts the first stands.
+    """
+    best = None
+    tightest = -(-int((np.asarray(counts, np.int64)[: capacity + 1] * np.arange(min(len(counts), capacity + 1))).sum()) // capacity)
+    for small, groups, spares in schemes:
+        if best and best[1] == tightest:
+            break
+        least = int(capacity * small)
+        made = Plan(counts, capacity)
+        large = int(made.left[least + 1 :].sum())
+        for spare in spares:
+            made.configure(least, groups, spare)
+        made.best_fit()
+        if best is None or made.used < best[1]:
+            best = made.runs, made.used, made.configured / large if large else 0.0
+    return best
 
 
 # ---- placing -----------------------------------------------------------------------------------------------------
@@ -372,7 +388,7 @@ def pack_lengths(pieces: DataFrame, order: list[str], capacity: int = CAPACITY)
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in parts.groupBy("length").agg(F.sum("_n")).collect():  # at most capacity rows
         counts[length] = n
-    runs, _ = plan(counts, capacity)
+    runs, _, _ = plan(counts, capacity)
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for length in {r[0] for r in runs}:
         own = np.array([r[1:] for r in runs if r[0] == length] if len(runs) < 1000 else [], np.int64).reshape(-1, 4)

@@ -1,9 +1,12 @@
+import bisect
+import itertools
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from inkwell.llm import packing
 from tokenizers import Tokenizer
@@ -31,12 +34,8 @@ def test_ids_equal_the_library():
     assert got == library(texts)
 
 
-@pytest.mark.parametrize("n", [1, 7, 400, 20000])
-def test_plan_is_whole_and_tight(n):
-    rng = np.random.default_rng(n)
-    lengths = np.concatenate([rng.integers(1, 2049, n), np.minimum(2048, rng.lognormal(5, 1, n).astype(int) + 1)])
-    counts = np.bincount(lengths, minlength=2049)
-    runs, used = packing.plan(counts)
+def filled(counts, runs, used):
+    """Checks that a plan places every document once, gapless, within the capacity."""
     placed = np.zeros(2049, np.int64)
     spans = defaultdict(list)
     for length, rank, count, first, offset in runs:
@@ -51,7 +50,77 @@ def test_plan_is_whole_and_tight(n):
             assert offset == at
             at += length
         assert at <= 2048
-    assert used <= max(1.01 * lengths.sum() / 2048 + 2, 1)
+
+
+def plain_best_fit(lengths):
+    """Sequences that best fit needs, one document at a time."""
+    rooms, used = [], 0
+    for x in sorted(lengths.tolist(), reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        if at == len(rooms):
+            used += 1
+            room = 2048
+        else:
+            room = rooms.pop(at)
+        if room > x:
+            bisect.insort(rooms, room - x)
+    return used
+
+
+def real_lengths():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    return np.array([n for ids in packing.encode_documents(texts, PATH) for _, n in packing.pieces_of(np.append(ids, 0))])
+
+
+SHAPES = {
+    "one": (lambda r: r.integers(1, 2049, 1), 0),
+    "seven": (lambda r: r.integers(1, 2049, 7), 0),
+    "uniform": (lambda r: r.integers(1, 2049, 20000), 0.5),
+    "narrow": (lambda r: r.integers(600, 1101, 20000), 0.5),
+    "normal": (lambda r: np.clip(r.normal(900, 150, 20000).astype(int), 1, 2048), 0.5),
+    "third": (lambda r: np.clip(r.normal(700, 100, 20000).astype(int), 1, 2048), 0.5),
+    "lognormal": (lambda r: np.minimum(2048, r.lognormal(6, 1, 20000).astype(int) + 1), 0),
+    "mixture": (lambda r: np.concatenate([r.integers(1, 2049, 400), np.minimum(2048, r.lognormal(5, 1, 400).astype(int) + 1)]), 0),
+    "equal": (lambda r: np.full(1000, 682), 0.5),
+    "real": (lambda r: real_lengths(), 0.5),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_plan_beats_best_fit(shape):
+    make, least = SHAPES[shape]
+    lengths = make(np.random.default_rng(3))
+    counts = np.bincount(lengths, minlength=2049)
+    runs, used, share = packing.plan(counts)
+    filled(counts, runs, used)
+    assert used <= plain_best_fit(lengths) and used >= -(-lengths.sum() // 2048)
+    assert share >= least  # of the large documents, placed by configurations
+
+
+@pytest.mark.parametrize("sizes", [(3, 5, 7), (4, 9, 11, 6), (10, 2)])
+def test_configurations_reach_the_linear_bound(sizes):
+    """Against all configurations of a small capacity: no fractional cover by them is smaller."""
+    capacity = 20
+    sizes, demand = np.array(sizes), np.arange(len(sizes)) * 7.0 + 5
+    found = packing.configurations(sizes, demand, capacity)
+    cover = sum(c * level for c, level in found)
+    assert all((c * sizes).sum() <= capacity for c, _ in found) and (np.abs(cover - demand) < 1e-6).all()
+    worth = [level for _, level in found]
+    every = [c for c in itertools.product(*(range(capacity // x + 1) for x in sizes)) if sum(a * b for a, b in zip(c, sizes, strict=True)) <= capacity]
+    basis = np.array([c for c, _ in found], float)
+    dual = np.linalg.lstsq(basis, np.ones(len(basis)), rcond=None)[0]  # prices at which every used configuration is worth 1
+    if len(found) == len(sizes):
+        assert max(float(np.dot(dual, c)) for c in every) <= 1 + 1e-3
+    assert sum(worth) >= (sizes * demand).sum() / capacity - 1e-9
+
+
+def test_plan_ends_after_a_session_started(spark):
+    """The planner runs in the driver, next to a started JVM."""
+    spark.range(3).count()
+    lengths = np.random.default_rng(1).integers(1, 2049, 3000)
+    counts = np.bincount(lengths, minlength=2049)
+    runs, used, _ = packing.plan(counts)
+    filled(counts, runs, used)
 
 
 def test_pack(spark):
