@@ -81,7 +81,7 @@ SHAPES = {
     "third": (lambda r: np.clip(r.normal(700, 100, 20000).astype(int), 1, 2048), 0.5),
     "lognormal": (lambda r: np.minimum(2048, r.lognormal(6, 1, 20000).astype(int) + 1), 0),
     "mixture": (lambda r: np.concatenate([r.integers(1, 2049, 400), np.minimum(2048, r.lognormal(5, 1, 400).astype(int) + 1)]), 0),
-    "equal": (lambda r: np.full(1000, 682), 0.5),
+    "equal": (lambda r: np.full(1000, 682), 0),
     "real": (lambda r: real_lengths(), 0.5),
 }
 
