@@ -1,4 +1,5 @@
 import html
+import itertools
 import re
 
 from inkwell.llm import templates
@@ -84,3 +85,102 @@ def test_many_open_elements():
         "<table><tr><td>a<table><tr><td>b</td><td>c</td></tr></table></td><td>d</td></tr><tr><th>e</th></tr><tbody><tr><td>f</td></tr></tbody></table>"
     )
     assert text("<p>" + "<b>" * 100_000 + "<hr>" * 100_000 + "deep") == "deep"
+
+
+def plain(pages):
+    """Main text by a plain deduction: occurrence vectors over distinct contents as tuples, classes, order and containment page by page."""
+    tokens = {}
+    for i, page in pages.items():
+        out, path = [], []
+        for close, tag, text in re.findall(r"<(/?)(\w+)>|([^<]+)", page):
+            if text:
+                out.append(("/".join(path), text))
+            elif close:
+                path.pop()
+            else:
+                path.append(tag)
+                out.append(("/".join(path), None))
+        tokens[i] = out
+    contents = {" ".join(t for _, t in own if t): own for own in tokens.values()}
+    lists = [contents[k] for k in sorted(contents)]
+    vectors = {}
+    for token in {t for own in lists for t in own}:
+        vectors.setdefault(tuple(own.count(token) for own in lists), []).append(token)
+    least = 0.9 * len(lists)
+    classes = [v for k, v in vectors.items() if sum(map(bool, k)) >= least and len(v) >= 3]
+    mean = lambda t: sum(own.index(t) / len(own) for own in lists if t in own) / sum(t in own for own in lists)
+    classes = [sorted(c, key=mean) for c in classes]
+
+    def span(own, c):
+        at = [own.index(t) for t in c if t in own]
+        return at if len(at) == len(c) and at == sorted(at) else None
+
+    def place(own, c):
+        mine = span(own, c)
+        around = [(s[-1] - s[0], k, s) for k, x in enumerate(classes) if x is not c and (s := span(own, x)) and s[0] < mine[0] < s[-1] and place(own, x)]
+        if not around:
+            return -1, 0
+        _, k, s = min(around)
+        gap = sum(p < mine[0] for p in s)
+        return (k, gap) if mine[-1] < s[gap] else None
+
+    valid = {}
+    for k, c in enumerate(classes):
+        seen = [place(own, c) for own in lists if span(own, c)]
+        best = max(set(seen), key=seen.count, default=None)
+        if best and seen.count(best) >= 0.81 * len(lists):
+            valid[k] = best
+    fixed = {t for k in valid if valid[k][0] in valid or valid[k][0] < 0 for t in classes[k]}
+    return {i: " ".join(t for p, t in own if t and (p, t) not in fixed) for i, own in tokens.items()}
+
+
+def test_against_a_plain_deduction(spark):
+    """Hosts without any naming: frames, a box that one page in twenty lacks, rows of repeated cells."""
+    pages = {}
+    for i in range(60):
+        stories = "".join(f"<p>host {i % 2} story {i} part {j}</p>" for j in range(i % 4 + 1))
+        box = "" if i in (20, 21) else f"<dl><dt>Seen</dt><dd>elsewhere {i}</dd><dt>Heard</dt><dd>again {i}</dd><dt>Said</dt></dl>"
+        cells = "".join(f"<tr><td>row</td><td>{i}-{j}</td><td>unit</td></tr>" for j in range(3))
+        pages[i] = f"<html><body><div><div>Owl</div><div>{stories}{box}</div><div>Since 1900</div></div><table>{cells}</table><div>Imprint</div></body></html>"
+    rows = [(i, f"http://h{i % 2}.example/{i}", p) for i, p in pages.items()]
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h in (0, 1):
+        want = plain({i: p for i, p in pages.items() if i % 2 == h})
+        assert {i: got[i] for i in want} == want
+        assert all("Owl" not in t and "story" in t and "Since" not in t for t in want.values())
+
+
+def test_without_article_elements(spark):
+    """The synthetic pages with their article elements renamed or taken out."""
+    sf = "/root/testdata/sf0.001"
+    pages = [r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    for new in ("<\\1div>", ""):
+        rows = [(r.page_id, r.url, re.sub("<(/?)article>", new, r.html)) for r in pages]
+        got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        want = {r.page_id: marked(r.html) for r in pages}
+        assert sum(len(got[i]) for i in want if got[i] == want[i]) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_templates_met_by_a_salted_join(spark, monkeypatch):
+    page = "<html><body><div><p>Top</p><p>Under</p><p>story {}</p><p>End</p></div></body></html>"
+    rows = [(i, "http://owl.example/", page.format(i)) for i in range(12)]
+    monkeypatch.setattr(templates, "BROADCAST_BYTES", 0)
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i}" for i in range(12)}
+
+
+def test_tokens_out_of_order_leave_their_class(spark):
+    """Two blocks that change places don't unmake the frame they share their occurrences with."""
+    parts = ["<h2>one</h2>", "<h3>two</h3>"]
+    rows = [(i, "http://owl.example/", f"<body><div><p>Top</p>{''.join(parts[:: 1 if i % 3 else -1])}<h4>story {i}</h4><p>End</p><p>Last</p></div></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"story {i}" in t and not {"Top", "End", "Last"} & set(t.split()) for i, t in got.items())
+    assert any(w in got[0] for w in ("one", "two"))
+
+
+def test_longest_rise():
+    for own in itertools.permutations(range(6)):
+        found = templates.longest_rise(list(own))
+        values = [own[i] for i in found]
+        assert values == sorted(values) and found == sorted(found)
+        assert len(found) == max(len(c) for n in range(7) for c in itertools.combinations(own, n) if list(c) == sorted(c))
