@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,21 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder, read it back, and forget its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests, a laptop) a
-    temporary one is made.
-    """
+    """Write df to the reliable checkpoint folder, read it back, and forget its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as cut() chooses it."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local master (tests, a laptop); a cluster without it is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut_table(df: DataFrame) -> DataFrame:
@@ -51,6 +54,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def fresh(taken: list[str], stem: str) -> str:
+    """A column name that none of taken clashes with, whatever its case."""
+    used = {c.lower() for c in taken}
+    name = stem
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]
@@ -78,10 +95,13 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PooledIds:
-    """Ids of text segments, remembered per segment in one growing pool."""
+    """Ids of text segments, remembered per segment in one growing pool; long segments are only kept for the one look-up.
+
+    The pool starts anew after most segments or most_ids ids.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000, longest: int = 64):
-        self.encode, self.most, self.longest = encode, most, longest
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000, longest: int = 64, most_ids: int = 8_000_000):
+        self.encode, self.most, self.longest, self.most_ids = encode, most, longest, most_ids
         self.clear()
 
     def clear(self) -> None:
@@ -107,7 +127,7 @@ class PooledIds:
         """Flat ids of all segments, and how many each has."""
         coded = segments.dictionary_encode()
         unique = coded.dictionary.to_pylist()
-        if self.count + len(unique) > self.most:
+        if self.count + len(unique) > self.most or self.used > self.most_ids:
             self.clear()
         known = self.known
         place = [known.get(s, -1) for s in unique]

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, let, table
+from inkwell.llm.common import cut, cut_table, let, named, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 BASE = KINDS[:4]
@@ -57,15 +57,16 @@ AGAINST = "(?i)(?:isbn|issn|doi|version|build|commit|sha-?[0-9]*|md5|checksum|di
 AROUND = 48
 
 
-def running(values: Column) -> Column:
-    """Sums of the first 1, 2, … items of an array of longs, in blocks."""
+def running(values: Column, larger: bool = False) -> Column:
+    """Sums (or with larger, maxima) of the first 1, 2, … items of an array of longs, in blocks."""
     size = 64
-    add = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
+    both = (lambda a, x: F.greatest(a, x)) if larger else (lambda a, x: a + x)
+    add = lambda items: F.aggregate(items, F.lit(0).cast("long"), both)
 
     def blocks(v: Column) -> Column:
         sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda b: add(F.slice(v, b * size + 1, size)))
         before = let(sums, lambda s: F.transform(s, lambda _, i: add(F.slice(s, F.lit(1), i))))
-        return let(before, lambda b: F.transform(v, lambda _, i: F.get(b, F.floor(i / size).cast("int")) + add(F.slice(v, F.floor(i / size).cast("int") * size + 1, i % size + 1))))
+        return let(before, lambda b: F.transform(v, lambda _, i: both(F.get(b, F.floor(i / size).cast("int")), add(F.slice(v, F.floor(i / size).cast("int") * size + 1, i % size + 1)))))
 
     return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(blocks(v)))
 
@@ -236,12 +237,12 @@ def apart(base: Column, extra: Column) -> Column:
     return F.filter(extra, lambda c: ~F.exists(base, lambda b: (b["at"] < c["stop"]) & (c["at"] < b["stop"])))
 
 
-def listed(found: DataFrame, patterns: list[int]) -> DataFrame:
-    """found with spans: base and accepted extra ones, sorted by place and kind."""
+def all_spans(base: Column, found: Column, patterns: list[int]) -> Column:
+    """Base and accepted extra spans, sorted by place and kind."""
     keep = F.array(*map(F.lit, patterns)) if patterns else F.array().cast("array<int>")
-    taken = F.filter("candidates", lambda c: F.array_contains(keep, c["pattern"]))
-    extra = F.transform(let(F.struct(F.col("base"), taken.alias("c")), lambda x: apart(x["base"], x["c"])), lambda c: F.struct(c["at"].alias("at"), c["kind"].alias("kind"), c["stop"].alias("stop")))
-    return found.withColumn("spans", F.sort_array(F.concat(F.col("base"), extra)))
+    taken = F.filter(found, lambda c: F.array_contains(keep, c["pattern"]))
+    extra = F.transform(let(F.struct(base.alias("b"), taken.alias("c")), lambda x: apart(x["b"], x["c"])), lambda c: F.struct(c["at"].alias("at"), c["kind"].alias("kind"), c["stop"].alias("stop")))
+    return F.sort_array(F.concat(base, extra))
 
 
 def written(spans: Column) -> Column:
@@ -258,27 +259,58 @@ def searched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, base, spans) per row of docs."""
     found = cut(searched(docs, id_col, text_col))
-    return listed(found, accepted(found)).select(id_col, "base", "spans")
+    return found.select(id_col, "base", all_spans(F.col("base"), F.col("candidates"), accepted(found)).alias("spans"))
+
+
+RANGE = "array<struct<at:bigint,stop:bigint,kind:int>>"
+
+
+def united(spans: Column) -> Column:
+    """Sorted spans with those that overlap made one, of the kind of the first."""
+
+    def ranges(s: Column, reach: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["at"] >= F.get(reach, i - 1)))
+        stop = lambda own, k: F.get(reach, F.coalesce(F.get(own, k + 1), F.size(s)) - 1)
+        return let(starts, lambda own: F.transform(own, lambda i, k: F.struct(F.get(s, i)["at"].alias("at"), stop(own, k).alias("stop"), F.get(s, i)["kind"].alias("kind"))))
+
+    whole = let(spans, lambda s: let(running(F.transform(s, lambda x: x["stop"]), larger=True), lambda reach: ranges(s, reach)))
+    return F.when(F.size(spans) == 0, F.array().cast(RANGE)).otherwise(whole)
+
+
+def covered(text: Column, ranges: Column) -> Column:
+    """text with a placeholder for each range; parts are cut out in two levels, so m ranges cost about sqrt(m) passes."""
+    names = F.array(*(F.lit(PLACEHOLDER[k]) for k in KINDS))
+    step = F.ceil(F.sqrt(F.size(ranges))).cast("int")
+
+    def block(b: Column, size: Column) -> Column:
+        own = F.slice(ranges, b * size + 1, size)
+        begin = F.when(b == 0, F.lit(0).cast("long")).otherwise(F.get(ranges, b * size - 1)["stop"])
+
+        def parts(r: Column, base: Column) -> Column:
+            stop = F.element_at(r, -1)["stop"]
+            piece = lambda x, i, t: F.concat(t.substr((F.coalesce(F.get(r, i - 1)["stop"], base) - base + 1).cast("int"), (x["at"] - F.coalesce(F.get(r, i - 1)["stop"], base)).cast("int")), F.get(names, x["kind"]))
+            return let(text.substr((base + 1).cast("int"), (stop - base).cast("int")), lambda t: F.array_join(F.transform(r, lambda x, i: piece(x, i, t)), ""))
+
+        return let(own, lambda r: let(begin, lambda base: parts(r, base)))
+
+    blocks = let(step, lambda size: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(ranges) - 1) / size).cast("int")), lambda b: block(b, size)), ""))
+    tail = text.substr((F.element_at(ranges, -1)["stop"] + 1).cast("int"), F.length(text))
+    return F.when(F.size(ranges) == 0, text).otherwise(F.concat(blocks, tail))
 
 
 def masked(docs: DataFrame, text_col: str = "text", out_col: str = "masked") -> DataFrame:
-    """docs with out_col, the text with a placeholder for every personal span."""
-    found = cut(docs.select(candidates(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("candidates")).where(F.size("candidates") > 0))
-    keep = F.array(*map(F.lit, patterns)) if (patterns := accepted(found)) else F.array().cast("array<int>")
-
-    def replaced(text: Column, kind: str) -> Column:
-        joined = let(F.split(text, PATTERNS[kind], -1), lambda parts: let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda hits: F.array_join(F.transform(
-            parts, lambda p, i: F.concat(p, let(F.get(hits, i), lambda h: F.when(h.isNull(), "").when(holds(kind, h), PLACEHOLDER[kind]).otherwise(h)))), "")))
-        return F.when(may_hold(kind, text), joined).otherwise(text)
-
-    def replaced_extra(text: Column) -> Column:
-        names = F.array(*(F.lit(PLACEHOLDER[k]) for k in KINDS))
-        part = lambda p, c: F.concat(p, F.when(c["hit"].isNull(), "").when(F.array_contains(keep, c["pattern"]), F.get(names, c["kind"])).otherwise(c["hit"]))
-        joined = let(F.split(text, CANDIDATES, -1), lambda parts: let(candidates(text), lambda own: F.array_join(F.transform(parts, lambda p, i: let(F.get(own, i), lambda c: part(p, c))), "")))
-        return F.when(may_hold("candidate", text), joined).otherwise(text)
-
-    text = reduce(lambda so_far, kind: let(so_far, lambda t: replaced(t, kind)), BASE, F.col(text_col).cast("string"))
-    return docs.withColumn(out_col, let(text, replaced_extra))
+    """docs with out_col, the text with a placeholder for every stretch of personal spans; null stays null.
+
+    The spans are those of personal(): texts are searched once, and the rows wait with their spans for the classifier.
+    """
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    found = F.struct(base_spans(text).alias("base"), candidates(text).alias("candidates"))
+    rows = cut_table(docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.explode_outer(F.array(found)).alias("found")))
+    patterns = accepted(rows.select("found.candidates"))
+    spans = united(all_spans(F.col("found.base"), F.col("found.candidates"), patterns))
+    text = F.col(f"c{docs.columns.index(text_col)}").cast("string")
+    new = F.when(F.size("found.base") + F.size("found.candidates") == 0, text).otherwise(let(spans, lambda r: covered(text, r)))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != out_col.lower()], new.alias(out_col))
 
 
 def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ Repeated windows are found inside the row: windows are hashed and sorted with th
 only windows whose hash prefix meets another's are compared word by word, so a text of n words costs n log n.
 
 Defined cases: null text has no words and is rejected; lines without a word are neither judged nor counted but stay in
-cleaned text; repeated rows are judged each; other columns pass through; an empty table gives no rows.
+cleaned text; very long texts are judged whole, in one row; a document exactly at a threshold is kept; repeated rows are
+judged each; other columns pass through, but for one of the result's own name, which is replaced; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import let, table
+from inkwell.llm.common import fresh, let, named, table
 
 LEAST_WORDS = 50
 #: Share of words (of 100) in repeated three-word windows above which a document fails.
@@ -87,8 +89,8 @@ def line_fails(line: Column) -> Column:
     return symbols | navigation | boilerplate | shouting | punctuation
 
 
-def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the struct quality: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words, base_failed, kept, cleaned."""
+def judged(docs: DataFrame, text_col: str = "text", out_col: str = "quality") -> DataFrame:
+    """docs with the struct out_col: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words, base_failed, kept, cleaned."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.split(text, "\n")
 
@@ -111,7 +113,15 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
     both = let(F.struct(let(words_of(F.col(text_col)), measures).alias("m"), let(lines, line_measures).alias("l"), symbols.alias("n_symbols")), _verdict)
-    return docs.withColumn("quality", both)
+    # One generator of one row, so that no filter or projection above computes the struct anew.
+    return docs.select(*[named(c) for c in docs.columns if c.lower() != out_col.lower()], F.explode_outer(F.array(both)).alias(out_col))
+
+
+def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that pass, with their text cleaned of failed lines, and the columns of docs."""
+    own = fresh(docs.columns, "quality")
+    kept = judged(docs, text_col, own).where(named(own)["kept"])
+    return kept.select(*[named(own)["cleaned"].alias(c) if c == text_col else named(c) for c in docs.columns])
 
 
 def _verdict(x: Column) -> Column:

@@ -8,13 +8,20 @@ are past the radius.  A bucket above BUCKET rows is dealt as pairs of chunks, so
 every pair still meets once.  A group returns a spanning forest, never all its pairs; components come from alternating
 star contractions over checkpointed edges.
 
+`distinct` keeps one row of each group, of linked fingerprints (`print_firsts`) or of near copies (`near_firsts`).  Near
+copies take shingles of five words and a Jaccard similarity of 0.8 or more.  Two such texts differ in about ten bits, out
+of reach of tables of bit blocks, so tables are keyed by bands of least hashes; inside them the same bit-sliced
+comparison, with wider counters, leaves few pairs for the exact similarity.
+
 Defined cases: null or empty text, or text without words, has fingerprint zero and links like any other; rows with a
-null id get a fingerprint but a null component and link nothing; repeated rows are kept, each with the same component.
+null id get a fingerprint but a null component and link nothing; very long texts are hashed in parts; ties of a bit's
+votes are 0; repeated rows are kept, each with the same component; other columns are ignored; an empty table gives no
+rows.  Of a group of near copies the row of the smallest id stays, of equal ids that of the smallest hash of its text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,14 +29,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut, small_batches, table
+from inkwell.llm.common import cut, in_passes, named, small_batches, table
+from inkwell.llm.substrings import BASE, Rolling, mixed, word_hashes
 
 BITS = 64
 #: Five bit blocks as (shift, width).
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows of a bucket that one group may compare; larger buckets are dealt in chunk pairs.
 BUCKET = 1024
+#: Near copies: words of a shingle, least Jaccard similarity, and the SimHash radius that such pairs lie within.
+NEAR_WORDS, NEAR, RADIUS = 5, 0.8, 24
+#: Bands of least hashes, and hashes of a band: a pair at 0.8 shares one with a chance of 1 - (1 - 0.8 ** 3) ** 12, over 0.9998.
+BANDS, ROWS = 12, 3
+#: Rows, with their shingles, of a bucket of near copies that one group may compare.
+NEAR_BUCKET = 512
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -82,31 +97,29 @@ def bit_planes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
 def near_lanes(planes: np.ndarray, word: np.ndarray, query: np.ndarray, lanes: np.ndarray, radius: int = 3, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Per (query value, word of 64 lanes): the lanes within radius, for the combinations that have any.
 
-    The counters hold distances up to 3 in two bits and saturate in a third ("past"); after every step planes the
-    combinations whose lanes are all past the radius are abandoned.
+    The counters of all lanes are bit planes as well.  They start so far below a power of two that one difference more
+    than radius carries out of the highest plane, into "past", where it stays; after every step planes the combinations
+    whose lanes are all past the radius are abandoned.
     """
-    if radius > 3:
-        raise ValueError("the counters hold radii up to 3")
     alive = np.arange(len(word))
-    low, high, past = (np.zeros(len(word), np.uint64) for _ in range(3))
-    past |= ~lanes
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    width = radius.bit_length()
+    start = (1 << width) - 1 - radius
+    counter = [np.full(len(word), full if start >> k & 1 else np.uint64(0)) for k in range(width)]
+    past = ~lanes
     for b in range(BITS):
-        differ = planes[b][word] ^ ((query >> np.uint64(b) & np.uint64(1)) * full)
-        carry = low & differ
-        low ^= differ
-        over = high & carry
-        high ^= carry
-        past |= over
+        carry = planes[b][word] ^ ((query >> np.uint64(b) & np.uint64(1)) * full)
+        for k in range(width):
+            low = counter[k]
+            counter[k], carry = low ^ carry, low & carry
+        past = past | carry
         if b % step == step - 1:
-            out = past | (high & low if radius < 3 else np.uint64(0)) | (high if radius < 2 else np.uint64(0))
-            keep = out != full
+            keep = past != full
             if not keep.all():
-                alive, word, query, low, high, past = (x[keep] for x in (alive, word, query, low, high, past))
-    out = past | (high & low if radius < 3 else np.uint64(0)) | (high if radius < 2 else np.uint64(0))
-    out = out | (low | high if radius < 1 else np.uint64(0))
-    keep = out != full
-    return alive[keep], ~out[keep]
+                alive, word, query, past = (x[keep] for x in (alive, word, query, past))
+                counter = [x[keep] for x in counter]
+    keep = past != full
+    return alive[keep], ~past[keep]
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -123,17 +136,16 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def linked(values: np.ndarray, sizes: np.ndarray, radius: int = 3, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Item indices (item, smallest linked item of its group) of groups laid one after the other."""
+def near_pairs(values: np.ndarray, sizes: np.ndarray, radius: int = 3, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (item, earlier item of its group) within radius, in runs of bounded size, for groups laid one after the other."""
     starts = np.cumsum(sizes) - sizes
     planes, first, lanes = bit_planes(values, starts, sizes)
     words = -(-sizes // 64)
     each = np.repeat(words, sizes)
     group_first, group_start = np.repeat(first, sizes), np.repeat(starts, sizes)
-    left, right = [], []
     at = 0
     ends = np.cumsum(each)
-    while at < len(values):  # queries in runs, so that memory stays bounded
+    while at < len(values):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         own = each[at:upto]
         query = np.repeat(np.arange(at, upto), own)
@@ -144,10 +156,14 @@ def linked(values: np.ndarray, sizes: np.ndarray, radius: int = 3, most: int = 1
         q = query[hit[row]]
         other = group_start[q] + (word[hit[row]] - group_first[q]) * 64 + lane
         keep = other < q
-        left.append(q[keep])
-        right.append(other[keep])
+        yield q[keep], other[keep]
         at = upto
-    label = forest(len(values), np.concatenate(left), np.concatenate(right)) if left else np.arange(0)
+
+
+def linked(values: np.ndarray, sizes: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Item indices (item, smallest linked item of its group)."""
+    pairs = list(near_pairs(values, sizes, radius))
+    label = forest(len(values), np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])) if pairs else np.arange(0)
     moved = np.nonzero(label != np.arange(len(label)))[0]
     return moved, label[moved]
 
@@ -157,34 +173,54 @@ def spread_words(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, a, b, fp, id) sorted by group; out come forest edges (src, dst)."""
+def by_groups(batches: Iterator[pa.RecordBatch], run: Callable[[pa.Table, np.ndarray], pa.RecordBatch], keys: tuple[str, ...] = ("bucket", "a", "b"), rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """run(table, sizes of its groups) over rows sorted by keys, in tables of whole groups and about the given rows."""
 
-    def run(rows: pa.Table) -> pa.RecordBatch:
-        key = [rows.column(c).to_numpy() for c in ("bucket", "a", "b")]
-        change = np.nonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]))[0] + 1
-        sizes = np.diff(np.concatenate([[0], change, [len(key[0])]]))
-        item, other = linked(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64), sizes)
-        ids = rows.column("id").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(ids[other])], ["src", "dst"])
+    def changes(part: pa.Table) -> np.ndarray:
+        columns = [part.column(c).to_numpy() for c in keys]
+        return np.nonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))[0] + 1
 
     held: list[pa.RecordBatch] = []
-    count = 0
     for batch in batches:
         held.append(batch)
-        count += batch.num_rows
-        if count < 1 << 16:
+        if sum(b.num_rows for b in held) < rows:
             continue
-        rows = pa.Table.from_batches(held).combine_chunks()
-        last = tuple(rows.column(c)[-1].as_py() for c in ("bucket", "a", "b"))
-        key = [rows.column(c).to_numpy() for c in ("bucket", "a", "b")]
-        whole = int(np.argmax((key[0] == last[0]) & (key[1] == last[1]) & (key[2] == last[2])))
+        part = pa.Table.from_batches(held).combine_chunks()
+        change = changes(part)
+        whole = int(change[-1]) if len(change) else 0
         if whole:
-            yield run(rows.slice(0, whole))
-        rest = rows.slice(whole)
-        held, count = rest.to_batches(), rest.num_rows
-    if count:
-        yield run(pa.Table.from_batches(held).combine_chunks())
+            yield run(part.slice(0, whole), np.diff(np.concatenate([[0], change])))
+        held = part.slice(whole).to_batches()
+    part = pa.Table.from_batches(held).combine_chunks() if held else None
+    if part is not None and part.num_rows:
+        yield run(part, np.diff(np.concatenate([[0], changes(part), [part.num_rows]])))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, a, b, fp, id) sorted by group; out come forest edges (src, dst)."""
+
+    def run(rows: pa.Table, sizes: np.ndarray) -> pa.RecordBatch:
+        item, other = linked(rows.column("fp").to_numpy().astype(np.int64).view(np.uint64), sizes)
+        ids = rows.column("id").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(ids[other])], ["src", "dst"])
+
+    return by_groups(batches, run)
+
+
+def sized(rows: DataFrame, bucket: int) -> DataFrame:
+    """rows of buckets that have several, with chunks, the number of chunks that their bucket is dealt in."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(sizes.select("bucket", F.ceil(F.col("size") / F.lit(bucket)).cast("int").alias("chunks")), "bucket")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (bucket, chunks, …) to every pair (a, b) of chunks that theirs is in, sorted by group; key deals rows to chunks."""
+    own = F.pmod(F.xxhash64(key), F.col("chunks").cast("long")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    out = rows.withColumn("own", own).withColumn("other", other)
+    out = out.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("own", "other", "chunks")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", key)
 
 
 def links(unique: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -195,22 +231,14 @@ def links(unique: DataFrame, bucket: int = BUCKET) -> DataFrame:
         b = F.shiftrightunsigned("fp", sb).bitwiseAND((1 << wb) - 1)
         keys.append(F.lit(t << 26).cast("long") + F.shiftleft(a, 13) + b)
     rows = unique.select("fp", "id", F.explode(F.array(*keys)).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = rows.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("size") / F.lit(bucket)).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "id")
-    n = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "id")
-    return dealt.mapInArrow(_compare, "src long, dst long")
+    return dealt(sized(rows, bucket), "id").mapInArrow(_compare, "src long, dst long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component = smallest node reachable) for every node on an edge, by alternating star contractions."""
     edges = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     state = None
-    for _ in range(rounds):
+    while True:  # each round shortens every path that is no star yet, so it settles
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -221,7 +249,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == state:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         state = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -234,6 +261,152 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+# ---- near copies by five-word shingles ---------------------------------------------------------------------------
+
+def shingles(texts: list[str | None], words: int = NEAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the distinct word shingles of texts, sorted; a text of fewer words is one shingle, one without words has none."""
+    low, _, counts = word_hashes([t or "" for t in texts], lower=True)
+    sizes = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    starts = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.cumsum(counts) - counts, sizes)
+    found = Rolling(low, BASE[0]).of(starts, np.minimum(counts, words)[doc])
+    order = np.lexsort((found, doc))
+    doc, found = doc[order], found[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+    return doc[new], found[new]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tag, text) to (id, tag, node, fp, bands): a hash of the shingle set, its SimHash, and keys of its least permuted hashes."""
+    rng = np.random.default_rng(11)
+    spread = rng.integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, j in in_passes(texts, 4_000_000):
+            doc, found = shingles(texts[i:j])
+            n = j - i
+            begin = np.searchsorted(doc, np.arange(n))
+            sizes = np.diff(np.append(begin, len(doc)))
+            has = np.nonzero(sizes)[0]
+            fp, node = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            bands = np.zeros((n, BANDS), np.uint64)
+            if len(has):
+                least = np.stack([np.minimum.reduceat((found ^ a) * b, begin[has]) for a, b in spread], axis=1).reshape(len(has), BANDS, ROWS)
+                key = np.arange(BANDS, dtype=np.uint64)
+                for r in range(ROWS):
+                    key = mixed((key * np.uint64(0x9E3779B97F4A7C15)) ^ least[:, :, r])
+                bands[has] = key
+                for x in has.tolist():
+                    own = found[begin[x] : begin[x] + sizes[x]]
+                    ones = np.zeros(BITS, np.int64)
+                    for k in range(0, len(own), 1 << 16):
+                        ones += np.unpackbits(own[k : k + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+                    fp[x] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
+                    node[x] = xxhash.xxh3_64_intdigest(own.tobytes())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in ("id", "tag")), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["id", "tag", "node", "fp", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp, buckets, text) to the same with the text's shingles as bytes."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i, j in in_passes(texts, 4_000_000):
+            doc, found = shingles(texts[i:j])
+            own = [x.tobytes() for x in np.split(found, np.searchsorted(doc, np.arange(1, j - i)))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "fp", "buckets")), pa.array(own, pa.binary())], ["node", "fp", "buckets", "shingles"])
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = NEAR) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, a, b, node, fp, shingles) sorted by group to forest edges: pairs within RADIUS whose sets are alike.
+
+    A pair that verified links already join is not looked at, so a group of copies costs one comparison a member.
+    """
+
+    def run(rows: pa.Table, sizes: np.ndarray) -> pa.RecordBatch:
+        nodes, packed = rows.column("node").to_numpy(), rows.column("shingles")
+        sets: dict[int, np.ndarray] = {}
+        own = lambda i: sets[i] if i in sets else sets.setdefault(i, np.frombuffer(packed[i].as_py(), np.uint64))
+        root = list(range(len(nodes)))
+        edges: list[tuple[int, int]] = []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for item, other in near_pairs(rows.column("fp").to_numpy().view(np.uint64), sizes, RADIUS):
+            for q, o in zip(item.tolist(), other.tolist(), strict=True):
+                x, y = top(q), top(o)
+                if x != y and alike(own(q), own(o)):
+                    root[max(x, y)] = min(x, y)
+                    edges.append((q, o))
+        at = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], ["src", "dst"])
+
+    return by_groups(batches, run, rows=1 << 13)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, text) of the rows with an id; tag is the XXHASH64 of the text."""
+    small_batches(docs.sparkSession)
+    return docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col)).alias("tag"), named(text_col).cast("string").alias("text")).where("id is not null")
+
+
+def firsts(unique: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, tag): the least row of every component of rows (node, first) under edges between nodes."""
+    found = components(edges)
+    return unique.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.id", "first.tag")
+
+
+def print_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tag): the first row, by id and then tag, of every group of fingerprints linked at 3 or fewer bits."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(values.view(np.int64))], ["id", "tag", "fp"])
+
+    prints = keyed(docs, id_col, text_col).mapInArrow(kernel, "id long, tag long, fp long")
+    unique = cut(prints.groupBy("fp").agg(F.min(F.struct("id", "tag")).alias("first")).select("fp", F.col("fp").alias("node"), "first"))
+    return firsts(unique, links(unique.select("fp", F.col("node").alias("id"))))
+
+
+def near_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tag): the first row, by id and then tag, of every group linked by a five-word Jaccard similarity of NEAR or more.
+
+    Equal shingle sets collapse first.  Sets that share a band of least hashes are compared bit-sliced by SimHash within
+    RADIUS, then exactly.
+    """
+    rows = keyed(docs, id_col, text_col)
+    prints = rows.mapInArrow(_sketches, "id long, tag long, node long, fp long, bands array<long>")
+    unique = cut(prints.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    shared = sized(unique.select("node", F.explode("bands").alias("bucket")), NEAR_BUCKET)
+    shared = shared.groupBy("node").agg(F.collect_list(F.struct("bucket", "chunks")).alias("buckets")).join(unique.drop("bands"), "node")
+    wanted = shared.select("first.id", "first.tag", "node", "fp", "buckets")
+    sets = rows.join(wanted, ["id", "tag"]).select("node", "fp", "buckets", "text").mapInArrow(_sets, "node long, fp long, buckets array<struct<bucket: bigint, chunks: int>>, shingles binary")
+    each = sets.select("node", "fp", "shingles", F.inline("buckets"))
+    return firsts(unique, dealt(each, "node").mapInArrow(_verified, "src long, dst long"))
+
+
+def distinct(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that kept (print_firsts or near_firsts of docs) names, once each, and all rows with a null id."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[named(c).alias(o) for c, o in zip(docs.columns, own, strict=True)], named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col)).alias("tag"))
+    met = rows.join(kept, ["id", "tag"]).withColumn("nth", F.row_number().over(Window.partitionBy("id", "tag").orderBy("id"))).where("nth = 1")  # of repeated rows any one
+    return met.select(*own).unionByName(rows.where("id is null").select(*own)).toDF(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -29,8 +29,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from inkwell.llm.common import cut_table, in_passes, small_batches, spread, table
+from inkwell.llm.common import cut_table, in_passes, named, small_batches, spread, table
 
 WINDOW = 20
 #: Words of an anchor; a window has WINDOW - K + 1 of them to pick from.
@@ -46,9 +47,9 @@ DEALT = "doc long, place long, anchor long, context long"
 TAG = (1 << 23) - 1
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every word of texts, and how many words each text has."""
-    lists = [t.encode().split() for t in texts]
+def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every word of texts (with lower, of its A-Z in lower case), and how many words each text has."""
+    lists = [(t.encode().lower() if lower else t.encode()).split() for t in texts]
     counts = np.array([len(x) for x in lists], np.int64)
     words = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
     unique = words.dictionary.to_pylist()
@@ -259,14 +260,14 @@ def covered(n_words: int, marks: np.ndarray, window: int = WINDOW) -> np.ndarray
     return np.cumsum(change)[:n_words] > 0
 
 
-def with_removals(docs: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_removals(docs: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Run finish over rows of docs with the columns doc, tag, text, own (the other columns of docs) and marks."""
     small_batches(docs.sparkSession)
     keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64(F.col(text_col)).bitwiseAND(TAG).cast("int").alias("tag"),
-        F.col(text_col).cast("string").alias("text"),
-        F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("own"),
+        F.coalesce(named(id_col).cast("long"), F.lit(LAST)).alias("doc"),
+        F.xxhash64(named(text_col)).bitwiseAND(TAG).cast("int").alias("tag"),
+        named(text_col).cast("string").alias("text"),
+        F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]).alias("own"),
     )
     return keyed.join(_together(removals(keyed)).hint("shuffle_hash"), ["doc", "tag"], "left").mapInArrow(finish, schema)
 
@@ -312,17 +313,20 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.pandas.types import to_arrow_type
 
     others = [f for f in docs.schema.fields if f.name != text_col]
+    back = [f.name for f in docs.schema.fields if f.name.lower() != out_col.lower()]
     types = [to_arrow_type(f.dataType) for f in others]
+    schema = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(others)), StructField("text", StringType()), StructField("kept", StringType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("own")
             kept = [kept_text(t, m) for t, m in zip(batch.column("text").to_pylist(), mark_ranges(batch.column("marks")), strict=True)]
             columns = [pc.struct_field(own, i).cast(t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("text"), pa.array(kept, pa.string())], [*(f.name for f in others), text_col, out_col])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("text"), pa.array(kept, pa.string())], [*(f"c{i}" for i in range(len(others))), "text", "kept"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{text_col}` string", f"`{out_col}` string"])
-    return with_removals(docs, finish, schema, id_col, text_col)
+    place = {f.name: f"c{i}" for i, f in enumerate(others)} | {text_col: "text"}
+    found = with_removals(docs, finish, schema, id_col, text_col)
+    return found.select(*[F.col(place[c]).alias(c) for c in back], F.col("kept").alias(out_col))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

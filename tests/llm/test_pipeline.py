@@ -61,3 +61,44 @@ def test_odd_tables(spark):
             out = stage(spark, table, "")
             assert out.count() <= table.count()
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 3
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    """Users' columns named as the stages' own, or with a dot, come through; rows of one id are told apart by their text."""
+    good = lambda k: "\n".join(f"Fox {k}-{j} " + " ".join(f"w{k}x{j}x{n}" for n in range(12)) + ", and so on." for j in range(8))
+    mail = good(3) + "\nPlease write to the editor at jane.roe@example.com or call +1 555 123 4567 before the end of this week."
+    rows = [(i, t, "mine", 7, "dot", 1, "k") for i, t in [(1, good(1)), (2, good(2)), (5, good(1)), (5, good(4)), (6, mail), (6, mail), (None, good(9)), (8, None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, _text int, `a.b` string, found int, kept_text string")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "").cache()
+        assert kept.columns == docs.columns
+        assert {tuple(r)[2:] for r in kept.collect()} == {("mine", 7, "dot", 1, "k")}
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert set(got) == {1, 2, 5, 6, None} and kept.count() == 5
+    assert "4-0" in got[5] and "[EMAIL]" in got[6] and "jane" not in got[6] and "[PHONE]" in got[6] and "555" not in got[6]
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, "").count() == 5
+
+
+def test_overlapping_spans_are_masked_together(spark):
+    from inkwell.llm import private
+
+    texts = ["+1 555 123 4567@x.com", "a +1 10.20.30.40 55 b", None, "", "x@y.zz" + " 10.0.0.1 é\U0001f600 x@y.zz" * 200, "no data at all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in private.personal(df).collect()}
+    got = {r.doc_id: r.masked for r in private.masked(df).collect()}
+    for i, text in enumerate(texts):
+        want, at = "", 0
+        if text is None:
+            assert got[i] is None
+            continue
+        united = []
+        for s in spans[i]:
+            if united and s.at < united[-1][1]:
+                united[-1][1] = max(united[-1][1], s.stop)
+            else:
+                united.append([s.at, s.stop, s.kind])
+        for a, b, k in united:
+            want += text[at:a] + private.PLACEHOLDER[private.KINDS[k]]
+            at = b
+        assert got[i] == want + text[at:]

@@ -81,3 +81,74 @@ def test_planes_counters_and_abandoning():
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def sets_of(texts):
+    out = {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        out[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+    return out
+
+
+def near_groups(texts):
+    """Components under a five-word Jaccard similarity of 0.8, by all pairs."""
+    sets = sets_of(texts)
+    comp = {i: i for i in texts}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if j < i and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                comp[max(a, b)] = min(a, b)
+    return {i: root(i) for i in texts}
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    """Planted copies at 0.75 to 0.99, a chain, a large group of near copies over several chunks, odd rows."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choices(vocab, k=rng.choice([6, 60, 300]))) for _ in range(60)]
+    texts = base + [edited(rng, t, k) for t in base if len(t.split()) > 50 for k in (1, 2, 4)]
+    texts += [edited(rng, base[0] + " " + " ".join(vocab[:250]), k % 3) for k in range(150)]
+    texts += [base[3].upper(), base[4] + "  ", "", " \n", "one two", "One Two", "x " * 4000]
+    texts = dict(enumerate(texts))
+    want = near_groups(texts)
+    assert 20 < len(set(want.values())) < len(texts) - 100
+    monkeypatch.setattr(simhash, "NEAR_BUCKET", 40)
+    rows = [(i, t, 1, 2, 3) for i, t in texts.items()]
+    df = spark.createDataFrame([*rows, (7, texts[7], 9, 9, 9), (7, "another text under the id of seven", 1, 1, 1), (None, texts[2], 1, 1, 1), (None, None, 1, 1, 1)], "doc_id long, text string, `a.b` int, tag int, nth int")
+    got = simhash.distinct(df, simhash.near_firsts(df))
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted((i, t) for i, t in kept if i is not None) == sorted([*((i, texts[i]) for i in set(want.values())), (7, "another text under the id of seven")])
+    assert sum(i is None for i, _ in kept) == 2
+    assert simhash.distinct(df.limit(0), simhash.near_firsts(df.limit(0))).count() == 0
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """A unique text stays though another row of its id is a copy."""
+    df = spark.createDataFrame([(1, "some text a b c"), (5, "quite another one d e f"), (5, "some text a b c"), (5, "quite another one d e f")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.distinct(df, simhash.print_firsts(df)).collect())
+    assert got == [(1, "some text a b c"), (5, "quite another one d e f")]
+
+
+def test_counters_hold_any_radius():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 63, 70, dtype=np.uint64)
+    values = np.concatenate([values, values ^ (np.uint64(1) << rng.integers(0, 64, 70).astype(np.uint64))])
+    for radius in (0, 1, 2, 3, 6, 24, 31):
+        got = {(int(q), int(o)) for a, b in simhash.near_pairs(values, np.array([len(values)]), radius) for q, o in zip(a, b, strict=True)}
+        assert got == {(i, j) for i in range(len(values)) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= radius}
