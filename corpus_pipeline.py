@@ -6,49 +6,46 @@ pieces.  Stages keep rows with null ids, texts or other columns as their operato
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import packing, private, quality, simhash, substrings
-from inkwell.llm.common import cut, cut_table, table
+from inkwell.llm.common import cut_table, fresh, named, table
 
 
 def with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
     """The given columns of docs with another text, and its length where n_chars is among them."""
-    new = {"text": F.col(text), "n_chars": F.length(F.col(text)).cast("long")}
-    return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
+    new = {"text": named(text), "n_chars": F.length(named(text)).cast("long")}
+    return docs.select(*[new[c].alias(c) if c in new else named(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failed lines."""
-    judged = quality.judged(docs)
-    return with_text(judged.where("quality.kept").withColumn("_text", F.col("quality.cleaned")), docs.columns, "_text")
+    return with_text(quality.cleaned(docs), docs.columns, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every component; repeated ids are one document, null ids stay."""
-    found = cut(simhash.near_duplicates(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """The first document of every group of linked fingerprints, told apart by id and text; rows of null ids stay."""
+    return simhash.distinct(docs, simhash.print_firsts(docs))
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that start earlier; those of which nothing is left go."""
-    found = substrings.deduplicated(docs, out_col="_text")
-    return with_text(found.where("not (_text = '' and text <> '') or text is null"), docs.columns, "_text")
+    own = fresh(docs.columns, "kept_text")
+    found = substrings.deduplicated(docs, out_col=own)
+    return with_text(found.where(~((named(own) == "") & (named("text") != "")) | named("text").isNull()), docs.columns, own)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a placeholder for every personal span."""
-    return with_text(private.masked(docs, out_col="_text"), docs.columns, "_text")
+    """Documents with a placeholder for every stretch of personal data."""
+    own = fresh(docs.columns, "masked")
+    return with_text(private.masked(docs, out_col=own), docs.columns, own)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with the sequence and place they are packed at."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
