@@ -8,8 +8,9 @@ penalty per language (BIC).  All documents of a batch go through the iterations
 The model is LANGUAGES x BUCKETS numbers, whatever the corpus size; it is counted with map-side sums and broadcast.
 
 Defined cases: null text or text without letters is "und" with score 0; rows with null language or null text teach
-nothing; repeated rows are predicted each (and counted each in training); without training rows all is "und"; columns
-other than id, text and language are ignored.
+nothing; repeated rows are predicted each (and counted each in training); without training rows all is "und"; very long
+texts are read whole, each in a pass of its own; of equally likely languages the first by name is taken; an empty table
+gives no rows; columns other than id, text and language are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import code_points, in_passes, small_batches, table
+from inkwell.llm.common import code_points, cut, in_passes, small_batches, table
 from inkwell.llm.packing import LETTER, point_classes
 
 BUCKETS = 1 << 16
@@ -31,6 +32,8 @@ ROUNDS = 12
 #: Log-likelihood that each further language must bring, as a multiple of log(trigrams) / 2.
 PENALTY = 2.0
 UNKNOWN = "und"
+#: Languages up to which the model is gathered and broadcast, at half a MB each; more are an error, never left out.
+MOST_LANGUAGES = 500
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +74,10 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 def model(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities [language, bucket]; the table has BUCKETS rows a language at most."""
+    counts = cut(counts)
+    found = counts.select("lang").distinct().count()
+    if found > MOST_LANGUAGES:
+        raise ValueError(f"{found} languages are more than {MOST_LANGUAGES}; give the language column fewer values")
     packed = counts.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").toArrow()
     names = packed.column("lang").to_pylist()
     out = np.full((len(names), BUCKETS), SMOOTHING)

@@ -42,3 +42,12 @@ def test_descends_only_where_roots_differ(spark):
     ours, theirs = fixity.tree(rows, 2, 0), fixity.tree(other, 2, 0)
     assert [t.count() for t in ours] == [46, 3, 1, 1]
     assert [fixity.differing(a, b, ["archive", "node"]).count() for a, b in zip(ours, theirs, strict=True)] == [1, 1, 1, 1]
+
+
+def test_clashing_columns_and_many_archives(spark):
+    df = spark.createDataFrame([("x", 0, b"one", "a", 1), ("x", 9, b"two", "b", 2)], "archive string, offset long, record binary, node string, `a.b` int")
+    side = fixity.inventory(df, F.col("archive"), F.col("offset"), F.col("record"))
+    assert side.columns == ["archive", "offset", "length", "digest"] and fixity.audit(side, side.limit(1)).count() == 1
+    pages = spark.createDataFrame([(10**11, "u", "h"), (10**12 + 1, "u", "h")], "page_id long, url string, html string")
+    names = {r.archive for r in fixity.archived(pages, F.col("html"), F.col("html")).collect()}
+    assert names == {"crawl-781250000.warc", "crawl-7812500000.warc"}

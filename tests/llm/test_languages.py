@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from inkwell.llm import languages
 from pyspark.sql import functions as F
 
@@ -54,3 +57,57 @@ def test_sets_of_more_than_four_languages():
     share = languages.proportions([" ".join(texts[:6]), texts[2]], counts / counts.sum(axis=1, keepdims=True))
     assert (share[0][:6] > 0.1).all() and share[0][6] < 0.01 and abs(share[0].sum() - 1) < 1e-6
     assert (share[1] > 0).sum() == 1 and share[1][2] > 0.999
+
+
+def plain(text, model):
+    """Shares of the best language set of one text: expectation-maximisation trigram by trigram, then nested sets by penalised likelihood."""
+    _, bucket, count = languages.trigrams([text])
+    grams = list(zip(bucket.tolist(), count.tolist(), strict=True))
+    total = sum(n for _, n in grams)
+
+    def climbed(share, rounds):
+        for _ in range(rounds):
+            new = dict.fromkeys(share, 0.0)
+            for b, n in grams:
+                joint = {k: s * model[k][b] for k, s in share.items()}
+                for k, x in joint.items():
+                    new[k] += n * x / sum(joint.values())
+            share = {k: x / total for k, x in new.items()}
+        return share, sum(n * math.log(sum(s * model[k][b] for k, s in share.items())) for b, n in grams)
+
+    full, _ = climbed({k: 1 / len(model) for k in range(len(model))}, languages.ROUNDS)
+    order = sorted(full, key=lambda k: (-full[k], k))
+    best = None
+    for k in range(1, len(model) + 1):
+        start = {x: full[x] + 1e-6 for x in order[:k]}
+        share, fit = climbed({x: v / sum(start.values()) for x, v in start.items()}, languages.ROUNDS // 3 if k > 1 else 0)
+        fit -= languages.PENALTY * (k - 1) * math.log(max(total, 2)) / 2
+        if best is None or fit > best[0]:
+            best = fit, share
+    return best[1]
+
+
+def test_proportions_match_a_plain_mixture(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 300")
+    names, probability = languages.model(languages.counted(docs))
+    rows = docs.orderBy("doc_id").limit(40).collect()
+    texts = [r.text[:300] for r in rows] + [f"{a.text[:200]} {b.text[:150]}" for a, b in zip(rows[:20], rows[20:], strict=True)]
+    got = languages.proportions(texts, probability)
+    for text, own in zip(texts, got, strict=True):
+        want = plain(text, probability)
+        assert np.allclose(own, [want.get(k, 0.0) for k in range(len(names))], atol=1e-6)
+
+
+def test_empty_table_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50).withColumn("lang_pred", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("id", F.lit(0))
+    names, probability = languages.model(languages.counted(docs))
+    assert languages.identified(docs, names, probability).count() == 50
+    assert languages.identified(docs.limit(0), names, probability).count() == 0
+    assert languages.model(languages.counted(docs.limit(0)))[0] == []
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MOST_LANGUAGES", 1)
+    docs = spark.createDataFrame([("abc", "x"), ("def", "y")], "text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        languages.model(languages.counted(docs))

@@ -79,3 +79,29 @@ def test_sparse_leaves_and_ids_of_several_vectors(spark):
     got = neighbours.nearest(spark.createDataFrame(rows, df.schema), F.col("id") % 20 == 0).collect()
     want = [(0, 1, 20, 6.0), (0, 2, 1, 5.0), (0, 3, 1, 3.0), (0, 4, 20, 1.5), (20, 1, 1, 2.0), (20, 1, 1, 8.0), (20, 2, 0, 1.5), (20, 2, 0, 6.0), (20, 3, 1, 1.0), (20, 3, 1, 4.0)]
     assert sorted(map(tuple, got)) == want
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(5)
+    long, short = rng.normal(size=(300, 6)), rng.normal(size=(300, 3))
+    rows = [(i, [float(v) for v in (long if i % 2 else short)[i // 2]], "x") for i in range(600)] + [(1000, [float(v) for v in long[0]], "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 20 == 0, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(np.arange(0, 600, 2), short) | {1000: [i for i, _ in brute(np.append(np.arange(1, 600, 2), 1000), np.vstack([long, long[:1]]))[1000]]}
+    want = {q: [i[0] if isinstance(i, tuple) else i for i in own] for q, own in want.items()}
+    assert sorted(got) == sorted(want)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_bins_hold_whole_leaves_in_tree_order():
+    tree = neighbours.Tree(np.random.default_rng(1).normal(size=(3000, 6)))
+    filled = {leaf: 10 + leaf % 50 for leaf in tree.leaf_of.values()} | {0: 900}
+    placed = neighbours.bins(tree, filled, 200)
+    assert sorted(leaf for leaf, _, _ in placed) == sorted(tree.leaf_of.values())
+    held = {}
+    for leaf, number, chunks in placed:
+        held.setdefault(number, []).append(leaf)
+        assert chunks == (5 if leaf == 0 else 1)
+    assert all(sum(filled[x] for x in own) <= 200 or own == [0] for own in held.values())
