@@ -1 +1 @@
-"""inkwell: corpus-scale Markdown analytics as ordinary Spark DataFrames."""
+"""inkwell: corpus-scale analytics of CommonMark and GFM documents as ordinary Spark DataFrames."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,6 @@ TAB = ("tabs:item", r"@tab[ \t]+(?P<title>.{1,256})")
 
 def paired_delimiter(kind: str, sign: str, element: str) -> tuple[str, str, str]:
     """Inline syntax between two equal delimiters on one line."""
-    import re
-
     own = re.escape(sign)
     return kind, rf"{own}(?=\S)((?:(?!{own})[^\n])+?)(?<=\S){own}", element
 
@@ -32,7 +31,7 @@ def paired_delimiter(kind: str, sign: str, element: str) -> tuple[str, str, str]
 def attribute_list(attributes: Column) -> Column:
     """(id, classes) of an attribute list."""
     parts = F.split(F.trim(attributes), r"\s+")
-    return F.struct(F.get(F.transform(F.filter(parts, lambda p: p.startswith("#")), lambda p: F.substring(p, 2, 1000)), F.lit(0)).alias("id"), F.transform(F.filter(parts, lambda p: p.startswith(".")), lambda p: F.substring(p, 2, 1000)).alias("classes"))
+    return F.struct(F.get(F.transform(F.filter(parts, lambda p: p.startswith("#")), lambda p: p.substr(F.lit(2), F.length(p))), F.lit(0)).alias("id"), F.transform(F.filter(parts, lambda p: p.startswith(".")), lambda p: p.substr(F.lit(2), F.length(p))).alias("classes"))
 
 
 def attributed(blocks: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def contents(blocks: DataFrame, least: int = 1, most: int = 6) -> DataFrame:
     return named.select("doc_id", "pre", "level", "text", F.when(F.col("slug") == "", "toc-heading").otherwise(F.col("slug")).alias("slug"))
 
 
-def contents_markdown(rows: DataFrame) -> DataFrame:
+def contents_list(rows: DataFrame) -> DataFrame:
     """(doc_id, toc): nested lists of links, one line a heading."""
     least = F.min("level").over(Window.partitionBy("doc_id"))
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - F.col("least")), F.lit("- ["), F.col("text"), F.lit("](#"), F.col("slug"), F.lit(")"))
@@ -175,17 +174,26 @@ def rewrite_links(links: DataFrame, new: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def mentions(inlines: DataFrame, people: DataFrame, prefix: str = "@", pattern: str = "[A-Za-z0-9_-]{1,128}") -> DataFrame:
-    """(doc_id, block_pre, name, …) of the names in text that people (name, …) knows; a word before the prefix bars it."""
+    """(doc_id, block_pre, name, …) of the names in text that people (name, …) knows; a word before the prefix bars it.
+
+    Several definitions are several calls; first_mentions() keeps the first that resolves a name.
+    """
     text = inlines.where("kind = 'text'")
-    names = text.select("doc_id", "block_pre", "inline_ord", F.explode(F.regexp_extract_all("text", F.lit(f"(?<![A-Za-z0-9_]){prefix}({pattern})"), F.lit(1))).alias("name"))
+    names = text.select("doc_id", "block_pre", "inline_ord", F.explode(F.regexp_extract_all("text", F.lit(f"(?<![A-Za-z0-9_]){re.escape(prefix)}({pattern})"), F.lit(1))).alias("name"))
     return names.join(people, "name")
 
 
+def first_mentions(*found: DataFrame) -> DataFrame:
+    """Mentions of several definitions of equal columns, in order; what an earlier one resolved is no mention of a later one."""
+    out = found[0]
+    for later in found[1:]:
+        out = out.unionByName(later.join(out.select("doc_id", "block_pre", "name").distinct(), ["doc_id", "block_pre", "name"], "left_anti"))
+    return out
+
+
 def smart_punctuation(text: Column) -> Column:
     """Typographic dashes, ellipses and quotes of plain text."""
-    out = F.regexp_replace(text, r"\.\.\.", "…")
-    for pattern, one, sign in (("(?<!-)(?:---)+(?!-)", "---", "—"), ("(?<!-)(?:--)+(?!-)", "--", "–")):
-        out = _runs(out, pattern, one, sign)
+    out = _dashes(F.regexp_replace(text, r"\.\.\.", "…"))
     out = F.regexp_replace(out, r"(^|[\s(\[{–—])\"", "$1“")
     out = F.replace(out, F.lit('"'), F.lit("”"))
     out = F.regexp_replace(out, r"(^|[\s(\[{–—“])'", "$1‘")
@@ -236,7 +244,12 @@ def included(documents: DataFrame, resources: DataFrame, depth: int = 8) -> Data
     return out.select("doc_id", "source", F.col("reached").alias("depth_reached"))
 
 
-def _runs(text: Column, pattern: str, one: str, sign: str) -> Column:
-    """Runs that match pattern with every one in them written as sign."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.transform(F.split(text, pattern, -1), lambda p, i: F.concat(p, F.coalesce(F.replace(F.get(hits, i), F.lit(one), F.lit(sign)), F.lit("")))), "")
+def _dashes(text: Column) -> Column:
+    """Runs of two hyphens or more as em dashes of three and en dashes of two: all em, else all en, else em and as few en as fill the run."""
+
+    def written(n: Column) -> Column:
+        em = F.when(n % 3 == 0, n / 3).when(n % 2 == 0, 0).when(n % 3 == 2, (n - 2) / 3).otherwise((n - 4) / 3).cast("int")
+        return F.concat(F.repeat(F.lit("—"), em), F.repeat(F.lit("–"), ((n - em * 3) / 2).cast("int")))
+
+    hits = F.regexp_extract_all(text, F.lit("--+"), F.lit(0))
+    return F.array_join(F.transform(F.split(text, "--+", -1), lambda p, i: F.concat(p, F.coalesce(written(F.length(F.get(hits, i))), F.lit("")))), "")

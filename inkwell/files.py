@@ -1,4 +1,4 @@
-"""Markdown files as a source and a sink."""
+"""Files of marked-up text as a source and a sink."""
 
 from __future__ import annotations
 

@@ -14,11 +14,6 @@ from inkwell.parse import parse
 BULLET = "-"
 
 
-def _source_of(tables: lint.Tables, rows: DataFrame) -> DataFrame:
-    """rows (doc_id, start, end, …) with their own source text."""
-    return rows.join(tables.documents, "doc_id").withColumn("own", F.expr("cast(substring(source, start + 1, end - start) as string)"))
-
-
 def trailing_spaces(t: lint.Tables) -> DataFrame:
     return lint.fixes(lint._trailing_spaces(t, lint.Config()).withColumn("rule_id", F.lit("no-trailing-spaces")))
 
@@ -33,7 +28,7 @@ def fence_info_spacing(t: lint.Tables) -> DataFrame:
 
 def heading_spacing(t: lint.Tables) -> DataFrame:
     """One blank between the marks of an ATX heading and its text."""
-    rows = _source_of(t, t.blocks.where("kind = 'atx-heading'").select("doc_id", "start", "end", "level"))
+    rows = t.blocks.where("kind = 'atx-heading'").select("doc_id", "start", "end", "level", "own")
     gap = F.length(F.regexp_extract("own", "^#+([ \t]+)[^ \t]", 1))
     rows = rows.withColumn("gap", gap).where("gap > 0").where(~F.col("own").rlike("^#+ [^ \t]"))
     at = F.col("start") + F.col("level")
@@ -51,8 +46,8 @@ def _lists_alone(t: lint.Tables, ordered: bool) -> DataFrame:
 def bullet_marker(t: lint.Tables) -> DataFrame:
     """Bullet lists with the same marker, but for lists beside another and lines that would become a break."""
     lists = _lists_alone(t, False).where(f"marker <> '{BULLET}'").drop("marker")
-    items = t.blocks.where("kind = 'list-item'").select("doc_id", F.col("parent_pre").alias("list_pre"), "start", "end")
-    rows = _source_of(t, items.join(lists, ["doc_id", "list_pre"]))
+    items = t.blocks.where("kind = 'list-item'").select("doc_id", F.col("parent_pre").alias("list_pre"), "start", "end", "own")
+    rows = items.join(lists, ["doc_id", "list_pre"])
     rows = rows.where(~F.col("own").rlike(r"^[*+][ \t]*-[ \t]*-[ \t-]*(?:\r|\n|$)"))
     return patches.patch(rows, F.col("start"), F.col("start") + 1, F.lit(BULLET), "bullet marker")
 
@@ -60,26 +55,26 @@ def bullet_marker(t: lint.Tables) -> DataFrame:
 def ordered_delimiter(t: lint.Tables) -> DataFrame:
     """Ordered lists with a full stop after the number, but for lists beside another."""
     lists = _lists_alone(t, True).where("marker <> '.'").drop("marker")
-    items = t.blocks.where("kind = 'list-item'").select("doc_id", F.col("parent_pre").alias("list_pre"), "start", "end")
-    rows = _source_of(t, items.join(lists, ["doc_id", "list_pre"])).withColumn("digits", F.length(F.regexp_extract("own", "^[0-9]+", 0)))
+    items = t.blocks.where("kind = 'list-item'").select("doc_id", F.col("parent_pre").alias("list_pre"), "start", "end", "own")
+    rows = items.join(lists, ["doc_id", "list_pre"]).withColumn("digits", F.length(F.regexp_extract("own", "^[0-9]+", 0)))
     at = F.col("start") + F.col("digits")
     return patches.patch(rows, at, at + 1, F.lit("."), "ordered list delimiter")
 
 
 def fence_marker(t: lint.Tables) -> DataFrame:
     """Fences of backticks, longer than any run inside; an info string with a backtick keeps its fence."""
-    rows = t.blocks.where("kind = 'fenced-code' and startswith(fence, '~') and not contains(info, '`')").select("doc_id", "start", "end", "fence", "code", "fence_closed")
+    rows = t.blocks.where("kind = 'fenced-code' and startswith(fence, '~') and not contains(info, '`')").select("doc_id", "start", "end", "fence", "code", "fence_closed", "own")
     runs = F.array_max(F.transform(F.regexp_extract_all("code", F.lit("`+"), F.lit(0)), F.length))
     rows = rows.withColumn("new", F.repeat(F.lit("`"), F.greatest(F.length("fence"), F.coalesce(runs, F.lit(0)) + 1)))
     begin = patches.patch(rows, F.col("start"), F.col("start") + F.length("fence"), F.col("new"), "fence marker")
-    shut = _source_of(t, rows.where("fence_closed")).withColumn("last", F.regexp_extract("own", "(~+)[ \t]*$", 1)).withColumn("tail", F.length(F.regexp_extract("own", "~+([ \t]*)$", 1)))
+    shut = rows.where("fence_closed").withColumn("last", F.regexp_extract("own", "(~+)[ \t]*$", 1)).withColumn("tail", F.length(F.regexp_extract("own", "~+([ \t]*)$", 1)))
     at = F.col("end") - F.col("tail") - F.length("last")
     return begin.unionByName(patches.patch(shut, at, at + F.length("last"), F.col("new"), "fence marker"))
 
 
 def definition_spacing(t: lint.Tables) -> DataFrame:
     """One blank after the colon of a reference definition on one line."""
-    rows = _source_of(t, t.blocks.where("kind = 'link-reference-definition'").select("doc_id", "start", "end")).where(~F.col("own").rlike("[\r\n]"))
+    rows = t.blocks.where("kind = 'link-reference-definition'").select("doc_id", "start", "end", "own").where(~F.col("own").rlike("[\r\n]"))
     head = F.regexp_extract("own", r"^(\[(?:[^\\\[\]]|\\.)+\]:)([ \t]*)\S", 1)
     gap = F.regexp_extract("own", r"^(\[(?:[^\\\[\]]|\\.)+\]:)([ \t]*)\S", 2)
     rows = rows.withColumn("head", head).withColumn("gap", gap).where("head <> '' and gap <> ' '")
@@ -89,8 +84,8 @@ def definition_spacing(t: lint.Tables) -> DataFrame:
 
 def table_delimiter(t: lint.Tables) -> DataFrame:
     """Delimiter rows of top-level tables as --- with the colons of their alignment."""
-    rows = _source_of(t, t.blocks.where("kind = 'gfm:table' and depth = 1").select("doc_id", "start", "end", "align"))
-    line = F.split("own", "\r\n|\r|\n")[1]
+    rows = t.blocks.where("kind = 'gfm:table' and depth = 1").select("doc_id", "start", "end", "align", "own")
+    line = F.get(F.split("own", "\r\n|\r|\n"), F.lit(1))
     head = F.octet_length(F.regexp_extract("own", "^[^\r\n]*(?:\r\n|\r|\n)", 0))
     mark = F.transform("align", lambda a: F.when(a == "left", ":---").when(a == "right", "---:").when(a == "center", ":---:").otherwise("---"))
     new = F.concat(F.when(F.ltrim(line).startswith("|"), F.lit("| ")).otherwise(F.lit("")), F.array_join(mark, " | "), F.when(F.rtrim(line).endswith("|"), F.lit(" |")).otherwise(F.lit("")))

@@ -1,13 +1,15 @@
-"""Column functions: building Markdown from columns, slugs, escaping, URL policy."""
+"""Column functions: building documents from columns, slugs, escaping, URL policy."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.kernel.names import FILTERED_TAGS, SAFE_SCHEMES
+from inkwell.kernel.slugs import Slugs
 
 
 def md_escape(text: Column) -> Column:
@@ -66,8 +68,12 @@ def tag_filter(html: Column) -> Column:
 
 
 def url_allowed(url: Column, schemes: tuple[str, ...] = SAFE_SCHEMES) -> Column:
-    """Whether a destination has no scheme or one of schemes, once control signs are taken out."""
-    plain = F.regexp_replace(url, r"%0[0-9A-Fa-f]|%1[0-9A-Fa-f]|%20|[\x00-\x20]", "")
+    """Whether a destination has no scheme or one of schemes.
+
+    Signs up to U+0020 are no part of a URL, plain or percent-encoded, so they are taken out before the scheme is read.
+    """
+    encoded = "|".join(f"%{code:02x}" for code in range(0x21))
+    plain = F.regexp_replace(F.regexp_replace(url, f"(?i)(?:{encoded})", ""), "[\\x{0}-\\x{20}]", "")
     scheme = F.lower(F.regexp_extract(plain, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     return (scheme == "") | scheme.isin(*schemes)
 
@@ -78,13 +84,10 @@ def slug_base(fold: Column) -> Column:
 
 
 def slug_sequence(bases: Column) -> Column:
-    """Unique slugs in order: the base, or the base with the least free number."""
-
-    def step(acc: Column, base: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(0), F.size(acc)), lambda n: ~F.array_contains(acc, numbered(base, n)))
-        return F.concat(acc, F.array(numbered(base, free[0])))
+    """Unique slugs in order: the base, or the base with the least free number.  Parsed headings carry their slug already."""
 
-    def numbered(base: Column, n: Column) -> Column:
-        return F.when(n == 0, base).otherwise(F.concat(base, F.lit("-"), n.cast("string")))
+    @F.pandas_udf("array<string>")
+    def numbered(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda own: None if own is None else list(map(Slugs().next, own)))
 
-    return F.aggregate(bases, F.array().cast("array<string>"), step)
+    return numbered(bases)

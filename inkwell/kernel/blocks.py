@@ -1,4 +1,4 @@
-"""Block structure of one Markdown document.
+"""Block structure of one CommonMark or GFM document.
 
 A document is a stack of open containers.  Every line first continues the containers that match it, then opens new
 blocks, and what is left is text of the innermost leaf.  Offsets are code points of the decoded text here; the caller

@@ -156,7 +156,8 @@ class InlineParser:
         self.references, self.options = references, options
         self.nodes: list[Node] = []
         self.runs: list[Run] = []
-        self.brackets: list[list] = []  # [node index, image, active, runs so far, place after the bracket]
+        self.brackets: list[tuple] = []  # (node index, image, runs so far, place after the bracket)
+        self.dead = 0  # link brackets below this place of the stack can't open a link any more
         self.ticks: dict[int, list[int]] | None = None
 
     def place(self, at: int) -> int:
@@ -165,6 +166,8 @@ class InlineParser:
     def parse(self) -> list[Node]:
         content, n, at = self.content, len(self.content), 0
         special = SPECIAL_LINKS if self.options.autolinks else SPECIAL
+        if not self.options.inline_rules and not special.search(content):  # plain text
+            return [Node("text", 0, n, content)] if n else []
         rules = [(kind, re.compile(pattern)) for kind, pattern, _ in self.options.inline_rules]
         if rules:
             special = re.compile("|".join([special.pattern, *(f"(?={p.pattern})[\\s\\S]" for _, p in rules)]))
@@ -204,11 +207,11 @@ class InlineParser:
             return self.run(c, at)
         elif c == "[":
             self.nodes.append(Node("text", at, at + 1, "["))
-            self.brackets.append([len(self.nodes) - 1, False, True, len(self.runs), at + 1])
+            self.brackets.append((len(self.nodes) - 1, False, len(self.runs), at + 1))
             return at + 1
         elif c == "!" and content.startswith("[", at + 1):
             self.nodes.append(Node("text", at, at + 2, "!["))
-            self.brackets.append([len(self.nodes) - 1, True, True, len(self.runs), at + 2])
+            self.brackets.append((len(self.nodes) - 1, True, len(self.runs), at + 2))
             return at + 2
         elif c == "]":
             return self.link_end(at)
@@ -296,8 +299,10 @@ class InlineParser:
         if not self.brackets:
             self.literal(at, at + 1)
             return at + 1
-        index, image, active, runs, begin = self.brackets.pop()
-        if not active:
+        index, image, runs, begin = self.brackets.pop()
+        dead = len(self.brackets) < self.dead
+        self.dead = min(self.dead, len(self.brackets))
+        if dead and not image:
             self.literal(at, at + 1)
             return at + 1
         target = self.inline_target(at + 1) or self.reference_target(begin, at)
@@ -312,8 +317,7 @@ class InlineParser:
         self.nodes.append(link)
         del self.runs[runs:]
         if not image:
-            for bracket in self.brackets:
-                bracket[2] = bracket[2] and bracket[1]
+            self.dead = len(self.brackets)
         return end
 
     def inline_target(self, at: int) -> tuple | None:
@@ -352,8 +356,10 @@ class InlineParser:
     def emphasise(self, bottom: int) -> None:
         """Pair the delimiter runs above bottom; a floor per sign and length keeps this linear."""
         runs, nodes = self.runs, self.nodes
+        if len(runs) <= bottom:
+            return
         floor: dict[tuple, int] = {}
-        place = {id(node): i for i, node in enumerate(nodes)} if len(runs) > bottom else {}
+        place = {id(node): i for i, node in enumerate(nodes)}
         k = bottom
         while k < len(runs):
             closer = runs[k]

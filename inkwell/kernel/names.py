@@ -1,4 +1,4 @@
-"""Fixed values of the Markdown and HTML specifications."""
+"""Fixed values of the CommonMark, GFM and HTML specifications."""
 
 # Names that open a block of raw HTML ending at a blank line.
 HTML_BLOCK_TAGS = (

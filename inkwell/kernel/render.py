@@ -1,4 +1,4 @@
-"""HTML and normalised Markdown of a parsed document, without recursion over blocks."""
+"""HTML and normalised source of a parsed document, without recursion over blocks."""
 
 from __future__ import annotations
 
@@ -11,7 +11,17 @@ from inkwell.kernel.names import FILTERED_TAGS, SAFE_SCHEMES
 
 FILTER = re.compile(rf"<(?=/?(?:{'|'.join(FILTERED_TAGS)})(?:[\s/>]|$))", re.I)
 SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
-CONTROL = re.compile(r"%0[0-9A-Fa-f]|%1[0-9A-Fa-f]|%20|[\x00-\x20]")
+CODED = re.compile("%([0-9A-Fa-f]{2})")
+
+
+def scheme_of(destination: str) -> str | None:
+    """The scheme of a destination, in lower case.
+
+    Signs up to U+0020 are no part of a URL, written as they are or percent-encoded, so they are taken out first.
+    """
+    coded = CODED.sub(lambda m: "" if int(m[1], 16) <= 0x20 else m[0], destination)
+    found = SCHEME.match("".join(c for c in coded if ord(c) > 0x20))
+    return found[1].lower() if found else None
 
 
 @dataclass
@@ -42,8 +52,8 @@ class Html:
 
     def url(self, destination: str) -> str:
         if self.policy.schemes is not None:
-            scheme = SCHEME.match(CONTROL.sub("", destination))
-            if scheme and scheme[1].lower() not in self.policy.schemes:
+            scheme = scheme_of(destination)
+            if scheme and scheme not in self.policy.schemes:
                 return ""
         return escape(encoded(destination))
 
@@ -191,7 +201,7 @@ def inline_to_html(source: str | None, profile: str = "github", policy: Policy |
     return page.inline(InlineParser(source, [(0, len(source), 0)], {}, page.options).parse())
 
 
-class Markdown(Html):
+class Normaliser(Html):
     """The same document in one style: ATX headings, fenced code, - bullets, --- breaks."""
 
     def lines_of(self, block: Block) -> list[str]:
@@ -251,6 +261,6 @@ class Markdown(Html):
         return "\n".join(own) + "\n" if own else ""
 
 
-def to_markdown(source: str | None, profile: str = "github") -> str | None:
+def normalised(source: str | None, profile: str = "github") -> str | None:
     """source in one style; parsing it again gives the same structure."""
-    return None if source is None else Markdown(source.replace("\0", "\ufffd"), Options.profile(profile), Policy()).render()
+    return None if source is None else Normaliser(source.replace("\0", "\ufffd"), Options.profile(profile), Policy()).render()

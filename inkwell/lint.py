@@ -134,9 +134,8 @@ def _dead_references(t: Tables, c: Config) -> DataFrame:
 
 def _fence_line(t: Tables) -> DataFrame:
     """Fenced blocks with their opening line."""
-    own = t.blocks.where("kind = 'fenced-code'").select("doc_id", "start", "end", "depth", "language", "fence", "info", "code", "fence_closed")
-    opening = F.expr("cast(substring_index(substring_index(cast(substring(source, start + 1, end - start) as string), '\n', 1), '\r', 1) as string)")
-    return own.join(t.documents, "doc_id").withColumn("opening", opening).drop("source")
+    own = t.blocks.where("kind = 'fenced-code'").select("doc_id", "start", "end", "depth", "language", "fence", "info", "code", "fence_closed", "own")
+    return own.withColumn("opening", F.substring_index("own", "\n", 1)).drop("own")
 
 
 def _code_language(t: Tables, c: Config) -> DataFrame:
@@ -156,7 +155,12 @@ def _prefer_fenced(t: Tables, c: Config) -> DataFrame:
     rows = t.blocks.where("kind = 'indented-code'")
     language = "text" if "require-code-block-language" in c.rules else ""
     good = (F.col("depth") <= 1) & ~F.col("code").contains("```")
-    found = problem(rows.withColumn("good", good), "an indented code block", fix=(F.when(good, F.col("start") - 4), F.col("end"), F.concat(F.lit(f"```{language}\n"), F.col("code"), F.lit("```"))))
+    line = t.lines.select("doc_id", F.col("start").alias("line_start"), "content_end", "eol")
+    held = (rows["doc_id"] == line["doc_id"]) & (rows["start"] >= line["line_start"]) & (rows["start"] <= line["content_end"])
+    rows = rows.withColumn("good", good).join(line, held).drop(line["doc_id"])
+    eol = F.when(F.col("eol") == "", F.lit("\n")).otherwise(F.col("eol"))
+    code = F.concat(F.lit(f"```{language}"), eol, F.replace("code", F.lit("\n"), eol), F.lit("```"))
+    found = problem(rows, "an indented code block", fix=(F.when(F.col("good"), F.col("line_start")), F.col("end"), code))
     return found.withColumn("fix", F.when(F.col("fix.start").isNotNull(), F.col("fix")))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkwell.kernel.blocks import BlockParser, Options, ParseLimit, code_of, language_of
 from inkwell.kernel.inlines import InlineParser, plain, walk
+from inkwell.kernel.slugs import Slugs, slug_base
 
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
 
@@ -28,7 +29,7 @@ def _struct(**fields) -> T.StructType:
 RANGE = _struct(start=_I, end=_I)
 BLOCK = _struct(
     pre=_I, last_pre=_I, depth=_I, parent_pre=_I, sibling=_I, kind=_S, start=_I, end=_I, level=_I, ordered=_B, loose=_B, start_number=_I, marker=_S, task_state=_S, info=_S,
-    language=_S, code=_S, fence_closed=_B, html=_S, html_type=_I, alert_type=_S, label_key=_S, fence=_S, content=_S, text=_S, fold=_S, header=T.ArrayType(_S), align=T.ArrayType(_S),
+    language=_S, code=_S, fence_closed=_B, html=_S, html_type=_I, alert_type=_S, label_key=_S, fence=_S, content=_S, text=_S, fold=_S, slug=_S, own=_S, header=T.ArrayType(_S), align=T.ArrayType(_S),
     rows=T.ArrayType(T.ArrayType(_S)), row_ranges=T.ArrayType(RANGE), content_ranges=T.ArrayType(RANGE),
     ext=T.MapType(_S, _S),
 )
@@ -38,6 +39,20 @@ ERROR = _struct(kind=_S, limit=_I, attempted=_I, offset=_I)
 TEXT_KINDS = ("paragraph", "atx-heading", "setext-heading")
 
 
+#: Kinds whose rows carry their source: whole, or the first line of an item, or the first and last line of fenced code.
+OWN = frozenset(("atx-heading", "setext-heading", "link-reference-definition", "gfm:table", "list-item", "fenced-code"))
+
+
+def own_source(text: str, block) -> str:
+    if block.kind not in ("list-item", "fenced-code"):
+        return text[block.start : block.end]
+    stop = min((i for i in (text.find("\n", block.start, block.end), text.find("\r", block.start, block.end)) if i >= 0), default=block.end)
+    first = text[block.start : stop]
+    if block.kind == "list-item" or stop == block.end:
+        return first
+    return first + "\n" + text[max(text.rfind("\n", stop, block.end), text.rfind("\r", stop, block.end)) + 1 : block.end]
+
+
 class Places:
     """Code points of a text to bytes of its source."""
 
@@ -89,11 +104,13 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
     last = list(range(len(order)))
     for i in range(len(order) - 1, 0, -1):
         last[order[i][2]] = max(last[order[i][2]], last[i])
-    total = 0
+    total, slugs = 0, Slugs()
     for pre, (block, depth, parent, sibling) in enumerate(order):
         data, kind = block.data, block.kind
         row = dict.fromkeys(BLOCK.names)
         row |= {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
+        if kind in OWN:
+            row["own"] = _clean(own_source(text, block))
         if "ext" in data:
             row["ext"] = list(data["ext"].items())
         if block.pieces:
@@ -124,6 +141,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
             row["text"] = _clean(plain(found))
             if kind != "paragraph":
                 row["fold"] = row["text"].strip().casefold()
+                row["slug"] = slugs.next(slug_base(row["fold"]))
             for i, (node, level) in enumerate(walk(found), 1):
                 total += 1
                 if options.inlines is not None and total > options.inlines:

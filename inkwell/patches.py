@@ -40,7 +40,7 @@ def apply(documents: DataFrame, patches: DataFrame, on_conflict: str = "error",
     piece = "substring(source, {0} + 1, {1} - {0})"
     parts = F.expr(f"transform(p, (x, i) -> concat({piece.format('coalesce(get(p, i - 1).end, 0)', 'x.start')}, x.r))")
     tail = F.expr(piece.format("get(p, size(p) - 1).end", "octet_length(source)"))
-    patched = F.concat(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)), tail)
+    patched = F.concat(F.array_join(F.transform(parts, lambda x: x.cast("string")), "").cast("binary"), tail)  # bytes, whatever they encode
     failed = F.raise_error(F.concat(F.lit("conflicting patches in document "), F.col("doc_id").cast("string"))).cast("boolean")
     good = F.col("p").isNotNull() & F.when(~F.col("clash"), F.lit(True)).otherwise(failed if on_conflict == "error" else F.lit(False))
     out = joined.withColumn("new", F.when(good, patched).otherwise(F.col("source")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,21 +10,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.kernel.names import SAFE_SCHEMES
-from inkwell.kernel.render import CONTROL, SCHEME, Policy, escape, inline_to_html, to_html
+from inkwell.kernel.render import Policy, escape, inline_to_html, scheme_of, to_html
 
-# What curated HTML may hold.
+# Elements of curated HTML, and those that go with all they hold.
 ELEMENTS = frozenset(
-    "a abbr b blockquote br cite code col colgroup dd del details dfn div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img input ins kbd li mark ol p pre q rp rt ruby s samp section "
-    "small span strong sub summary sup table tbody td tfoot th thead time tr u ul var wbr".split()
+    "a abbr b bdo blockquote br caption cite code dd del details dfn div dl dt em figcaption figure h1 h2 h3 h4 h5 h6 hr i img input ins kbd li mark ol p picture pre q rp rt ruby s samp "
+    "small source span strike strong sub summary sup table tbody td tfoot th thead time tr tt ul var wbr".split()
 )
-DROPPED = frozenset("applet embed frame frameset iframe math noembed noframes noscript object plaintext script style svg template textarea title xmp".split())
-VOID = frozenset("br col hr img input wbr".split())
+DROPPED = frozenset(
+    "audio button canvas embed form iframe math noembed noframes noscript object option plaintext script select style svg template textarea title video xmp".split()
+)
+VOID = frozenset("br embed hr img input source wbr".split())
+#: Attributes by element; this list is our own and lets class and id stand anywhere.
 ATTRIBUTES = {
-    "*": frozenset(("class", "id", "title", "lang", "dir")), "a": frozenset(("href", "rel", "target")), "img": frozenset(("src", "alt", "width", "height")),
-    "td": frozenset(("align", "colspan", "rowspan")), "th": frozenset(("align", "colspan", "rowspan", "scope")), "ol": frozenset(("start", "type")),
-    "input": frozenset(("type", "checked", "disabled")), "time": frozenset(("datetime",)), "details": frozenset(("open",)),
+    "*": frozenset(("class", "id", "title", "lang", "dir")), "a": frozenset(("href", "role", "aria-controls")), "blockquote": frozenset(("cite",)), "del": frozenset(("cite",)),
+    "details": frozenset(("open",)), "div": frozenset(("role", "aria-labelledby")), "figure": frozenset(("data-title",)), "img": frozenset(("src", "alt", "width", "height", "loading")),
+    "input": frozenset(("type", "checked", "disabled")), "ins": frozenset(("cite",)), "li": frozenset(("role", "value")), "ol": frozenset(("reversed", "start", "type")),
+    "q": frozenset(("cite",)), "td": frozenset(("align", "colspan", "rowspan")), "th": frozenset(("align", "colspan", "rowspan", "scope")), "time": frozenset(("datetime",)),
 }
-URLS = frozenset(("href", "src", "cite"))
+#: Values an attribute may take; others go.
+CHOICES = {"dir": ("ltr", "rtl", "auto"), "align": ("left", "center", "right"), "scope": ("row", "col", "rowgroup", "colgroup"), "loading": ("lazy", "eager")}
+EMPTY = frozenset(("open", "checked", "disabled", "reversed"))
+NUMBERS = {"colspan": (1, 1000), "rowspan": (1, 1000), "width": (1, 100_000), "height": (1, 100_000), "start": (-999_999_999, 999_999_999), "value": (-999_999_999, 999_999_999)}
+URLS = {"href": SAFE_SCHEMES, "src": ("http", "https"), "cite": ("http", "https")}
+
+
+def attribute_value(name: str, value: str) -> str | None:
+    """The value as it may stand, None if it may not."""
+    if name in URLS:
+        scheme = scheme_of(value)
+        return value if scheme is None or scheme in URLS[name] else None
+    if name in CHOICES:
+        return value.lower() if value.lower() in CHOICES[name] else None
+    if name in EMPTY:
+        return ""
+    if name in NUMBERS:
+        least, most = NUMBERS[name]
+        whole = re.fullmatch("-?[0-9]{1,9}" if least < 0 else "[0-9]{1,9}", value)
+        return (value if least < 0 else str(int(value))) if whole and least <= int(value) <= most else None
+    if name == "lang":
+        return value if re.fullmatch("[A-Za-z0-9-]{1,64}", value) else None
+    return value
 
 
 class Sanitizer(HTMLParser):
@@ -39,22 +66,18 @@ class Sanitizer(HTMLParser):
                 self.dropping.append(tag)
             return
         if tag in DROPPED:
-            if tag != "embed":
+            if tag not in VOID:
                 self.dropping.append(tag)
             return
-        if tag not in ELEMENTS or (tag == "input" and ("type", "checkbox") not in attrs):
+        if tag not in ELEMENTS or (tag == "input" and "checkbox" not in [(v or "").lower() for k, v in attrs if k == "type"]):
             return
         kept, seen = [], set()
         for name, value in attrs:
             if name in seen or not (name in ATTRIBUTES["*"] or name in ATTRIBUTES.get(tag, ())):
                 continue
             seen.add(name)
-            value = value or ""
-            if name in URLS:
-                scheme = SCHEME.match(CONTROL.sub("", value))
-                if scheme and scheme[1].lower() not in SAFE_SCHEMES:
-                    continue
-            kept.append(f' {name}="{escape(value)}"')
+            if (value := attribute_value(name, value or "")) is not None:
+                kept.append(f' {name}="{escape(value)}"')
         self.out.append(f"<{tag}{''.join(kept)}{' /' if tag in VOID else ''}>")
         if tag not in VOID:
             self.open.append(tag)
@@ -102,7 +125,7 @@ def sanitize_html(html: Column | str) -> Column:
 
 
 def md_to_html(profile: str = "github", policy: Policy | None = None):
-    """A column function from Markdown to HTML."""
+    """A column function from documents to HTML."""
 
     @F.pandas_udf("string")
     def convert(source: pd.Series) -> pd.Series:

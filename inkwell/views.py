@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.functions import slug_base, slug_sequence
-
 HEADINGS = ("atx-heading", "setext-heading")
 KINDS = (
     "document", "paragraph", *HEADINGS, "indented-code", "fenced-code", "html-block", "block-quote", "list", "list-item", "thematic-break", "link-reference-definition",
@@ -50,8 +48,9 @@ def titles(blocks: DataFrame) -> DataFrame:
 
 def sections(blocks: DataFrame, parsed: DataFrame) -> DataFrame:
     """Headings with section_end: where the next heading of the same or a higher level starts, or the document ends."""
-    after = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
-    ends = [F.when(F.col("level") == n, F.min(F.when(F.col("level") <= n, F.col("start"))).over(after)) for n in range(1, 7)]
+    # Backwards, so that frames grow row by row: the last start seen of each level, and the least of those that end a section.
+    after = Window.partitionBy("doc_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = [F.when(F.col("level") == n, F.last(F.when(F.col("level") <= n, F.col("start")), ignorenulls=True).over(after)) for n in range(1, 7)]
     size = parsed.select("doc_id", F.octet_length("source").cast("int").alias("n_bytes"))
     return headings(blocks).withColumn("next", F.coalesce(*ends)).join(size, "doc_id").withColumn("section_end", F.coalesce("next", "n_bytes")).drop("next", "n_bytes")
 
@@ -59,7 +58,7 @@ def sections(blocks: DataFrame, parsed: DataFrame) -> DataFrame:
 def section_text(sections: DataFrame, parsed: DataFrame) -> DataFrame:
     """sections with their source bytes as text, heading included."""
     own = parsed.select("doc_id", "source")
-    return sections.join(own, "doc_id").withColumn("markdown", F.expr("cast(substring(source, start + 1, section_end - start) as string)")).drop("source")
+    return sections.join(own, "doc_id").withColumn("own", F.expr("cast(substring(source, start + 1, section_end - start) as string)")).drop("source")
 
 
 def links(inlines: DataFrame) -> DataFrame:
@@ -96,11 +95,14 @@ def tasks(blocks: DataFrame) -> DataFrame:
 
 
 def slugs(blocks: DataFrame) -> DataFrame:
-    """(doc_id, pre, slug) of all headings, made unique in document order."""
-    ordered = headings(blocks).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pre", "fold"))).alias("h"))
-    named = ordered.withColumn("s", slug_sequence(F.transform("h", lambda h: slug_base(h["fold"]))))
-    each = named.select("doc_id", F.explode(F.arrays_zip(F.col("h.pre").alias("pre"), F.col("s").alias("slug"))).alias("x"))
-    return each.select("doc_id", "x.pre", "x.slug")
+    """(doc_id, pre, slug) of all headings, unique within their document."""
+    return blocks.where("slug is not null").select("doc_id", "pre", "slug")
+
+
+def has_anchor(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """anchors (doc_id, anchor) with found: whether a heading of the document has it."""
+    own = slugs(blocks).select("doc_id", F.col("slug").alias("anchor"), F.lit(True).alias("found"))
+    return anchors.join(own, ["doc_id", "anchor"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def unused_references(references: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def test_footnotes(spark):
 def test_contents_levels_slices(spark):
     own = parsed_of(spark, "# A\n## B\n### C\n## B\n> ## quoted\n")
     b = blocks(own)
-    assert ext.contents_markdown(ext.contents(b, 2)).first().toc == "- [B](#b)\n  - [C](#c)\n- [B](#b-1)"
+    assert ext.contents_list(ext.contents(b, 2)).first().toc == "- [B](#b)\n  - [C](#c)\n- [B](#b-1)"
     assert [r.parent_pre for r in ext.slices(b).orderBy("pre").collect()] == [None, 2, None]
     assert [r.new_level for r in ext.shifted_levels(views.headings(b), 1).orderBy("pre").collect()] == [2, 3, 4, 3, 3]
     with pytest.raises(Exception, match="out of range"):
@@ -79,7 +79,7 @@ def test_sanitizer():
 
 
 def test_custom_syntax(spark):
-    from inkwell.kernel.render import Policy, to_html, to_markdown
+    from inkwell.kernel.render import Policy, to_html, normalised
 
     source = "@toc {min: 2}\n\na ==b c== d ++e++\n\n@tabs\n@tab One\n- x\n@endtabs\nafter\n\n{#top .wide .tall}\n# H\n\nhttps://video.example/1\n\n@import \"a.py\" {lines: 2-3}\n"
     rules = {"inline_rules": (ext.HIGHLIGHT, ext.paired_delimiter("insert", "++", "ins")), "line_rules": (ext.TABLE_OF_CONTENTS, ext.TAB, ext.ATTRIBUTES, ext.EMBED, ext.IMPORT), "container_rules": (ext.TABS,)}
@@ -94,5 +94,5 @@ def test_custom_syntax(spark):
     assert ext.imports(b, spark.createDataFrame([("a.py", "1\n2\n3\n4\n")], "path string, text string")).first().code == "2\n3"
     assert "<mark>b c</mark> d <ins>e</ins>" in to_html(source, "github", Policy.spec(), **rules)
     plain = "Title\n=====\n\n* a\n* b\n\n    code\n\n1) x\n\n   y\n\n***\n> q\n\n| a |\n|:-|\n| 1 |\n"
-    once = to_markdown(plain)
-    assert once == to_markdown(once) and to_html(once) == to_html(plain)
+    once = normalised(plain)
+    assert once == normalised(once) and to_html(once) == to_html(plain)
