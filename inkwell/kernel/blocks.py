@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from inkwell.kernel.names import HTML_BLOCK_TAGS
 
-LEAVES = frozenset(("paragraph", "atx-heading", "setext-heading", "indented-code", "fenced-code", "html-block", "thematic-break", "link-reference-definition", "gfm:table", "frontmatter:block"))
+LEAVES = frozenset(("paragraph", "atx-heading", "setext-heading", "indented-code", "fenced-code", "html-block", "thematic-break", "link-reference-definition", "gfm:table", "frontmatter:block", "description-term"))
 
 ATX = re.compile(r"(#{1,6})(?:[ \t]+|$)")
 ATX_CLOSE = re.compile(r"(?:^|[ \t]+)#+[ \t]*$")
@@ -21,6 +21,7 @@ SETEXT = re.compile(r"(=+|-+)[ \t]*$")
 THEMATIC = re.compile(r"(?:\*[ \t]*){3,}$|(?:-[ \t]*){3,}$|(?:_[ \t]*){3,}$")
 FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$")
 BULLET = re.compile(r"[*+-](?=[ \t]|$)")
+DESCRIPTION = re.compile(r":(?=[ \t])")
 ORDERED = re.compile(r"([0-9]{1,9})([.)])(?=[ \t]|$)")
 TASK = re.compile(r"\[([ xX])\][ \t]+(?=\S)")
 ALERT = re.compile(r"\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\][ \t]*")
@@ -54,6 +55,7 @@ class Options:
     tagfilter: bool = True
     alerts: bool = True
     front_matter: bool = True
+    descriptions: bool = False  # a paragraph followed by ": text" lines is a term with descriptions
     footnotes: bool = False  # labels that begin with ^ are notes, not link references
     #: Further inline syntax: (kind, pattern whose group 1 is the text, HTML element). The first sign of a match must be fixed.
     inline_rules: tuple[tuple[str, str, str], ...] = ()
@@ -189,7 +191,7 @@ class BlockParser:
 
     def add(self, kind: str, start: int) -> Block:
         parent = self.tip
-        while parent.kind in LEAVES or ("ext" in parent.data and "closer" not in parent.data) or (parent.kind == "list" and kind != "list-item") or (kind == "list-item" and parent.kind != "list"):
+        while parent.kind in LEAVES or ("ext" in parent.data and "closer" not in parent.data) or (parent.kind == "list" and kind != "list-item") or (parent.kind == "description-list" and kind != "description") or (kind == "list-item" and parent.kind != "list"):
             self.close(parent)
             parent = parent.parent
         block = Block(kind, start, start, parent)
@@ -199,7 +201,7 @@ class BlockParser:
         if self.options.blocks is not None and self.count > self.options.blocks:
             raise ParseLimit("block-count", self.options.blocks, self.count, start)
         depth, up = 0, parent
-        if kind in ("block-quote", "list", "list-item"):
+        if kind in ("block-quote", "list", "list-item", "description"):
             while up is not None:
                 depth, up = depth + 1, up.parent
             if depth > self.options.nesting:
@@ -267,6 +269,19 @@ class BlockParser:
                 line.advance(block.data["width"])
                 return True
             return False
+        if kind == "description-list":
+            if line.blank or (line.indent <= 3 and DESCRIPTION.match(line.text, line.next)):
+                return True
+            last = block.children[-1]
+            return last.kind == "description" and last.open and line.indent >= last.data["width"]
+        if kind == "description":
+            if line.blank:
+                line.to_content()
+                return bool(block.children)
+            if line.indent >= block.data["width"]:
+                line.advance(block.data["width"])
+                return True
+            return False
         if "closer" in block.data:
             return True
         if kind == "fenced-code":
@@ -325,6 +340,9 @@ class BlockParser:
             if (own := self.custom(rest, container, line)) is not None:
                 return own
             c = rest[0]
+            if c == ":" and self.options.descriptions and DESCRIPTION.match(rest) and (home := self.described(container, line, unmatched)) is not None:
+                container, unmatched = home, False
+                continue
             if c == ">":
                 self.leave(container)
                 line.to_content()
@@ -402,6 +420,33 @@ class BlockParser:
                 continue
             return container
 
+    def described(self, container: Block, line: Line, unmatched: bool) -> Block | None:
+        """A description that the line begins, below the open paragraph as its term or one more of the open list."""
+        if container.kind == "paragraph" and not unmatched:
+            self.definitions(container)
+            if not container.pieces:
+                return None
+            home = container.parent
+            group = Block("description-list", container.start, container.end, home)
+            home.children[home.children.index(container)] = group
+            container.kind, container.parent, container.open = "description-term", group, False
+            container.end = container.pieces[-1][1]
+            group.children.append(container)
+            self.count += 1
+            self.tip = group
+        elif container.kind == "description-list":
+            self.leave(container)
+        else:
+            return None
+        block = self.add("description", line.base + line.next)
+        indent = line.indent
+        line.to_content()
+        line.skip(1)
+        block.data["width"] = indent + 1 + (1 if line.blank or line.indent >= 5 else line.indent)
+        line.advance(1 if line.indent >= 5 else line.indent)
+        self.extend(block, line.base + len(line.text))
+        return block
+
     def custom(self, rest: str, container: Block, line: Line) -> Block | None:
         """A block of the line and container rules; its parent, since the line is used up and blank to it."""
         options = self.options
@@ -627,6 +672,8 @@ class BlockParser:
                     else:
                         block.children.pop(0)
                         self.count -= 1
+        elif block.kind == "description":
+            block.data["loose"] = any(ends_blank(c) for c in block.children[:-1])
         elif block.kind == "list":
             items = block.children
             for k, item in enumerate(items):

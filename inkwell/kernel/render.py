@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from inkwell.kernel.blocks import Block, BlockParser, Options, code_of, language_of
 from inkwell.kernel.inlines import InlineParser, Node, encoded, plain
@@ -30,21 +31,61 @@ class Policy:
 
     raw: str = "escape"
     schemes: tuple[str, ...] | None = SAFE_SCHEMES
+    #: Applied to the whole HTML of a document, such as inkwell.sanitize.sanitized.
+    sanitizer: Callable[[str], str] | None = None
 
     @staticmethod
     def spec() -> Policy:
         return Policy("verbatim", None)
 
+    def allowing(self, *schemes: str) -> Policy:
+        """The same with further link schemes."""
+        return replace(self, schemes=None if self.schemes is None else tuple(dict.fromkeys((*self.schemes, *(s.lower() for s in schemes)))))
+
+    def with_raw(self, raw: str) -> Policy:
+        if raw not in ("verbatim", "escape", "strip"):
+            raise ValueError(f"unknown treatment of raw HTML {raw!r}")
+        return replace(self, raw=raw)
+
+    def finished(self, html: str) -> str:
+        return self.sanitizer(html) if self.sanitizer else html
+
 
 def escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
 
+@dataclass(frozen=True)
+class Decorator:
+    """change(kind, attributes, data) gives the attributes of an opening tag; role says of which: node (all), link, heading or block."""
+
+    change: Callable[[str, dict, dict], dict]
+    role: str = "node"
+    priority: int = 0
+
+
+@dataclass(frozen=True)
+class Plugins:
+    """Renderers by kind, f(inner HTML, data) -> HTML; decorators by priority, then in order; default attributes by kind."""
+
+    renderers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
+    printers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
+    decorators: tuple[Decorator, ...] = ()
+    defaults: dict[str, dict[str, str]] = field(default_factory=dict)
+
+
+ROLES = {"link": ("link", "image", "autolink"), "heading": ("atx-heading", "setext-heading")}
+INLINE_KINDS = ("link", "image", "autolink", "emphasis", "strong", "strikethrough", "code-span")
+ATTRIBUTE = re.compile(r"[A-Za-z_:][A-Za-z0-9_.:-]*")
+
+
 class Html:
-    def __init__(self, text: str, options: Options, policy: Policy):
+    def __init__(self, text: str, options: Options, policy: Policy, plugins: Plugins | None = None):
         self.parser = BlockParser(text, options)
         self.root = self.parser.parse()
-        self.text, self.options, self.policy = text, options, policy
+        self.text, self.options, self.policy, self.plugins = text, options, policy, plugins or Plugins()
+        self.decorators = sorted(self.plugins.decorators, key=lambda d: -d.priority)
+        self.plain_tags = not self.decorators and not self.plugins.defaults
         self.own = {kind: element for kind, _, element in options.inline_rules}
 
     def inlines(self, pieces: list) -> list[Node]:
@@ -55,7 +96,20 @@ class Html:
             scheme = scheme_of(destination)
             if scheme and scheme not in self.policy.schemes:
                 return ""
-        return escape(encoded(destination))
+        return encoded(destination)
+
+    def tag(self, name: str, kind: str, attributes: dict[str, str] | None = None, data: dict | None = None, end: str = ">") -> str:
+        """An opening tag: native attributes, changed by the decorators; defaults fill in, classes add up."""
+        own = dict(attributes or {})
+        if not self.plain_tags:
+            for decorator in self.decorators:
+                if decorator.role == "node" or kind in ROLES.get(decorator.role, ()) or (decorator.role == "block" and kind not in INLINE_KINDS):
+                    own = decorator.change(kind, own, data or {})
+            for key, value in self.plugins.defaults.get(kind, {}).items():
+                own[key] = " ".join(dict.fromkeys(f"{own[key]} {value}".split())) if key == "class" and key in own else own.get(key, value)
+            if bad := [k for k in own if not ATTRIBUTE.fullmatch(k)]:
+                raise ValueError(f"bad attribute names {bad}")
+        return f"<{name}{''.join(f' {k}="{escape(v)}"' for k, v in own.items())}{end}"
 
     def raw(self, source: str) -> str:
         if self.policy.raw == "strip":
@@ -75,21 +129,24 @@ class Html:
             elif node.kind == "text":
                 out.append(escape(node.text))
             elif node.kind in names:
-                out.append(f"<{names[node.kind]}>")
+                out.append(self.tag(names[node.kind], node.kind))
                 stack.append(f"</{names[node.kind]}>")
                 stack.extend(reversed(node.children))
+            elif node.kind in self.plugins.renderers:
+                inner = self.inline(node.children) if node.children else escape(node.text or "")
+                out.append(self.plugins.renderers[node.kind](inner, {"text": node.text, "destination": node.destination, "title": node.title}))
             elif node.kind == "code-span":
-                out.append(f"<code>{escape(node.text)}</code>")
+                out.append(f"{self.tag('code', node.kind)}{escape(node.text)}</code>")
             elif node.kind in ("link", "image"):
-                title = f' title="{escape(node.title)}"' if node.title is not None else ""
+                title = {} if node.title is None else {"title": node.title}
                 if node.kind == "image":
-                    out.append(f'<img src="{self.url(node.destination)}" alt="{escape(plain(node.children))}"{title} />')
+                    out.append(self.tag("img", "image", {"src": self.url(node.destination), "alt": plain(node.children)} | title, end=" />"))
                 else:
-                    out.append(f'<a href="{self.url(node.destination)}"{title}>')
+                    out.append(self.tag("a", "link", {"href": self.url(node.destination)} | title))
                     stack.append("</a>")
                     stack.extend(reversed(node.children))
             elif node.kind == "autolink":
-                out.append(f'<a href="{self.url(node.destination)}">{escape(node.text)}</a>')
+                out.append(f"{self.tag('a', 'autolink', {'href': self.url(node.destination)})}{escape(node.text)}</a>")
             elif node.kind in self.own:
                 out.append(f"<{self.own[node.kind]}>{escape(node.text)}</{self.own[node.kind]}>")
             elif node.kind == "html-inline":
@@ -98,9 +155,9 @@ class Html:
                 out.append("<br />\n" if node.kind == "hard-break" else "\n")
         return "".join(out)
 
-    def render(self) -> str:
+    def render(self, blocks: list[Block] | None = None) -> str:
         out: list[str] = []
-        stack: list = [(c, False) for c in reversed(self.root.children)]
+        stack: list = [(c, False) for c in reversed(self.root.children if blocks is None else blocks)]
         while stack:
             item = stack.pop()
             if isinstance(item, str):
@@ -112,22 +169,32 @@ class Html:
 
     def block(self, block: Block, tight: bool, out: list[str], stack: list) -> None:
         kind = block.kind
-        if kind == "paragraph":
+        if kind in self.plugins.renderers:
+            out.append(self.plugins.renderers[kind](self.inner(block), {**block.data.get("ext", {}), "level": block.level}))
+        elif kind == "paragraph":
             body = self.inline(self.inlines(block.pieces))
             task = block.data.get("task_html", "")
-            out.append(task + body if tight else f"<p>{task}{body}</p>\n")
+            out.append(task + body if tight else f"{self.tag('p', kind)}{task}{body}</p>\n")
         elif kind in ("atx-heading", "setext-heading"):
-            out.append(f"<h{block.level}>{self.inline(self.inlines(block.pieces))}</h{block.level}>\n")
+            out.append(f"{self.tag(f'h{block.level}', kind, data={'level': block.level})}{self.inline(self.inlines(block.pieces))}</h{block.level}>\n")
         elif kind == "thematic-break":
-            out.append("<hr />\n")
+            out.append(self.tag("hr", kind, end=" />\n"))
+        elif kind == "description-list":
+            out.append(self.tag("dl", kind, end=">\n"))
+            stack.append("</dl>\n")
+            stack.extend((c, False) for c in reversed(block.children))
+        elif kind == "description-term":
+            out.append(f"{self.tag('dt', kind)}{self.inline(self.inlines(block.pieces))}</dt>\n")
+        elif kind == "description":
+            self.item(block, not block.data["loose"], out, stack, "dd")
         elif kind in ("fenced-code", "indented-code"):
             language = language_of(block.data.get("info"))
-            named = f' class="language-{escape(language)}"' if language else ""
-            out.append(f"<pre><code{named}>{escape(code_of(self.text, block))}</code></pre>\n")
+            named = {"class": f"language-{language}"} if language else {}
+            out.append(f"{self.tag('pre', kind)}<code{''.join(f' {k}="{escape(v)}"' for k, v in named.items())}>{escape(code_of(self.text, block))}</code></pre>\n")
         elif kind == "html-block":
             out.append(self.raw(code_of(self.text, block)[:-1]) + "\n")
         elif kind == "block-quote":
-            out.append("<blockquote>\n")
+            out.append(self.tag("blockquote", kind, end=">\n"))
             stack.append("</blockquote>\n")
             stack.extend((c, False) for c in reversed(block.children))
         elif kind == "github:alert":
@@ -137,8 +204,8 @@ class Html:
             stack.extend((c, False) for c in reversed(block.children))
         elif kind == "list":
             name = "ol" if block.data["ordered"] else "ul"
-            start = f' start="{block.data["start"]}"' if block.data["start"] not in (None, 1) else ""
-            out.append(f"<{name}{start}>\n")
+            start = {} if block.data["start"] in (None, 1) else {"start": str(block.data["start"])}
+            out.append(self.tag(name, kind, start, end=">\n"))
             stack.append(f"</{name}>\n")
             stack.extend((c, not block.data["loose"]) for c in reversed(block.children))
         elif kind == "list-item":
@@ -150,7 +217,13 @@ class Html:
             stack.append("</div>\n")
             stack.extend((c, False) for c in reversed(block.children))
 
-    def item(self, block: Block, tight: bool, out: list[str], stack: list) -> None:
+    def inner(self, block: Block) -> str:
+        """The HTML of what a block holds: its text, code or blocks."""
+        if block.kind in ("fenced-code", "indented-code"):
+            return escape(code_of(self.text, block))
+        return self.inline(self.inlines(block.pieces)) if block.pieces else self.render(block.children)
+
+    def item(self, block: Block, tight: bool, out: list[str], stack: list, name: str = "li") -> None:
         shown = [c for c in block.children if c.kind != "link-reference-definition"]
         task = block.data.get("task")
         if task:
@@ -158,15 +231,15 @@ class Html:
             if shown and shown[0].kind == "paragraph":
                 shown[0].data["task_html"] = box
         if not shown:
-            out.append("<li></li>\n")
+            out.append(f"{self.tag(name, block.kind)}</{name}>\n")
             return
         inline = [tight and c.kind == "paragraph" for c in shown]
-        parts: list = ["<li>" if inline[0] else "<li>\n"]
+        parts: list = [self.tag(name, block.kind, end=">" if inline[0] else ">\n")]
         for k, c in enumerate(shown):
             if k and inline[k - 1]:
                 parts.append("\n")
             parts.append((c, tight))
-        parts.append("</li>\n")
+        parts.append(f"</{name}>\n")
         stack.extend(reversed(parts))
 
     def table(self, block: Block) -> str:
@@ -177,7 +250,7 @@ class Html:
             return "<tr>\n" + "".join(f"<{name}{a}>{self.cell(c)}</{name}>\n" for c, a in zip(cells, align, strict=True)) + "</tr>\n"
 
         body = "".join(row(r, "td") for r in block.data["rows"])
-        return f"<table>\n<thead>\n{row(block.data['header'], 'th')}</thead>\n" + (f"<tbody>\n{body}</tbody>\n" if body else "") + "</table>\n"
+        return f"{self.tag('table', block.kind)}\n<thead>\n{row(block.data['header'], 'th')}</thead>\n" + (f"<tbody>\n{body}</tbody>\n" if body else "") + "</table>\n"
 
     def cell(self, span: tuple[int, int] | None) -> str:
         if span is None or span[0] >= span[1]:
@@ -186,12 +259,23 @@ class Html:
         return self.inline(InlineParser(text, [(0, len(text), 0)], self.parser.references, self.options).parse())
 
 
-def to_html(source: str | bytes | None, profile: str = "github", policy: Policy | None = None, **options) -> str | None:
+def page_of(source: str | bytes, profile: str, policy: Policy | None, plugins: Plugins | None, options: dict) -> Html:
+    text = source.decode("utf-8", "replace") if isinstance(source, bytes) else source
+    return Html(text.replace("\0", "\ufffd"), Options.profile(profile, **options), policy or Policy(), plugins)
+
+
+def to_html(source: str | bytes | None, profile: str = "github", policy: Policy | None = None, plugins: Plugins | None = None, **options) -> str | None:
     """HTML of one document; null stays null."""
+    return None if source is None else (policy or Policy()).finished(page_of(source, profile, policy, plugins, options).render())
+
+
+def blocks_to_html(source: str | bytes | None, profile: str = "github", policy: Policy | None = None, plugins: Plugins | None = None, **options) -> list[tuple[int, int, str]] | None:
+    """(start, end, HTML) of every top-level block, in bytes of the source."""
     if source is None:
         return None
-    text = source.decode("utf-8", "replace") if isinstance(source, bytes) else source
-    return Html(text.replace("\0", "\ufffd"), Options.profile(profile, **options), policy or Policy()).render()
+    page = page_of(source, profile, policy, plugins, options)
+    place = lambda i: len(page.text[:i].encode()) if not page.text.isascii() else i
+    return [(place(b.start), place(b.end), page.render([b])) for b in page.root.children]
 
 
 def inline_to_html(source: str | None, profile: str = "github", policy: Policy | None = None) -> str | None:
@@ -232,6 +316,15 @@ class Normaliser(Html):
             return [f"> {x}".rstrip(" ") for x in own] or [">"]
         if kind == "list":
             return self.list_lines(block)
+        if kind in self.plugins.printers:
+            return self.plugins.printers[kind](text[block.start : block.end], data.get("ext", {})).split("\n")
+        if kind == "description-list":
+            return [x for c in block.children for x in self.lines_of(c)]
+        if kind == "description-term":
+            return [text[a:b].strip(" \t") for a, b, _ in block.pieces]
+        if kind == "description":
+            own = self.joined(block.children, data["loose"]) or [""]
+            return [f": {own[0]}".rstrip(" "), *((f"  {x}" if x else "") for x in own[1:])]
         return re.split("\r\n|\r|\n", text[block.start : block.end])
 
     def list_lines(self, block: Block) -> list[str]:
@@ -256,11 +349,11 @@ class Normaliser(Html):
             out += self.lines_of(block)
         return out
 
-    def render(self) -> str:
-        own = self.joined(self.root.children)
+    def render(self, blocks: list[Block] | None = None) -> str:
+        own = self.joined(self.root.children if blocks is None else blocks)
         return "\n".join(own) + "\n" if own else ""
 
 
-def normalised(source: str | None, profile: str = "github") -> str | None:
+def normalised(source: str | None, profile: str = "github", plugins: Plugins | None = None, **options) -> str | None:
     """source in one style; parsing it again gives the same structure."""
-    return None if source is None else Normaliser(source.replace("\0", "\ufffd"), Options.profile(profile), Policy()).render()
+    return None if source is None else Normaliser(source.replace("\0", "\ufffd"), Options.profile(profile, **options), Policy(), plugins).render()

@@ -36,11 +36,12 @@ BLOCK = _struct(
 INLINE = _struct(block_pre=_I, inline_ord=_I, depth=_I, kind=_S, start=_I, end=_I, text=_S, destination=_S, title=_S, bracketed=_B, ref_label=_S, label_end=_I)
 REFERENCE = _struct(label_key=_S, destination=_S, title=_S, block_pre=_I, used=_B)
 ERROR = _struct(kind=_S, limit=_I, attempted=_I, offset=_I)
-TEXT_KINDS = ("paragraph", "atx-heading", "setext-heading")
+TEXT_KINDS = ("paragraph", "atx-heading", "setext-heading", "description-term")
 
 
+HEADINGS = ("atx-heading", "setext-heading")
 #: Kinds whose rows carry their source: whole, or the first line of an item, or the first and last line of fenced code.
-OWN = frozenset(("atx-heading", "setext-heading", "link-reference-definition", "gfm:table", "list-item", "fenced-code"))
+OWN = frozenset(("frontmatter:block", "atx-heading", "setext-heading", "link-reference-definition", "gfm:table", "list-item", "fenced-code"))
 
 
 def own_source(text: str, block) -> str:
@@ -139,7 +140,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
             nodes = InlineParser(text, block.pieces, parser.references, options)
             found = nodes.parse()
             row["text"] = _clean(plain(found))
-            if kind != "paragraph":
+            if kind in HEADINGS:
                 row["fold"] = row["text"].strip().casefold()
                 row["slug"] = slugs.next(slug_base(row["fold"]))
             for i, (node, level) in enumerate(walk(found), 1):

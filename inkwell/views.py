@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +12,7 @@ from pyspark.sql.window import Window
 HEADINGS = ("atx-heading", "setext-heading")
 KINDS = (
     "document", "paragraph", *HEADINGS, "indented-code", "fenced-code", "html-block", "block-quote", "list", "list-item", "thematic-break", "link-reference-definition",
-    "gfm:table", "github:alert", "frontmatter:block",
+    "gfm:table", "github:alert", "frontmatter:block", "description-list", "description-term", "description",
 )
 
 
@@ -38,7 +41,7 @@ class Query:
 def headings(blocks: DataFrame, level: int | None = None) -> DataFrame:
     rows = blocks.where(F.col("kind").isin(*HEADINGS))
     rows = rows if level is None else rows.where(F.col("level") == level)
-    return rows.select("doc_id", "pre", "depth", "kind", "level", "text", "fold", "start", "end")
+    return rows.select("doc_id", "pre", "depth", "kind", "level", "text", "fold", "own", "start", "end")
 
 
 def titles(blocks: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def sections(blocks: DataFrame, parsed: DataFrame) -> DataFrame:
 def section_text(sections: DataFrame, parsed: DataFrame) -> DataFrame:
     """sections with their source bytes as text, heading included."""
     own = parsed.select("doc_id", "source")
-    return sections.join(own, "doc_id").withColumn("own", F.expr("cast(substring(source, start + 1, section_end - start) as string)")).drop("source")
+    return sections.join(own, "doc_id").withColumn("section_source", F.expr("cast(substring(source, start + 1, section_end - start) as string)")).drop("source")
 
 
 def links(inlines: DataFrame) -> DataFrame:
@@ -66,17 +69,46 @@ def links(inlines: DataFrame) -> DataFrame:
 
 
 def images(inlines: DataFrame) -> DataFrame:
-    return inlines.where("kind = 'image'").select("doc_id", "block_pre", "inline_ord", F.col("text").alias("alt"), "destination", "title", "start", "end")
+    return inlines.where("kind = 'image'").select("doc_id", "block_pre", "inline_ord", F.col("text").alias("alt"), "destination", "title", "start", "end", "ref_label", "label_end")
 
 
 def code_blocks(blocks: DataFrame, language: str | None = None) -> DataFrame:
     rows = blocks.where(F.col("kind").isin("fenced-code", "indented-code"))
     rows = rows if language is None else rows.where(F.col("language") == language)
-    return rows.select("doc_id", "pre", "kind", "language", "info", "code", "fence_closed", "start", "end")
+    return rows.select("doc_id", "pre", "depth", "kind", "language", "info", "code", "fence", "fence_closed", "own", "start", "end")
 
 
 def front_matter(blocks: DataFrame) -> DataFrame:
-    return blocks.where("kind = 'frontmatter:block'").select("doc_id", "fence", "content", "start", "end")
+    return blocks.where("kind = 'frontmatter:block'").select("doc_id", "fence", "content", "own", "start", "end")
+
+
+def decoded_front_matter(front: DataFrame, decoder: Callable[[str], dict] | Column) -> DataFrame:
+    """front_matter() with data: a map of strings by a function from content to a dict, or a column such as from_json("content", schema)."""
+    if isinstance(decoder, Column):
+        return front.withColumn("data", decoder)
+
+    @F.pandas_udf("map<string,string>")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else {str(k): None if v is None else str(v) for k, v in decoder(c).items()})
+
+    return front.withColumn("data", decoded("content"))
+
+
+def section(sections: DataFrame, title: str) -> DataFrame:
+    """The first section of every document whose heading is title, by folded and trimmed text."""
+    first = Window.partitionBy("doc_id").orderBy("pre")
+    return sections.where(F.col("fold") == title.strip().casefold()).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def node(blocks: DataFrame, pre: int | Column) -> DataFrame:
+    """The block of a number in every document; 0 is the root."""
+    return blocks.where(F.col("pre") == pre)
+
+
+def link_targets(inlines: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links and images with inline_syntax: whether their target stands in parentheses right after the label."""
+    rows = inlines.where("kind in ('link', 'image')").select("doc_id", "block_pre", "inline_ord", "kind", "destination", "title", "start", "end", "label_end")
+    return rows.join(documents.select("doc_id", "source"), "doc_id").withColumn("inline_syntax", F.expr("cast(substring(source, label_end + 2, 1) as string) = '('")).drop("source")
 
 
 def tables(blocks: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def test_views(parsed):
     assert views.titles(b).collect()[0].title == "Title"
     assert [r.slug for r in views.slugs(b).orderBy("pre").collect()] == ["title", "details", "details-1"]
     sections = views.section_text(views.sections(b, parsed), parsed).orderBy("pre").collect()
-    assert sections[1].own.startswith("## Details") and sections[1].section_end == len(SAMPLE)
+    assert sections[1].section_source.startswith("## Details") and sections[1].section_end == len(SAMPLE)
     assert [(r.text, r.destination) for r in views.links(i).orderBy("inline_ord").collect()] == [("in", "#details"), ("out", "https://example.com/x")]
     assert views.images(i).collect()[0].alt == "logo"
     assert views.code_blocks(b, "php").collect()[0].code == "echo 1;\n"
