@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell import patches, views
+from inkwell.functions import html_escape, md_escape
 
 # Syntax for parse(…, inline_rules=, line_rules=, container_rules=).
 HIGHLIGHT = ("highlight", r"==(?=\S)([^=\n]+?)(?<=\S)==", "mark")
@@ -41,19 +44,81 @@ def attributed(blocks: DataFrame) -> DataFrame:
     return rows.where("kind = 'attributes:block'").select("doc_id", "pre", "target_pre", attribute_list(F.col("ext")["attributes"]).alias("attributes"))
 
 
-def embeds(blocks: DataFrame, hosts: list[str]) -> DataFrame:
-    """Embedded URLs of allowed hosts."""
-    return blocks.where("kind = 'embed'").select("doc_id", "pre", F.col("ext")["url"].alias("url"), F.lower(F.col("ext")["host"]).alias("host")).where(F.col("host").isin([h.lower() for h in hosts]))
+def embeds(blocks: DataFrame, hosts: list[str], fallback: str | None = None) -> DataFrame:
+    """Embedded URLs of allowed hosts; with a fallback ("link" or "remove") the others too, with html of the fallback."""
+    rows = blocks.where("kind = 'embed'").select("doc_id", "pre", F.col("ext")["url"].alias("url"), F.lower(F.col("ext")["host"]).alias("host"))
+    allowed = F.col("host").isin([h.lower() for h in hosts])
+    if fallback is None:
+        return rows.where(allowed)
+    link = F.concat(F.lit('<p><a href="'), html_escape(F.col("url")), F.lit('">'), html_escape(F.col("url")), F.lit("</a></p>"))
+    return rows.withColumn("allowed", allowed).withColumn("html", F.when(~allowed, link if fallback == "link" else F.lit("")))
 
 
 def imports(blocks: DataFrame, resources: DataFrame) -> DataFrame:
     """(doc_id, pre, kind, path, code): import and source directives with the lines they ask for."""
     rows = blocks.where("kind in ('import', 'source')").select("doc_id", "pre", "kind", F.col("ext")["path"].alias("path"), F.coalesce(F.col("ext")["options"], F.lit("")).alias("options"))
     rows = rows.where(safe_path(F.col("path"), ("md", "markdown", "txt", "py", "php", "js", "json", "sql", "yaml", "yml", "sh", "c", "java"))).join(resources, "path")
-    first = F.regexp_extract("options", r"lines:\s*\"?([0-9]{1,6})", 1)
-    last = F.regexp_extract("options", r"lines:\s*\"?[0-9]{1,6}-([0-9]{1,6})", 1)
-    code = F.when(first == "", F.col("text")).otherwise(selected_lines(F.col("text"), first.cast("int"), F.when(last == "", first).otherwise(last).cast("int")))
-    return rows.select("doc_id", "pre", "kind", "path", code.alias("code"))
+    named = rows.withColumn("o", options(F.col("options"), ("lines", "lang", "indent", "title", "numbers", "highlight"))).where("o is not null")
+    span = F.coalesce(F.col("o")["lines"], F.lit(""))
+    first, last = (F.regexp_extract(span, "^([0-9]+)(?:-([0-9]+))?$", k) for k in (1, 2))
+    code = F.when(first == "", F.col("text")).otherwise(selected_lines(F.col("text"), first.try_cast("int"), F.when(last == "", first).otherwise(last).try_cast("int")))
+    pad = F.repeat(F.lit(" "), F.least(F.coalesce(F.col("o")["indent"].try_cast("int"), F.lit(0)), F.lit(32)))
+    code = F.regexp_replace(code, "(?m)^(?=.)", pad)
+    suffix = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
+    language = F.coalesce(F.col("o")["lang"], F.lower(suffix))
+    begins = F.when(first == "", F.lit(1)).otherwise(first.try_cast("int"))
+    marks = F.transform(F.split(F.coalesce(F.col("o")["highlight"], F.lit("")), ","), lambda r: F.struct(F.regexp_extract(r, "^[ ]*([0-9]+)", 1).try_cast("int").alias("first"), F.coalesce(F.nullif(F.regexp_extract(r, "-([0-9]+)[ ]*$", 1), F.lit("")), F.regexp_extract(r, "^[ ]*([0-9]+)", 1)).try_cast("int").alias("last")))
+    return named.select(
+        "doc_id", "pre", "kind", "path", code.alias("code"), language.alias("language"), F.col("o")["title"].alias("title"),
+        F.when(F.lower(F.col("o")["numbers"]) == "true", begins).alias("first_number"), F.filter(marks, lambda m: m["first"].isNotNull()).alias("highlights"),
+    )
+
+
+def code_html(imports: DataFrame) -> DataFrame:
+    """imports() with html: escaped code under its title; numbers are those of the file, highlighted lines are marked."""
+    lines = F.split(F.rtrim("code", F.lit("\r\n")), "\r\n|\r|\n")
+    begins = F.coalesce(F.col("first_number"), F.lit(1))
+    shown = lambda line, i: F.when(F.exists("highlights", lambda h: (i + begins).between(h["first"], h["last"])), F.concat(F.lit("<mark>"), html_escape(line), F.lit("</mark>"))).otherwise(html_escape(line))
+    number = lambda i: F.when(F.col("first_number").isNotNull(), F.concat(F.lit('<span class="line-number">'), (i + begins).cast("string"), F.lit("</span>"))).otherwise("")
+    body = F.array_join(F.transform(lines, lambda line, i: F.concat(number(i), shown(line, i))), "\n")
+    code = F.concat(F.lit("<pre><code"), F.when(F.coalesce("language", F.lit("")) == "", "").otherwise(F.concat(F.lit(' class="language-'), html_escape(F.col("language")), F.lit('"'))), F.lit(">"), body, F.lit("\n</code></pre>"))
+    titled = F.concat(F.lit('<figure class="code-block has-title"><figcaption class="code-title">'), html_escape(F.col("title")), F.lit("</figcaption>"), code, F.lit("</figure>"))
+    return imports.withColumn("html", F.coalesce(titled, code))
+
+
+def option_values(source: str | None, allowed: tuple[str, ...]) -> dict[str, str] | None:
+    """name: value and name: "value" pairs, apart by commas; None where a name is unknown or comes twice, or the syntax is another."""
+    if source is None:
+        return None
+    out: dict[str, str] = {}
+    rest = source.strip(" \t")
+    while rest:
+        found = OPTION.match(rest)
+        if not found or found[1] not in allowed or found[1] in out:
+            return None
+        value = re.sub(r"\\(.)", r"\1", found[2]) if found[2] is not None else found[3].strip(" \t")
+        if not value:
+            return None
+        out[found[1]], more = value, rest[found.end() :]
+        if found[4] and not more:
+            return None  # a comma with nothing after it
+        if more and not found[4]:
+            return None
+        rest = more
+    return out
+
+
+OPTION = re.compile(r"([a-z0-9-]+)[ \t]*:[ \t]*(?:\"((?:[^\"\\]|\\[\"\\])*)\"|([^\",][^,]*))[ \t]*(?:(,)[ \t]*)?")
+
+
+def options(text: Column, allowed: tuple[str, ...]) -> Column:
+    """The options of a directive as a map; null where they are malformed, and the directive then stays as it is written."""
+
+    @F.pandas_udf("map<string,string>")
+    def tokenised(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: option_values(v, allowed))
+
+    return tokenised(text)
 
 
 FOOTNOTE_USE = r"\[\^([^\]\s]{1,200})\](?!:)"
@@ -70,9 +135,11 @@ def footnotes(blocks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFra
     their first use; unused definitions go, uses without a definition stay plain text.
     """
     own = blocks.where("kind = 'paragraph'").join(sources.select("doc_id", "source"), "doc_id").select("doc_id", "pre", F.expr("cast(substring(source, start + 1, end - start) as string)").alias("own"))
+    # Uses are read from text outside code spans and escapes.
+    shown = F.regexp_replace(F.col("own"), r"(?s)(?<![`\\])(`+)(?!`).*?(?<!`)\1(?!`)|\\\\.", " ")
     defined = own.where(F.col("own").rlike(FOOTNOTE_TEXT)).select("doc_id", "pre", F.regexp_extract("own", FOOTNOTE_TEXT, 1).alias("label"), F.regexp_extract("own", FOOTNOTE_TEXT, 2).alias("text"))
     first = defined.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("pre"))).where("n = 1").select("doc_id", "label", "text")
-    used = own.where(~F.col("own").rlike(FOOTNOTE_TEXT)).select("doc_id", "pre", F.posexplode(F.regexp_extract_all("own", F.lit(FOOTNOTE_USE), F.lit(1))).alias("at", "label"))
+    used = own.where(~F.col("own").rlike(FOOTNOTE_TEXT)).select("doc_id", "pre", F.posexplode(F.regexp_extract_all(shown, F.lit(FOOTNOTE_USE), F.lit(1))).alias("at", "label"))
     used = used.join(first.select("doc_id", "label"), ["doc_id", "label"])
     occurrence = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("pre", "at"))
     begins = F.min(F.struct("pre", "at")).over(Window.partitionBy("doc_id", "label"))
@@ -104,6 +171,31 @@ def contents_list(rows: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "line"))), lambda x: x["line"]), "\n").alias("toc"))
 
 
+def contents_splice(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Patches that write the contents in place of @toc markers, with their own min, max and ordered options; malformed markers stay."""
+    marks = blocks.where("kind = 'table-of-contents:block'").select("doc_id", F.col("pre").alias("mark_pre"), "start", "end", options(F.coalesce(F.col("ext")["options"], F.lit("")), ("min", "max", "ordered")).alias("o")).where("o is not null")
+    rows = marks.join(contents(blocks), "doc_id").where(F.col("level").between(F.coalesce(F.col("o")["min"].try_cast("int"), F.lit(1)), F.coalesce(F.col("o")["max"].try_cast("int"), F.lit(6))))
+    least = F.min("level").over(Window.partitionBy("doc_id", "mark_pre"))
+    bullet = F.when(F.lower(F.col("o")["ordered"]) == "true", "1. ").otherwise("- ")
+    line = F.concat(F.repeat(F.lit("   "), F.col("level") - F.col("least")), bullet, F.lit("["), md_escape(F.col("text")), F.lit("](#"), F.col("slug"), F.lit(")"))
+    listed = rows.withColumn("least", least).withColumn("line", line).groupBy("doc_id", "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "line"))), lambda x: x["line"]), "\n").alias("toc"))
+    return patches.patch(listed, F.col("start"), F.col("end"), F.col("toc"), "table of contents")
+
+
+def tab_groups(blocks: DataFrame) -> DataFrame:
+    """(doc_id, pre, group, panel, title, tab_id, panel_id) of tab items; groups and panels are numbered in document order."""
+    rows = blocks.where("kind = 'tabs:item'").select("doc_id", "pre", "parent_pre", F.col("ext")["title"].alias("title"))
+    group = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("parent_pre"))
+    panel = F.row_number().over(Window.partitionBy("doc_id", "parent_pre").orderBy("pre"))
+    rows = rows.withColumn("group", group).withColumn("panel", panel)
+    own = lambda part: F.concat(F.lit(f"{TABS_CLASS}-"), F.col("group").cast("string"), F.lit(f"-{part}-"), F.col("panel").cast("string"))
+    return rows.select("doc_id", "pre", "group", "panel", "title", own("tab").alias("tab_id"), own("panel").alias("panel_id"))
+
+
+#: Fixed value: the class of tab groups in HTML.
+TABS_CLASS = "markdown-tabs"
+
+
 def permalinks(blocks: DataFrame, prefix: str = "") -> DataFrame:
     return views.slugs(blocks).select("doc_id", "pre", F.concat(F.lit("#" + prefix), F.col("slug")).alias("href"))
 
@@ -113,7 +205,7 @@ def shifted_levels(headings: DataFrame, by: int = 0, mapping: dict[int, int] | N
     moved = F.col("level") + by
     if mapping:
         moved = F.coalesce(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[F.col("level")], F.col("level")) + by
-    bad = F.raise_error(F.concat(F.lit("heading level out of range: "), moved.cast("string"))).cast("int")
+    bad = F.raise_error(F.concat(F.lit("heading level out of range: "), moved.cast("string"))).try_cast("int")
     return headings.withColumn("new_level", F.when(moved.between(1, 6), moved).otherwise(bad))
 
 
@@ -148,17 +240,27 @@ def classified_links(links: DataFrame, internal: list[str], subdomains: bool = F
     return links.withColumn("host", host).withColumn("scope", F.when(host.isNull(), "relative").when(own, "internal").otherwise("external"))
 
 
-def rewritten_destination(destination: Column, base: str | None = None, mapping: dict[str, str] | None = None, patterns: list[tuple[str, str]] = ()) -> Column:
-    """A destination through the steps in order: exact map, patterns, base for relative ones."""
+def rewritten_destination(destination: Column, base: str | None = None, mapping: dict[str, str] | None = None, patterns: list[tuple[str, str]] = (), callback: Callable[[str], str] | None = None) -> Column:
+    """A destination through the steps in order: exact map, patterns, a function, base for relative ones; none may hold a null sign."""
     out = destination
     if mapping:
         out = F.coalesce(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[out], out)
     for pattern, replacement in patterns:
         out = F.regexp_replace(out, pattern, replacement)
+    if callback is not None:
+        out = _mapped(callback)(out)
     if base:
         relative = ~out.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#|/)")
         out = F.when(relative & (out != ""), F.concat(F.lit(base.rstrip("/") + "/"), out)).otherwise(out)
-    return out
+    return F.when(F.instr(out, "\0") > 0, F.raise_error(F.lit("a destination holds a null sign")).cast("string")).otherwise(out)
+
+
+def _mapped(function: Callable[[str], str]):
+    @F.pandas_udf("string")
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(function)
+
+    return each
 
 
 def rewrite_links(links: DataFrame, new: Column) -> tuple[DataFrame, DataFrame]:
@@ -227,10 +329,30 @@ def selected_lines(text: Column, first: Column, last: Column) -> Column:
 INCLUDE = r"(?m)^@include[ \t]+\"([^\"\n]+)\"[ \t]*$"
 
 
-def included(documents: DataFrame, resources: DataFrame, depth: int = 8) -> DataFrame:
+def resolved(paths: DataFrame, resolver: Callable[[str], str | None]) -> DataFrame:
+    """(path, text) of the paths that a function knows, for included() and imports()."""
+
+    @F.pandas_udf("string")
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(resolver)
+
+    return paths.select("path").distinct().withColumn("text", read("path")).where("text is not null")
+
+
+def filesystem_resources(spark, root: str, pattern: str = "*.{md,markdown}", most_bytes: int = 1 << 20) -> DataFrame:
+    """(path, text, resource_id) of the files below root, up to a size; the id names root and path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
+    below = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    path = below.substr(F.lit(len(root.rstrip("/")) + 2), F.length(below))
+    coded = F.rtrim(F.translate(F.base64(path.cast("binary")), "+/", "-_"), F.lit("="))
+    return files.select(path.alias("path"), F.col("content").cast("string").alias("text"), F.concat(F.lit("filesystem:"), F.sha2(F.lit(root.rstrip("/")), 256), F.lit(":"), coded).alias("resource_id"))
+
+
+def included(documents: DataFrame, resources: DataFrame, depth: int = 8, most_resources: int = 64, most_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, source, depth_reached) with @include "path" lines replaced by resources (path, text), level by level.
 
-    Unsafe, unknown and circular paths stay as they are written.
+    Unsafe, unknown and circular paths stay as they are written.  A document that would take in more resources or bytes
+    than allowed stays at the level before.
     """
     out = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("reached"))
     texts = resources.select(F.col("path").alias("_path"), F.regexp_replace("text", r"[\r\n]+$", "").alias("_text"))
@@ -238,7 +360,9 @@ def included(documents: DataFrame, resources: DataFrame, depth: int = 8) -> Data
         found = F.array_distinct(F.regexp_extract_all("source", F.lit(INCLUDE), F.lit(1)))
         wanted = out.select("doc_id", "seen", F.explode(found).alias("_path")).where(safe_path(F.col("_path")) & ~F.array_contains("seen", F.col("_path")))
         known = wanted.join(texts, "_path").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_path", "_text"))).alias("parts"))
-        joined = out.join(known, "doc_id", "left")
+        size = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["_text"]))
+        known = known.where(size <= most_bytes)
+        joined = out.join(known, "doc_id", "left").withColumn("parts", F.when(F.size("seen") + F.size("parts") <= most_resources, F.col("parts")))
         spliced = F.aggregate("parts", F.col("source"), lambda s, p: F.regexp_replace(s, F.concat(F.lit("(?m)^@include[ \\t]+\"\\Q"), p["_path"], F.lit("\\E\"[ \\t]*$")), F.replace(F.replace(p["_text"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
         out = joined.select("doc_id", F.coalesce(spliced, "source").alias("source"), F.concat("seen", F.coalesce(F.transform("parts", lambda p: p["_path"]), F.array().cast("array<string>"))).alias("seen"), F.when(F.col("parts").isNotNull(), level).otherwise(F.col("reached")).alias("reached"))
     return out.select("doc_id", "source", F.col("reached").alias("depth_reached"))
@@ -248,8 +372,8 @@ def _dashes(text: Column) -> Column:
     """Runs of two hyphens or more as em dashes of three and en dashes of two: all em, else all en, else em and as few en as fill the run."""
 
     def written(n: Column) -> Column:
-        em = F.when(n % 3 == 0, n / 3).when(n % 2 == 0, 0).when(n % 3 == 2, (n - 2) / 3).otherwise((n - 4) / 3).cast("int")
-        return F.concat(F.repeat(F.lit("—"), em), F.repeat(F.lit("–"), ((n - em * 3) / 2).cast("int")))
+        em = F.when(n % 3 == 0, n / 3).when(n % 2 == 0, 0).when(n % 3 == 2, (n - 2) / 3).otherwise((n - 4) / 3).try_cast("int")
+        return F.concat(F.repeat(F.lit("—"), em), F.repeat(F.lit("–"), ((n - em * 3) / 2).try_cast("int")))
 
     hits = F.regexp_extract_all(text, F.lit("--+"), F.lit(0))
     return F.array_join(F.transform(F.split(text, "--+", -1), lambda p, i: F.concat(p, F.coalesce(written(F.length(F.get(hits, i))), F.lit("")))), "")

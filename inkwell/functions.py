@@ -47,6 +47,16 @@ def md_break() -> Column:
     return F.lit("---")
 
 
+def md_raw(source: Column) -> Column:
+    """Source as it stands, but for line endings around it."""
+    return F.trim(source, F.lit("\r\n"))
+
+
+def md_fragment(parts: Column) -> Column:
+    """Blocks joined by a blank line, without a final line ending."""
+    return F.array_join(parts, "\n\n")
+
+
 def md_document(parts: Column) -> Column:
     """Blocks joined by a blank line, with a final line ending."""
     return F.concat(F.array_join(parts, "\n\n"), F.lit("\n"))

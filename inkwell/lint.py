@@ -251,5 +251,17 @@ def report(problems: DataFrame) -> DataFrame:
     return problems.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_problems"), F.count_if(F.col("severity") == "error").alias("n_errors"))
 
 
+def ordered(problems: DataFrame) -> DataFrame:
+    """Problems by document, place and rule."""
+    return problems.orderBy("doc_id", "start", "end", "rule_id")
+
+
+def clean(documents: DataFrame, problems: DataFrame) -> DataFrame:
+    """documents with is_clean and has_errors."""
+    found = report(problems)
+    joined = documents.join(found, "doc_id", "left")
+    return joined.withColumn("is_clean", F.col("n_problems").isNull()).withColumn("has_errors", F.coalesce(F.col("n_errors") > 0, F.lit(False))).drop("n_problems", "n_errors")
+
+
 def metadata(spark) -> DataFrame:
     return spark.createDataFrame([(r.id, r.category, r.fixable, r.recommended) for r in RULES.values()], "rule_id string, category string, fixable boolean, recommended boolean")

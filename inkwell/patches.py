@@ -5,6 +5,9 @@ A patch is a row (doc_id, start, end, replacement string, description); offsets
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,20 +51,62 @@ def apply(documents: DataFrame, patches: DataFrame, on_conflict: str = "error",
 
 
 # ---- edits -------------------------------------------------------------------------------------------------------
+#
+# Edits take rows of inkwell.views; those that look at what stands around a place also take the documents (doc_id, source).
 
+EOL = "\r\n|\r|\n"
 
-def rename_headings(headings: DataFrame, new_text: Column) -> DataFrame:
-    """headings with a new text; an ATX heading is written anew, a setext heading keeps its underline."""
-    from inkwell.functions import md_escape
 
-    atx = headings.where("kind = 'atx-heading'")
-    return patch(atx, F.col("start"), F.col("end"), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), md_escape(new_text)), "rename heading")
+def _near(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    return rows.join(documents.select("doc_id", F.col("source").cast("binary").alias("source")), "doc_id")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.rtrim(text, F.lit("\r\n"))
+
+
+def _eols(edge: Column, pattern: str) -> Column:
+    """How many line endings, of two at most, stand at an edge of a few bytes."""
+    return F.regexp_count(F.regexp_extract(edge.cast("string"), pattern, 0), F.lit(EOL))
+
 
+def insertion(at: Column, text: Column, source: Column | None = None) -> Column:
+    """What to insert at a place of source (a column of that name) so that a blank line stands on either side of text."""
+    from inkwell.parse import dominant_eol
 
-def append_to_sections(sections: DataFrame, markdown: Column) -> DataFrame:
+    source = F.col("source") if source is None else source
+    eol = dominant_eol(source)
+    own = F.trim(F.regexp_replace(text, EOL, eol), F.lit("\r\n"))
+    first = F.when(F.hex(F.substring(source, 1, 3)) == "EFBBBF", 3).otherwise(0)
+    before = _eols(source.substr(F.greatest(at - 3, F.lit(1)), F.least(at, F.lit(4))), f"(?:{EOL}){{0,2}}$")
+    after = _eols(source.substr(at + 1, F.lit(4)), f"^(?:{EOL}){{0,2}}")
+    prefix = F.when(at == first, "").otherwise(F.repeat(eol, 2 - before))
+    suffix = F.when(at == F.octet_length(source), eol).otherwise(F.repeat(eol, 2 - after))
+    return F.concat(prefix, own, suffix)
+
+
+def rename_headings(headings: DataFrame, new_text: Column) -> DataFrame:
+    """headings with a new text; an ATX heading is written anew, a setext heading keeps its underline and line ending."""
+    underline = F.regexp_extract("own", rf"({EOL})([^\r\n]*)$", 0)
+    written = F.when(F.col("kind") == "setext-heading", F.concat(new_text, underline)).otherwise(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), new_text))
+    return patch(headings, F.col("start"), F.col("end"), written, "rename heading")
+
+
+def append_to_sections(sections: DataFrame, documents: DataFrame, text: Column) -> DataFrame:
     """Text at the end of sections, apart by a blank line."""
-    body = F.concat(F.lit("\n"), F.rtrim(markdown, F.lit("\r\n")), F.lit("\n"))
-    return patch(sections, F.col("section_end"), F.col("section_end"), body, "append to section")
+    at = F.col("section_end")
+    tail = F.col("source").substr(F.greatest(at - 3, F.lit(1)), F.least(at, F.lit(4))).cast("string")
+    gap = F.when(tail.rlike("(?:\n\n|\r\n\r\n)$"), "").otherwise("\n")
+    return patch(_near(sections, documents), at, at, F.concat(gap, _trimmed(text), F.lit("\n\n")), "append to section")
+
+
+def prepend_to_sections(sections: DataFrame, text: Column) -> DataFrame:
+    """Text right below the headings of sections."""
+    return patch(sections, F.col("end"), F.col("end"), F.concat(F.lit("\n\n"), _trimmed(text)), "prepend to section")
+
+
+def replace_section_bodies(sections: DataFrame, text: Column) -> DataFrame:
+    return patch(sections, F.col("end"), F.col("section_end"), F.concat(F.lit("\n\n"), _trimmed(text), F.lit("\n\n")), "replace section body")
 
 
 def remove_sections(sections: DataFrame) -> DataFrame:
@@ -72,29 +117,163 @@ def remove_blocks(blocks: DataFrame) -> DataFrame:
     return patch(blocks, F.col("start"), F.col("end"), F.lit(""), "remove block")
 
 
-def replace_blocks(blocks: DataFrame, markdown: Column) -> DataFrame:
-    return patch(blocks, F.col("start"), F.col("end"), F.rtrim(markdown, F.lit("\r\n")), "replace block")
+def replace_blocks(blocks: DataFrame, text: Column) -> DataFrame:
+    return patch(blocks, F.col("start"), F.col("end"), _trimmed(text), "replace block")
+
+
+def insert_before(blocks: DataFrame, documents: DataFrame, text: Column) -> DataFrame:
+    """Text before top-level blocks, apart by blank lines; nothing goes before front matter."""
+    at = F.col("start")
+    return patch(_near(blocks.where("depth = 1 and kind <> 'frontmatter:block'"), documents), at, at, insertion(at, text), "insert block")
 
 
-def insert_after(blocks: DataFrame, markdown: Column) -> DataFrame:
+def insert_after(blocks: DataFrame, documents: DataFrame, text: Column) -> DataFrame:
     """Text after top-level blocks, apart by blank lines."""
-    return patch(blocks.where("depth = 1"), F.col("end"), F.col("end"), F.concat(F.lit("\n\n"), F.trim(markdown, F.lit("\r\n"))), "insert block")
+    at = F.col("end")
+    return patch(_near(blocks.where("depth = 1"), documents), at, at, insertion(at, text), "insert block")
+
+
+def clone_blocks(blocks: DataFrame, documents: DataFrame, to: Column) -> DataFrame:
+    """Copies of blocks at the byte to."""
+    own = F.col("source").substr(F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
+    return patch(_near(blocks, documents), to, to, insertion(to, own), "clone block")
+
+
+def move_blocks(blocks: DataFrame, documents: DataFrame, to: Column) -> DataFrame:
+    """Blocks taken from their place and put at the byte to, which must lie outside of them."""
+    inside = (to > F.col("start")) & (to < F.col("end"))
+    target = F.when(inside, F.raise_error(F.lit("a block can't move into itself")).cast("int")).otherwise(to)
+    return remove_blocks(blocks).unionByName(clone_blocks(blocks, documents, target).withColumn("description", F.lit("move block")))
+
+
+def wrapped(text: Column, first: str, rest: str) -> Column:
+    """text with first before its first line and rest before all others."""
+    return F.concat(F.lit(first), F.regexp_replace(text, rf"({EOL})(?=[\s\S])", "$1" + rest))
+
+
+def wrap_blocks(blocks: DataFrame, documents: DataFrame, style: str = "quote", start: int = 1, delimiter: str = ".") -> DataFrame:
+    """Blocks inside a block quote ("quote"), a bullet list ("-", "+", "*") or an ordered list ("ordered")."""
+    if style not in ("quote", "-", "+", "*", "ordered") or delimiter not in (".", ")") or not 0 <= start <= 999_999_999:
+        raise ValueError(f"unknown wrapper {style!r}, {start}, {delimiter!r}")
+    mark = "> " if style == "quote" else f"{start}{delimiter} " if style == "ordered" else f"{style} "
+    own = F.col("source").substr(F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
+    return patch(_near(blocks, documents), F.col("start"), F.col("end"), wrapped(own, mark, mark if style == "quote" else " " * len(mark)), "wrap block")
+
+
+def _language(language: Column) -> Column:
+    bad = F.raise_error(F.lit("a language is one word without backticks")).cast("string")
+    return F.when(language.rlike("^[^\\x00-\\x20`]+$"), language).otherwise(bad)
+
+
+def set_code_languages(code_blocks: DataFrame, language: Column) -> DataFrame:
+    """Fenced blocks with another first word of their info string."""
+    rows = code_blocks.where("kind = 'fenced-code'")
+    opening = F.substring_index("own", "\n", 1)
+    at = F.col("start") + F.length(F.regexp_extract(opening, "^(?:`+|~+)[ \t]*", 0))
+    return patch(rows, at, at + F.octet_length(F.regexp_extract(opening, "^(?:`+|~+)[ \t]*([^ \t]*)", 1)), _language(language), "set code language")
+
+
+def replace_code(code_blocks: DataFrame, code: Column, language: Column | None = None) -> DataFrame:
+    """Code blocks written anew as fenced blocks, with their own language unless another is given."""
+    runs = F.array_max(F.transform(F.regexp_extract_all(code, F.lit("`+"), F.lit(0)), F.length))
+    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(runs, F.lit(0)) + 1))
+    named = F.coalesce(F.col("language") if language is None else _language(language), F.lit(""))
+    return patch(code_blocks, F.col("start"), F.col("end"), F.concat(fence, named, F.lit("\n"), F.rtrim(code, F.lit("\n")), F.lit("\n"), fence), "replace code")
+
+
+def replace_front_matter(front: DataFrame, content: Column) -> DataFrame:
+    """Front matter with other content; content that would close its fence fails."""
+    own = F.concat(_trimmed(content), F.lit("\n"))
+    closes = F.exists(F.split(own, EOL), lambda line: F.rtrim(line) == F.col("fence"))
+    bad = F.raise_error(F.lit("the content closes the front matter")).cast("string")
+    at = F.col("start") + F.octet_length(F.regexp_extract("own", rf"^[^\r\n]*(?:{EOL})", 0))
+    return patch(front, at, at + F.octet_length("content"), F.when(closes, bad).otherwise(own), "replace front matter")
+
+
+def link_target(destination: Column, title: Column) -> Column:
+    """(destination "title") as inline syntax."""
+    escaped = lambda text, signs: F.regexp_replace(text, f"([{signs}])", r"\\$1")
+    written = F.when((destination == "") | destination.rlike(r"[\x00-\x20]"), F.concat(F.lit("<"), escaped(destination, r"\\\\<>"), F.lit(">"))).otherwise(escaped(destination, r"\\\\()"))
+    named = F.when(F.coalesce(title, F.lit("")) == "", "").otherwise(F.concat(F.lit(' "'), escaped(title, r'\\\\"'), F.lit('"')))
+    return F.concat(F.lit("("), F.when(destination == "", "").otherwise(written), named, F.lit(")"))
+
+
+def set_links(links: DataFrame, destination: Column | None = None, title: Column | None = None) -> DataFrame:
+    """Links with another destination or title; a use of a reference becomes an inline link."""
+    target = link_target(F.col("destination") if destination is None else destination, F.col("title") if title is None else title)
+    return patch(links, F.col("label_end") + 1, F.col("end"), target, "set link")
 
 
 def set_link_destinations(links: DataFrame, destination: Column) -> DataFrame:
-    """Inline links with another destination; a use of a reference becomes an inline link."""
-    title = F.when(F.col("title").isNull(), F.lit("")).otherwise(F.concat(F.lit(' "'), F.replace("title", F.lit('"'), F.lit('\\"')), F.lit('"')))
-    return patch(links, F.col("label_end") + 1, F.col("end"), F.concat(F.lit("("), destination, title, F.lit(")")), "set link destination")
+    return set_links(links, destination).withColumn("description", F.lit("set link destination"))
+
+
+def set_images(images: DataFrame, destination: Column | None = None, alt: Column | None = None, title: Column | None = None) -> DataFrame:
+    """Images with another destination, alternative text or title, as inline syntax."""
+    from inkwell.functions import md_escape
+
+    target = link_target(F.col("destination") if destination is None else destination, F.col("title") if title is None else title)
+    label = F.concat(F.lit("!["), md_escape(F.col("alt") if alt is None else alt), F.lit("]"))
+    return patch(images, F.col("start"), F.col("end"), F.concat(label, target), "set image")
+
+
+def folded(title: Column) -> Column:
+    """A title as headings are folded."""
+
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else t.strip().casefold())
+
+    return fold(title)
 
 
 def ensure_sections(documents: DataFrame, headings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Patches that append the section (doc_id, title, level) where a document has no heading of that title."""
+    """Patches that append the sections (doc_id, title, and perhaps level) of which a document has no heading; one patch a document, sections by title."""
     from inkwell.functions import md_heading
 
-    have = headings.select("doc_id", "fold").distinct()
-    missing = wanted.withColumn("fold", F.lower(F.trim("title"))).join(have, ["doc_id", "fold"], "left_anti")
-    sized = missing.join(documents.select("doc_id", F.octet_length("source").alias("n")), "doc_id")
-    return patch(sized, F.col("n"), F.col("n"), F.concat(F.lit("\n"), md_heading(F.col("level"), F.col("title")), F.lit("\n")), "ensure section")
+    rows = wanted if "level" in wanted.columns else wanted.withColumn("level", F.lit(1))
+    rows = rows.withColumn("fold", folded(F.col("title"))).dropDuplicates(["doc_id", "fold"])
+    missing = rows.join(headings.select("doc_id", "fold").distinct(), ["doc_id", "fold"], "left_anti")
+    parts = missing.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("title", "level"))).alias("parts"))
+    sized = _near(parts, documents)
+    text = F.col("source").cast("string")
+    gap = F.when((text == "") | text.rlike(rf"(?:{EOL}){{2}}$"), "").when(text.rlike(rf"(?:{EOL})$"), "\n").otherwise("\n\n")
+    lines = F.array_join(F.transform("parts", lambda p: F.concat(md_heading(p["level"], p["title"]), F.lit("\n"))), "\n")
+    return patch(sized, F.octet_length("source"), F.octet_length("source"), F.concat(gap, lines), "ensure section")
+
+
+class Journal:
+    """Patches in the order they were recorded; recording gives a new journal."""
+
+    def __init__(self, entries: tuple[DataFrame, ...] = ()):
+        self.parts = entries
+
+    def record(self, patches: DataFrame) -> Journal:
+        return Journal((*self.parts, self.pending(patches) if self.parts else patches.select(*COLUMNS)))
+
+    def pending(self, patches: DataFrame) -> DataFrame:
+        """The patches that aren't recorded yet."""
+        key = ["doc_id", "start", "end", "replacement"]
+        return patches.select(*COLUMNS).join(self.patches().select(*key), key, "left_anti").select(*COLUMNS) if self.parts else patches.select(*COLUMNS)
+
+    def patches(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def entries(self) -> DataFrame:
+        """(seq, doc_id, start, end, replacement, description): seq counts the recordings."""
+        return reduce(DataFrame.unionByName, [p.select(F.lit(i).alias("seq"), *COLUMNS) for i, p in enumerate(self.parts, 1)])
+
+    def clear(self) -> Journal:
+        return Journal()
+
+
+def composed(patches: DataFrame) -> DataFrame:
+    """Patches with insertions at one place made one: those of most text first, line endings alone last."""
+    rows = patches.dropDuplicates(["doc_id", "start", "end", "replacement"])
+    at = rows.where("start = end").withColumn("_bare", F.col("replacement").rlike(r"^[\r\n]*$"))
+    joined = at.groupBy("doc_id", "start", "end").agg(F.sort_array(F.collect_list(F.struct("_bare", "description", "replacement"))).alias("p"))
+    one = joined.select("doc_id", "start", "end", F.array_join(F.transform("p", lambda x: x["replacement"]), "").alias("replacement"), F.array_join(F.transform("p", lambda x: x["description"]), "; ").alias("description"))
+    return rows.where("start <> end").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 # ---- diffs -------------------------------------------------------------------------------------------------------

@@ -6,11 +6,11 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.kernel.names import SAFE_SCHEMES
-from inkwell.kernel.render import Policy, escape, inline_to_html, scheme_of, to_html
+from inkwell.kernel.render import Plugins, Policy, blocks_to_html, escape, inline_to_html, scheme_of, to_html
 
 # Elements of curated HTML, and those that go with all they hold.
 ELEMENTS = frozenset(
@@ -124,16 +124,34 @@ def sanitize_html(html: Column | str) -> Column:
     return convert(html)
 
 
-def md_to_html(profile: str = "github", policy: Policy | None = None):
+def md_to_html(profile: str = "github", policy: Policy | None = None, plugins: Plugins | None = None, **options):
     """A column function from documents to HTML."""
 
     @F.pandas_udf("string")
     def convert(source: pd.Series) -> pd.Series:
-        return source.map(lambda s: to_html(s, profile, policy))
+        return source.map(lambda s: to_html(s, profile, policy, plugins, **options))
 
     return convert
 
 
+def rendered_blocks(documents: DataFrame, profile: str = "github", policy: Policy | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(doc_id, ord, start, end, html) of every top-level block; a section or fragment is their concatenation in order."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,html:string>>")
+    def convert(source: pd.Series) -> pd.Series:
+        return source.map(lambda s: None if s is None else [{"start": a, "end": b, "html": h} for a, b, h in blocks_to_html(s, profile, policy)])
+
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(convert(F.col(source_col).cast("string"))).alias("ord", "b"))
+    return rows.select("doc_id", "ord", "b.start", "b.end", "b.html")
+
+
+def rendered_ranges(ranges: DataFrame, rendered: DataFrame, start: str = "start", stop: str = "section_end") -> DataFrame:
+    """ranges (such as sections) with html: that of the top-level blocks that begin in them."""
+    own = rendered.select("doc_id", "ord", F.col("start").alias("_at"), "html")
+    inside = ranges.join(own, "doc_id").where((F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(stop)))
+    return inside.groupBy(*ranges.columns).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "html"))), lambda b: b["html"]), "").alias("html"))
+
+
 def md_inline_to_html(profile: str = "github", policy: Policy | None = None):
     @F.pandas_udf("string")
     def convert(source: pd.Series) -> pd.Series:
