@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell import cases
 from inkwell import format as formatting
 from inkwell import functions as fn
 from inkwell import lint, patches, stats, views
@@ -295,3 +296,6 @@ ORACLE = {
         md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped FROM pages""",
     "page_hosts": "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS cnt FROM pages GROUP BY 1",
 }
+
+QUERIES |= cases.QUERIES
+ORACLE |= cases.ORACLE
