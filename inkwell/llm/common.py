@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,11 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class PooledIds:
     """Ids of text segments, remembered per segment in one growing pool; long segments are only kept for the one look-up.
 
-    The pool starts anew after most segments or most_ids ids.
+    encode gives the flat ids of a list of segments and how many each has.  The pool starts anew after most segments or
+    most_ids ids.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 500_000, longest: int = 64, most_ids: int = 8_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000, longest: int = 64, most_ids: int = 8_000_000):
         self.encode, self.most, self.longest, self.most_ids = encode, most, longest, most_ids
         self.clear()
 
@@ -110,18 +112,20 @@ class PooledIds:
         self.pool, self.used = np.zeros(4096, np.uint32), 0
         self.count = 0
 
-    def _add(self, ids) -> int:
-        n = len(ids)
-        if self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), n), np.uint32)])
-        if self.count == len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(self.count, np.int64)])
-            self.length = np.concatenate([self.length, np.zeros(self.count, np.int64)])
-        self.pool[self.used : self.used + n] = ids
-        self.start[self.count], self.length[self.count] = self.used, n
-        self.used += n
-        self.count += 1
-        return self.count - 1
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Append segments; the place of the first."""
+        n, first = len(lengths), self.count
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        if first + n > len(self.start):
+            more = np.zeros(max(len(self.start), n), np.int64)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[first : first + n] = lengths
+        self.used += len(ids)
+        self.count += n
+        return first
 
     def lookup(self, segments: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all segments, and how many each has."""
@@ -129,18 +133,22 @@ class PooledIds:
         unique = coded.dictionary.to_pylist()
         if self.count + len(unique) > self.most or self.used > self.most_ids:
             self.clear()
-        known = self.known
-        place = [known.get(s, -1) for s in unique]
-        missing = [i for i, p in enumerate(place) if p < 0]
-        if missing:
-            for i, ids in zip(missing, self.encode([unique[i] for i in missing]), strict=True):
-                place[i] = self._add(ids)
-                if len(unique[i]) <= self.longest:
-                    known[unique[i]] = place[i]
-        at = np.asarray(place, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(segments) else np.zeros(0, np.int64)
+        place = np.fromiter(map(self.known.get, unique, repeat(-1)), np.int64, len(unique))
+        missing = np.nonzero(place < 0)[0]
+        if len(missing):
+            new = [unique[i] for i in missing.tolist()]
+            first = self._add(*self.encode(new))
+            place[missing] = np.arange(first, first + len(new))
+            self.known.update((s, first + i) for i, s in enumerate(new) if len(s) <= self.longest)
+        at = place[coded.indices.to_numpy(zero_copy_only=False)] if len(segments) else np.zeros(0, np.int64)
         return self.pool[spread(self.start[at], self.length[at])], self.length[at]
 
 
+def flattened(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and their lengths."""
+    return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 def segments_of(text: str, points: np.ndarray, begins: np.ndarray) -> pa.StringArray:
     """The pieces of text that begin at the given code points, without copying."""
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)

@@ -26,6 +26,8 @@ table gives no rows; columns other than id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import json
+import os
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import PooledIds, code_points, cut, in_passes, segments_of, small_batches, table
+from inkwell.llm.common import PooledIds, code_points, cut, flattened, in_passes, segments_of, small_batches, spread, table
 
 CAPACITY = 2048
 #: Schemes to plan by: lengths of at most this share of a sequence are small; groups of equal cardinality that the large
@@ -111,17 +113,52 @@ def blank_joins(points: np.ndarray, kind: np.ndarray, new_doc: np.ndarray, p: in
     return points[p] == 32 and not new_doc[p] and p + 1 < n and not new_doc[p + 1] and kind[p + 1] != SPACE
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Merge ranks by token bytes of a byte-level tokenizer file; None where its ids don't follow the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; others follow from 256 on
+    sign = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m), -1) for m in pairs]
+    if made != sorted(set(made)) or min(made, default=0) < 0 or any(c not in sign for token in model["vocab"] for c in token):
+        return None
+    return {bytes(sign[c] for c in token): i for token, i in model["vocab"].items()}
+
+
 @cache
 def byte_bpe(path: str) -> PooledIds:
-    """Remembered ids of pre-tokens under the tokenizer file at path; strings of special tokens are ordinary text."""
-    import os
+    """Remembered ids of pre-tokens under the tokenizer file at path; strings of special tokens are ordinary text.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PooledIds(lambda parts: [x.ids for x in tokenizer.encode_batch(parts, add_special_tokens=False)])
+    New pre-tokens go, as lines of one text, to a merger that takes a line for a pre-token; no other token holds a line
+    end, so the ids fall apart at its id.  Those with a line end inside go one by one.
+    """
+    ranks = byte_ranks(path)
+    if ranks is None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return PooledIds(lambda parts: flattened([x.ids for x in tokenizer.encode_batch(parts, add_special_tokens=False)]))
+    import tiktoken
+
+    by_line = tiktoken.Encoding("lines", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
+    whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    line_end = ranks[b"\n"]
+
+    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        inside = np.fromiter(("\n" in p for p in parts), bool, len(parts))
+        others, lines = np.nonzero(inside)[0], np.nonzero(~inside)[0]
+        ids, lengths = flattened([whole.encode_ordinary(parts[i]) for i in others.tolist()])
+        joined = np.array(by_line.encode_ordinary("\n".join([parts[i] for i in lines.tolist()])), np.uint32)
+        ends = np.append(np.nonzero(joined == line_end)[0], len(joined)) if len(lines) else np.zeros(0, np.int64)
+        size, start = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        size[others], size[lines] = lengths, np.diff(ends, prepend=-1) - 1
+        start[others], start[lines] = np.cumsum(lengths) - lengths, len(ids) + ends - size[lines]
+        return np.concatenate([ids, joined])[spread(start, size)], size
+
+    return PooledIds(encode)
 
 
 def encode_documents(texts: list[str | None], path: str) -> Iterator[np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import PooledIds, code_points, in_passes, segments_of, small_batches, table
+from inkwell.llm.common import PooledIds, code_points, flattened, in_passes, segments_of, small_batches, table
 
 BLANK = "▁"
 
@@ -67,7 +67,7 @@ class MergePieces:
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(p) for p in self.ids if len(p) == 1]] = True
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.pool = PooledIds(lambda parts: [self.segment(p) for p in parts], most=400_000)
+        self.pool = PooledIds(lambda parts: flattened([self.segment(p) for p in parts]), most=400_000)
 
     def compatible(self, left: str, right: str) -> bool:
         got = self.pairs.get((left, right))
