@@ -164,13 +164,36 @@ class BlockParser:
 
         self.take_definitions = take_definitions
         first = self.front_matter() if self.options.front_matter else 0
+        quick = not (self.options.line_rules or self.options.container_rules)
         for start, content, end in self.lines[first:]:
-            self.line(Line(self.text[start:content], start), end)
+            if not (quick and start < content and self.plain_line(start, content)):
+                self.line(Line(self.text[start:content], start), end)
         self.close_to(self.root)
         self.close(self.root)
         self.root.end = len(self.text)
         return self.root
 
+    def plain_line(self, start: int, content: int) -> bool:
+        """Take a line that can only be text: one of a fence, or one that begins with a letter, right below the root."""
+        root, tip, c = self.root, self.tip, self.text[start]
+        if tip.kind == "fenced-code" and tip.open and tip.parent is root:
+            if c in " \t" or c == tip.data["mark"][0]:
+                return False
+            tip.pieces.append((start, content, 0))
+        elif not c.isalpha():
+            return False
+        elif tip.kind == "paragraph" and tip.open and tip.parent is root:
+            tip.pieces.append((start, content, 0))
+        elif not (root.children and root.children[-1].open):
+            self.tip = root
+            tip = self.add("paragraph", start)
+            tip.pieces.append((start, content, 0))
+        else:
+            return False
+        tip.end = root.end = content
+        tip.blank_last = root.blank_last = False
+        return True
+
     def front_matter(self) -> int:
         if not self.lines or self.lines[0][0] > (self.text[:1] == "\ufeff"):
             return 0

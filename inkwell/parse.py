@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ BLOCK = _struct(
     ext=T.MapType(_S, _S),
 )
 INLINE = _struct(block_pre=_I, inline_ord=_I, depth=_I, kind=_S, start=_I, end=_I, text=_S, destination=_S, title=_S, bracketed=_B, ref_label=_S, label_end=_I)
+EMPTY = dict.fromkeys(BLOCK.names)
 REFERENCE = _struct(label_key=_S, destination=_S, title=_S, block_pre=_I, used=_B)
 ERROR = _struct(kind=_S, limit=_I, attempted=_I, offset=_I)
 TEXT_KINDS = ("paragraph", "atx-heading", "setext-heading", "description-term")
@@ -60,11 +62,10 @@ class Places:
     def __init__(self, text: str):
         self.of = None
         if not text.isascii():
-            at, self.of = 0, [0]
-            for c in text:
-                n = ord(c)
-                at += 1 if n < 0x80 or 0xDC80 <= n <= 0xDCFF else 2 if n < 0x800 else 3 if n < 0x10000 else 4
-                self.of.append(at)
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1  # a byte that is no UTF-8
+            self.of = [0, *np.cumsum(width).tolist()]
 
     def __call__(self, i: int) -> int:
         return i if self.of is None else self.of[min(i, len(self.of) - 1)]
@@ -108,8 +109,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
     total, slugs = 0, Slugs()
     for pre, (block, depth, parent, sibling) in enumerate(order):
         data, kind = block.data, block.kind
-        row = dict.fromkeys(BLOCK.names)
-        row |= {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
+        row = EMPTY | {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
         if kind in OWN:
             row["own"] = _clean(own_source(text, block))
         if "ext" in data:

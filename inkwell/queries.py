@@ -118,7 +118,7 @@ def skipped_levels(spark, sf_dir):
 
 
 def code_languages(spark, sf_dir):
-    found = views.code_blocks(blocks(parse(event_documents(spark, sf_dir))))
+    found = views.code_blocks(blocks(parse(event_documents(spark, sf_dir), with_inlines=False)))
     return found.groupBy(F.coalesce("language", F.lit("plain")).alias("language"), "fence_closed").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.octet_length("code")).cast("long").alias("n_bytes"))
 
 
@@ -128,7 +128,7 @@ def code_rules(spark, sf_dir):
 
 
 def table_cells(spark, sf_dir):
-    found = views.table_rows(blocks(parse(line_documents(spark, sf_dir))))
+    found = views.table_rows(blocks(parse(line_documents(spark, sf_dir), with_inlines=False)))
     return found.select("doc_id", F.get("cells", F.lit(0)).cast("long").alias("part"), F.get("cells", F.lit(1)).cast("long").alias("qty"), F.get("cells", F.lit(2)).alias("flag"))
 
 
