@@ -39,6 +39,8 @@ BITS = 64
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows of a bucket that one group may compare; larger buckets are dealt in chunk pairs.
 BUCKET = 1024
+#: Rows of one fingerprint above which they meet their component by a broadcast.
+HOT_ROWS = 1 << 20
 #: Near copies: words of a shingle, least Jaccard similarity, and the SimHash radius that such pairs lie within.
 NEAR_WORDS, NEAR, RADIUS = 5, 0.8, 24
 #: Bands of least hashes, and hashes of a band: a pair at 0.8 shares one with a chance of 1 - (1 - 0.8 ** 3) ** 12, over 0.9998.
@@ -254,10 +256,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id_col, fp long, component_id) per row; a component holds all ids reachable over links of at most 3 bits."""
     prints = cut(fingerprints(docs, id_col, text_col, words))
-    unique = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("id")))
-    found = components(links(unique))
-    named = unique.join(found, unique["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    joined = prints.join(named, "fp", "left")
+    unique = cut(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("rows")))
+    found = components(links(unique.select("fp", "id")))
+    own = unique.join(found, unique["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"), "rows")
+    own = cut(own)
+    # Rows of a hot fingerprint, such as that of all empty texts, don't travel: there are at most all rows / HOT_ROWS of them.
+    hot = F.broadcast(own.where(F.col("rows") > HOT_ROWS).drop("rows"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(own.where(F.col("rows") <= HOT_ROWS).drop("rows"), "fp", "left")
+    joined = prints.join(hot, "fp").unionByName(rest)
     return joined.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -9,11 +9,13 @@ anchor's hash and a hash of its context, the words of all windows that picked it
 * Where one anchor has several contexts, the first occurrence of each is taken back to its text and extended window by
   window; every window whose words also start earlier is removed.
 
-Adjacent and overlapping removals join into maximal repeats.  Repeats inside one map task are settled there, so that a
-passage in a third of all documents reaches the exchange once per task.  Hashes that decide removals have 128 bits.
+Extending every pair of occurrences would grow with the square of a passage's copies; the window hashes of the extended
+contexts find the same maximal repeats in proportion to the text.  Adjacent and overlapping removals join into them.  Repeats inside one map task are settled there, so that a
+passage in a third of all documents reaches the exchange once per task; an anchor that many documents share in ever other
+contexts is dealt over several tasks by its context, each of which extends the first of each context.  Hashes that decide removals have 128 bits.
 
 Defined cases: null text has no words; documents under WINDOW words keep everything; "earlier" is the smaller id, then
-the smaller start; a null id is later than any other; repeated rows (same id, same text) are one document and both keep
+the smaller start; very long texts are read in one pass; a null id is later than any other; repeated rows (same id, same text) are one document and both keep
 what the document keeps; rows of one id with different texts are told apart by a tag of the text; columns other than id and text are ignored by the digest and kept by the stage.
 """
 
@@ -43,7 +45,11 @@ BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: A row per anchor.  place packs, highest bits first: position (31), tag of the text (23), position - first window (4),
 #: position - last window (4).  Ranges settled before the exchange have a negative place (first window, tag), their last
 #: window as context, and a hash of the document as anchor, so that they don't meet at a hot anchor.
-DEALT = "doc long, place long, anchor long, context long"
+#: part is 0, or for hot anchors 1 and more, by the context: such an anchor is dealt over HOT_PARTS parts.
+DEALT = "doc long, place long, anchor long, context long, part int"
+#: An anchor is hot that a sample of one document in HOT_SAMPLE puts at more than HOT_ROWS rows; at most HOT_MOST are.
+#: Which anchors are hot changes only where rows go, never what is removed.
+HOT_SAMPLE, HOT_ROWS, HOT_MOST, HOT_PARTS = 64, 1 << 20, 100_000, 64
 TAG = (1 << 23) - 1
 
 
@@ -125,8 +131,8 @@ def anchors(low: np.ndarray, high: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return doc, at - base, a - base, b - base, seed, context
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, tag, text) to anchors; what repeats a context of the same pass is settled here."""
+def _seeds(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, tag, text) to anchors; what repeats a context of the same pass is settled here.  hot is sorted."""
     for batch in batches:
         ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -153,7 +159,12 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = out[begin]
                 columns.append((own[at], -1 - (first[at] << 23 | tag[at]), mixed((own[at] + first[at]).astype(np.uint64)).view(np.int64), last[out][end]))
             for values in columns:
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["doc", "place", "anchor", "context"])
+                part = np.zeros(len(values[0]), np.int32)
+                if hot is not None and len(hot):
+                    at = np.minimum(np.searchsorted(hot, values[2]), len(hot) - 1)
+                    warm = (hot[at] == values[2]) & (values[1] >= 0)
+                    part[warm] = 1 + (values[3][warm] & (HOT_PARTS - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*values, part)], ["doc", "place", "anchor", "context", "part"])
 
 
 CLASSES = "doc long, tag int, low int, high int, open boolean"
@@ -167,8 +178,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = pa.Table.from_batches([batch])
         rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
-        anchor = rows.column("anchor").to_numpy()
-        whole = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+        anchor, part = rows.column("anchor").to_numpy(), rows.column("part").to_numpy()
+        change = np.nonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))[0]
+        whole = int(change[-1]) + 1 if len(change) else 0  # the last group may go on
         if whole:
             yield _resolved(rows.slice(0, whole))
         held = rows.slice(whole)
@@ -177,17 +189,17 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resolved(rows: pa.Table) -> pa.RecordBatch:
-    doc, place, seed, context = (rows.column(c).to_numpy() for c in ("doc", "place", "anchor", "context"))
+    doc, place, seed, context, part = (rows.column(c).to_numpy() for c in ("doc", "place", "anchor", "context", "part"))
     done = np.nonzero(place < 0)[0]
     settled = -1 - place[done]
     live = np.nonzero(place >= 0)[0]
-    seed, own, at, of = seed[live], context[live], place[live], doc[live]
+    seed, own, at, of, part = seed[live], context[live], place[live], doc[live], part[live]
     n = len(live)
     new_seed, new_context = np.ones(n, bool), np.ones(n, bool)
-    new_seed[1:] = seed[1:] != seed[:-1]
+    new_seed[1:] = (seed[1:] != seed[:-1]) | (part[1:] != part[:-1])
     new_context[1:] = new_seed[1:] | (own[1:] != own[:-1])
     group = np.cumsum(new_seed) - 1
-    several = np.bincount(group, new_context)[group] > 1 if n else np.zeros(0, bool)
+    several = (np.bincount(group, new_context)[group] > 1) | (part > 0) if n else np.zeros(0, bool)  # a hot anchor's other contexts are elsewhere
     head = np.maximum.accumulate(np.where(new_context, np.arange(n), 0))
     pos = at >> 31
     first = (of == of[head]) & (pos == pos[head])
@@ -242,8 +254,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(keyed: DataFrame) -> DataFrame:
     """(doc, tag, low, high): first and last of runs of windows to remove, for rows (doc, tag, text, own) of documents."""
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = keyed.select("doc", "tag", "text").mapInArrow(_seeds, DEALT)
-    seeds = seeds.repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "place")
+    texts = keyed.select("doc", "tag", "text")
+    counts = texts.where(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_seeds, DEALT).where("place >= 0").groupBy("anchor").count()
+    found = counts.where(F.col("count") * HOT_SAMPLE > HOT_ROWS).orderBy(F.desc("count"), "anchor").limit(HOT_MOST).collect()
+    hot = keyed.sparkSession.sparkContext.broadcast(np.array(sorted(r.anchor for r in found), np.int64))
+    seeds = texts.mapInArrow(lambda batches: _seeds(batches, hot.value), DEALT)
+    seeds = seeds.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", "context", "doc", "place")
     classes = cut_table(seeds.mapInArrow(_classes, CLASSES))
     settled = classes.where("not open").drop("open")
     # The texts meet these marks, and in the end the removals, over one and the same exchange.

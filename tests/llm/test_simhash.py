@@ -152,3 +152,11 @@ def test_counters_hold_any_radius():
     for radius in (0, 1, 2, 3, 6, 24, 31):
         got = {(int(q), int(o)) for a, b in simhash.near_pairs(values, np.array([len(values)]), radius) for q, o in zip(a, b, strict=True)}
         assert got == {(i, j) for i in range(len(values)) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= radius}
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10)
+    rows = [(i, "") for i in range(40)] + [(i, f"words of text number {i} and {i * 7}") for i in range(40, 60)] + [(70, "words of text number 41 and 287"), (None, "")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = reach({i: plain(t) for i, t in rows if i is not None})
+    assert got == want | {None: None}

@@ -81,3 +81,26 @@ def test_empty_table(spark):
 def test_only_short_documents(spark):
     df = spark.createDataFrame([(1, "a few words"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.kept_text for r in substrings.deduplicated(df).collect()} == {1: "a few words", 2: None}
+
+
+def test_hot_anchors_are_dealt_in_parts(spark, monkeypatch):
+    """A phrase in every document with other words around it; the answer is the same however its anchors are dealt."""
+    rng = random.Random(6)
+    phrase = " ".join(f"p{i}" for i in range(9))
+    passage = " ".join(f"q{i}" for i in range(30))
+    texts = []
+    for i in range(150):
+        words = [f"w{rng.randrange(40)}" for _ in range(60)]
+        words.insert(rng.randrange(50), phrase)
+        if i % 3 == 0:
+            words.insert(rng.randrange(50), passage)
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    digest = lambda: {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.with_removals(df, substrings._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string").collect()}
+    plain = digest()
+    assert {i: v[:2] for i, v in plain.items()} == {i: v[:2] for i, v in want.items()} and any(v[1] for v in want.values())
+    monkeypatch.setattr(substrings, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(substrings, "HOT_ROWS", 20)
+    assert digest() == plain
