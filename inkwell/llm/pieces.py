@@ -62,19 +62,18 @@ class MergePieces:
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if merged(piece, self.ids, self.score) == [piece]:  # others are never the result of merging
-                self.automaton.add_word(piece, (i, piece))
+                self.automaton.add_word(piece, (i, piece, len(piece) - 1))
         self.automaton.make_automaton()
         self.known = np.zeros(0x110000, bool)
         self.known[[ord(p) for p in self.ids if len(p) == 1]] = True
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.pool = PooledIds(lambda parts: flattened([self.segment(p) for p in parts]), most=400_000)
-
-    def compatible(self, left: str, right: str) -> bool:
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            got = self.pairs[left, right] = merged(left + right, self.ids, self.score) == [left, right]
+        self.pairs: dict[int, bool] = {}
+        self.pool = PooledIds(lambda parts: flattened([self.segment(p) for p in parts]), most=800_000)
+
+    def compatible(self, left: tuple[int, str, int], right: tuple[int, str, int]) -> bool:
+        """Whether two neighbours come out of merging their joint text again; remembered by their ids."""
+        if len(self.pairs) > 500_000:
+            self.pairs.clear()
+        got = self.pairs[left[0] << 32 | right[0]] = merged(left[1] + right[1], self.ids, self.score) == [left[1], right[1]]
         return got
 
     def segment(self, text: str) -> list[int]:
@@ -82,30 +81,34 @@ class MergePieces:
         if len(text) == 1 and text not in self.ids:
             return [self.bytes[b] for b in text.encode()]
         n = len(text)
-        found: list[list] = [[] for _ in range(n)]  # pieces by start, shortest first
+        found: list[list] = [[] for _ in range(n)]  # pieces by start; matches come by their end, so the shortest first
         for end, value in self.automaton.iter(text):
-            found[end + 1 - len(value[1])].append(value)
-        for own in found:
-            if len(own) > 1:
-                own.sort(key=lambda v: len(v[1]))
+            found[end - value[2]].append(value)
         open_ = (1 << (n + 1)) - 1 if n < 64 else bytearray(b"\x01" * (n + 1))
         small = n < 64
-        out: list[tuple[int, str]] = []
+        out: list[tuple[int, str, int]] = []
         tried: list[int] = []  # how many pieces of each place are still untried
-        at, left = 0, len(found[0])
-        compatible = self.compatible
+        known = self.pairs.get
+        at, own, before = 0, found[0], -1
+        left = len(own)
         while at < n:
-            own = found[at]
             while left:
                 left -= 1
                 value = own[left]
-                end = at + len(value[1])
-                if (open_ >> end & 1 if small else open_[end]) and (not out or compatible(out[-1][1], value[1])):
-                    out.append(value)
-                    tried.append(left)
-                    at = end
-                    left = len(found[at]) if at < n else 0
-                    break
+                end = at + value[2] + 1
+                if open_ >> end & 1 if small else open_[end]:
+                    fits = True
+                    if before >= 0:
+                        fits = known(before | value[0])
+                        if fits is None:
+                            fits = self.compatible(out[-1], value)
+                    if fits:
+                        out.append(value)
+                        tried.append(left)
+                        at, before = end, value[0] << 32
+                        own = found[at] if at < n else own
+                        left = len(own)
+                        break
             else:
                 if small:
                     open_ &= ~(1 << at)
@@ -113,8 +116,8 @@ class MergePieces:
                     open_[at] = 0
                 if not out:
                     raise ValueError(f"no piece sequence for {text[:50]!r}")
-                at -= len(out.pop()[1])
-                left = tried.pop()
+                at -= out.pop()[2] + 1
+                own, left, before = found[at], tried.pop(), out[-1][0] << 32 if out else -1
         return [v[0] for v in out]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
