@@ -77,13 +77,18 @@ def repeated_words(words: Column, size: int = 3) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line that has a word fails a rule."""
+    return let(F.regexp_count(line, F.lit(f"{WORD}++")), lambda words: _fails(line, words))
+
+
+def _fails(line: Column, words: Column) -> Column:
     many = lambda pattern: F.length(F.regexp_replace(line, pattern, ""))
-    words = F.regexp_count(line, F.lit(f"{WORD}++"))
     symbols = (F.length(line) - F.length(F.translate(line, SYMBOLS, ""))) * 20 > F.length(line)
     navigation = F.regexp_count(line, F.lit(SEPARATOR)) * 4 >= F.greatest(words, F.lit(4))
     boilerplate = (words <= 40) & line.rlike("(?i)\\b(?:" + "|".join(BOILERPLATE) + ")\\b")
     upper, letters = many("[^\\p{Lu}]++"), many("[^\\p{L}]++")
-    shouting = ((letters >= 20) & (upper * 2 > letters)) | (F.regexp_count(line, F.lit("!!+")) * 3 > words)
+    # Where most letters are capitals, two of them follow each other among the letters; few lines have that to count.
+    capitals = line.rlike("\\p{Lu}[^\\p{L}]*+\\p{Lu}") & (letters >= 20) & (upper * 2 > letters)
+    shouting = capitals | (F.regexp_count(line, F.lit("!!+")) * 3 > words)
     ends = line.rlike("[.!?…:;。！？][\"'”’»)\\]]*[\\x20\\x09-\\x0D]*$")
     punctuation = ~ends & ((words < 10) | ~line.rlike("[.!?…:;,。]"))
     return symbols | navigation | boilerplate | shouting | punctuation
