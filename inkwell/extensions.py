@@ -108,7 +108,7 @@ def option_values(source: str | None, allowed: tuple[str, ...]) -> dict[str, str
     return out
 
 
-OPTION = re.compile(r"([a-z0-9-]+)[ \t]*:[ \t]*(?:\"((?:[^\"\\]|\\[\"\\])*)\"|([^\",][^,]*))[ \t]*(?:(,)[ \t]*)?")
+OPTION = re.compile(r"([a-z0-9-]+)[ \t]*:[ \t]*(?:\"((?:[^\"\\]|\\[\"\\])*)\"|([^ \t\",][^,]*))[ \t]*(?:(,)[ \t]*)?")
 
 
 def options(text: Column, allowed: tuple[str, ...]) -> Column:

@@ -96,3 +96,83 @@ def test_custom_syntax(spark):
     plain = "Title\n=====\n\n* a\n* b\n\n    code\n\n1) x\n\n   y\n\n***\n> q\n\n| a |\n|:-|\n| 1 |\n"
     once = normalised(plain)
     assert once == normalised(once) and to_html(once) == to_html(plain)
+
+
+def test_engine_composition(spark):
+    from inkwell import lint
+    from inkwell.engine import Engine, Extension
+    from inkwell.kernel.render import normalised, Plugins
+
+    marks = Extension("marks", inline_rules=(ext.HIGHLIGHT,), metrics={"paragraphs": F.count_if(F.col("kind") == "paragraph")})
+    rule = lint.Rule("no-html", "style", lambda t, c: lint.problem(t.blocks.where("kind = 'html-block'"), "raw HTML"))
+    engine = Engine("gfm").with_extension(marks, Extension("house", rules=(rule,)))
+    docs = spark.createDataFrame([(1, "# A\n\n==b==\n\n<div>\n")], "doc_id long, source string")
+    parsed = engine.parse(docs).persist()
+    assert [r.rule_id for r in engine.check(parsed).collect()] == ["no-html"]
+    assert engine.statistics(parsed).first().marks_paragraphs == 1
+    assert "<mark>b</mark>" in docs.select(engine.html(F.col("source")).alias("h")).first().h
+    assert not engine.format(docs).first().changed
+    for bad in (marks, Extension("x", inline_rules=(ext.HIGHLIGHT,)), Extension("y", line_rules=(("paragraph", "z"),)), Extension("z", rules=(rule,))):
+        with pytest.raises(ValueError, match="duplicate"):
+            engine.with_extension(bad)
+    with pytest.raises(ValueError, match="reserved"):
+        Engine().with_extension(Extension("w", inline_rules=(("w", r"\*w(.)\*", "i"),)))
+    assert normalised("@x\n", plugins=Plugins(printers={"at": lambda own, data: f"@@{data['n']}"}), line_rules=(("at", "@(?P<n>.)"),)) == "@@x\n"
+
+
+def test_resources(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.md").write_text("inside\n")
+    (tmp_path / "big.md").write_text("x" * 100)
+    found = {r.path: (r.text, r.resource_id) for r in ext.filesystem_resources(spark, str(tmp_path), most_bytes=50).collect()}
+    assert list(found) == ["d/a.md"] and found["d/a.md"][0] == "inside\n" and found["d/a.md"][1].startswith("filesystem:") and found["d/a.md"][1].endswith(":ZC9hLm1k")
+    paths = spark.createDataFrame([("a",), ("b",), ("a",)], "path string")
+    assert [tuple(r) for r in ext.resolved(paths, {"a": "text"}.get).collect()] == [("a", "text")]
+    docs = spark.createDataFrame([(1, '@include "a.md"\n')], "doc_id long, source string")
+    loop = spark.createDataFrame([("a.md", '@include "b.md"'), ("b.md", "long" * 10)], "path string, text string")
+    assert ext.included(docs, loop, most_bytes=20).first().source == '@include "b.md"\n'
+    assert ext.included(docs, loop, most_resources=1).first().source == '@include "b.md"\n'
+
+
+def test_edit_errors(spark):
+    own = parsed_of(spark, "---\na: 1\n---\n\n```js\nx\n```\n\nb\n")
+    b = blocks(own)
+    for bad in (
+        patches.replace_front_matter(views.front_matter(b), F.lit("x\n---\ny")),
+        patches.set_code_languages(views.code_blocks(b), F.lit("two words")),
+        patches.move_blocks(b.where("kind = 'fenced-code'"), own, F.col("start") + 1),
+    ):
+        with pytest.raises(Exception, match="closes|one word|into itself"):
+            bad.collect()
+    with pytest.raises(ValueError, match="wrapper"):
+        patches.wrap_blocks(b, own, "?")
+    twice = spark.createDataFrame([(1, 5, 5, "\n", "end"), (1, 5, 5, "text", "append"), (1, 0, 2, "x", "r")], "doc_id long, start int, end int, replacement string, description string")
+    assert sorted((r.start, r.replacement) for r in patches.composed(twice).collect()) == [(0, "x"), (5, "text\n")]
+    journal = patches.Journal().record(twice)
+    assert journal.pending(twice).count() == 0 and journal.entries().select("seq").distinct().count() == 1 and journal.clear().parts == ()
+
+
+def test_option_values():
+    names = ("a", "b-c")
+    assert ext.option_values('a: 1, b-c: "x, \\"y\\""', names) == {"a": "1", "b-c": 'x, "y"'}
+    assert ext.option_values("", names) == {} and ext.option_values(None, names) is None
+    for bad in ("a: 1, a: 2", "z: 1", "a", "a:", "a: 1,", 'a: "x', "a: 1; b-c: 2: 3,, ", 'a: "x" b-c: 1'):
+        assert ext.option_values(bad, names) is None
+
+
+def test_quick_lines_are_the_same():
+    import random
+
+    from inkwell.kernel import blocks as kernel
+    from inkwell.parse import document_rows
+
+    rng = random.Random(1)
+    lines = ["a b", "# h", "```", "~~~", "> q", "- x", "  y", "", "    c", "| a | b |", "|---|---|", "===", "---", "<div>", "[a]: /b", "1. z", "é ü", "```js", "\tt", "> ", "- "]
+    sources = ["\n".join(rng.choices(lines, k=rng.randrange(1, 14))).encode() for _ in range(2000)]
+    options = kernel.Options.profile("github")
+    quick, way = [document_rows(s, options) for s in sources], kernel.BlockParser.plain_line
+    kernel.BlockParser.plain_line = lambda *a: False
+    try:
+        assert quick == [document_rows(s, options) for s in sources]
+    finally:
+        kernel.BlockParser.plain_line = way
