@@ -297,5 +297,10 @@ ORACLE = {
     "page_hosts": "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS cnt FROM pages GROUP BY 1",
 }
 
+_HTML = """replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+ORACLE["html_documents"] = f"""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<h1>' || {_HTML.format("any_value(n_name)")} || '</h1>' || chr(10)
+    || string_agg('<h2>' || {_HTML.format("c_name")} || '</h2>' || chr(10) || '<p>' || {_HTML.format("c_mktsegment")} || '</p>' || chr(10), '' ORDER BY c_custkey) AS html
+    FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey"""
+
 QUERIES |= cases.QUERIES
 ORACLE |= cases.ORACLE
