@@ -176,3 +176,15 @@ def test_quick_lines_are_the_same():
         assert quick == [document_rows(s, options) for s in sources]
     finally:
         kernel.BlockParser.plain_line = way
+
+
+def test_save_options(spark, tmp_path):
+    df = spark.createDataFrame([("a.md", b"x\r\ny\n\r\n", None), ("b.md", b"x\ny\r\nz\n", None)], "path string, source binary, sha256 string")
+    states = files.write_files(df, str(tmp_path)).persist()
+    assert {r.state for r in states.collect()} == {"written"}
+    assert (tmp_path / "a.md").read_bytes() == b"x\r\ny\r\n\r\n" and (tmp_path / "b.md").read_bytes() == b"x\ny\r\nz\n"
+    own = files.rebased(df.where("path = 'b.md'"), states)
+    changed = own.withColumn("source", F.lit(b"new\r\n\n\n"))
+    assert [r.state for r in files.write_files(changed, str(tmp_path), atomic=False, preserve_eol=False).collect()] == ["written"]
+    assert (tmp_path / "b.md").read_bytes() == b"new\n\n\n" and sorted(p.name for p in tmp_path.iterdir()) == ["a.md", "b.md"]
+    assert [r.state for r in files.write_files(own, str(tmp_path)).collect()] == ["conflict"]
