@@ -221,7 +221,8 @@ CURATED: Cases = [
     ("handlers", "<p onclick=x>t {n}<script>x</script></p>", "<p>t {n}</p>"),
     ("unwrapped", "<center>a <font color=red>{n}</font></center>", "a {n}"),
     ("schemes", '<a href="javascript:{n}">l</a><a href="/{n}">m</a><img src="mailto:x">', '<a>l</a><a href="/{n}">m</a><img />'),
-    ("numbers", '<td colspan="{n}" rowspan="0" align="LEFT">x</td>', '<td colspan="{n}" align="left">x</td>'),
+    ("numbers", '<td colspan="1000" rowspan="0" align="LEFT">{n}</td>', '<td colspan="1000" align="left">{n}</td>'),
+    ("numbers beyond", '<td colspan="1001" rowspan="7">{n}</td>', '<td rowspan="7">{n}</td>'),
     ("inputs", '<input type="text" value="{n}"><input type="checkbox" checked>', '<input type="checkbox" checked="" />'),
     ("open elements", "<b>x {n}", "<b>x {n}</b>"),
     ("comments", "a<!-- {n} -->b", "ab"),
