@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fixity", "packing", "pieces", "templates", "private", "quality", "substrings", "neighbours", "languages", "simhash")
+MODULES = ("fixity", "packing", "pieces", "templates", "private", "quality", "substrings", "neighbours", "languages", "simhash", "periodic", "filters", "lines")
 
 
 def _gathered(name: str) -> dict:
