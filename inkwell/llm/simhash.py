@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -315,13 +315,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp, buckets, text) to the same with the text's shingles as bytes."""
+    """(node, fp, places, text) to the same with the text's shingles as bytes."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for i, j in in_passes(texts, 4_000_000):
             doc, found = shingles(texts[i:j])
             own = [x.tobytes() for x in np.split(found, np.searchsorted(doc, np.arange(1, j - i)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "fp", "buckets")), pa.array(own, pa.binary())], ["node", "fp", "buckets", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "fp", "places")), pa.array(own, pa.binary())], ["node", "fp", "places", "shingles"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = NEAR) -> bool:
@@ -388,21 +388,68 @@ def print_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return firsts(unique, links(unique.select("fp", F.col("node").alias("id"))))
 
 
+def near_edges(rows: DataFrame, unique: DataFrame, places: DataFrame) -> DataFrame:
+    """Forest edges (src, dst) of alike nodes that share a group (bucket, a, b) of places (node, bucket, a, b)."""
+    listed = places.groupBy("node").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("places")).join(unique.drop("bands"), "node")
+    wanted = listed.select("first.id", "first.tag", "node", "fp", "places")
+    sets = rows.join(wanted, ["id", "tag"]).select("node", "fp", "places", "text")
+    each = sets.mapInArrow(_sets, "node long, fp long, places array<struct<bucket: bigint, a: int, b: int>>, shingles binary").select("node", "fp", "shingles", F.inline("places"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_rows = each.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node")
+    return dealt_rows.mapInArrow(_verified, "src long, dst long")
+
+
+def chunk_of(count: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
+
+
+def chunks_for(rows: Column) -> Column:
+    return F.ceil(rows / F.lit(NEAR_BUCKET)).cast("int")
+
+
+def first_places(shared: DataFrame) -> DataFrame:
+    """Each row of a bucket in its chunk, and the bucket's leader in all chunks: as many places as rows, and a few."""
+    own = chunk_of(F.col("chunks"))
+    at = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+    return shared.select("node", "bucket", F.explode(at).alias("a")).select("node", "bucket", "a", F.lit(0).alias("b"))
+
+
+def second_places(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups in which every two rows of a bucket of several chunks meet that the first links left in different components.
+
+    Rows outside their leader's component meet all others; the rows inside don't meet each other again, so a group of
+    copies costs its rows once more only where a row stands apart from it.
+    """
+    rows = shared.where("chunks > 1").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    homes = rows.groupBy("bucket").agg(F.max(F.when(F.col("node") == F.col("leader"), F.col("component"))).alias("home"), F.count(F.lit(1)).alias("size"))
+    apart = rows.join(homes, "bucket").withColumn("apart", F.col("component") != F.col("home"))
+    counts = apart.groupBy("bucket").agg(F.sum(F.col("apart").cast("long")).alias("outside")).where("outside > 0")
+    dealt_rows = apart.join(counts, "bucket").withColumn("out", chunks_for(F.col("outside"))).withColumn("in", chunks_for(F.col("size") - F.col("outside")))
+    a, b = F.col("in"), F.col("out")
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    inside = F.transform(F.sequence(F.lit(0), b - 1), lambda k: pair(chunk_of(a), k))
+    across = F.transform(F.sequence(F.lit(0), a - 1), lambda k: pair(k, chunk_of(b)))
+    among = F.transform(F.sequence(F.lit(0), b - 1), lambda k: pair(-1 - F.least(k, chunk_of(b)), F.greatest(k, chunk_of(b))))
+    return dealt_rows.select("node", "bucket", F.inline(F.when(F.col("apart"), F.concat(across, among)).otherwise(inside)))
+
+
 def near_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag): the first row, by id and then tag, of every group linked by a five-word Jaccard similarity of NEAR or more.
 
     Equal shingle sets collapse first.  Sets that share a band of least hashes are compared bit-sliced by SimHash within
-    RADIUS, then exactly.
+    RADIUS, then exactly.  A bucket is compared by chunks, each with the bucket's leader; what these links leave apart in
+    it is compared in a second turn.
     """
     rows = keyed(docs, id_col, text_col)
     prints = rows.mapInArrow(_sketches, "id long, tag long, node long, fp long, bands array<long>")
     unique = cut(prints.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    shared = sized(unique.select("node", F.explode("bands").alias("bucket")), NEAR_BUCKET)
-    shared = shared.groupBy("node").agg(F.collect_list(F.struct("bucket", "chunks")).alias("buckets")).join(unique.drop("bands"), "node")
-    wanted = shared.select("first.id", "first.tag", "node", "fp", "buckets")
-    sets = rows.join(wanted, ["id", "tag"]).select("node", "fp", "buckets", "text").mapInArrow(_sets, "node long, fp long, buckets array<struct<bucket: bigint, chunks: int>>, shingles binary")
-    each = sets.select("node", "fp", "shingles", F.inline("buckets"))
-    return firsts(unique, dealt(each, "node").mapInArrow(_verified, "src long, dst long"))
+    each = unique.select("node", F.explode("bands").alias("bucket"))
+    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
+    shared = cut(each.join(sizes.select("bucket", "leader", chunks_for(F.col("size")).alias("chunks")), "bucket"))
+    edges = cut(near_edges(rows, unique, first_places(shared)))
+    if not shared.where("chunks > 1").isEmpty():
+        edges = edges.unionByName(near_edges(rows, unique, second_places(shared, components(edges))))
+    return firsts(unique, edges)
 
 
 def distinct(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

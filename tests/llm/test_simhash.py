@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from inkwell.llm import simhash
 
@@ -116,7 +117,8 @@ def edited(rng, text, n):
     return " ".join(words)
 
 
-def test_near_copies_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("bucket", [5, 40])
+def test_near_copies_match_brute_force(spark, monkeypatch, bucket):
     """Planted copies at 0.75 to 0.99, a chain, a large group of near copies over several chunks, odd rows."""
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(400)]
@@ -127,7 +129,7 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     texts = dict(enumerate(texts))
     want = near_groups(texts)
     assert 20 < len(set(want.values())) < len(texts) - 100
-    monkeypatch.setattr(simhash, "NEAR_BUCKET", 40)
+    monkeypatch.setattr(simhash, "NEAR_BUCKET", bucket)
     rows = [(i, t, 1, 2, 3) for i, t in texts.items()]
     df = spark.createDataFrame([*rows, (7, texts[7], 9, 9, 9), (7, "another text under the id of seven", 1, 1, 1), (None, texts[2], 1, 1, 1), (None, None, 1, 1, 1)], "doc_id long, text string, `a.b` int, tag int, nth int")
     got = simhash.distinct(df, simhash.near_firsts(df))
@@ -160,3 +162,20 @@ def test_hot_fingerprints(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = reach({i: plain(t) for i, t in rows if i is not None})
     assert got == want | {None: None}
+
+
+def test_rows_apart_from_their_leader_meet_in_the_second_turn(spark, monkeypatch):
+    """In one bucket: most rows join the leader, one pair is alike only to each other, a third lies in another chunk."""
+    monkeypatch.setattr(simhash, "NEAR_BUCKET", 2)
+    shared = spark.createDataFrame([(n, 7, 1, 6) for n in range(1, 12)], "node long, bucket long, leader long, chunks int")
+    component = {n: 1 for n in range(1, 12)} | {4: 4, 5: 4, 9: 9}
+    found = spark.createDataFrame([(n, c) for n, c in component.items() if n not in (4, 9)], "node long, component long")
+    groups = {}
+    for r in simhash.second_places(shared, found).collect():
+        groups.setdefault((r.bucket, r.a, r.b), set()).add(r.node)
+    met = {(x, y) for g in groups.values() for x in g for y in g}
+    assert {(x, y) for x in component for y in component if component[x] != component[y]} <= met
+    first = {}
+    for r in simhash.first_places(shared).collect():
+        first.setdefault(r.a, set()).add(r.node)
+    assert set().union(*first.values()) == set(component) and all(1 in g for g in first.values())
