@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of linked fingerprints, told apart by id and text; rows of null ids stay."""
-    return simhash.distinct(docs, simhash.print_firsts(docs))
+    """The first document of every group of near copies (five-word Jaccard similarity of 0.8 or more), told apart by id and text; rows of null ids stay."""
+    return simhash.distinct(docs, simhash.near_firsts(docs))
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
