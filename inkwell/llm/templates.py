@@ -43,8 +43,6 @@ LEAST_PAGES = 8
 SUPPORT = 0.9
 #: Tokens that a valid class has.
 LEAST_TOKENS = 3
-#: Share of a host's contents below which a vote on order or containment isn't heard.
-RARE = 0.01
 #: Bytes of templates (tokens of eight bytes, and a row's name) up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Parts that the pages of one host are dealt in where templates are too many to broadcast.
@@ -99,13 +97,15 @@ class Page:
 
     def __init__(self, html: str):
         self.names, self.parents, self.furniture, self.paths = ["#root"], [-1], [False], [0]
+        # Per element: whether it lies in a marked element, in furniture by its name, and around the article.
+        self.within, self.in_named, self.around = [False], [False], [True]
         self.blocks: list[tuple[str, int]] = []
         self.opens: list[tuple[int, int]] = []  # (element, blocks before it)
         self.marked = False
         stack = [0]
         places: dict[str | frozenset, list[int]] = {}  # places in the stack of the open elements of a name, and of all blocks
         parts: list[str] = []
-        at, n, quotes = 0, len(html), True
+        at, n, quotes, final = 0, len(html), True, html.rfind(">")
 
         def flush() -> None:
             if parts:
@@ -140,8 +140,8 @@ class Page:
                 end = html.find(">", sign)
                 at = n if end < 0 else end + 1
                 continue
-            found = TAG.match(html, sign) if quotes else None
-            if found is None:
+            found = TAG.match(html, sign) if quotes and sign < final else None
+            if found is None and sign < final:  # beyond the last sign that ends a tag there are none
                 found = LOOSE.match(html, sign)
                 quotes = quotes and not html.startswith(("</", *STARTS), sign)  # an open quote would swallow the rest each time
             if found is None:
@@ -173,40 +173,28 @@ class Page:
 
     def add(self, name: str, parent: int, attributes: str) -> int:
         element = len(self.names)
-        in_article = name in ("header", "footer") and self.inside(parent, MARKED)
+        in_article = name in ("header", "footer") and self.within[parent]
         by_name = name not in ("html", "body") and name not in MARKED and bool(attributes) and named_furniture(attributes)
         noise = (name in FURNITURE and not (in_article and name == "header")) or by_name
-        if name in MARKED and attributes and named_furniture(attributes) and self.inside(parent, MARKED):
+        if name in MARKED and attributes and named_furniture(attributes) and self.within[parent]:
             noise = True  # an article inside the article, such as a reader's comment
-        if name in MARKED and not noise:
+        if name in MARKED and not noise and not self.in_named[parent]:
+            self.marked = True
             up = parent
-            if not self.in_furniture(parent):
-                self.marked = True
-                while up > 0:  # furniture doesn't wrap the article
-                    self.furniture[up] = self.furniture[up] and self.names[up] in FURNITURE
-                    up = self.parents[up]
+            while not self.around[up]:  # furniture by class doesn't wrap the article; above an element seen so all are
+                self.furniture[up] = self.furniture[up] and self.names[up] in FURNITURE
+                self.around[up] = True
+                up = self.parents[up]
         self.names.append(name)
         self.parents.append(parent)
         self.furniture.append(noise)
+        self.within.append(name in MARKED or self.within[parent])
+        self.in_named.append((noise and name in FURNITURE) or self.in_named[parent])
+        self.around.append(False)
         self.paths.append(xxhash.xxh3_64_intdigest(name, self.paths[parent]))
         self.opens.append((element, len(self.blocks)))
         return element
 
-    def inside(self, element: int, names: frozenset) -> bool:
-        while element > 0:
-            if self.names[element] in names:
-                return True
-            element = self.parents[element]
-        return False
-
-    def in_furniture(self, element: int) -> bool:
-        """Whether the element lies in furniture by its name, not by its class."""
-        while element > 0:
-            if self.furniture[element] and self.names[element] in FURNITURE:
-                return True
-            element = self.parents[element]
-        return False
-
     def tokens(self) -> list[tuple[int, int]]:
         """(hash, block index or -1) of tags with paths and text blocks with paths, in page order."""
         out, k = [], 0
@@ -223,11 +211,10 @@ class Page:
         tokens = self.tokens() if template else []
         where = matched([t for t, _ in tokens], template) if template else ()
         fixed = {tokens[i][1] for i in where}
-        noisy, within = [False], [False]
+        noisy = [False]
         for e in range(1, len(self.names)):  # parents come first
             noisy.append(self.furniture[e] or noisy[self.parents[e]])
-            within.append(self.names[e] in MARKED or within[self.parents[e]])
-        return " ".join(text for b, (text, e) in enumerate(self.blocks) if b not in fixed and not noisy[e] and (within[e] or not self.marked))
+        return " ".join(text for b, (text, e) in enumerate(self.blocks) if b not in fixed and not noisy[e] and (self.within[e] or not self.marked))
 
 
 def occurrences(tokens: list[int]) -> dict[int, list[int]]:
@@ -460,8 +447,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
     rows = met(contents, classes.select("host", "classes", weight.alias("weight")), "content")
     votes = rows.select("host", "tokens", "classes").mapInArrow(kernel, "host string, class int, parent int, gap int, n long").groupBy("host", "class", "parent", "gap").agg(F.sum("n").alias("n"))
-    heard = votes.join(classes, "host").where(F.col("n") >= RARE * F.col("all_pages"))
-    found = heard.groupBy("host", "all_pages", "classes").agg(F.collect_list(F.struct("class", "parent", "gap", "n")).alias("votes"))
+    # Every vote counts, however rare: gaps between tokens that leave their class are merged later.
+    found = votes.join(classes, "host").groupBy("host", "all_pages", "classes").agg(F.collect_list(F.struct("class", "parent", "gap", "n")).alias("votes"))
     made = found.mapInArrow(nested, f"host string, template {TEMPLATE}")
     return made.withColumn("weight", F.aggregate("template", F.lit(0).cast("long"), lambda a, c: a + F.size(c["tokens"]) + 2))
 

@@ -1,7 +1,9 @@
 import html
 import itertools
 import re
+import time
 
+import pytest
 from inkwell.llm import templates
 
 
@@ -184,3 +186,30 @@ def test_longest_rise():
         values = [own[i] for i in found]
         assert values == sorted(values) and found == sorted(found)
         assert len(found) == max(len(c) for n in range(7) for c in itertools.combinations(own, n) if list(c) == sorted(c))
+
+
+@pytest.mark.parametrize("shape", ["<header>", "<div>|<article></article>", "<div>|<header></header>", '<div class="nav">|<article></article>', "<ul><li>", '<a "', '<p x="', "<article><b>|</b>", "<select><option>a"])
+def test_nested_pages_take_time_in_proportion(shape):
+    """A page of a megabyte in a few seconds, and twice the page in about twice the time."""
+    def took(size):
+        parts = shape.split("|")
+        n = size // sum(map(len, parts))
+        html = "".join(p * n for p in parts)
+        start = time.thread_time()
+        page = templates.Page(html)
+        page.tokens()
+        page.main_text(None)
+        return time.thread_time() - start
+
+    small, large = took(250_000), took(1_000_000)
+    assert large < max(8 * small, 1.0)
+
+
+def test_rare_gaps_of_one_merged_gap_are_heard():
+    """A class lies in 150 gaps, each in under one content of a hundred, between tokens that leave their class: one gap."""
+    holder = list(range(1000, 1302))
+    kept = (0, 151, 301)
+    votes = [{"class": 0, "parent": -1, "gap": 0, "n": 300}, *({"class": 0, "parent": -2, "gap": i, "n": 100} for i in range(302) if i not in kept)]
+    votes += [{"class": 1, "parent": 0, "gap": g, "n": 2} for g in range(152, 302)]
+    made = templates.nested_classes([holder, [1, 2, 3]], votes, 300)
+    assert made == [{"parent": -1, "gap": 0, "tokens": [1000, 1151, 1301]}, {"parent": 0, "gap": 2, "tokens": [1, 2, 3]}]
