@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut, in_passes, named, small_batches, table
+from inkwell.llm.common import cut, cut_table, in_passes, named, small_batches, table
 from inkwell.llm.substrings import BASE, Rolling, mixed, word_hashes
 
 BITS = 64
@@ -45,6 +45,8 @@ HOT_ROWS = 1 << 20
 NEAR_WORDS, NEAR, RADIUS = 5, 0.8, 24
 #: Bands of least hashes, and hashes of a band: a pair at 0.8 shares one with a chance of 1 - (1 - 0.8 ** 3) ** 12, over 0.9998.
 BANDS, ROWS = 12, 3
+#: Bytes of the nodes to compare, 32 each, up to which they are broadcast to the texts.
+BROADCAST_BYTES = 16 << 20
 #: Rows, with their shingles, of a bucket of near copies that one group may compare.
 NEAR_BUCKET = 512
 
@@ -315,13 +317,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp, places, text) to the same with the text's shingles as bytes."""
+    """(node, fp, text) to (node, fp, shingles as bytes)."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for i, j in in_passes(texts, 4_000_000):
             doc, found = shingles(texts[i:j])
             own = [x.tobytes() for x in np.split(found, np.searchsorted(doc, np.arange(1, j - i)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "fp", "places")), pa.array(own, pa.binary())], ["node", "fp", "places", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("node", "fp")), pa.array(own, pa.binary())], ["node", "fp", "shingles"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = NEAR) -> bool:
@@ -388,14 +390,19 @@ def print_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return firsts(unique, links(unique.select("fp", F.col("node").alias("id"))))
 
 
-def near_edges(rows: DataFrame, unique: DataFrame, places: DataFrame) -> DataFrame:
+def near_sets(rows: DataFrame, unique: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, fp, shingles) of the nodes of shared, one row each, as a table; few nodes are broadcast to the texts."""
+    wanted = cut(shared.select("node").distinct().join(unique, "node").select("first.id", "first.tag", "node", "fp"))
+    few = wanted.count() * 32 <= BROADCAST_BYTES
+    sets = rows.join(F.broadcast(wanted) if few else wanted, ["id", "tag"]).select("node", "fp", "text").mapInArrow(_sets, "node long, fp long, shingles binary")
+    return cut_table(sets.dropDuplicates(["node"]))
+
+
+def near_edges(sets: DataFrame, places: DataFrame) -> DataFrame:
     """Forest edges (src, dst) of alike nodes that share a group (bucket, a, b) of places (node, bucket, a, b)."""
-    listed = places.groupBy("node").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("places")).join(unique.drop("bands"), "node")
-    wanted = listed.select("first.id", "first.tag", "node", "fp", "places")
-    sets = rows.join(wanted, ["id", "tag"]).select("node", "fp", "places", "text")
-    each = sets.mapInArrow(_sets, "node long, fp long, places array<struct<bucket: bigint, a: int, b: int>>, shingles binary").select("node", "fp", "shingles", F.inline("places"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt_rows = each.repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node")
+    each = sets.join(places, "node")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_rows = each.select("node", "fp", "shingles", "bucket", "a", "b").repartition(n, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "node")
     return dealt_rows.mapInArrow(_verified, "src long, dst long")
 
 
@@ -444,11 +451,15 @@ def near_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = rows.mapInArrow(_sketches, "id long, tag long, node long, fp long, bands array<long>")
     unique = cut(prints.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     each = unique.select("node", F.explode("bands").alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
+    members = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node"))
+    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), members[0].alias("x"), members[1].alias("y")).where("size > 1")
+    # Of buckets with the same rows, as the bands of near copies mostly are, one is enough.
+    sizes = sizes.groupBy("size", "leader", "x", "y").agg(F.min("bucket").alias("bucket"))
     shared = cut(each.join(sizes.select("bucket", "leader", chunks_for(F.col("size")).alias("chunks")), "bucket"))
-    edges = cut(near_edges(rows, unique, first_places(shared)))
+    sets = near_sets(rows, unique, shared)
+    edges = cut(near_edges(sets, first_places(shared)))
     if not shared.where("chunks > 1").isEmpty():
-        edges = edges.unionByName(near_edges(rows, unique, second_places(shared, components(edges))))
+        edges = edges.unionByName(near_edges(sets, second_places(shared, components(edges))))
     return firsts(unique, edges)
 
 
