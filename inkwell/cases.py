@@ -8,6 +8,7 @@ query joins the same keys with the answers as they stand here.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ LINT: Cases = [
     ("no-dead-reference-definitions", "[a]\n\n[a]: /{n}\n[b]: /{n}\n", "[[b]: /{n}]"),
     ("require-code-block-language", "```\n{n}\n```\n\n```js\nx\n```\n", "[```\n{n}\n```]"),
     ("code-fence-info-spacing", "```  js\n{n}\n```\n", "[  ]"),
-    ("prefer-fenced-code-blocks", "a\n\n    code {n}\n", "[code {n}]"),
+    ("prefer-fenced-code-blocks", "a\n\n    code {n}\n", "[    code {n}]"),
     ("require-closed-code-fence", "```js\n{n}\n", "[```js\n{n}]"),
     ("consistent-table-columns", "| a | b |\n|---|---|\n| {n} |\n", "[{n}]"),
     ("no-trailing-spaces", "a {n} \nb  \nc\t\n\n    code  \n", "[ ][\t]"),
@@ -170,23 +171,38 @@ EDITS: Cases = [
     ("set language", "```js x\n{n}\n```\n", "```php x\n{n}\n```\n"),
     ("set language", "~~~\n{n}\n~~~\n", "~~~php\n{n}\n~~~\n"),
     ("replace code", "```js\n{n}\n```\nz\n", "```js\nnew\n```\nz\n"),
-    ("replace code", "    {n}\nz\n", "    ```\nnew\n```\nz\n"),
+    ("replace code", "    {n}\nz\n", "```\nnew\n```\nz\n"),
+    ("replace code", "```js\r\n{n}\r\n```\r\nz\r\n", "```js\r\nnew\r\n```\r\nz\r\n"),
     ("front matter", "---\na: {n}\n---\nx\n", "---\nb: 2\n---\nx\n"),
     ("insert before", "a {n}\n\nb\n", "a {n}\n\nmore\n\nb\n"),
     ("insert before", "# a {n}\nb\n", "# a {n}\n\nmore\n\nb\n"),
     ("insert after", "b\n\na {n}\n", "b\n\nmore\n\na {n}\n"),
     ("insert after", "a {n}\r\n\r\nb", "a {n}\r\n\r\nb\r\n\r\nmore\r\n"),
-    ("move to the end", "a {n}\n\nb\n", "\n\nb\n\na {n}\n"),
+    ("move to the end", "First {n}.\n\nSecond.\n\nThird.\n", "Second.\n\nThird.\n\nFirst {n}.\n"),
+    ("move to the end", "\ufeff##   a {n} ###\r\n\r\nMiddle  \r\n\r\n## b\r\n", "\ufeffMiddle  \r\n\r\n## b\r\n\r\n##   a {n} ###\r\n"),
+    ("move to the end", "# A {n}\n# B\n# C\n", "# B\n# C\n\n# A {n}\n"),
+    ("move to the end", "# A {n}\r# B\r# C\r", "# B\r# C\r\r# A {n}\r"),
+    ("move last first", "# A\n# B\n# b {n}\n", "# b {n}\n\n# A\n# B\n"),
+    ("move last first", "# T\r\rFirst.\r\rb {n}\r", "b {n}\r\r# T\r\rFirst.\r"),
     ("clone to the end", "a {n}\n\nb\n", "a {n}\n\nb\n\na {n}\n"),
     ("wrap quote", "a {n}\nb\n", "> a {n}\n> b\n"),
     ("wrap bullet", "a {n}\nb\n", "- a {n}\n  b\n"),
     ("wrap ordered", "a {n}\r\nb\r\n", "7) a {n}\r\n   b\r\n"),
     ("replace block", "a {n}\n\nb\n", "a {n}\n\nmore\n"),
-    ("remove block", "a {n}\n\nb\n", "a {n}\n\n\n"),
+    ("remove block", "a {n}\n\nb\n", "a {n}\n"),
+    ("remove block", "a {n}\n\nb\n\nc\n", "a {n}\n\nc\n"),
+    ("remove block", "b\n\nc {n}\n", "c {n}\n"),
+    ("replace by nothing", "a {n}\n\nb\n\nc\n", "a {n}\n\nc\n"),
+    ("wrap quote", "  a {n}  \nb  \n", ">   a {n}  \n> b  \n"),
     ("link destination", '[a {n}](b "t")\n', '[a {n}](<c d)> "t")\n'),
     ("link destination", "[a][k {n}]\n\n[k {n}]: /u\n", "[a](<c d)>)\n\n[k {n}]: /u\n"),
     ("link title", "[a {n}](b)\n", '[a {n}](b "say \\"x\\"")\n'),
     ("image alt", "![a {n}](b)\n", "![n\\!](b)\n"),
+    ("edit twice", "```php\n{n}\n```\n", "```php\nthree\n```\n"),
+    ("edit twice", "```php\r\n{n}\r\n```\r\n", "```php\r\nthree\r\n```\r\n"),
+    ("edit twice", "```php\r{n}\r```\r", "```php\rthree\r```\r"),
+    ("edit twice", "a *b* {n}\n\n~~~\nx\n~~~\n\n* c\n", "a *b* {n}\n\n```\nthree\n```\n\n* c\n"),
+    ("rename and remove", "# A\n\n## B {n}\n\nx\n\n## C\n", "# A\n\n## C\n"),
     ("ensure section", "# A {n}\nx", "# A {n}\nx\n\n# More\n"),
     ("ensure section", "## more\n{n}\n", "## more\n{n}\n"),
 ]
@@ -395,6 +411,8 @@ def edits(docs):
         patches.insert_before(of(last, "insert before"), parsed, more),
         patches.insert_after(of(last, "insert after"), parsed, more),
         patches.move_blocks(of(first(b), "move to the end").join(ends, "doc_id"), parsed, F.col("n")),
+        patches.move_blocks(of(b.where("text like 'b %'"), "move last first"), parsed, F.lit(0)),
+        patches.replace_blocks(of(last, "replace by nothing"), F.lit("\n")),
         patches.clone_blocks(of(first(b), "clone to the end").join(ends, "doc_id"), parsed, F.col("n")),
         patches.wrap_blocks(of(first(b), "wrap quote"), parsed),
         patches.wrap_blocks(of(first(b), "wrap bullet"), parsed, "-"),
@@ -406,10 +424,11 @@ def edits(docs):
         patches.set_images(of(images, "image alt"), alt=F.lit("n!")),
         patches.ensure_sections(parsed, heads, wanted),
     ]
-    every = made[0]
-    for part in made[1:]:
-        every = every.unionByName(part)
-    done = patches.apply(docs, every)
+    every = reduce(DataFrame.unionByName, made)
+    twice = [every.withColumn("seq", F.lit(0)), patches.replace_code(of(code, "edit twice"), F.lit("two\n")).withColumn("seq", F.lit(1)), patches.replace_code(of(code, "edit twice"), F.lit("three\n")).withColumn("seq", F.lit(2))]
+    second = heads.where("text like 'B %'")
+    twice += [patches.rename_headings(of(second, "rename and remove"), F.lit("New")).withColumn("seq", F.lit(1)), patches.remove_sections(of(sections.where("text like 'B %'"), "rename and remove")).withColumn("seq", F.lit(2))]
+    done = patches.lower(docs, reduce(DataFrame.unionByName, twice).persist())  # it is read several times
     return answered(docs, done.select("doc_id", F.col("source").cast("string").alias("got")))
 
 

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.parse import dominant_eol
+from inkwell.parse import dominant_eol, with_eols
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
@@ -34,10 +34,10 @@ def write_files(documents: DataFrame, root: str, compare: bool = True, preserve_
     rows = documents.select("path", F.col("source").cast("binary").alias("source"), F.col("sha256"))
     if eol is None:
         own = dominant_eol(F.col("source"))
-        even = F.regexp_replace(F.col("source").cast("string"), "\r\n|\r|\n", own).cast("binary")
+        even = with_eols(F.col("source"), own)
         rows = rows.withColumn("source", F.when(F.lit(not preserve_eol) | (own != "\n"), even).otherwise(F.col("source")))
     else:
-        rows = rows.withColumn("source", F.regexp_replace(F.col("source").cast("string"), "\r\n|\r|\n", eol).cast("binary"))
+        rows = rows.withColumn("source", with_eols(F.col("source"), eol))
     if not preserve_bom:
         rows = rows.withColumn("source", F.expr("case when hex(substring(source, 1, 3)) = 'EFBBBF' then substring(source, 4) else source end"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell import lint, patches
+from inkwell import intervals, lint, patches
 from inkwell.parse import parse
 
 BULLET = "-"
@@ -98,8 +98,9 @@ def blank_lines(t: lint.Tables) -> DataFrame:
     tops = t.blocks.where("depth = 1").select("doc_id", "start", F.lag("end").over(Window.partitionBy("doc_id").orderBy("pre")).alias("before")).where("before is not null")
     # Lines that are blank and lie between two blocks, numbered within their gap.
     blank = t.lines.where("trim(both ' \t' from text) = ''").select("doc_id", F.col("start").alias("at"), "line_end")
-    within = blank.alias("l").join(tops.alias("b"), F.expr("l.doc_id = b.doc_id and l.at >= b.before and l.line_end <= b.start")).select("l.doc_id", "at", "line_end", "start")
-    numbered = within.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "start").orderBy("at")))
+    gaps = tops.select("doc_id", F.col("before").alias("a"), F.col("start").alias("b"))
+    inside = intervals.within(blank, gaps, F.col("at"), F.col("line_end"))
+    numbered = inside.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "b").orderBy("at")))
     return patches.patch(numbered.where("n > 1"), F.col("at"), F.col("line_end"), F.lit(""), "blank lines")
 
 
@@ -116,8 +117,7 @@ def format_patches(parsed: DataFrame, passes: tuple[str, ...] = tuple(PASSES), e
     runs = {p: PASSES[p](tables).select(*patches.COLUMNS) for p in passes}
     if {"no-trailing-spaces", "blank-lines"} <= runs.keys():
         gone = runs["blank-lines"].select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
-        own = runs["no-trailing-spaces"].alias("p").join(gone.alias("g"), F.expr("p.doc_id = g.doc_id and p.start >= g.a and p.end <= g.b"), "left_anti")
-        runs["no-trailing-spaces"] = own.select(*patches.COLUMNS)
+        runs["no-trailing-spaces"] = intervals.beyond(runs["no-trailing-spaces"], gone, F.col("start"), F.col("end")).select(*patches.COLUMNS)
     every = [*runs.values(), *(run(tables).select(*patches.COLUMNS) for run in extra)]
     return reduce(DataFrame.unionByName, every)
 

@@ -357,8 +357,9 @@ class BlockParser:
             if line.indent >= 4:
                 if paragraph is None:
                     self.leave(container)
+                    block = self.add("indented-code", line.base + line.at)  # with its blanks
                     line.advance(4)
-                    return self.add("indented-code", line.base + line.at)
+                    return block
                 return container
             if (own := self.custom(rest, container, line)) is not None:
                 return own

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell import views
+from inkwell import intervals, views
 from inkwell.parse import blocks, dominant_eol, inlines, lines, references
 
 FIX = "struct<start:int,end:int,replacement:string>"
@@ -155,12 +155,8 @@ def _prefer_fenced(t: Tables, c: Config) -> DataFrame:
     rows = t.blocks.where("kind = 'indented-code'")
     language = "text" if "require-code-block-language" in c.rules else ""
     good = (F.col("depth") <= 1) & ~F.col("code").contains("```")
-    line = t.lines.select("doc_id", F.col("start").alias("line_start"), "content_end", "eol")
-    held = (rows["doc_id"] == line["doc_id"]) & (rows["start"] >= line["line_start"]) & (rows["start"] <= line["content_end"])
-    rows = rows.withColumn("good", good).join(line, held).drop(line["doc_id"])
-    eol = F.when(F.col("eol") == "", F.lit("\n")).otherwise(F.col("eol"))
-    code = F.concat(F.lit(f"```{language}"), eol, F.replace("code", F.lit("\n"), eol), F.lit("```"))
-    found = problem(rows, "an indented code block", fix=(F.when(F.col("good"), F.col("line_start")), F.col("end"), code))
+    code = F.concat(F.lit(f"```{language}"), "eol", F.replace("code", F.lit("\n"), F.col("eol")), F.lit("```"))
+    found = problem(rows.withColumn("good", good), "an indented code block", fix=(F.when(F.col("good"), F.col("start")), F.col("end"), code))
     return found.withColumn("fix", F.when(F.col("fix.start").isNotNull(), F.col("fix")))
 
 
@@ -177,7 +173,7 @@ def _trailing_spaces(t: Tables, c: Config) -> DataFrame:
     blank = t.lines.withColumn("gap", F.length("text") - F.length(F.regexp_replace("text", "[ \t]+$", ""))).where("gap > 0")
     opaque = t.blocks.where(F.col("kind").isin(*OPAQUE)).select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
     raw = t.inlines.where("kind in ('code-span', 'html-inline')").select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
-    outside = _outside(blank, opaque.unionByName(raw))
+    outside = intervals.apart(blank, opaque.unionByName(raw), F.col("content_end") - F.col("gap"), F.col("content_end"))
     # A hard break of two blanks or more keeps two.
     breaks = t.inlines.where("kind = 'hard-break'").select("doc_id", (F.col("end") - 1).alias("at"), F.lit(True).alias("hard"))
     marked = outside.join(breaks, (outside["doc_id"] == breaks["doc_id"]) & (outside["content_end"] == breaks["at"]), "left").select(outside["*"], "hard")
@@ -187,11 +183,6 @@ def _trailing_spaces(t: Tables, c: Config) -> DataFrame:
     return problem(rows, "blanks at the end of a line", begin, "content_end", (begin, F.col("content_end"), F.repeat(F.lit(" "), F.col("keep"))))
 
 
-def _outside(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Lines whose end lies in none of ranges."""
-    return rows.alias("l").join(ranges.alias("o"), F.expr("l.doc_id = o.doc_id and l.content_end > o.a and l.content_end - l.gap < o.b"), "left_anti")
-
-
 def _final_newline(t: Tables, c: Config) -> DataFrame:
     last = F.expr("cast(substring(source, -1, 1) as string)")
     rows = t.documents.where(F.octet_length("source") > 0).where(~last.isin("\n", "\r")).withColumn("n", F.octet_length("source"))
@@ -243,7 +234,7 @@ def check(parsed: DataFrame, config: Config | None = None) -> DataFrame:
 
 def fixes(problems: DataFrame) -> DataFrame:
     """Patches of the problems that can be fixed."""
-    return problems.where("fix is not null").select("doc_id", "fix.start", "fix.end", "fix.replacement", F.concat(F.lit("fix "), F.col("rule_id")).alias("description")).dropDuplicates(["doc_id", "start", "end", "replacement"])
+    return problems.where("fix is not null").select("doc_id", "fix.start", "fix.end", F.col("fix.replacement").cast("binary").alias("replacement"), F.concat(F.lit("fix "), F.col("rule_id")).alias("description")).dropDuplicates(["doc_id", "start", "end", "replacement"])
 
 
 def report(problems: DataFrame) -> DataFrame:

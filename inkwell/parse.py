@@ -7,6 +7,7 @@ filters on documents belong before parse(), since they don't pass a kernel.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ BLOCK = _struct(
     pre=_I, last_pre=_I, depth=_I, parent_pre=_I, sibling=_I, kind=_S, start=_I, end=_I, level=_I, ordered=_B, loose=_B, start_number=_I, marker=_S, task_state=_S, info=_S,
     language=_S, code=_S, fence_closed=_B, html=_S, html_type=_I, alert_type=_S, label_key=_S, fence=_S, content=_S, text=_S, fold=_S, slug=_S, own=_S, header=T.ArrayType(_S), align=T.ArrayType(_S),
     rows=T.ArrayType(T.ArrayType(_S)), row_ranges=T.ArrayType(RANGE), content_ranges=T.ArrayType(RANGE),
-    ext=T.MapType(_S, _S),
+    ext=T.MapType(_S, _S), lines=_struct(start=_I, text_end=_I, end=_I, cut_start=_I, cut_end=_I), eol=_S,
 )
 INLINE = _struct(block_pre=_I, inline_ord=_I, depth=_I, kind=_S, start=_I, end=_I, text=_S, destination=_S, title=_S, bracketed=_B, ref_label=_S, label_end=_I)
 EMPTY = dict.fromkeys(BLOCK.names)
@@ -42,6 +43,8 @@ TEXT_KINDS = ("paragraph", "atx-heading", "setext-heading", "description-term")
 
 
 HEADINGS = ("atx-heading", "setext-heading")
+CODE = ("fenced-code", "indented-code")
+LINES = BLOCK["lines"].dataType.names
 #: Kinds whose rows carry their source: whole, or the first line of an item, or the first and last line of fenced code.
 OWN = frozenset(("frontmatter:block", "atx-heading", "setext-heading", "link-reference-definition", "gfm:table", "list-item", "fenced-code"))
 
@@ -56,6 +59,36 @@ def own_source(text: str, block) -> str:
     return first + "\n" + text[max(text.rfind("\n", stop, block.end), text.rfind("\r", stop, block.end)) + 1 : block.end]
 
 
+REST = re.compile(r"[^\r\n]*")
+EOL = re.compile(r"\r\n|\r|\n")
+
+
+def whole_lines(text: str, block) -> tuple[int, int, int, int, int]:
+    """Where the lines of a root block begin, where their text and where they end, and what goes with the block.
+
+    With a block goes its blank line before, or at the start of the text the one after it.
+    """
+    first = int(text.startswith("\ufeff"))
+    start, stop = block.start, block.end
+    while start > first and text[start - 1] in " \t":
+        start -= 1
+    if stop > start and text[stop - 1] in "\r\n":
+        end, stop = stop, stop - (2 if text[stop - 2 : stop] == "\r\n" else 1)
+    else:
+        stop = REST.match(text, stop).end()
+        after = EOL.match(text, stop)
+        end = after.end() if after else stop
+
+    def eol_before(at: int) -> int:
+        return at - 2 if text[max(first, at - 2) : at] == "\r\n" else at - 1 if at > first and text[at - 1] in "\r\n" else -1
+
+    before = eol_before(start)
+    if start > first and before >= 0 and eol_before(before) >= 0:
+        return start, stop, end, before, end
+    after = EOL.match(text, end) if start == first else None
+    return start, stop, end, start, after.end() if after else end
+
+
 class Places:
     """Code points of a text to bytes of its source."""
 
@@ -112,6 +145,11 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
         row = EMPTY | {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
         if kind in OWN:
             row["own"] = _clean(own_source(text, block))
+        if depth == 1:
+            row["lines"] = dict(zip(LINES, map(place, whole_lines(text, block)), strict=True))
+        if depth == 1 or kind in CODE:
+            found = EOL.search(text, block.start, min(len(text), block.end + 2))
+            row["eol"] = found[0] if found else "\n"
         if "ext" in data:
             row["ext"] = list(data["ext"].items())
         if block.pieces:
@@ -120,7 +158,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
             row |= {"ordered": data["ordered"], "loose": data["loose"], "start_number": data["start"], "marker": data["signature"]}
         elif kind == "list-item":
             row["task_state"] = data.get("task")
-        elif kind in ("fenced-code", "indented-code"):
+        elif kind in CODE:
             row["code"] = _clean(code_of(text, block))
             if kind == "fenced-code":
                 row |= {"info": _clean(data["info"]), "language": _clean(language_of(data["info"])), "fence_closed": data["closed"], "fence": data["mark"]}
@@ -219,9 +257,24 @@ def lines(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -
     return out.select("doc_id", "line_no", "start", (F.col("start") + F.octet_length("text")).cast("int").alias("content_end"), (F.col("start") + width).cast("int").alias("line_end"), "eol", "text")
 
 
+def latin(data: Column) -> Column:
+    """Bytes as text of a code point each, whatever they encode, for string functions that must not lose any."""
+    return F.decode(data.cast("binary"), "ISO-8859-1")
+
+
+def raw(text: Column) -> Column:
+    """The bytes of latin() again."""
+    return F.encode(text, "ISO-8859-1")
+
+
+def with_eols(data: Column, eol: Column | str) -> Column:
+    """Bytes with all line endings made eol."""
+    return raw(F.regexp_replace(latin(data), F.lit("\r\n|\r|\n"), F.lit(eol) if isinstance(eol, str) else eol))
+
+
 def dominant_eol(source: Column) -> Column:
     """The most frequent line ending; ties go to LF, then CRLF, then CR."""
-    text = source.cast("string")
+    text = latin(source)
     crlf = F.regexp_count(text, F.lit("\r\n"))
     lf, cr = F.regexp_count(text, F.lit("\n")) - crlf, F.regexp_count(text, F.lit("\r")) - crlf
     return F.when((lf >= crlf) & (lf >= cr), "\n").when(crlf >= cr, "\r\n").otherwise("\r")

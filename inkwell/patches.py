@@ -1,11 +1,15 @@
-"""Byte patches: conflicts, application, unified diffs, and the edits that give patches.
+"""Byte patches: conflicts, application, overlapping edits, unified diffs, and the edits that give patches.
 
-A patch is a row (doc_id, start, end, replacement string, description); offsets are bytes of the source.
+A patch is a row (doc_id, start, end, replacement binary, description); offsets are bytes of the source, and every edit
+keeps the bytes it doesn't replace, whatever they encode.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from functools import reduce
+from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -13,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.parse import dominant_eol, latin, raw
+
 COLUMNS = ("doc_id", "start", "end", "replacement", "description")
 
 
 def patch(rows: DataFrame, start: Column, end: Column, replacement: Column, description: str) -> DataFrame:
-    return rows.select("doc_id", start.cast("int").alias("start"), end.cast("int").alias("end"), replacement.cast("string").alias("replacement"), F.lit(description).alias("description"))
+    return rows.select("doc_id", start.cast("int").alias("start"), end.cast("int").alias("end"), replacement.cast("binary").alias("replacement"), F.lit(description).alias("description"))
 
 
 def conflicts(patches: DataFrame) -> DataFrame:
@@ -50,6 +56,46 @@ def apply(documents: DataFrame, patches: DataFrame, on_conflict: str = "error",
     return out.select("doc_id", F.col("new").alias("source"), (~F.col("new").eqNullSafe(F.col("source"))).alias("changed"))
 
 
+def lower(documents: DataFrame, patches: DataFrame, profile: str = "github", on_stale: str = "error", source_col: str = "source", **options) -> DataFrame:
+    """(doc_id, source, changed, rewritten): sources with patches that may overlap, in the order of their column seq if they have one.
+
+    Documents whose patches are apart take apply().  Where patches overlap, a later one takes the place of those it
+    covers, and the smallest block around them is written anew in the common style; rewritten lists what was, as
+    (kind, start, end) in bytes of the old source.  A patch of a part of what an earlier one has replaced is stale: it fails
+    the job, or with "skip" its document stays as it is, with kind "stale".
+    """
+    rows = patches if "seq" in patches.columns else patches.withColumn("seq", F.lit(0))
+    meeting = conflicts(patches).select("doc_id").distinct()
+    apart = apply(documents.join(meeting, "doc_id", "left_anti"), rows.join(meeting, "doc_id", "left_anti"), source_col=source_col)
+    kind = "array<struct<kind: string, start: int, end: int>>"
+    listed = rows.join(meeting, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "end", F.col("replacement").cast("binary").alias("r")))).alias("p"))
+    joined = documents.select("doc_id", F.col(source_col).cast("binary").alias("source")).join(listed, "doc_id")
+
+    def kernel(batches):
+        from inkwell.kernel.blocks import Options
+        from inkwell.kernel.lowering import Stale, lowered
+
+        own = Options.profile(profile, **options)
+        for batch in batches:
+            sources, out, notes = batch.column("source").to_pylist(), [], []
+            for doc_id, source, found in zip(batch.column("doc_id").to_pylist(), sources, batch.column("p").to_pylist(), strict=True):
+                try:
+                    text, rewritten = lowered(source, [(x["start"], x["end"], x["r"]) for x in found], own)
+                except Stale as stale:
+                    if on_stale == "error":
+                        raise ValueError(f"document {doc_id}: {stale}") from None
+                    text, rewritten = source, [("stale", 0, len(source))]
+                out.append(text)
+                notes.append([{"kind": k, "start": a, "end": b} for k, a, b in rewritten])
+            changed = [a != b for a, b in zip(out, sources, strict=True)]
+            noted = pa.array(notes, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(changed), noted], ["doc_id", "source", "changed", "rewritten"])
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    done = joined.where("source is not null").mapInArrow(kernel, f"doc_id {id_type}, source binary, changed boolean, rewritten {kind}")
+    return apart.withColumn("rewritten", F.array().cast(kind)).unionByName(done)
+
+
 # ---- edits -------------------------------------------------------------------------------------------------------
 #
 # Edits take rows of inkwell.views; those that look at what stands around a place also take the documents (doc_id, source).
@@ -67,22 +113,20 @@ def _trimmed(text: Column) -> Column:
 
 def _eols(edge: Column, pattern: str) -> Column:
     """How many line endings, of two at most, stand at an edge of a few bytes."""
-    return F.regexp_count(F.regexp_extract(edge.cast("string"), pattern, 0), F.lit(EOL))
+    return F.regexp_count(F.regexp_extract(latin(edge), pattern, 0), F.lit(EOL))
 
 
 def insertion(at: Column, text: Column, source: Column | None = None) -> Column:
     """What to insert at a place of source (a column of that name) so that a blank line stands on either side of text."""
-    from inkwell.parse import dominant_eol
-
     source = F.col("source") if source is None else source
     eol = dominant_eol(source)
-    own = F.trim(F.regexp_replace(text, EOL, eol), F.lit("\r\n"))
+    own = F.trim(F.regexp_replace(latin(text), EOL, eol), F.lit("\r\n"))
     first = F.when(F.hex(F.substring(source, 1, 3)) == "EFBBBF", 3).otherwise(0)
     before = _eols(source.substr(F.greatest(at - 3, F.lit(1)), F.least(at, F.lit(4))), f"(?:{EOL}){{0,2}}$")
     after = _eols(source.substr(at + 1, F.lit(4)), f"^(?:{EOL}){{0,2}}")
     prefix = F.when(at == first, "").otherwise(F.repeat(eol, 2 - before))
     suffix = F.when(at == F.octet_length(source), eol).otherwise(F.repeat(eol, 2 - after))
-    return F.concat(prefix, own, suffix)
+    return raw(F.concat(prefix, own, suffix))
 
 
 def rename_headings(headings: DataFrame, new_text: Column) -> DataFrame:
@@ -113,42 +157,61 @@ def remove_sections(sections: DataFrame) -> DataFrame:
     return patch(sections, F.col("start"), F.col("section_end"), F.lit(""), "remove section")
 
 
+def _whole(name: str, plain: str) -> Column:
+    """A place of a root block's whole lines, of other blocks their own."""
+    return F.coalesce(F.col(f"lines.{name}"), F.col(plain))
+
+
 def remove_blocks(blocks: DataFrame) -> DataFrame:
-    return patch(blocks, F.col("start"), F.col("end"), F.lit(""), "remove block")
+    """Blocks taken out, root blocks with their lines and one blank line."""
+    return patch(blocks, _whole("cut_start", "start"), _whole("cut_end", "end"), F.lit(""), "remove block")
 
 
 def replace_blocks(blocks: DataFrame, text: Column) -> DataFrame:
-    return patch(blocks, F.col("start"), F.col("end"), _trimmed(text), "replace block")
+    """Blocks with other text; by empty text they are removed."""
+    own = _trimmed(text)
+    of = lambda cut, at, plain: F.when(own == "", _whole(cut, plain)).otherwise(_whole(at, plain))
+    return patch(blocks, of("cut_start", "start", "start"), of("cut_end", "text_end", "end"), own, "replace block")
 
 
 def insert_before(blocks: DataFrame, documents: DataFrame, text: Column) -> DataFrame:
     """Text before top-level blocks, apart by blank lines; nothing goes before front matter."""
-    at = F.col("start")
+    at = _whole("start", "start")
     return patch(_near(blocks.where("depth = 1 and kind <> 'frontmatter:block'"), documents), at, at, insertion(at, text), "insert block")
 
 
 def insert_after(blocks: DataFrame, documents: DataFrame, text: Column) -> DataFrame:
     """Text after top-level blocks, apart by blank lines."""
-    at = F.col("end")
+    at = _whole("end", "end")
     return patch(_near(blocks.where("depth = 1"), documents), at, at, insertion(at, text), "insert block")
 
 
+def _source_of(end: str) -> Column:
+    """The bytes of the whole lines of a row's block in the document beside it."""
+    start = _whole("start", "start")
+    return F.col("source").substr(start + 1, _whole(end, "end") - start)
+
+
 def clone_blocks(blocks: DataFrame, documents: DataFrame, to: Column) -> DataFrame:
     """Copies of blocks at the byte to."""
-    own = F.col("source").substr(F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
-    return patch(_near(blocks, documents), to, to, insertion(to, own), "clone block")
+    return patch(_near(blocks, documents), to, to, insertion(to, _source_of("end")), "clone block")
 
 
 def move_blocks(blocks: DataFrame, documents: DataFrame, to: Column) -> DataFrame:
-    """Blocks taken from their place and put at the byte to, which must lie outside of them."""
+    """Blocks taken from their place, with one blank line, and put at the byte to, which must lie outside of them.
+
+    A block stays where to is right before or after it.
+    """
     inside = (to > F.col("start")) & (to < F.col("end"))
     target = F.when(inside, F.raise_error(F.lit("a block can't move into itself")).cast("int")).otherwise(to)
-    return remove_blocks(blocks).unionByName(clone_blocks(blocks, documents, target).withColumn("description", F.lit("move block")))
+    moved = _near(blocks, documents).withColumn("_to", target).where(~F.col("_to").between(_whole("cut_start", "start"), _whole("cut_end", "end")))
+    at = F.col("_to")
+    return remove_blocks(moved).unionByName(patch(moved, at, at, insertion(at, _source_of("end")), "move block"))
 
 
 def wrapped(text: Column, first: str, rest: str) -> Column:
-    """text with first before its first line and rest before all others."""
-    return F.concat(F.lit(first), F.regexp_replace(text, rf"({EOL})(?=[\s\S])", "$1" + rest))
+    """Bytes with first before their first line and rest before all others."""
+    return raw(F.concat(F.lit(first), F.regexp_replace(latin(text), rf"({EOL})(?=[\s\S])", "$1" + rest)))
 
 
 def wrap_blocks(blocks: DataFrame, documents: DataFrame, style: str = "quote", start: int = 1, delimiter: str = ".") -> DataFrame:
@@ -156,8 +219,8 @@ def wrap_blocks(blocks: DataFrame, documents: DataFrame, style: str = "quote", s
     if style not in ("quote", "-", "+", "*", "ordered") or delimiter not in (".", ")") or not 0 <= start <= 999_999_999:
         raise ValueError(f"unknown wrapper {style!r}, {start}, {delimiter!r}")
     mark = "> " if style == "quote" else f"{start}{delimiter} " if style == "ordered" else f"{style} "
-    own = F.col("source").substr(F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
-    return patch(_near(blocks, documents), F.col("start"), F.col("end"), wrapped(own, mark, mark if style == "quote" else " " * len(mark)), "wrap block")
+    text = wrapped(_source_of("text_end"), mark, mark if style == "quote" else " " * len(mark))
+    return patch(_near(blocks, documents), _whole("start", "start"), _whole("text_end", "end"), text, "wrap block")
 
 
 def _language(language: Column) -> Column:
@@ -178,7 +241,8 @@ def replace_code(code_blocks: DataFrame, code: Column, language: Column | None =
     runs = F.array_max(F.transform(F.regexp_extract_all(code, F.lit("`+"), F.lit(0)), F.length))
     fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(runs, F.lit(0)) + 1))
     named = F.coalesce(F.col("language") if language is None else _language(language), F.lit(""))
-    return patch(code_blocks, F.col("start"), F.col("end"), F.concat(fence, named, F.lit("\n"), F.rtrim(code, F.lit("\n")), F.lit("\n"), fence), "replace code")
+    lines = F.concat(fence, named, F.lit("\n"), F.rtrim(code, F.lit("\r\n")), F.lit("\n"), fence)
+    return patch(code_blocks, F.col("start"), F.col("end"), F.regexp_replace(lines, F.lit(EOL), F.col("eol")), "replace code")
 
 
 def replace_front_matter(front: DataFrame, content: Column) -> DataFrame:
@@ -187,7 +251,8 @@ def replace_front_matter(front: DataFrame, content: Column) -> DataFrame:
     closes = F.exists(F.split(own, EOL), lambda line: F.rtrim(line) == F.col("fence"))
     bad = F.raise_error(F.lit("the content closes the front matter")).cast("string")
     at = F.col("start") + F.octet_length(F.regexp_extract("own", rf"^[^\r\n]*(?:{EOL})", 0))
-    return patch(front, at, at + F.octet_length("content"), F.when(closes, bad).otherwise(own), "replace front matter")
+    last = F.octet_length(F.regexp_extract("own", rf"(?:^|{EOL})([^\r\n]*)(?:{EOL})?$", 1))  # the closing fence, plain ASCII as the opening one
+    return patch(front, at, F.col("end") - last, F.when(closes, bad).otherwise(F.regexp_replace(own, F.lit(EOL), F.col("eol"))), "replace front matter")
 
 
 def link_target(destination: Column, title: Column) -> Column:
@@ -236,7 +301,7 @@ def ensure_sections(documents: DataFrame, headings: DataFrame, wanted: DataFrame
     missing = rows.join(headings.select("doc_id", "fold").distinct(), ["doc_id", "fold"], "left_anti")
     parts = missing.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("title", "level"))).alias("parts"))
     sized = _near(parts, documents)
-    text = F.col("source").cast("string")
+    text = latin(F.col("source"))
     gap = F.when((text == "") | text.rlike(rf"(?:{EOL}){{2}}$"), "").when(text.rlike(rf"(?:{EOL})$"), "\n").otherwise("\n\n")
     lines = F.array_join(F.transform("parts", lambda p: F.concat(md_heading(p["level"], p["title"]), F.lit("\n"))), "\n")
     return patch(sized, F.octet_length("source"), F.octet_length("source"), F.concat(gap, lines), "ensure section")
@@ -270,9 +335,9 @@ class Journal:
 def composed(patches: DataFrame) -> DataFrame:
     """Patches with insertions at one place made one: those of most text first, line endings alone last."""
     rows = patches.dropDuplicates(["doc_id", "start", "end", "replacement"])
-    at = rows.where("start = end").withColumn("_bare", F.col("replacement").rlike(r"^[\r\n]*$"))
+    at = rows.where("start = end").withColumn("replacement", latin(F.col("replacement"))).withColumn("_bare", F.col("replacement").rlike(r"^[\r\n]*$"))
     joined = at.groupBy("doc_id", "start", "end").agg(F.sort_array(F.collect_list(F.struct("_bare", "description", "replacement"))).alias("p"))
-    one = joined.select("doc_id", "start", "end", F.array_join(F.transform("p", lambda x: x["replacement"]), "").alias("replacement"), F.array_join(F.transform("p", lambda x: x["description"]), "; ").alias("description"))
+    one = joined.select("doc_id", "start", "end", raw(F.array_join(F.transform("p", lambda x: x["replacement"]), "")).alias("replacement"), F.array_join(F.transform("p", lambda x: x["description"]), "; ").alias("description"))
     return rows.where("start <> end").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
@@ -282,37 +347,71 @@ LCS_CELLS = 1_000_000
 CONTEXT = 3
 
 
-def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of equal lines of a longest common subsequence; by unique anchors where the table would be too large."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    head, tail = [(i, i) for i in range(lo)], [(len(a) - hi + i, len(b) - hi + i) for i in range(hi)]
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if len(x) * len(y) > LCS_CELLS:
-        where = {line: j for j, line in enumerate(y) if y.count(line) == 1}
-        best: list[tuple[int, int]] = []
-        for i, line in enumerate(x):
-            if line in where and x.count(line) == 1 and (not best or where[line] > best[-1][1]):
-                best.append((i, where[line]))
-        return head + [(i + lo, j + lo) for i, j in best] + tail
+def longest_common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence, by the whole table."""
     table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             table[i][j] = table[i + 1][j + 1] + 1 if x[i] == y[j] else max(table[i + 1][j], table[i][j + 1])
-    middle, i, j = [], 0, 0
+    out, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
-            middle.append((i + lo, j + lo))
+            out.append((i, j))
             i, j = i + 1, j + 1
         elif table[i + 1][j] >= table[i][j + 1]:
             i += 1
         else:
             j += 1
-    return head + middle + tail
+    return out
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of pairs, sorted by their first numbers, whose second numbers rise."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [j], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of equal lines, rising in both texts.
+
+    Equal edges go first.  What lies between is a longest common subsequence while its table is small; else lines that
+    stand once in both texts are anchors, the most of them that rise, and the gaps between them are taken alike; without
+    anchors, lines meet at equal distance from the gap's start.
+    """
+    out, gaps = [], [(0, len(a), 0, len(b))]
+    while gaps:
+        i, m, j, n = gaps.pop()
+        while i < m and j < n and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        if (m - i) * (n - j) <= LCS_CELLS:
+            out += [(i + p, j + q) for p, q in longest_common(a[i:m], b[j:n])]
+            continue
+        once, other = Counter(a[i:m]), Counter(b[j:n])
+        where = {line: q for q, line in enumerate(b[j:n], j) if other[line] == 1}
+        anchors = rising([(p, where[line]) for p, line in enumerate(a[i:m], i) if once[line] == 1 and line in where])
+        if not anchors:
+            out += [(i + k, j + k) for k in range(min(m - i, n - j)) if a[i + k] == b[j + k]]
+            continue
+        out += anchors
+        ends = [(i - 1, j - 1), *anchors, (m, n)]
+        gaps += [(p + 1, r, q + 1, s) for (p, q), (r, s) in pairwise(ends) if p + 1 < r and q + 1 < s]
+    return sorted(out)
 
 
 def unified(before: str, after: str, context: int = CONTEXT) -> str:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell import intervals
+
 HEADINGS = ("atx-heading", "setext-heading")
 KINDS = (
     "document", "paragraph", *HEADINGS, "indented-code", "fenced-code", "html-block", "block-quote", "list", "list-item", "thematic-break", "link-reference-definition",
@@ -75,11 +77,11 @@ def images(inlines: DataFrame) -> DataFrame:
 def code_blocks(blocks: DataFrame, language: str | None = None) -> DataFrame:
     rows = blocks.where(F.col("kind").isin("fenced-code", "indented-code"))
     rows = rows if language is None else rows.where(F.col("language") == language)
-    return rows.select("doc_id", "pre", "depth", "kind", "language", "info", "code", "fence", "fence_closed", "own", "start", "end")
+    return rows.select("doc_id", "pre", "depth", "kind", "language", "info", "code", "fence", "fence_closed", "own", "eol", "start", "end")
 
 
 def front_matter(blocks: DataFrame) -> DataFrame:
-    return blocks.where("kind = 'frontmatter:block'").select("doc_id", "fence", "content", "own", "start", "end")
+    return blocks.where("kind = 'frontmatter:block'").select("doc_id", "fence", "content", "own", "eol", "start", "end")
 
 
 def decoded_front_matter(front: DataFrame, decoder: Callable[[str], dict] | Column) -> DataFrame:
@@ -142,11 +144,8 @@ def unused_references(references: DataFrame) -> DataFrame:
 
 
 def smallest_block(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (doc_id, start, end, …) with the pre and kind of the smallest block that holds each."""
-    key = [c for c in ranges.columns]
-    own = blocks.select("doc_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), "depth", F.col("pre").alias("block_pre"), F.col("kind").alias("block_kind"))
-    inside = ranges.join(own, "doc_id").where("b_start <= start and end <= b_end")
-    return inside.groupBy(*key).agg(F.max_by(F.struct("block_pre", "block_kind"), F.struct("depth", "block_pre")).alias("b")).select(*key, "b.*")
+    """ranges (doc_id, start, end, …) with the pre and kind of the smallest block that holds each, by one sweep a document."""
+    return ranges.join(intervals.innermost(blocks, ranges), ["doc_id", "start", "end"]).select(*ranges.columns, "block_pre", "block_kind")
 
 
 def document_sections(blocks: DataFrame, inlines: DataFrame) -> DataFrame:
