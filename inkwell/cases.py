@@ -7,6 +7,7 @@ query joins the same keys with the answers as they stand here.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,6 +20,7 @@ from inkwell import functions as fn
 from inkwell import lint, patches, sanitize, stats, views
 from inkwell.engine import Engine, Extension
 from inkwell.kernel.render import Decorator, Policy, normalised
+from inkwell.kernel.rules import CLOSE, TABS, BlockRule, Go, InlineRule, LineView, Opened
 from inkwell.parse import blocks, inlines, lines, parse, references
 
 Cases = list[tuple[str, str, str]]
@@ -218,6 +220,41 @@ SYNTAX: Cases = [
     ("block renderer", "@note {n}\n", "<aside>{n}</aside>\n"),
     ("container", "@box\n*a* {n}\n@end\nb\n", '<div data-kind="box">\n<p><em>a</em> {n}</p>\n</div>\n<p>b</p>\n'),
     ("inline renderer", "%%k{n}%%\n", "<p><kbd>k{n}</kbd></p>\n"),
+    ("inline parser", "see #12{n} and # x\n", '<p>see <a data-ticket="12{n}">12{n}</a> and # x</p>\n'),
+    ("block with state", "::: note\na {n}\n\n:::: tip\n- b\n::::\n:::\nc\n", '<section class="note">\n<p>a {n}</p>\n<section class="tip">\n<ul>\n<li>b</li>\n</ul>\n</section>\n</section>\n<p>c</p>\n'),
+    ("block with state", "> ::: note\n> a {n}\n\nb\n", '<blockquote>\n<section class="note">\n<p>a {n}</p>\n</section>\n</blockquote>\n<p>b</p>\n'),
+    ("block with state", "- ::: note\n  a {n}\n  :::\n- b\n", '<ul>\n<li>\n<section class="note">\n<p>a {n}</p>\n</section>\n</li>\n<li>b</li>\n</ul>\n'),
+    ("block with state", "text\n::: note\n```\n::: x\n```\n{n}\n", '<p>text</p>\n<section class="note">\n<pre><code>::: x\n</code></pre>\n<p>{n}</p>\n</section>\n'),
+    ("leaf with state", "%%%\n*a* {n}\n\n> b\n%%%\nc\n", '<div data-kind="math">*a* {n}\n\n&gt; b\n</div>\n<p>c</p>\n'),
+    ("footnotes", "a[^n] b[^n] c[^none]\n\n[^n]: T *e* {n}\n\n    more\n\n[^m]: unused\n", '<p>a<sup id="fnref-1"><a href="#fn-1" role="doc-noteref">1</a></sup> b<sup id="fnref-1-2"><a href="#fn-1" role="doc-noteref">1</a></sup> c[^none]</p>\n<div class="footnotes" role="doc-endnotes">\n<hr />\n<ol>\n<li id="fn-1" role="doc-endnote">\n<p>T <em>e</em> {n}</p>\n<p>more <a href="#fnref-1" role="doc-backlink">↩</a> <a href="#fnref-1-2" role="doc-backlink">↩</a></p>\n</li>\n</ol>\n</div>\n'),
+    ("footnotes", "# h[^X]\n\n[^x]: ~~~\n    y {n}\n    ~~~\n", '<h1 class="head">h<sup id="fnref-1"><a href="#fn-1" role="doc-noteref">1</a></sup></h1>\n<div class="footnotes" role="doc-endnotes">\n<hr />\n<ol>\n<li id="fn-1" role="doc-endnote">\n<pre><code>y {n}\n</code></pre> <a href="#fnref-1" role="doc-backlink">↩</a>\n</li>\n</ol>\n</div>\n'),
+    ("tabs", "@tabs\nlost\n@tab One\na\n@@tabs\n@@tab In {n}\n- x\n@@endtabs\n@tab \"Two\"\n@endtabs\nc\n", """<div class="tabs" id="tabs-1">
+<div class="tabs-list">
+<a class="tabs-tab is-active" id="tabs-1-tab-1" href="#tabs-1-panel-1" aria-controls="tabs-1-panel-1">One</a>
+<a class="tabs-tab" id="tabs-1-tab-2" href="#tabs-1-panel-2" aria-controls="tabs-1-panel-2">Two</a>
+</div>
+<div class="tabs-panels">
+<div class="tabs-panel is-active" id="tabs-1-panel-1" aria-labelledby="tabs-1-tab-1">
+<p>a</p>
+<div class="tabs" id="tabs-2">
+<div class="tabs-list">
+<a class="tabs-tab is-active" id="tabs-2-tab-1" href="#tabs-2-panel-1" aria-controls="tabs-2-panel-1">In {n}</a>
+</div>
+<div class="tabs-panels">
+<div class="tabs-panel is-active" id="tabs-2-panel-1" aria-labelledby="tabs-2-tab-1">
+<ul>
+<li>x</li>
+</ul>
+</div>
+</div>
+</div>
+</div>
+<div class="tabs-panel" id="tabs-1-panel-2" aria-labelledby="tabs-1-tab-2"></div>
+</div>
+</div>
+<p>c</p>
+"""),
+    ("no tabs", "@tab Orphan {n}\n\n@tabs extra\n", "<p>@tab Orphan {n}</p>\n<p>@tabs extra</p>\n"),
 ]
 
 NORMAL: Cases = [
@@ -261,8 +298,13 @@ VIEWS: Cases = [
     ("kinds", "# a\n\n- {n}\n", "atx-heading,list"),
     ("footnotes", "x[^a] y[^b] z[^a] `[^b]` [^no]\n\n[^b]: B\n\n[^a]: A {n}\n\n[^c]: C\n", "1=A {n},2=B;a1.1,a1.2,b2.1"),
     ("contents", "@toc {min: 2}\n\n# A\n## B {n}\n### C\n", "- [B {n}](#b-{n})\n   - [C](#c)\n\n# A\n## B {n}\n### C\n"),
-    ("tabs", "@tabs\n@tab One\na\n@tab Two {n}\nb\n@endtabs\n", "One=markdown-tabs-1-tab-1,Two {n}=markdown-tabs-1-tab-2"),
+    ("tabs", "@tabs\n@tab One\na\n@tab Two {n}\nb\n@endtabs\n", "One=tabs-1-tab-1,Two {n}=tabs-1-tab-2"),
+    ("tabs", "@tabs\n@tab A\n@@tabs\n@@tab B {n}\n@@endtabs\n@tab C\n@endtabs\n", "A=tabs-1-tab-1,B {n}=tabs-2-tab-1,C=tabs-1-tab-2"),
     ("mentions", "hi @ann and x@ann `@ann` @bob{n}\n", "/u/ann"),
+    ("footnotes", "# h[^x]\n\n| t[^z] |\n|---|\n| c[^x] |\n\n- i[^y]\n\n[^x]: X\n\n    more\n\n[^y]: Y {n}\n\n[^z]: Z\n", "1=X\n\nmore,2=Z,3=Y {n};x1.1,x1.2,y3.1,z2.1"),
+    ("includes", '```\n@include "a.md"\n```\n\n    @include "b.md"\n\n> @include "b.md"\n{n}\n', '```\n@include "a.md"\n```\n\n    @include "b.md"\n\n> @include "b.md"\n{n}\n'),
+    ("includes", '@include "b.md"\n@include "a.md"\n@include "a.md"\n{n}\n', 'B\nA1\nB\nA1\nB\n{n}\n'),
+    ("includes", '@include "loop.md"\n{n}\n', 'L\n@include "loop.md"\n{n}\n'),
     ("includes", '@include "a.md"\n{n}\n@include "../b.md"\n', 'A1\nB\n{n}\n@include "../b.md"\n'),
     ("imports", '@import "a.py" {lines: 2-3, indent: 2}\n\n{n}\n', "  2\n  3|py"),
     ("excerpts", '@source "a.py" {lines: 2-3, title: "T {n}", numbers: true, highlight: "3"}\n', '<figure class="code-block has-title"><figcaption class="code-title">T {n}</figcaption><pre><code class="language-py"><span class="line-number">2</span>2\n<span class="line-number">3</span><mark>3</mark>\n</code></pre></figure>'),
@@ -436,7 +478,33 @@ def _rel(kind: str, attributes: dict, data: dict) -> dict:
     return attributes | {"rel": "nofollow"} if attributes.get("href", "").startswith("https:") else attributes
 
 
+def _start_callout(line: LineView) -> Opened | None:
+    found = re.match(r"(:{3,})[ \t]*([a-z]+)[ \t]*$", line.text)
+    return Opened({"marks": found[1], "name": found[2]}) if found else None
+
+
+def _proceed_callout(line: LineView, state: dict) -> Go | None:
+    return CLOSE if line.indent <= 3 and line.text.rstrip() == state["marks"] else Go(columns=0)
+
+
+def _start_math(line: LineView) -> Opened | None:
+    return Opened() if line.text.rstrip() == "%%%" else None
+
+
+def _proceed_math(line: LineView, state: dict) -> Go | None:
+    return CLOSE if line.text.rstrip() == "%%%" else Go(columns=0)
+
+
+def _ticket(content: str, at: int) -> tuple[int, str, None] | None:
+    found = re.compile("#([0-9]+)").match(content, at)
+    return (found.end(), found[1], None) if found else None
+
+
 EXTENSIONS = (
+    Extension("callouts", block_rules=(BlockRule("callout", ":", _start_callout, _proceed_callout), BlockRule("math", "%", _start_math, _proceed_math, container=False)), renderers={"callout": lambda inner, data: f'<section class="{data["name"]}">\n{inner}</section>\n'}),
+    Extension("tickets", inline_parsers=(InlineRule("ticket", "#", _ticket),), renderers={"ticket": lambda inner, data: f'<a data-ticket="{data["text"]}">{inner}</a>'}),
+    Extension("tabs", block_rules=TABS),
+    Extension("numbered notes", options={"footnotes": True}),
     Extension("marks", inline_rules=(ext.HIGHLIGHT, ext.paired_delimiter("insert", "++", "ins"), ext.paired_delimiter("key", "%%", "kbd")), renderers={"key": lambda inner, data: f"<kbd>{inner}</kbd>"}),
     Extension("notes", line_rules=(("note", "@note (?P<body>.+)"),), renderers={"note": lambda inner, data: f"<aside>{data['body']}</aside>\n"}),
     Extension("boxes", container_rules=(("box", "@box", "@end"),)),
@@ -462,7 +530,7 @@ def curated_html(docs):
     return docs.select("doc_id", "case", sanitize.sanitize_html("source").alias("answer"))
 
 
-RULES = {"footnotes": True, "line_rules": (ext.TABLE_OF_CONTENTS, ext.TAB, ext.ATTRIBUTES, ext.EMBED, ext.IMPORT, ext.SOURCE), "container_rules": (ext.TABS,)}
+RULES = {"footnotes": True, "line_rules": (ext.TABLE_OF_CONTENTS, ext.ATTRIBUTES, ext.EMBED, ext.IMPORT, ext.SOURCE), "block_rules": TABS}
 
 
 def _front(content: str) -> dict:
@@ -478,14 +546,13 @@ def structural_views(docs):
     heads, sections = views.headings(b), views.sections(b, parsed)
     own = lambda rows, case, order, value, by=",": joined(of(rows, case), order, value, by)
     key = F.col("doc_id").cast("string")
-    resources = spark.createDataFrame([("a.md", 'A1\n@include "b.md"\n'), ("b.md", "B\n"), ("a.py", "1\n2\n3\n4\n")], "path string, text string")
+    resources = spark.createDataFrame([("a.md", 'A1\n@include "b.md"\n'), ("b.md", "B\n"), ("loop.md", 'L\n@include "loop.md"\n'), ("a.py", "1\n2\n3\n4\n")], "path string, text string")
     people = spark.createDataFrame([("ann", "/u/ann")], "name string, url string")
     by_title = [views.section_text(views.section(of(sections, "section by title").withColumn("fold", F.regexp_replace("fold", " [0-9]+$", "")), "STRASSE"), parsed).select("doc_id", F.col("section_source").alias("got"))]
     wanted = docs.where("case = 'anchors'").select("doc_id", F.concat(F.lit("a-"), key).alias("anchor"))
     decoded = views.decoded_front_matter(of(views.front_matter(b), "front matter"), _front)
     spots = docs.where("case = 'smallest block'").select("doc_id", F.lit(4).alias("start"), F.lit(5).alias("end"))
-    notes_of = of(b, "footnotes")
-    uses, notes = ext.footnotes(notes_of, parsed)
+    uses, notes = ext.footnotes(of(b, "footnotes"), i)
     noted = joined(notes, ["number"], F.concat(F.col("number").cast("string"), F.lit("="), "text")).withColumnRenamed("got", "a")
     used = joined(uses, ["label", "occurrence"], F.concat("label", F.col("number").cast("string"), F.lit("."), F.col("occurrence").cast("string"))).withColumnRenamed("got", "b")
     toc = patches.apply(docs.where("case = 'contents'"), ext.contents_splice(of(b, "contents"), parsed))

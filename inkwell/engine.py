@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 from inkwell import format as formatting
 from inkwell import lint, patches, stats
+from inkwell.kernel.rules import BlockRule, InlineRule
 from inkwell.kernel.render import Decorator, Plugins, Policy
 from inkwell.parse import blocks, inlines, parse
 from inkwell.sanitize import md_to_html
@@ -26,6 +27,8 @@ class Extension:
     inline_rules: tuple[tuple[str, str, str], ...] = ()
     line_rules: tuple[tuple[str, str], ...] = ()
     container_rules: tuple[tuple[str, str, str], ...] = ()
+    block_rules: tuple[BlockRule, ...] = ()
+    inline_parsers: tuple[InlineRule, ...] = ()
     options: dict[str, bool] = field(default_factory=dict)
     renderers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
     printers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
@@ -37,7 +40,7 @@ class Extension:
     metrics: dict[str, Column] = field(default_factory=dict)
 
     def kinds(self) -> tuple[str, ...]:
-        return tuple(r[0] for r in (*self.inline_rules, *self.line_rules, *self.container_rules))
+        return (*(r[0] for r in (*self.inline_rules, *self.line_rules, *self.container_rules)), *(r.kind for r in (*self.block_rules, *self.inline_parsers)))
 
 
 @dataclass(frozen=True)
@@ -56,10 +59,12 @@ class Engine:
                 raise ValueError(f"duplicate {what} {twice}")
         if bad := [k for e in more for k, pattern, _ in e.inline_rules if pattern.lstrip("\\")[:1] in RESERVED]:
             raise ValueError(f"inline rules begin with a reserved sign: {bad}")
+        if bad := [r.kind for e in more for r in e.inline_parsers if not r.triggers or set(r.triggers) & set(RESERVED)]:
+            raise ValueError(f"inline parsers begin with a reserved sign, or with none: {bad}")
         return Engine(self.profile, every)
 
     def syntax(self) -> dict:
-        rules = {name: sum((getattr(e, name) for e in self.extensions), ()) for name in ("inline_rules", "line_rules", "container_rules")}
+        rules = {name: sum((getattr(e, name) for e in self.extensions), ()) for name in ("inline_rules", "line_rules", "container_rules", "block_rules", "inline_parsers")}
         return rules | {k: v for e in self.extensions for k, v in e.options.items()}
 
     def plugins(self) -> Plugins:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell import patches, views
 from inkwell.functions import html_escape, md_escape
+from inkwell.kernel.blocks import BlockParser, Options
 
 # Syntax for parse(…, inline_rules=, line_rules=, container_rules=).
 HIGHLIGHT = ("highlight", r"==(?=\S)([^=\n]+?)(?<=\S)==", "mark")
@@ -21,8 +23,7 @@ EMBED = ("embed", r"(?P<url>https://(?P<host>[A-Za-z0-9.-]+)(?:/\S*)?)")
 IMPORT = ("import", r"@import[ \t]+\"(?P<path>[^\"]+)\"(?:[ \t]*\{(?P<options>[^}]*)\})?")
 SOURCE = ("source", r"@source[ \t]+\"(?P<path>[^\"]+)\"(?:[ \t]*\{(?P<options>[^}]*)\})?")
 ATTRIBUTES = ("attributes:block", r"\{:?[ \t]*(?P<attributes>[#.A-Za-z][^{}\n]{0,1023})\}")
-TABS = ("tabs:group", r"@tabs", r"@endtabs")
-TAB = ("tabs:item", r"@tab[ \t]+(?P<title>.{1,256})")
+INCLUDE = ("include", r"@include[ \t]+\"(?P<path>[^\"]+)\"")
 
 
 def paired_delimiter(kind: str, sign: str, element: str) -> tuple[str, str, str]:
@@ -121,32 +122,28 @@ def options(text: Column, allowed: tuple[str, ...]) -> Column:
     return tokenised(text)
 
 
-FOOTNOTE_USE = r"\[\^([^\]\s]{1,200})\](?!:)"
-FOOTNOTE_TEXT = r"^\[\^([^\]\s]{1,200})\]:[ \t]*([\s\S]*)$"
 
 
 # ---- footnotes ---------------------------------------------------------------------------------------------------
 
 
-def footnotes(blocks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uses, definitions) of footnotes.
+def footnotes(blocks: DataFrame, inlines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uses, definitions) of the notes of documents parsed with footnotes=True.
 
-    uses: (doc_id, label, number, occurrence, pre); definitions: (doc_id, label, number, text).  Notes are numbered by
-    their first use; unused definitions go, uses without a definition stay plain text.
+    uses: (doc_id, label, number, occurrence, pre, start, end), wherever they stand; definitions: (doc_id, label, number,
+    pre, last_pre, text), whose blocks are those between their numbers.  Notes are numbered by their first use; unused
+    definitions go, uses without a definition stay plain text, of several definitions of a label the first holds.
     """
-    own = blocks.where("kind = 'paragraph'").join(sources.select("doc_id", "source"), "doc_id").select("doc_id", "pre", F.expr("cast(substring(source, start + 1, end - start) as string)").alias("own"))
-    # Uses are read from text outside code spans and escapes.
-    shown = F.regexp_replace(F.col("own"), r"(?s)(?<![`\\])(`+)(?!`).*?(?<!`)\1(?!`)|\\\\.", " ")
-    defined = own.where(F.col("own").rlike(FOOTNOTE_TEXT)).select("doc_id", "pre", F.regexp_extract("own", FOOTNOTE_TEXT, 1).alias("label"), F.regexp_extract("own", FOOTNOTE_TEXT, 2).alias("text"))
-    first = defined.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("pre"))).where("n = 1").select("doc_id", "label", "text")
-    used = own.where(~F.col("own").rlike(FOOTNOTE_TEXT)).select("doc_id", "pre", F.posexplode(F.regexp_extract_all(shown, F.lit(FOOTNOTE_USE), F.lit(1))).alias("at", "label"))
-    used = used.join(first.select("doc_id", "label"), ["doc_id", "label"])
-    occurrence = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("pre", "at"))
-    begins = F.min(F.struct("pre", "at")).over(Window.partitionBy("doc_id", "label"))
+    own = inlines.where("kind = 'footnote:reference'").select("doc_id", F.col("destination").alias("key"), F.col("block_pre").alias("use_pre"), "inline_ord", "start", "end")
+    defined = blocks.where("kind = 'footnote:definition'").select("doc_id", F.col("label_key").alias("key"), F.col("ext")["label"].alias("label"), "pre", "last_pre", "text")
+    first = defined.groupBy("doc_id", "key").agg(F.min_by(F.struct("label", "pre", "last_pre", "text"), "pre").alias("d")).select("doc_id", "key", "d.*")
+    used = own.join(first.select("doc_id", "key", "label"), ["doc_id", "key"])
+    occurrence = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("use_pre", "inline_ord"))
+    begins = F.min(F.struct("use_pre", "inline_ord")).over(Window.partitionBy("doc_id", "key"))
     numbered = used.withColumn("occurrence", occurrence).withColumn("begins", begins).withColumn("number", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("begins")))
-    uses = numbered.select("doc_id", "label", "number", "occurrence", "pre")
-    notes = first.join(uses.where("occurrence = 1").select("doc_id", "label", "number"), ["doc_id", "label"])
-    return uses, notes.select("doc_id", "label", "number", "text")
+    notes = first.join(numbered.where("occurrence = 1").select("doc_id", "key", "number"), ["doc_id", "key"])
+    uses = numbered.select("doc_id", "label", "number", "occurrence", F.col("use_pre").alias("pre"), "start", "end")
+    return uses, notes.select("doc_id", "label", "number", "pre", "last_pre", "text")
 
 
 def footnote_html_id(number: Column, occurrence: Column) -> Column:
@@ -182,20 +179,15 @@ def contents_splice(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     return patches.patch(listed, F.col("start"), F.col("end"), F.col("toc"), "table of contents")
 
 
-def tab_groups(blocks: DataFrame) -> DataFrame:
-    """(doc_id, pre, group, panel, title, tab_id, panel_id) of tab items; groups and panels are numbered in document order."""
-    rows = blocks.where("kind = 'tabs:item'").select("doc_id", "pre", "parent_pre", F.col("ext")["title"].alias("title"))
-    group = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("parent_pre"))
-    panel = F.row_number().over(Window.partitionBy("doc_id", "parent_pre").orderBy("pre"))
-    rows = rows.withColumn("group", group).withColumn("panel", panel)
-    own = lambda part: F.concat(F.lit(f"{TABS_CLASS}-"), F.col("group").cast("string"), F.lit(f"-{part}-"), F.col("panel").cast("string"))
+def tab_groups(blocks: DataFrame, name: str = "tabs") -> DataFrame:
+    """(doc_id, pre, group, panel, title, tab_id, panel_id) of tab items, nested ones too; groups are numbered in document order, with those without tabs."""
+    groups = blocks.where("kind = 'tabs:group'").select("doc_id", F.col("pre").alias("parent_pre"), F.row_number().over(Window.partitionBy("doc_id").orderBy("pre")).alias("group"))
+    rows = blocks.where("kind = 'tabs:item'").select("doc_id", "pre", "parent_pre", F.col("ext")["title"].alias("title")).join(groups, ["doc_id", "parent_pre"])
+    rows = rows.withColumn("panel", F.row_number().over(Window.partitionBy("doc_id", "parent_pre").orderBy("pre")))
+    own = lambda part: F.concat(F.lit(f"{name}-"), F.col("group").cast("string"), F.lit(f"-{part}-"), F.col("panel").cast("string"))
     return rows.select("doc_id", "pre", "group", "panel", "title", own("tab").alias("tab_id"), own("panel").alias("panel_id"))
 
 
-#: Fixed value: the class of tab groups in HTML.
-TABS_CLASS = "markdown-tabs"
-
-
 def permalinks(blocks: DataFrame, prefix: str = "") -> DataFrame:
     return views.slugs(blocks).select("doc_id", "pre", F.concat(F.lit("#" + prefix), F.col("slug")).alias("href"))
 
@@ -326,9 +318,6 @@ def selected_lines(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(F.split(text, "\r\n|\r|\n"), first, F.greatest(last - first + 1, F.lit(0))), "\n")
 
 
-INCLUDE = r"(?m)^@include[ \t]+\"([^\"\n]+)\"[ \t]*$"
-
-
 def resolved(paths: DataFrame, resolver: Callable[[str], str | None]) -> DataFrame:
     """(path, text) of the paths that a function knows, for included() and imports()."""
 
@@ -348,24 +337,81 @@ def filesystem_resources(spark, root: str, pattern: str = "*.{md,markdown}", mos
     return files.select(path.alias("path"), F.col("content").cast("string").alias("text"), F.concat(F.lit("filesystem:"), F.sha2(F.lit(root.rstrip("/")), 256), F.lit(":"), coded).alias("resource_id"))
 
 
+PLACES = "array<struct<start: int, end: int, path: string>>"
+
+
+def include_places(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, places) of rows: where include blocks stand at the root of a text, in code points; code and quotes hold none."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = Options.profile("commonmark", line_rules=(INCLUDE,))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("path", pa.string())]))
+        for batch in batches:
+            out = []
+            for source in batch.column(1).to_pylist():
+                found = BlockParser(source, options).parse().children if source and "@include" in source else []
+                out.append([{"start": b.start, "end": b.end, "path": b.data["ext"]["path"]} for b in found if b.kind == "include"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], [key, text, "places"])
+
+    picked = rows.select(key, F.col(text).cast("string").alias(text))
+    return picked.mapInArrow(kernel, f"{key} {rows.schema[key].dataType.simpleString()}, {text} string, places {PLACES}")
+
+
+def assembled(source: str, places: list[dict], found: list[dict], most_resources: int, most_bytes: int) -> tuple[str, int]:
+    """A source with its includes in place, and the deepest level used; includes of too many resources or bytes stay as written."""
+    held = {tuple(x["branch"]): x for x in found}
+    totals: dict[int, list[int]] = {}
+    for branch, x in held.items():
+        own = totals.setdefault(branch[0], [0, 0])
+        own[0] += 1
+        own[1] += len(x["text"].encode())
+    reached = 0
+
+    def expand(text: str, own: list[dict], branch: tuple[int, ...]) -> str:
+        nonlocal reached
+        out, at = [], 0
+        for k, p in enumerate(own):
+            inner = held.get((*branch, k))
+            if inner is None or (not branch and (totals[k][0] > most_resources or totals[k][1] > most_bytes)):
+                continue
+            reached = max(reached, len(branch) + 1)
+            out += [text[at : p["start"]], expand(inner["text"], inner["places"], (*branch, k))]
+            at = p["end"]
+        return "".join([*out, text[at:]])
+
+    return expand(source, places, ()), reached
+
+
 def included(documents: DataFrame, resources: DataFrame, depth: int = 8, most_resources: int = 64, most_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, source, depth_reached) with @include "path" lines replaced by resources (path, text), level by level.
+    """(doc_id, source, depth_reached) with @include "path" blocks replaced by resources (path, text), level by level.
 
-    Unsafe, unknown and circular paths stay as they are written.  A document that would take in more resources or bytes
-    than allowed stays at the level before.
+    Only blocks at the root of a document or resource count, not lines of code.  A path may come again on another branch;
+    unsafe, unknown and circular paths stay as they are written, and so do those below depth.  An include whose tree takes
+    in more resources or bytes than allowed stays as a whole.
     """
-    out = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("reached"))
-    texts = resources.select(F.col("path").alias("_path"), F.regexp_replace("text", r"[\r\n]+$", "").alias("_text"))
-    for level in range(1, depth + 1):
-        found = F.array_distinct(F.regexp_extract_all("source", F.lit(INCLUDE), F.lit(1)))
-        wanted = out.select("doc_id", "seen", F.explode(found).alias("_path")).where(safe_path(F.col("_path")) & ~F.array_contains("seen", F.col("_path")))
-        known = wanted.join(texts, "_path").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_path", "_text"))).alias("parts"))
-        size = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["_text"]))
-        known = known.where(size <= most_bytes)
-        joined = out.join(known, "doc_id", "left").withColumn("parts", F.when(F.size("seen") + F.size("parts") <= most_resources, F.col("parts")))
-        spliced = F.aggregate("parts", F.col("source"), lambda s, p: F.regexp_replace(s, F.concat(F.lit("(?m)^@include[ \\t]+\"\\Q"), p["_path"], F.lit("\\E\"[ \\t]*$")), F.replace(F.replace(p["_text"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
-        out = joined.select("doc_id", F.coalesce(spliced, "source").alias("source"), F.concat("seen", F.coalesce(F.transform("parts", lambda p: p["_path"]), F.array().cast("array<string>"))).alias("seen"), F.when(F.col("parts").isNotNull(), level).otherwise(F.col("reached")).alias("reached"))
-    return out.select("doc_id", "source", F.col("reached").alias("depth_reached"))
+    held = include_places(resources.select("path", F.regexp_replace("text", r"[\r\n]+$", "").alias("text")), "path", "text").withColumnRenamed("path", "_path").persist()
+    docs = include_places(documents.select("doc_id", "source"), "doc_id", "source").persist()
+    asked = docs.select("doc_id", F.array().cast("array<int>").alias("above"), F.array().cast("array<string>").alias("active"), F.posexplode("places").alias("k", "p"))
+    levels = []
+    for _ in range(depth):
+        level = asked.where(safe_path(F.col("p.path")) & ~F.array_contains("active", F.col("p.path"))).join(held, F.col("p.path") == F.col("_path"))
+        level = level.select("doc_id", F.concat("above", F.array("k")).alias("branch"), F.concat("active", F.array("_path")).alias("active"), "text", "places").persist()
+        if level.isEmpty():
+            break
+        levels.append(level)
+        asked = level.select("doc_id", F.col("branch").alias("above"), "active", F.posexplode("places").alias("k", "p"))
+    if not levels:
+        return docs.select("doc_id", "source", F.lit(0).alias("depth_reached"))
+    listed = reduce(DataFrame.unionByName, levels).groupBy("doc_id").agg(F.collect_list(F.struct("branch", "text", "places")).alias("found"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("source", "places", "found"))
+            made = [assembled(s, p, f, most_resources, most_bytes) if f else (s, 0) for s, p, f in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int32())], ["doc_id", "source", "depth_reached"])
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    return docs.join(listed, "doc_id", "left").select("doc_id", "source", "places", "found").mapInArrow(kernel, f"doc_id {id_type}, source string, depth_reached int")
 
 
 def _dashes(text: Column) -> Column:

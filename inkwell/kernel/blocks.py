@@ -12,9 +12,12 @@ import re
 from dataclasses import dataclass, field
 
 from inkwell.kernel.names import HTML_BLOCK_TAGS
+from inkwell.kernel.rules import CLOSE, NOTE_USES, NOTES, BlockRule, InlineRule, LineView
 
 LEAVES = frozenset(("paragraph", "atx-heading", "setext-heading", "indented-code", "fenced-code", "html-block", "thematic-break", "link-reference-definition", "gfm:table", "frontmatter:block", "description-term"))
 
+RAW_LINES = frozenset(("fenced-code", "html-block", "indented-code"))
+
 ATX = re.compile(r"(#{1,6})(?:[ \t]+|$)")
 ATX_CLOSE = re.compile(r"(?:^|[ \t]+)#+[ \t]*$")
 SETEXT = re.compile(r"(=+|-+)[ \t]*$")
@@ -56,19 +59,28 @@ class Options:
     alerts: bool = True
     front_matter: bool = True
     descriptions: bool = False  # a paragraph followed by ": text" lines is a term with descriptions
-    footnotes: bool = False  # labels that begin with ^ are notes, not link references
+    footnotes: bool = False  # labels that begin with ^ are notes, which hold blocks, and their uses
     #: Further inline syntax: (kind, pattern whose group 1 is the text, HTML element). The first sign of a match must be fixed.
     inline_rules: tuple[tuple[str, str, str], ...] = ()
     #: Further one-line root blocks: (kind, pattern); named groups become attributes.
     line_rules: tuple[tuple[str, str], ...] = ()
     #: Further containers at the root: (kind, opening pattern, closing pattern); what stands between is parsed as blocks.
     container_rules: tuple[tuple[str, str, str], ...] = ()
+    #: Further blocks with a state of their own, and inlines that a function reads.
+    block_rules: tuple[BlockRule, ...] = ()
+    inline_parsers: tuple[InlineRule, ...] = ()
+    #: Class, and beginning of the ids, of tab groups in HTML.
+    tabs_class: str = "tabs"
     nesting: int = 256
     blocks: int | None = None
     inlines: int | None = None
     references: int | None = None
     source_bytes: int | None = None
 
+    def __post_init__(self) -> None:
+        if self.footnotes and NOTES not in self.block_rules:
+            self.block_rules, self.inline_parsers = (*self.block_rules, NOTES), (*self.inline_parsers, NOTE_USES)
+
     @staticmethod
     def profile(name: str, **more) -> Options:
         if name not in ("commonmark", "gfm", "github"):
@@ -164,7 +176,7 @@ class BlockParser:
 
         self.take_definitions = take_definitions
         first = self.front_matter() if self.options.front_matter else 0
-        quick = not (self.options.line_rules or self.options.container_rules)
+        quick = not (self.options.line_rules or self.options.container_rules or any(c.isalpha() for r in self.options.block_rules for c in r.triggers))
         for start, content, end in self.lines[first:]:
             if not (quick and start < content and self.plain_line(start, content)):
                 self.line(Line(self.text[start:content], start), end)
@@ -212,9 +224,9 @@ class BlockParser:
                 return i + 1
         return 0
 
-    def add(self, kind: str, start: int) -> Block:
+    def add(self, kind: str, start: int, nests: bool = False) -> Block:
         parent = self.tip
-        while parent.kind in LEAVES or ("ext" in parent.data and "closer" not in parent.data) or (parent.kind == "list" and kind != "list-item") or (parent.kind == "description-list" and kind != "description") or (kind == "list-item" and parent.kind != "list"):
+        while parent.kind in LEAVES or ("ext" in parent.data and "closer" not in parent.data and "nests" not in parent.data) or (parent.kind == "list" and kind != "list-item") or (parent.kind == "description-list" and kind != "description") or (kind == "list-item" and parent.kind != "list"):
             self.close(parent)
             parent = parent.parent
         block = Block(kind, start, start, parent)
@@ -224,7 +236,7 @@ class BlockParser:
         if self.options.blocks is not None and self.count > self.options.blocks:
             raise ParseLimit("block-count", self.options.blocks, self.count, start)
         depth, up = 0, parent
-        if kind in ("block-quote", "list", "list-item", "description"):
+        if nests or kind in ("block-quote", "list", "list-item", "description"):
             while up is not None:
                 depth, up = depth + 1, up.parent
             if depth > self.options.nesting:
@@ -247,7 +259,7 @@ class BlockParser:
                 break
             container = child
         unmatched = not matched
-        opaque = container.kind in ("fenced-code", "html-block", "indented-code") and matched
+        opaque = matched and (container.kind in RAW_LINES or "leaf" in container.data)
         last = container
         if not opaque:
             last = self.open_blocks(container, line, unmatched)
@@ -307,6 +319,8 @@ class BlockParser:
             return False
         if "closer" in block.data:
             return True
+        if "rule" in block.data:
+            return self.proceeds(block, line)
         if kind == "fenced-code":
             fence = block.data["mark"]
             if line.indent <= 3:
@@ -346,7 +360,7 @@ class BlockParser:
     def open_blocks(self, container: Block, line: Line, unmatched: bool) -> Block | None:
         """Open what the line begins; the innermost new block, the container if nothing began, None if the line is used up."""
         while True:
-            if container.kind in LEAVES and container.kind != "paragraph":
+            if (container.kind in LEAVES and container.kind != "paragraph") or "leaf" in container.data:
                 return container
             at = line.next
             rest = line.text[at:]
@@ -361,6 +375,13 @@ class BlockParser:
                     line.advance(4)
                     return block
                 return container
+            if self.options.block_rules and (own := self.begun(rest, container, line, paragraph is not None)) is not None:
+                if "leaf" in own.data:
+                    return None if line.blank else own
+                if line.blank:
+                    return own
+                container, unmatched = own, False
+                continue
             if (own := self.custom(rest, container, line)) is not None:
                 return own
             c = rest[0]
@@ -405,8 +426,6 @@ class BlockParser:
                     in_paragraph.kind, in_paragraph.level = "setext-heading", 1 if found[1][0] == "=" else 2
                     in_paragraph.data["underline"] = line.base + at
                     return self.used(in_paragraph, line)
-                if in_paragraph.parent is not None and in_paragraph in in_paragraph.parent.children:
-                    in_paragraph.parent.children.remove(in_paragraph)
                 self.tip = container = in_paragraph.parent
                 if not in_paragraph.open and THEMATIC.match(rest):
                     continue
@@ -452,7 +471,7 @@ class BlockParser:
                 return None
             home = container.parent
             group = Block("description-list", container.start, container.end, home)
-            home.children[home.children.index(container)] = group
+            home.children[place_among(home.children, container)] = group
             container.kind, container.parent, container.open = "description-term", group, False
             container.end = container.pieces[-1][1]
             group.children.append(container)
@@ -471,6 +490,56 @@ class BlockParser:
         self.extend(block, line.base + len(line.text))
         return block
 
+    def view(self, line: Line, parent: Block, paragraph: bool) -> LineView:
+        return LineView(line.text[line.next :], line.indent, paragraph, parent.kind, parent.data.get("state", {}))
+
+    def proceeds(self, block: Block, line: Line) -> bool | None:
+        """Whether a rule's block goes on with the line; None if the line is its last."""
+        go = block.data["rule"].proceed(self.view(line, block.parent, self.tip.kind == "paragraph" and self.tip.open), block.data["state"])
+        if go is None:
+            return False
+        if go is CLOSE:
+            self.extend(block, line.base + len(line.text))
+            self.close_to(block)
+            self.close(block)
+            self.tip = block.parent
+            return None
+        if go.columns is None:
+            line.to_content()
+        else:
+            line.advance(min(line.indent, go.columns))
+        if go.used:
+            line.to_content()
+            line.skip(go.used)
+        return True
+
+    def begun(self, rest: str, container: Block, line: Line, paragraph: bool) -> Block | None:
+        """The block of a rule that the line begins."""
+        home = container
+        while home.kind in ("paragraph", "list", "description-list"):
+            home = home.parent
+        view = None
+        for rule in self.options.block_rules:
+            if rest[0] not in rule.triggers or (rule.within is not None and home.kind != rule.within):
+                continue
+            view = view or self.view(line, home, paragraph)
+            opened = rule.start(view)
+            if opened is None:
+                continue
+            self.close_to(home)
+            self.tip = home
+            block = self.add(rule.kind, line.base + line.next, rule.container)
+            block.data |= {"rule": rule, "state": dict(opened.state), "ext": {k: str(v) for k, v in opened.state.items()}, "nests" if rule.container else "leaf": True}
+            self.extend(block, line.base + len(line.text))
+            if opened.used is None:
+                line.at = line.next = len(line.text)
+                line.blank, line.indent = True, 0
+            else:
+                line.to_content()
+                line.skip(opened.used)
+            return block
+        return None
+
     def custom(self, rest: str, container: Block, line: Line) -> Block | None:
         """A block of the line and container rules; its parent, since the line is used up and blank to it."""
         options = self.options
@@ -533,7 +602,8 @@ class BlockParser:
 
     def text_of_line(self, block: Block, line: Line, end: int) -> None:
         kind = block.kind
-        if line.blank and kind not in ("fenced-code", "html-block", "indented-code"):
+        raw = kind in RAW_LINES or "leaf" in block.data
+        if line.blank and not raw:
             if block.children:
                 block.children[-1].blank_last = True
             quiet = kind == "block-quote" or (kind == "list-item" and not block.children and block.start >= line.base)
@@ -548,7 +618,7 @@ class BlockParser:
         while up is not None:
             up.blank_last = False
             up = up.parent
-        if kind in ("fenced-code", "html-block", "indented-code"):
+        if raw:
             block.pieces.append(line.piece())
             if kind != "indented-code" or not line.blank:
                 self.extend(block, line.base + len(line.text))
@@ -625,7 +695,7 @@ class BlockParser:
             self.close(paragraph)
             self.tip = paragraph.parent
         else:
-            paragraph.parent.children.remove(paragraph)
+            del paragraph.parent.children[place_among(paragraph.parent.children, paragraph)]
             self.count -= 1
             self.tip = paragraph.parent
         block = self.add("gfm:table", a)
@@ -650,21 +720,23 @@ class BlockParser:
         if not found:
             return
         siblings = paragraph.parent.children
-        at = siblings.index(paragraph)
-        for k, d in enumerate(found):
+        made = []
+        for d in found:
             block = Block("link-reference-definition", d["start"], d["end"], paragraph.parent, open=False)
             block.data |= d
-            siblings.insert(at + k, block)
+            made.append(block)
             self.count += 1
             if d["key"] not in self.references:
                 if self.options.references is not None and len(self.references) >= self.options.references:
                     raise ParseLimit("reference-count", self.options.references, len(self.references) + 1, d["start"])
                 self.references[d["key"]] = {"destination": d["destination"], "title": d["title"], "block": block, "used": False}
         paragraph.pieces = rest
+        at = place_among(siblings, paragraph)
         if rest:
             paragraph.start = rest[0][0]
+            siblings[at:at] = made
         else:
-            siblings.remove(paragraph)
+            siblings[at : at + 1] = made
             self.count -= 1
 
     def close(self, block: Block) -> None:
@@ -707,6 +779,11 @@ class BlockParser:
                     block.data["loose"] = True
 
 
+def place_among(siblings: list[Block], block: Block) -> int:
+    """The place of a block, which is one of the last."""
+    return next(i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is block)
+
+
 def ends_blank(block: Block) -> bool:
     while True:
         if block.blank_last:

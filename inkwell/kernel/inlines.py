@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from html.entities import html5
 
@@ -81,11 +82,7 @@ def content_of(text: str, pieces: list[tuple[int, int, int]]) -> tuple[str, list
 
 
 def source_place(marks: list[tuple[int, int]], at: int) -> int:
-    place = marks[0]
-    for mark in marks:
-        if mark[0] > at:
-            break
-        place = mark
+    place = marks[max(0, bisect_right(marks, at, key=lambda mark: mark[0]) - 1)]
     return place[1] + at - place[0]
 
 
@@ -113,7 +110,9 @@ def take_definitions(text: str, pieces: list[tuple[int, int, int]], footnotes: b
                 title, end = unescaped(named[1] or named[2] or named[3] or ""), close.end()
         if end is None:
             break
-        stop = len(content[:end].rstrip("\n"))
+        stop = end
+        while stop > at and content[stop - 1] == "\n":
+            stop -= 1
         found.append({"label": label[1], "key": label_key(label[1]), "destination": destination, "title": title, "start": source_place(marks, at), "end": source_place(marks, stop)})
         at = end
     if not found:
@@ -166,6 +165,9 @@ class InlineParser:
     def parse(self) -> list[Node]:
         content, n, at = self.content, len(self.content), 0
         special = SPECIAL_LINKS if self.options.autolinks else SPECIAL
+        parsers = self.options.inline_parsers
+        if parsers:
+            special = re.compile(f"{special.pattern}|[{re.escape(''.join(r.triggers for r in parsers))}]")
         if not self.options.inline_rules and not special.search(content):  # plain text
             return [Node("text", 0, n, content)] if n else []
         rules = [(kind, re.compile(pattern)) for kind, pattern, _ in self.options.inline_rules]
@@ -185,10 +187,24 @@ class InlineParser:
                     at = own.end()
                     break
             else:
+                if parsers and (end := self.read(content, at)) is not None:
+                    at = end
+                    continue
                 at = self.sign(content[at], at, found[0])
         self.emphasise(0)
         return merged(self.nodes)
 
+    def read(self, content: str, at: int) -> int | None:
+        """The end of an inline that a parser reads at a place; None if all decline."""
+        for rule in self.options.inline_parsers:
+            if content[at] in rule.triggers and (found := rule.parse(content, at)) is not None:
+                end, text, data = found
+                if not at < end <= len(content):
+                    raise ValueError(f"{rule.kind} ends at {end}, outside of its text")
+                self.nodes.append(Node(rule.kind, at, end, text, data))
+                return end
+        return None
+
     def literal(self, start: int, end: int, text: str | None = None) -> None:
         self.nodes.append(Node("text", start, end, self.content[start:end] if text is None else text))
 
@@ -482,4 +498,4 @@ def walk(nodes: list[Node]):
 
 
 def plain(nodes: list[Node]) -> str:
-    return "".join("\n" if n.kind in ("soft-break", "hard-break") else n.text or "" for n, _ in walk(nodes) if not n.children)
+    return "".join("\n" if n.kind in ("soft-break", "hard-break") else n.text or "" for n, _ in walk(nodes) if not n.children and n.kind != "footnote:reference")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from inkwell.kernel.blocks import Block, BlockParser, Options, code_of, language_of
-from inkwell.kernel.inlines import InlineParser, Node, encoded, plain
+from inkwell.kernel.inlines import InlineParser, Node, encoded, label_key, plain
 from inkwell.kernel.names import FILTERED_TAGS, SAFE_SCHEMES
 
 FILTER = re.compile(rf"<(?=/?(?:{'|'.join(FILTERED_TAGS)})(?:[\s/>]|$))", re.I)
@@ -79,6 +79,10 @@ INLINE_KINDS = ("link", "image", "autolink", "emphasis", "strong", "strikethroug
 ATTRIBUTE = re.compile(r"[A-Za-z_:][A-Za-z0-9_.:-]*")
 
 
+def note_suffix(time: int) -> str:
+    return "" if time == 1 else f"-{time}"
+
+
 class Html:
     def __init__(self, text: str, options: Options, policy: Policy, plugins: Plugins | None = None):
         self.parser = BlockParser(text, options)
@@ -87,6 +91,11 @@ class Html:
         self.decorators = sorted(self.plugins.decorators, key=lambda d: -d.priority)
         self.plain_tags = not self.decorators and not self.plugins.defaults
         self.own = {kind: element for kind, _, element in options.inline_rules}
+        self.read = frozenset(r.kind for r in options.inline_parsers)
+        self.notes: dict[str, str] = {}  # HTML of the first note of a label
+        self.uses: list[tuple[str, str]] = []  # (label's key, source) of uses in the order they are written
+        self.mark = next(m for k in range(len(text) + 1) if (m := f"\x1e{k}:") not in text) if options.footnotes else ""
+        self.groups: dict[int, int] | None = None
 
     def inlines(self, pieces: list) -> list[Node]:
         return InlineParser(self.text, pieces, self.parser.references, self.options).parse()
@@ -132,6 +141,9 @@ class Html:
                 out.append(self.tag(names[node.kind], node.kind))
                 stack.append(f"</{names[node.kind]}>")
                 stack.extend(reversed(node.children))
+            elif node.kind == "footnote:reference":
+                out.append(f"{self.mark}{len(self.uses)}\x1f")
+                self.uses.append((node.destination, escape(f"[^{node.text}]")))
             elif node.kind in self.plugins.renderers:
                 inner = self.inline(node.children) if node.children else escape(node.text or "")
                 out.append(self.plugins.renderers[node.kind](inner, {"text": node.text, "destination": node.destination, "title": node.title}))
@@ -147,6 +159,8 @@ class Html:
                     stack.extend(reversed(node.children))
             elif node.kind == "autolink":
                 out.append(f"{self.tag('a', 'autolink', {'href': self.url(node.destination)})}{escape(node.text)}</a>")
+            elif node.kind in self.read:
+                out.append(f'<span data-kind="{escape(node.kind)}">{escape(node.text)}</span>')
             elif node.kind in self.own:
                 out.append(f"<{self.own[node.kind]}>{escape(node.text)}</{self.own[node.kind]}>")
             elif node.kind == "html-inline":
@@ -165,12 +179,63 @@ class Html:
                 continue
             block, tight = item
             self.block(block, tight, out, stack)
-        return "".join(out)
+        html = "".join(out)
+        return self.noted(html) if self.options.footnotes and blocks is None else html
+
+    def noted(self, html: str) -> str:
+        """The HTML of a document with numbers at the uses of notes, in their order, and the notes below."""
+        numbers: dict[str, int] = {}
+        times: dict[str, int] = {}
+        shown: dict[str, str] = {}
+        for k, (key, source) in enumerate(self.uses):
+            if key not in self.notes:
+                shown[str(k)] = source
+                continue
+            n = numbers.setdefault(key, len(numbers) + 1)
+            times[key] = times.get(key, 0) + 1
+            shown[str(k)] = f'<sup id="fnref-{n}{note_suffix(times[key])}"><a href="#fn-{n}" role="doc-noteref">{n}</a></sup>'
+        items = []
+        for key, n in numbers.items():
+            back = "".join(f' <a href="#fnref-{n}{note_suffix(t)}" role="doc-backlink">↩</a>' for t in range(1, times[key] + 1))
+            body = self.notes[key].rstrip("\n")
+            body = body[:-4] + back + "</p>" if body.endswith("</p>") else body + back
+            items.append(f'<li id="fn-{n}" role="doc-endnote">\n{body}\n</li>\n')
+        if items:
+            html += f'<div class="footnotes" role="doc-endnotes">\n<hr />\n<ol>\n{"".join(items)}</ol>\n</div>\n'
+        return re.sub(re.escape(self.mark) + "([0-9]+)\x1f", lambda m: shown[m[1]], html)
+
+    def tabs(self, group: Block) -> str:
+        """A group of tabs with its panels; groups are numbered through the document, what stands outside of tabs goes."""
+        if self.groups is None:
+            self.groups, stack = {}, [self.root]
+            while stack:
+                block = stack.pop()
+                if block.kind == "tabs:group":
+                    self.groups[id(block)] = len(self.groups) + 1
+                stack.extend(reversed(block.children))
+        items = [c for c in group.children if c.kind == "tabs:item"]
+        if not items:
+            return ""
+        name = escape(self.options.tabs_class)
+        own = f"{name}-{self.groups[id(group)]}"
+        active = lambda k: " is-active" if k == 1 else ""
+        heads = "".join(f'<a class="{name}-tab{active(k)}" id="{own}-tab-{k}" href="#{own}-panel-{k}" aria-controls="{own}-panel-{k}">{escape(c.data["ext"]["title"])}</a>\n' for k, c in enumerate(items, 1))
+        panels = ""
+        for k, c in enumerate(items, 1):
+            inner = self.render(c.children)
+            panels += f'<div class="{name}-panel{active(k)}" id="{own}-panel-{k}" aria-labelledby="{own}-tab-{k}">{chr(10) + inner if inner else ""}</div>\n'
+        return f'<div class="{name}" id="{own}">\n<div class="{name}-list">\n{heads}</div>\n<div class="{name}-panels">\n{panels}</div>\n</div>\n'
 
     def block(self, block: Block, tight: bool, out: list[str], stack: list) -> None:
         kind = block.kind
         if kind in self.plugins.renderers:
             out.append(self.plugins.renderers[kind](self.inner(block), {**block.data.get("ext", {}), "level": block.level}))
+        elif kind == "footnote:definition" and "rule" in block.data:
+            self.notes.setdefault(label_key(block.data["state"]["label"]), self.render(block.children))
+        elif kind == "tabs:group" and "rule" in block.data:
+            out.append(self.tabs(block))
+        elif "leaf" in block.data:
+            out.append(f'<div data-kind="{escape(kind)}">{escape(code_of(self.text, block))}</div>\n')
         elif kind == "paragraph":
             body = self.inline(self.inlines(block.pieces))
             task = block.data.get("task_html", "")

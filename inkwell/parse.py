@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkwell.kernel.blocks import BlockParser, Options, ParseLimit, code_of, language_of
-from inkwell.kernel.inlines import InlineParser, plain, walk
+from inkwell.kernel.inlines import InlineParser, label_key, plain, walk
 from inkwell.kernel.slugs import Slugs, slug_base
 
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
@@ -127,6 +127,14 @@ def document_rows(source: bytes | None, options: Options, with_inlines: bool = T
         return empty | {"parse_error": {"kind": stop.kind, "limit": stop.limit, "attempted": stop.attempted, "offset": place(stop.offset)}}
 
 
+def inline_row(pre: int, i: int, level: int, node, nodes: InlineParser, place: Places) -> dict:
+    return {
+        "block_pre": pre, "inline_ord": i, "depth": level, "kind": node.kind, "start": place(nodes.place(node.start)), "end": place(nodes.place(node.end)),
+        "text": _clean(plain(node.children) if node.children or node.kind in ("link", "image") else node.text), "destination": _clean(node.destination), "title": _clean(node.title),
+        "bracketed": node.bracketed, "ref_label": _clean(node.ref_label), "label_end": None if node.label_end is None else place(nodes.place(node.label_end)),
+    }
+
+
 def _rows(text: str, parser: BlockParser, root, place: Places, options: Options, with_inlines: bool) -> dict:
     blocks, inlines, order, pre_of = [], [], [], {}
     stack = [(root, 0, -1, 0)]
@@ -150,6 +158,8 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
         if depth == 1 or kind in CODE:
             found = EOL.search(text, block.start, min(len(text), block.end + 2))
             row["eol"] = found[0] if found else "\n"
+        if kind == "footnote:definition":
+            row["label_key"] = label_key(data["state"]["label"])
         if "ext" in data:
             row["ext"] = list(data["ext"].items())
         if block.pieces:
@@ -173,6 +183,10 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
         elif kind == "gfm:table":
             cells = lambda spans: [_clean(text[a:b]).replace("\\|", "|") for a, b in spans]
             row |= {"header": cells(data["header"]), "align": data["align"], "rows": [cells(r) for r in data["rows"]]}
+            if options.footnotes and with_inlines:  # uses of notes count wherever they stand
+                spans = [x for r in (data["header"], *data["rows"]) for x in r]
+                noted = [(p, node) for p in (InlineParser(text, [(a, b, 0)], parser.references, options) for a, b in spans) for node, _ in walk(p.parse()) if node.kind == "footnote:reference"]
+                inlines += [inline_row(pre, i, 0, node, p, place) for i, (p, node) in enumerate(noted, 1)]
             row["row_ranges"] = [{"start": place(r[0][0]) if r else place(block.start), "end": place(r[-1][1]) if r else place(block.start)} for r in data["rows"]]
         elif kind in TEXT_KINDS and with_inlines:
             nodes = InlineParser(text, block.pieces, parser.references, options)
@@ -185,14 +199,11 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
                 total += 1
                 if options.inlines is not None and total > options.inlines:
                     raise ParseLimit("inline-count", options.inlines, total, block.start)
-                inlines.append(
-                    {
-                        "block_pre": pre, "inline_ord": i, "depth": level, "kind": node.kind, "start": place(nodes.place(node.start)), "end": place(nodes.place(node.end)),
-                        "text": _clean(plain(node.children) if node.children or node.kind in ("link", "image") else node.text), "destination": _clean(node.destination), "title": _clean(node.title),
-                        "bracketed": node.bracketed, "ref_label": _clean(node.ref_label), "label_end": None if node.label_end is None else place(nodes.place(node.label_end)),
-                    }
-                )
+                inlines.append(inline_row(pre, i, level, node, nodes, place))
         blocks.append(row)
+    for row in blocks:
+        if row["kind"] == "footnote:definition":  # a note's text is that of its blocks
+            row["text"] = "\n\n".join(x["text"] for x in blocks[row["pre"] + 1 : row["last_pre"] + 1] if x["text"])
     refs = [{"label_key": _clean(k), "destination": _clean(v["destination"]), "title": _clean(v["title"]), "block_pre": pre_of.get(id(v["block"])), "used": v["used"]} for k, v in parser.references.items()]
     return {"blocks": blocks, "inlines": inlines if with_inlines else None, "refs": refs, "parse_error": None}
 
@@ -200,7 +211,8 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
 def parse(docs: DataFrame, profile: str = "github", id_col: str = "doc_id", source_col: str = "source", with_inlines: bool = True, mode: str = "PERMISSIVE", **limits) -> DataFrame:
     """(doc_id, source binary, blocks, inlines, refs, parse_error), one row a document.
 
-    limits: nesting, blocks, inlines, references, source_bytes; footnotes=True keeps [^labels] from being link references.  A document beyond one has null children and a
+    limits: nesting, blocks, inlines, references, source_bytes; footnotes=True makes [^labels] notes and their uses;
+    block_rules and inline_parsers are further syntax.  A document beyond one has null children and a
     parse_error; mode FAILFAST raises instead.  with_inlines=False skips all inline work.
     """
     options = Options.profile(profile, **limits)

@@ -1,5 +1,6 @@
 import pytest
 from inkwell import extensions as ext
+from inkwell.kernel.rules import TABS
 from inkwell import files, patches, views
 from inkwell.parse import blocks, inlines, parse
 from inkwell.sanitize import sanitized
@@ -12,7 +13,7 @@ def parsed_of(spark, *sources, **options):
 
 def test_footnotes(spark):
     own = parsed_of(spark, "a[^x] b[^y] c[^x] d[^no]\n\n[^y]: why\n\n[^x]: ex\n\n[^z]: unused\n", footnotes=True)
-    uses, notes = ext.footnotes(blocks(own), own)
+    uses, notes = ext.footnotes(blocks(own), inlines(own))
     assert sorted((r.label, r.number, r.occurrence) for r in uses.collect()) == [("x", 1, 1), ("x", 1, 2), ("y", 2, 1)]
     assert sorted((r.number, r.text) for r in notes.collect()) == [(1, "ex"), (2, "why")]
     assert spark.range(1).select(ext.footnote_html_id(F.lit(1), F.lit(2)).alias("x")).first().x == "fnref-1-2"
@@ -56,6 +57,12 @@ def test_includes(spark):
     docs = spark.createDataFrame([(1, 'top\n@include "a.md"\nend'), (2, '@include "../x.md"')], "doc_id long, source string")
     resources = spark.createDataFrame([("a.md", 'A $1\n@include "b.md"\n'), ("b.md", 'B\n@include "a.md"\n')], "path string, text string")
     got = {r.doc_id: (r.source, r.depth_reached) for r in ext.included(docs, resources, depth=3).collect()}
+    many = spark.createDataFrame([(1, '@include "c.md"\n@include "b.md"\n')], "doc_id long, source string")
+    tree = spark.createDataFrame([("c.md", '@include "b.md"\n' * 3), ("b.md", "four")], "path string, text string")
+    four = "four\nfour\nfour\nfour\n"
+    assert ext.included(many, tree, most_bytes=70).first().source == four and ext.included(many, tree, most_resources=4).first().source == four
+    for bound in ({"most_bytes": 50}, {"most_resources": 3}):  # summed over the levels of one include; the other one stays in
+        assert ext.included(many, tree, **bound).first().source == '@include "c.md"\nfour\n'
     assert got == {1: ('top\nA $1\nB\n@include "a.md"\nend', 2), 2: ('@include "../x.md"', 0)}
 
 
@@ -82,7 +89,7 @@ def test_custom_syntax(spark):
     from inkwell.kernel.render import Policy, to_html, normalised
 
     source = "@toc {min: 2}\n\na ==b c== d ++e++\n\n@tabs\n@tab One\n- x\n@endtabs\nafter\n\n{#top .wide .tall}\n# H\n\nhttps://video.example/1\n\n@import \"a.py\" {lines: 2-3}\n"
-    rules = {"inline_rules": (ext.HIGHLIGHT, ext.paired_delimiter("insert", "++", "ins")), "line_rules": (ext.TABLE_OF_CONTENTS, ext.TAB, ext.ATTRIBUTES, ext.EMBED, ext.IMPORT), "container_rules": (ext.TABS,)}
+    rules = {"inline_rules": (ext.HIGHLIGHT, ext.paired_delimiter("insert", "++", "ins")), "line_rules": (ext.TABLE_OF_CONTENTS, ext.ATTRIBUTES, ext.EMBED, ext.IMPORT), "block_rules": TABS}
     own = parsed_of(spark, source, **rules)
     b = blocks(own).persist()
     kinds = [r.kind for r in b.where("depth > 0").orderBy("pre").collect()]
