@@ -16,6 +16,10 @@ from inkwell import lint, patches, stats, views
 from inkwell.parse import blocks, dominant_eol, inlines, lines, parse, references
 
 
+#: Keys of customers that share the documents of their nations, so that documents stay as long as they are when there are more.
+CUSTOMERS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,10 +33,11 @@ def grouped(rows: DataFrame, key: str, order: list[str], line: Column, head: Col
 
 
 def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document per nation: its name, and a section for every customer."""
+    """A document per nation and CUSTOMERS keys: the nation's name, and a section for every customer."""
     rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     section = F.concat(fn.md_heading(2, F.col("c_name")), F.lit("\n\n"), fn.md_paragraph(F.col("c_mktsegment")))
-    return grouped(rows, "n_nationkey", ["c_custkey"], section, fn.md_heading(1, F.col("n_name")))
+    rows = rows.withColumn("doc", F.floor(F.col("c_custkey") / CUSTOMERS) * 25 + F.col("n_nationkey"))
+    return grouped(rows, "doc", ["c_custkey"], section, fn.md_heading(1, F.col("n_name")))
 
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,7 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_levels(spark, sf_dir):
     found = views.headings(blocks(parse(nation_documents(spark, sf_dir))))
-    return found.groupBy(F.col("doc_id").alias("n_nationkey"), F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("cnt"))
+    return found.groupBy((F.col("doc_id") % 25).alias("n_nationkey"), F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def document_titles(spark, sf_dir):
@@ -241,6 +246,7 @@ _QUERIES = (
 QUERIES = {q.__name__: q for q in _QUERIES}
 
 _ESC = r"regexp_replace({0}, '([!-/:-@\[-`{{-~])', '\\\1', 'g')"
+_DOC = f"((c_custkey // {CUSTOMERS}) * 25 + c_nationkey)"
 _FILTERED = "title|textarea|style|xmp|iframe|noembed|noframes|script|plaintext"
 _SUPPLIER = f"""(SELECT CAST(s_suppkey AS BIGINT) AS doc_id, '# Supplier' || chr(10) || chr(10)
   || CASE WHEN s_suppkey % 3 = 0 THEN {_ESC.format("s_name")} ELSE @USE@ END || ' ' || CASE WHEN s_suppkey % 4 = 0 THEN '[gone](#nowhere)' ELSE '[up](#supplier)' END
@@ -256,11 +262,11 @@ _REF = f"'[' || {_ESC.format('s_name')} || '][k' || s_suppkey || ']'"
 _PART = f"""SELECT p_partkey // 50 AS doc_id, p_partkey, p_name, CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE p_partkey % 3 + 2 END AS level, p_brand FROM part"""
 
 ORACLE = {
-    "heading_levels": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 1 AS level, CAST(1 AS BIGINT) AS cnt FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT CAST(c_nationkey AS BIGINT), 2, count(*) FROM customer GROUP BY 1",
-    "document_titles": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS title FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)",
-    "section_extents": f"""SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_name AS text,
-        CAST(3 + strlen({_ESC.format("c_name")}) + 2 + strlen({_ESC.format("c_mktsegment")}) + CASE WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_bytes FROM customer""",
-    "section_word_counts": r"SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_name AS text, CAST(len(regexp_extract_all(c_name, '[\p{L}\p{N}_]+')) + len(regexp_extract_all(c_mktsegment, '[\p{L}\p{N}_]+')) AS BIGINT) AS words FROM customer",
+    "heading_levels": f"SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey, 1 AS level, count(DISTINCT {_DOC}) AS cnt FROM customer GROUP BY 1 UNION ALL SELECT CAST(c_nationkey AS BIGINT), 2, count(*) FROM customer GROUP BY 1",
+    "document_titles": f"SELECT DISTINCT CAST({_DOC} AS BIGINT) AS doc_id, n_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "section_extents": f"""SELECT CAST({_DOC} AS BIGINT) AS doc_id, c_name AS text,
+        CAST(3 + strlen({_ESC.format("c_name")}) + 2 + strlen({_ESC.format("c_mktsegment")}) + CASE WHEN row_number() OVER (PARTITION BY {_DOC} ORDER BY c_custkey DESC) = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_bytes FROM customer""",
+    "section_word_counts": rf"SELECT CAST({_DOC} AS BIGINT) AS doc_id, c_name AS text, CAST(len(regexp_extract_all(c_name, '[\p{{L}}\p{{N}}_]+')) + len(regexp_extract_all(c_mktsegment, '[\p{{L}}\p{{N}}_]+')) AS BIGINT) AS words FROM customer",
     "order_headings": "SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS level, count(*) AS cnt FROM orders GROUP BY 1, 2",
     "task_states": "SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'checked' ELSE 'unchecked' END AS task_state, o_orderpriority AS text, count(*) AS cnt FROM orders GROUP BY 1, 2, 3",
     "skipped_levels": """WITH h AS (SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, o_orderkey % 6 + 1 AS level, lag(o_orderkey % 6 + 1) OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) AS before FROM orders)
@@ -283,12 +289,12 @@ ORACLE = {
     "duplicate_headings": f"WITH h AS ({_PART}) SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(count(*) - count(DISTINCT lower(p_name)) AS BIGINT) AS cnt FROM h GROUP BY 1 HAVING count(*) > count(DISTINCT lower(p_name))",
     "formatted": f"""WITH h AS ({_PART}) SELECT CAST(doc_id AS BIGINT) AS doc_id, string_agg(repeat('#', CAST(level AS INTEGER)) || ' ' || {_ESC.format("p_name")} || chr(10) || chr(10) || {_ESC.format("p_brand")}, chr(10) || chr(10) ORDER BY p_partkey) || chr(10) AS source,
         bool_or(p_partkey % 7 = 0) AS changed FROM h GROUP BY 1""",
-    "renamed_headings": f"""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '# Nation ' || n_nationkey AS first_line,
-        CAST(strlen('# Nation ' || n_nationkey) + 1 + sum(1 + 3 + strlen({_ESC.format("c_name")}) + 2 + strlen({_ESC.format("c_mktsegment")}) + 1) AS BIGINT) AS n_bytes
-        FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
-    "document_statistics": r"""WITH c AS (SELECT c_nationkey, count(*) AS n, sum(len(regexp_extract_all(c_name, '[\p{L}\p{N}_]+')) + len(regexp_extract_all(c_mktsegment, '[\p{L}\p{N}_]+'))) AS w, sum(length(c_name) + length(c_mktsegment)) AS ch FROM customer GROUP BY 1)
-        SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n + 1 AS heading_count, CAST(2 AS BIGINT) AS max_heading_depth, CAST(w + len(regexp_extract_all(n_name, '[\p{L}\p{N}_]+')) AS BIGINT) AS word_count, CAST(ch + length(n_name) AS BIGINT) AS character_count,
-        CAST(greatest(1, ceil((w + len(regexp_extract_all(n_name, '[\p{L}\p{N}_]+'))) / 200)) AS BIGINT) AS reading_minutes, n + 1 AS outline_lines FROM nation JOIN c ON c_nationkey = n_nationkey""",
+    "renamed_headings": f"""SELECT CAST({_DOC} AS BIGINT) AS doc_id, '# Nation ' || {_DOC} AS first_line,
+        CAST(strlen('# Nation ' || {_DOC}) + 1 + sum(1 + 3 + strlen({_ESC.format("c_name")}) + 2 + strlen({_ESC.format("c_mktsegment")}) + 1) AS BIGINT) AS n_bytes
+        FROM customer GROUP BY {_DOC}""",
+    "document_statistics": rf"""WITH c AS (SELECT {_DOC} AS doc, any_value(c_nationkey) AS nation, count(*) AS n, sum(len(regexp_extract_all(c_name, '[\p{{L}}\p{{N}}_]+')) + len(regexp_extract_all(c_mktsegment, '[\p{{L}}\p{{N}}_]+'))) AS w, sum(length(c_name) + length(c_mktsegment)) AS ch FROM customer GROUP BY 1)
+        SELECT CAST(doc AS BIGINT) AS doc_id, n + 1 AS heading_count, CAST(2 AS BIGINT) AS max_heading_depth, CAST(w + len(regexp_extract_all(n_name, '[\p{{L}}\p{{N}}_]+')) AS BIGINT) AS word_count, CAST(ch + length(n_name) AS BIGINT) AS character_count,
+        CAST(greatest(1, ceil((w + len(regexp_extract_all(n_name, '[\p{{L}}\p{{N}}_]+'))) / 200)) AS BIGINT) AS reading_minutes, n + 1 AS outline_lines FROM nation JOIN c ON nation = n_nationkey""",
     "text_lines": """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND text <> '')
         SELECT doc_id, count(*) - CASE WHEN any_value(right(text, 1)) = chr(10) THEN 1 ELSE 0 END AS n_lines, CAST(any_value(strlen(text)) AS BIGINT) AS n_bytes, CAST(max(length(line)) AS BIGINT) AS longest FROM l GROUP BY 1""",
     "text_words": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS characters, chr(10) AS eol FROM documents",
@@ -298,9 +304,9 @@ ORACLE = {
 }
 
 _HTML = """replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
-ORACLE["html_documents"] = f"""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<h1>' || {_HTML.format("any_value(n_name)")} || '</h1>' || chr(10)
+ORACLE["html_documents"] = f"""SELECT CAST({_DOC} AS BIGINT) AS doc_id, '<h1>' || {_HTML.format("any_value(n_name)")} || '</h1>' || chr(10)
     || string_agg('<h2>' || {_HTML.format("c_name")} || '</h2>' || chr(10) || '<p>' || {_HTML.format("c_mktsegment")} || '</p>' || chr(10), '' ORDER BY c_custkey) AS html
-    FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey"""
+    FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY {_DOC}"""
 
 QUERIES |= cases.QUERIES
 ORACLE |= cases.ORACLE
