@@ -20,7 +20,7 @@ from inkwell import functions as fn
 from inkwell import lint, patches, sanitize, stats, views
 from inkwell.engine import Engine, Extension
 from inkwell.kernel.render import Decorator, Policy, normalised
-from inkwell.kernel.rules import CLOSE, TABS, BlockRule, Go, InlineRule, LineView, Opened
+from inkwell.kernel.rules import CLOSE, TABS, AttributePolicy, BlockRule, Go, InlineRule, LineView, Opened
 from inkwell.parse import blocks, inlines, lines, parse, references
 
 Cases = list[tuple[str, str, str]]
@@ -254,6 +254,10 @@ SYNTAX: Cases = [
 </div>
 <p>c</p>
 """),
+    ("attributes", "{#intro .lead title=\"Welcome {n}\"}\n{.wide .lead}\n# Hello\n\n> Quote\n> {: .quoted}\n\nParagraph\n{: .after}\n", '<h1 class="head lead wide" id="intro" title="Welcome {n}">Hello</h1>\n<blockquote>\n<p class="quoted">Quote</p>\n</blockquote>\n<p class="after">Paragraph</p>\n'),
+    ("attributes", "*red*{.accent title=Warm{n}}, **bold**{#strong}, `code`{.token}, ![Logo](logo.png){.media disabled=true}, and plain{.literal}.\n".replace("Warm{n}", "Warm").replace("plain", "plain {n}"), '<p><em class="accent" title="Warm">red</em>, <strong id="strong">bold</strong>, <code class="token">code</code>, <img src="logo.png" alt="Logo" class="media" disabled />, and plain {n}{.literal}.</p>\n'),
+    ("attributes", '[Link {n}](/actual "Actual"){.one .two .one title=Other}\n', '<p><a href="/actual" title="Actual" class="one two">Link {n}</a></p>\n'),
+    ("no attributes", "{.}\n# H {n}\n\n*x*{}\n", '<p>{.}</p>\n<h1 class="head">H {n}</h1>\n<p><em>x</em>{}</p>\n'),
     ("no tabs", "@tab Orphan {n}\n\n@tabs extra\n", "<p>@tab Orphan {n}</p>\n<p>@tabs extra</p>\n"),
 ]
 
@@ -504,6 +508,7 @@ EXTENSIONS = (
     Extension("callouts", block_rules=(BlockRule("callout", ":", _start_callout, _proceed_callout), BlockRule("math", "%", _start_math, _proceed_math, container=False)), renderers={"callout": lambda inner, data: f'<section class="{data["name"]}">\n{inner}</section>\n'}),
     Extension("tickets", inline_parsers=(InlineRule("ticket", "#", _ticket),), renderers={"ticket": lambda inner, data: f'<a data-ticket="{data["text"]}">{inner}</a>'}),
     Extension("tabs", block_rules=TABS),
+    Extension("attributes", options={"attributes": AttributePolicy(("id", "class", "title", "disabled"))}),
     Extension("numbered notes", options={"footnotes": True}),
     Extension("marks", inline_rules=(ext.HIGHLIGHT, ext.paired_delimiter("insert", "++", "ins"), ext.paired_delimiter("key", "%%", "kbd")), renderers={"key": lambda inner, data: f"<kbd>{inner}</kbd>"}),
     Extension("notes", line_rules=(("note", "@note (?P<body>.+)"),), renderers={"note": lambda inner, data: f"<aside>{data['body']}</aside>\n"}),

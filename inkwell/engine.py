@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 
 from inkwell import format as formatting
 from inkwell import lint, patches, stats
+from inkwell.kernel.render import BlockView, Decorator, Plan, Plugins, Policy
 from inkwell.kernel.rules import BlockRule, InlineRule
-from inkwell.kernel.render import Decorator, Plugins, Policy
 from inkwell.parse import blocks, inlines, parse
 from inkwell.sanitize import md_to_html
 from inkwell.views import KINDS
@@ -29,10 +29,11 @@ class Extension:
     container_rules: tuple[tuple[str, str, str], ...] = ()
     block_rules: tuple[BlockRule, ...] = ()
     inline_parsers: tuple[InlineRule, ...] = ()
-    options: dict[str, bool] = field(default_factory=dict)
+    options: dict[str, object] = field(default_factory=dict)
     renderers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
     printers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
     decorators: tuple[Decorator, ...] = ()
+    plans: tuple[Callable[[list[BlockView]], Plan], ...] = ()
     defaults: dict[str, dict[str, str]] = field(default_factory=dict)
     transforms: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     rules: tuple[lint.Rule, ...] = ()
@@ -69,7 +70,7 @@ class Engine:
 
     def plugins(self) -> Plugins:
         merged = lambda name: {k: v for e in self.extensions for k, v in getattr(e, name).items()}
-        return Plugins(merged("renderers"), merged("printers"), sum((e.decorators for e in self.extensions), ()), merged("defaults"))
+        return Plugins(merged("renderers"), merged("printers"), sum((e.decorators for e in self.extensions), ()), sum((e.plans for e in self.extensions), ()), merged("defaults"))
 
     def parse(self, documents: DataFrame, **more) -> DataFrame:
         for transform in (t for e in self.extensions for t in e.transforms):

@@ -39,10 +39,12 @@ def attribute_list(attributes: Column) -> Column:
 
 
 def attributed(blocks: DataFrame) -> DataFrame:
-    """(doc_id, pre, target_pre, attributes) of attribute blocks: the next sibling, or the one before at the end."""
+    """(doc_id, pre, target_pre, attributes) of attribute blocks: the next sibling, or the one before where the list is that one's."""
     side = Window.partitionBy("doc_id", "parent_pre").orderBy("pre")
-    rows = blocks.withColumn("target_pre", F.coalesce(F.lead("pre").over(side), F.lag("pre").over(side)))
-    return rows.where("kind = 'attributes:block'").select("doc_id", "pre", "target_pre", attribute_list(F.col("ext")["attributes"]).alias("attributes"))
+    after, before = F.lead("pre").over(side), F.lag("pre").over(side)
+    target = F.when(F.col("ext")["target"] == "next", after).when(F.col("ext")["target"] == "previous", before).otherwise(F.coalesce(after, before))
+    rows = blocks.withColumn("target_pre", target).where("kind = 'attributes:block'")
+    return rows.select("doc_id", "pre", "target_pre", attribute_list(F.regexp_replace(F.col("ext")["attributes"], r"(?m)^\{:?|\}$|\n", " ")).alias("attributes"))
 
 
 def embeds(blocks: DataFrame, hosts: list[str], fallback: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 from inkwell.kernel.names import HTML_BLOCK_TAGS
-from inkwell.kernel.rules import CLOSE, NOTE_USES, NOTES, BlockRule, InlineRule, LineView
+from inkwell.kernel.rules import ATTRIBUTES_BLOCK, CLOSE, NOTE_USES, NOTES, AttributePolicy, BlockRule, InlineRule, LineView, attribute_rules
 
 LEAVES = frozenset(("paragraph", "atx-heading", "setext-heading", "indented-code", "fenced-code", "html-block", "thematic-break", "link-reference-definition", "gfm:table", "frontmatter:block", "description-term"))
 
@@ -69,6 +69,8 @@ class Options:
     #: Further blocks with a state of their own, and inlines that a function reads.
     block_rules: tuple[BlockRule, ...] = ()
     inline_parsers: tuple[InlineRule, ...] = ()
+    #: Lists of attributes in braces, after inlines and on lines of their own, are read under this policy.
+    attributes: AttributePolicy | None = None
     #: Class, and beginning of the ids, of tab groups in HTML.
     tabs_class: str = "tabs"
     nesting: int = 256
@@ -80,6 +82,9 @@ class Options:
     def __post_init__(self) -> None:
         if self.footnotes and NOTES not in self.block_rules:
             self.block_rules, self.inline_parsers = (*self.block_rules, NOTES), (*self.inline_parsers, NOTE_USES)
+        if self.attributes and not any(r.kind == ATTRIBUTES_BLOCK for r in self.block_rules):
+            block, inline = attribute_rules(self.attributes)
+            self.block_rules, self.inline_parsers = (*self.block_rules, block), (*self.inline_parsers, inline)
 
     @staticmethod
     def profile(name: str, **more) -> Options:

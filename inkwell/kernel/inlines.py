@@ -497,5 +497,9 @@ def walk(nodes: list[Node]):
         stack.extend((c, depth + 1) for c in reversed(node.children))
 
 
+#: Inlines whose text is no text of their document.
+UNSHOWN = frozenset(("footnote:reference", "attributes:inline"))
+
+
 def plain(nodes: list[Node]) -> str:
-    return "".join("\n" if n.kind in ("soft-break", "hard-break") else n.text or "" for n, _ in walk(nodes) if not n.children and n.kind != "footnote:reference")
+    return "".join("\n" if n.kind in ("soft-break", "hard-break") else n.text or "" for n, _ in walk(nodes) if not n.children and n.kind not in UNSHOWN)

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 from inkwell.kernel.blocks import Block, BlockParser, Options, code_of, language_of
 from inkwell.kernel.inlines import InlineParser, Node, encoded, label_key, plain
 from inkwell.kernel.names import FILTERED_TAGS, SAFE_SCHEMES
+from inkwell.kernel.rules import ATTRIBUTES_BLOCK, ATTRIBUTES_INLINE, merged_attributes, whole_list
 
 FILTER = re.compile(rf"<(?=/?(?:{'|'.join(FILTERED_TAGS)})(?:[\s/>]|$))", re.I)
 SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
@@ -64,6 +65,29 @@ class Decorator:
     priority: int = 0
 
 
+@dataclass(frozen=True)
+class BlockView:
+    """A block as a transform of the document sees it; pre counts blocks in document order, the root is 0."""
+
+    pre: int
+    parent_pre: int
+    depth: int
+    kind: str
+    level: int | None
+    text: str
+    ext: dict[str, str]
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What a transform decides between tree and HTML: other heading levels by pre, a layout of the root's blocks from
+    (pre, HTML) pairs, and a last change of the HTML."""
+
+    levels: dict[int, int] = field(default_factory=dict)
+    layout: Callable[[list[tuple[int, str]]], str] | None = None
+    finish: Callable[[str], str] | None = None
+
+
 @dataclass(frozen=True)
 class Plugins:
     """Renderers by kind, f(inner HTML, data) -> HTML; decorators by priority, then in order; default attributes by kind."""
@@ -71,11 +95,13 @@ class Plugins:
     renderers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
     printers: dict[str, Callable[[str, dict], str]] = field(default_factory=dict)
     decorators: tuple[Decorator, ...] = ()
+    plans: tuple[Callable[[list[BlockView]], Plan], ...] = ()
     defaults: dict[str, dict[str, str]] = field(default_factory=dict)
 
 
 ROLES = {"link": ("link", "image", "autolink"), "heading": ("atx-heading", "setext-heading")}
 INLINE_KINDS = ("link", "image", "autolink", "emphasis", "strong", "strikethrough", "code-span")
+OPENING = re.compile(r"<[A-Za-z][^<>]*?(?= ?/?>)")
 ATTRIBUTE = re.compile(r"[A-Za-z_:][A-Za-z0-9_.:-]*")
 
 
@@ -96,6 +122,84 @@ class Html:
         self.uses: list[tuple[str, str]] = []  # (label's key, source) of uses in the order they are written
         self.mark = next(m for k in range(len(text) + 1) if (m := f"\x1e{k}:") not in text) if options.footnotes else ""
         self.groups: dict[int, int] | None = None
+        if options.attributes:
+            self.attach(self.root)
+
+    def attach(self, root: Block) -> None:
+        """Give blocks the attributes of the lists before them, or after them where a blank line or the end follows."""
+        stack = [root]
+        while stack:
+            block = stack.pop()
+            before, waiting = None, {}
+            for c in block.children:
+                if c.kind == ATTRIBUTES_BLOCK and "state" in c.data:
+                    own: dict = {}
+                    for line in c.data["state"]["attributes"].split("\n"):
+                        own = merged_attributes(own, whole_list(self.options.attributes, line) or {})
+                    if c.data["state"]["target"] == "next":
+                        waiting = merged_attributes(waiting, own)
+                    elif before is not None:
+                        before.data["attributes"] = merged_attributes(before.data.get("attributes", {}), own)
+                    continue
+                holds = c.kind not in ("frontmatter:block", "html-block", "link-reference-definition")
+                if waiting and holds:
+                    c.data["attributes"] = waiting
+                waiting = {}
+                before = c if holds else None
+            stack.extend(block.children)
+
+    def with_attributes(self, tag: str, own: dict[str, str | bool]) -> str:
+        """HTML that begins with a tag, with attributes it has not; classes add up."""
+        found = OPENING.match(tag)
+        if not found:
+            return tag
+        head, rest = found[0], tag[found.end() :]
+        has = {k.lower() for k in re.findall(r' ([A-Za-z_:][A-Za-z0-9_.:-]*)(?==|[ /]|$)', head)}
+        for name, value in sorted(own.items()):
+            if name == "class" and (old := re.search(' class="([^"]*)"', head)):
+                both = " ".join(dict.fromkeys(f"{old[1]} {escape(str(value))}".split()))
+                head = head[: old.start()] + f' class="{both}"' + head[old.end() :]
+            elif name not in has:
+                shown = self.url(value) if name in ("href", "src") and isinstance(value, str) else value
+                if shown or not value:
+                    head += f" {name}" if value is True else f' {name}="{escape(shown)}"'
+        return head + rest
+
+    def views(self) -> tuple[list[BlockView], list[Block]]:
+        """All blocks in document order."""
+        views, blocks, stack = [], [], [(self.root, 0, -1)]
+        while stack:
+            block, depth, parent = stack.pop()
+            pre = len(views)
+            text = plain(self.inlines(block.pieces)) if block.pieces and block.kind in ("paragraph", "atx-heading", "setext-heading", "description-term") else ""
+            views.append(BlockView(pre, parent, depth, block.kind, block.level, text, dict(block.data.get("ext", {}))))
+            blocks.append(block)
+            stack.extend((c, depth + 1, pre) for c in reversed(block.children))
+        return views, blocks
+
+    def planned(self) -> str:
+        """The document under the plans of all transforms, in their order."""
+        views, blocks = self.views()
+        layout, ends = None, []
+        for transform in self.plugins.plans:
+            plan = transform(views)
+            for pre, level in plan.levels.items():
+                if not 1 <= level <= 6 or blocks[pre].level is None:
+                    raise ValueError(f"block {pre} can't have the heading level {level}")
+                blocks[pre].level = level
+            if plan.layout and layout:
+                raise ValueError("two transforms lay the document out")
+            layout = layout or plan.layout
+            ends += [plan.finish] if plan.finish else []
+        if layout:
+            place = {id(b): v.pre for v, b in zip(views, blocks, strict=True)}
+            html = layout([(place[id(b)], self.render([b])) for b in self.root.children])
+        else:
+            html = self.render(self.root.children)
+        html = self.noted(html) if self.options.footnotes else html
+        for finish in ends:
+            html = finish(html)
+        return html
 
     def inlines(self, pieces: list) -> list[Node]:
         return InlineParser(self.text, pieces, self.parser.references, self.options).parse()
@@ -131,16 +235,24 @@ class Html:
         out: list[str] = []
         stack: list = list(reversed(nodes))
         names = {"emphasis": "em", "strong": "strong", "strikethrough": "del"}
+        last = end = -1  # where the element begins and ends that was written last
         while stack:
             node = stack.pop()
-            if isinstance(node, str):
-                out.append(node)
+            if isinstance(node, tuple):
+                out.append(node[0])
+                last, end = node[1], len(out)
             elif node.kind == "text":
                 out.append(escape(node.text))
             elif node.kind in names:
                 out.append(self.tag(names[node.kind], node.kind))
-                stack.append(f"</{names[node.kind]}>")
+                stack.append((f"</{names[node.kind]}>", len(out) - 1))
                 stack.extend(reversed(node.children))
+            elif node.kind == ATTRIBUTES_INLINE:
+                if end == len(out):
+                    out[last] = self.with_attributes(out[last], whole_list(self.options.attributes, node.text) or {})
+                else:
+                    out.append(escape(node.text))
+                continue
             elif node.kind == "footnote:reference":
                 out.append(f"{self.mark}{len(self.uses)}\x1f")
                 self.uses.append((node.destination, escape(f"[^{node.text}]")))
@@ -155,7 +267,7 @@ class Html:
                     out.append(self.tag("img", "image", {"src": self.url(node.destination), "alt": plain(node.children)} | title, end=" />"))
                 else:
                     out.append(self.tag("a", "link", {"href": self.url(node.destination)} | title))
-                    stack.append("</a>")
+                    stack.append(("</a>", len(out) - 1))
                     stack.extend(reversed(node.children))
             elif node.kind == "autolink":
                 out.append(f"{self.tag('a', 'autolink', {'href': self.url(node.destination)})}{escape(node.text)}</a>")
@@ -167,9 +279,13 @@ class Html:
                 out.append(self.raw(node.text))
             else:
                 out.append("<br />\n" if node.kind == "hard-break" else "\n")
+            if not isinstance(node, tuple) and node.kind in ("code-span", "image", "autolink"):
+                last, end = len(out) - 1, len(out)
         return "".join(out)
 
     def render(self, blocks: list[Block] | None = None) -> str:
+        if blocks is None and self.plugins.plans:
+            return self.planned()
         out: list[str] = []
         stack: list = [(c, False) for c in reversed(self.root.children if blocks is None else blocks)]
         while stack:
@@ -178,7 +294,10 @@ class Html:
                 out.append(item)
                 continue
             block, tight = item
+            at = len(out)
             self.block(block, tight, out, stack)
+            if "attributes" in block.data and len(out) > at:
+                out[at] = self.with_attributes(out[at], block.data["attributes"])
         html = "".join(out)
         return self.noted(html) if self.options.footnotes and blocks is None else html
 
@@ -234,6 +353,8 @@ class Html:
             self.notes.setdefault(label_key(block.data["state"]["label"]), self.render(block.children))
         elif kind == "tabs:group" and "rule" in block.data:
             out.append(self.tabs(block))
+        elif kind == ATTRIBUTES_BLOCK and "state" in block.data:
+            pass
         elif "leaf" in block.data:
             out.append(f'<div data-kind="{escape(kind)}">{escape(code_of(self.text, block))}</div>\n')
         elif kind == "paragraph":

@@ -160,7 +160,9 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
             row["eol"] = found[0] if found else "\n"
         if kind == "footnote:definition":
             row["label_key"] = label_key(data["state"]["label"])
-        if "ext" in data:
+        if "state" in data:
+            row["ext"] = [(k, str(v)) for k, v in data["state"].items()]
+        elif "ext" in data:
             row["ext"] = list(data["ext"].items())
         if block.pieces:
             row["content_ranges"] = [{"start": place(a), "end": place(b)} for a, b, _ in block.pieces]
