@@ -40,8 +40,7 @@ def apply(documents: DataFrame, patches: DataFrame, on_conflict: str = "error",
 
     on_conflict: "error" fails the job, "skip" leaves documents with conflicting patches as they are.
     """
-    own = patches.dropDuplicates(["doc_id", "start", "end", "replacement"])
-    sorted_patches = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("replacement").cast("binary").alias("r")))).alias("p"))
+    sorted_patches = patches.groupBy("doc_id").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("start", "end", F.col("replacement").cast("binary").alias("r"))))).alias("p"))
     # Bad when a patch begins before the last one's end, or two insertions share a place.
     clash = F.exists(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda i: F.coalesce(
         (F.get("p", i)["start"] < F.get("p", i - 1)["end"]) | ((F.get("p", i)["start"] == F.get("p", i)["end"]) & (F.get("p", i - 1)["start"] == F.get("p", i - 1)["end"]) & (F.get("p", i)["start"] == F.get("p", i - 1)["start"])), F.lit(False)))

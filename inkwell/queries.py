@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell import cases
+from inkwell import cases, corpus
 from inkwell import format as formatting
 from inkwell import functions as fn
 from inkwell import lint, patches, stats, views
@@ -308,5 +308,5 @@ ORACLE["html_documents"] = f"""SELECT CAST({_DOC} AS BIGINT) AS doc_id, '<h1>' |
     || string_agg('<h2>' || {_HTML.format("c_name")} || '</h2>' || chr(10) || '<p>' || {_HTML.format("c_mktsegment")} || '</p>' || chr(10), '' ORDER BY c_custkey) AS html
     FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY {_DOC}"""
 
-QUERIES |= cases.QUERIES
-ORACLE |= cases.ORACLE
+QUERIES |= cases.QUERIES | corpus.QUERIES
+ORACLE |= cases.ORACLE | corpus.ORACLE
