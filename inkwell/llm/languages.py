@@ -32,6 +32,8 @@ ROUNDS = 12
 #: Log-likelihood that each further language must bring, as a multiple of log(trigrams) / 2.
 PENALTY = 2.0
 UNKNOWN = "und"
+#: Code points of a pass, and code points times languages, which bound the arrays of a pass.
+PASS_POINTS, PASS_CELLS = 500_000, 8_000_000
 #: Languages up to which the model is gathered and broadcast, at half a MB each; more are an error, never left out.
 MOST_LANGUAGES = 500
 
@@ -138,7 +140,7 @@ def identified(docs: DataFrame, names: list[str], probability: np.ndarray, id_co
         names, probability = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            share = [proportions(texts[i:j], probability) for i, j in in_passes(texts, 500_000)]
+            share = [proportions(texts[i:j], probability) for i, j in in_passes(texts, max(1, min(PASS_POINTS, PASS_CELLS // max(1, len(names)))))]
             predicted, score, sets = [], [], []
             for row in np.concatenate(share) if share else ():
                 top = int(row.argmax()) if len(row) else 0

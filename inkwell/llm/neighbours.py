@@ -38,6 +38,8 @@ from inkwell.llm.common import cut, named, table
 
 K = 20
 SAMPLE, MOST = 16_384, 131_072
+#: Bytes of the sample in double precision, which bound it where vectors are wide.
+SAMPLE_BYTES = 256 << 20
 BRANCH = 8
 LEAF = 64
 PROBES = 128
@@ -242,16 +244,21 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     counts = rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()  # a row a vector length
     found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     for n, count in counts:
-        part = found_of_length(rows.where(F.size("v") == n), count, is_query, k, recall)
+        part = found_of_length(rows.where(F.size("v") == n), n, count, is_query, k, recall)
         found = found.unionByName(part) if part is not None and len(counts) > 1 else found if part is None else part
     return found.withColumnRenamed("id", id_col)
 
 
-def found_of_length(rows: DataFrame, count: int, is_query, k: int, recall: float) -> DataFrame | None:
+def sample_size(count: int, width: int) -> int:
+    """Rows to fit the tree on: a third of all, within SAMPLE to MOST and SAMPLE_BYTES."""
+    return max(1, min(MOST, max(SAMPLE, count // 3), SAMPLE_BYTES // (8 * width)))
+
+
+def found_of_length(rows: DataFrame, width: int, count: int, is_query, k: int, recall: float) -> DataFrame | None:
     """nearest() for rows (id, v) of one vector length; None without queries."""
     spark = rows.sparkSession
     probes = [(r.id, r.v) for r in rows.where(is_query).orderBy(F.xxhash64("id", F.lit(1)), "id", "v").limit(PROBES).collect()]
-    tree = fitted(rows, min(MOST, max(SAMPLE, count // 3))) if probes else None
+    tree = fitted(rows, sample_size(count, width)) if probes else None
     if tree is None:
         return None
     most = calibrated(tree, rows, probes, recall, k)

@@ -105,3 +105,9 @@ def test_bins_hold_whole_leaves_in_tree_order():
         held.setdefault(number, []).append(leaf)
         assert chunks == (5 if leaf == 0 else 1)
     assert all(sum(filled[x] for x in own) <= 200 or own == [0] for own in held.values())
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes():
+    assert neighbours.sample_size(100, 64) == neighbours.SAMPLE and neighbours.sample_size(10**9, 64) == neighbours.MOST
+    assert neighbours.sample_size(90_000, 64) == 30_000
+    assert neighbours.sample_size(10**9, 4096) * 4096 * 8 <= neighbours.SAMPLE_BYTES and neighbours.sample_size(10, 10**9) == 1
