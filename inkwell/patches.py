@@ -337,7 +337,8 @@ def composed(patches: DataFrame) -> DataFrame:
     at = rows.where("start = end").withColumn("replacement", latin(F.col("replacement"))).withColumn("_bare", F.col("replacement").rlike(r"^[\r\n]*$"))
     joined = at.groupBy("doc_id", "start", "end").agg(F.sort_array(F.collect_list(F.struct("_bare", "description", "replacement"))).alias("p"))
     one = joined.select("doc_id", "start", "end", raw(F.array_join(F.transform("p", lambda x: x["replacement"]), "")).alias("replacement"), F.array_join(F.transform("p", lambda x: x["description"]), "; ").alias("description"))
-    return rows.where("start <> end").select(*COLUMNS).unionByName(one.select(*COLUMNS))
+    kind = patches.schema["replacement"].dataType
+    return rows.where("start <> end").select(*COLUMNS).unionByName(one.withColumn("replacement", F.col("replacement").cast(kind)).select(*COLUMNS))
 
 
 # ---- diffs -------------------------------------------------------------------------------------------------------
