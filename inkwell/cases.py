@@ -359,6 +359,11 @@ def case_documents(spark, sf_dir: str, cases: Cases) -> DataFrame:
     return parts.select("doc_id", pick(0).alias("case"), F.replace(pick(1), F.lit("{n}"), F.col("doc_id").cast("string")).alias("source"))
 
 
+def of_case(cases: Cases, name: str) -> Column:
+    """Whether a doc_id is one of a case's, as case_documents() deals them."""
+    return (F.col("doc_id") % len(cases)).isin([i for i, c in enumerate(cases) if c[0] == name])
+
+
 def literal(text: str) -> str:
     """A DuckDB string with its control signs escaped."""
     out = text.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
@@ -438,7 +443,7 @@ def edits(docs):
     """Every edit on the documents of its case, all applied at once."""
     parsed = parse(docs).persist()
     b, i = blocks(parsed), inlines(parsed)
-    of = lambda rows, case: rows.join(docs.where(F.col("case") == case).select("doc_id"), "doc_id", "left_semi")
+    of = lambda rows, case: rows.where(of_case(EDITS, case))
     heads, sections = views.headings(b), views.sections(b, parsed)
     first = lambda rows: rows.where("pre = 1")
     code, front, links, images = views.code_blocks(b), views.front_matter(b), views.links(i), views.images(i)
@@ -474,7 +479,8 @@ def edits(docs):
     twice = [every.withColumn("seq", F.lit(0)), patches.replace_code(of(code, "edit twice"), F.lit("two\n")).withColumn("seq", F.lit(1)), patches.replace_code(of(code, "edit twice"), F.lit("three\n")).withColumn("seq", F.lit(2))]
     second = heads.where("text like 'B %'")
     twice += [patches.rename_headings(of(second, "rename and remove"), F.lit("New")).withColumn("seq", F.lit(1)), patches.remove_sections(of(sections.where("text like 'B %'"), "rename and remove")).withColumn("seq", F.lit(2))]
-    done = patches.lower(docs, reduce(DataFrame.unionByName, twice).persist())  # it is read several times
+    made = reduce(DataFrame.unionByName, twice)
+    done = patches.lower(docs, made.persist())  # it is read several times
     return answered(docs, done.select("doc_id", F.col("source").cast("string").alias("got")))
 
 
@@ -546,7 +552,7 @@ def structural_views(docs):
     """Every view and extension on the documents of its case."""
     spark = docs.sparkSession
     parsed = parse(docs, **RULES).persist()
-    of = lambda rows, case: rows.join(docs.where(F.col("case") == case).select("doc_id"), "doc_id", "left_semi")
+    of = lambda rows, case: rows.where(of_case(VIEWS, case))
     b, i, r = blocks(parsed), inlines(parsed), references(parsed)
     heads, sections = views.headings(b), views.sections(b, parsed)
     own = lambda rows, case, order, value, by=",": joined(of(rows, case), order, value, by)

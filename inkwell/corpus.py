@@ -90,8 +90,7 @@ def text_sections(spark, sf_dir):
 def text_edits(spark, sf_dir):
     """Sources without quotes, with another language on code, and with renamed headings of level one."""
     docs = text_documents(spark, sf_dir)
-    parsed = parse(docs).persist()
-    b = blocks(parsed)
+    b = blocks(parse(docs, with_inlines=False).persist())
     made = patches.remove_blocks(b.where("kind = 'block-quote'")).unionByName(patches.set_code_languages(views.code_blocks(b), F.lit("txt")))
     made = made.unionByName(patches.rename_headings(views.headings(b, 1), F.lit("Part")))
     return patches.apply(docs, made).select("doc_id", F.md5("source").alias("digest"), F.octet_length("source").cast("long").alias("n_bytes"), "changed")

@@ -36,7 +36,6 @@ BLOCK = _struct(
     ext=T.MapType(_S, _S), lines=_struct(start=_I, text_end=_I, end=_I, cut_start=_I, cut_end=_I), eol=_S,
 )
 INLINE = _struct(block_pre=_I, inline_ord=_I, depth=_I, kind=_S, start=_I, end=_I, text=_S, destination=_S, title=_S, bracketed=_B, ref_label=_S, label_end=_I)
-EMPTY = dict.fromkeys(BLOCK.names)
 REFERENCE = _struct(label_key=_S, destination=_S, title=_S, block_pre=_I, used=_B)
 ERROR = _struct(kind=_S, limit=_I, attempted=_I, offset=_I)
 TEXT_KINDS = ("paragraph", "atx-heading", "setext-heading", "description-term")
@@ -128,6 +127,8 @@ def document_rows(source: bytes | None, options: Options, with_inlines: bool = T
 
 
 def inline_row(pre: int, i: int, level: int, node, nodes: InlineParser, place: Places) -> dict:
+    if node.kind == "text":  # most are, and have a text only
+        return {"block_pre": pre, "inline_ord": i, "depth": level, "kind": "text", "start": place(nodes.place(node.start)), "end": place(nodes.place(node.end)), "text": _clean(node.text), "bracketed": node.bracketed}
     return {
         "block_pre": pre, "inline_ord": i, "depth": level, "kind": node.kind, "start": place(nodes.place(node.start)), "end": place(nodes.place(node.end)),
         "text": _clean(plain(node.children) if node.children or node.kind in ("link", "image") else node.text), "destination": _clean(node.destination), "title": _clean(node.title),
@@ -150,7 +151,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
     total, slugs = 0, Slugs()
     for pre, (block, depth, parent, sibling) in enumerate(order):
         data, kind = block.data, block.kind
-        row = EMPTY | {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
+        row = {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
         if kind in OWN:
             row["own"] = _clean(own_source(text, block))
         if depth == 1:
@@ -193,7 +194,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
         elif kind in TEXT_KINDS and with_inlines:
             nodes = InlineParser(text, block.pieces, parser.references, options)
             found = nodes.parse()
-            row["text"] = _clean(plain(found))
+            row["text"] = _clean(found[0].text if len(found) == 1 and found[0].kind == "text" else plain(found))
             if kind in HEADINGS:
                 row["fold"] = row["text"].strip().casefold()
                 row["slug"] = slugs.next(slug_base(row["fold"]))
@@ -205,7 +206,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
         blocks.append(row)
     for row in blocks:
         if row["kind"] == "footnote:definition":  # a note's text is that of its blocks
-            row["text"] = "\n\n".join(x["text"] for x in blocks[row["pre"] + 1 : row["last_pre"] + 1] if x["text"])
+            row["text"] = "\n\n".join(x["text"] for x in blocks[row["pre"] + 1 : row["last_pre"] + 1] if x.get("text"))
     refs = [{"label_key": _clean(k), "destination": _clean(v["destination"]), "title": _clean(v["title"]), "block_pre": pre_of.get(id(v["block"])), "used": v["used"]} for k, v in parser.references.items()]
     return {"blocks": blocks, "inlines": inlines if with_inlines else None, "refs": refs, "parse_error": None}
 
