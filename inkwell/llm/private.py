@@ -315,7 +315,9 @@ def masked(docs: DataFrame, text_col: str = "text", out_col: str = "masked") ->
 
 def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, n=i: s["kind"] == n)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    # A lambda of two parameters would be given the item's place as the second.
+    count = lambda number: F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -62,6 +63,17 @@ def test_query_adds_secrets_and_leaves_clean_texts(spark):
         assert [s for s in spans if not s.startswith("secret")] == base
 
 
+def test_query_counts_and_hashes_base_spans(spark, tmp_path):
+    texts = ["a@b.co c@d.ef", "10.0.0.1 4111111111111111 a@b.co", "+1 (790) 555-2115", "call +4930123456 1.2.3.4 5.6.7.8", None, "1.2.3.400 none"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = private.op5_private(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)], texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{private.BASE[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+
+
 def test_votes_decide(spark):
     lines = ['api_key = "sk-Ab3xY9' + "q7Z" * 6 + '"', "Call me on the phone: (415) 555-0134 today", "write jane.doe [at] example [dot] org", "IBAN: DE89 3704 0044 0532 0130 00",
              "my SSN 123-45-6789 is", "the checksum sha1: 7777777777777777777777777", "averyveryverylongwordwithoutdigits"]
