@@ -11,7 +11,7 @@ from inkwell import format as formatting
 from inkwell import lint, patches, stats
 from inkwell.kernel.render import BlockView, Decorator, Plan, Plugins, Policy
 from inkwell.kernel.rules import BlockRule, InlineRule
-from inkwell.parse import blocks, inlines, parse
+from inkwell.parse import blocks, inlines, kept, parse
 from inkwell.sanitize import md_to_html
 from inkwell.views import KINDS
 
@@ -87,7 +87,7 @@ class Engine:
         return lint.check(parsed, config)
 
     def format(self, documents: DataFrame) -> DataFrame:
-        parsed = self.parse(documents).persist()
+        parsed = kept(self.parse(documents))
         return patches.apply(documents, formatting.format_patches(parsed, extra=sum((e.passes for e in self.extensions), ())))
 
     def statistics(self, parsed: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell import intervals, lint, patches
-from inkwell.parse import parse
+from inkwell.parse import kept, parse
 
 BULLET = "-"
+#: What the passes here read of blocks.
+FIELDS = (*lint.FIELDS, "parent_pre", "sibling", "ordered", "marker", "align")
 
 
 def trailing_spaces(t: lint.Tables) -> DataFrame:
@@ -124,7 +126,7 @@ def format_patches(parsed: DataFrame, passes: tuple[str, ...] = tuple(PASSES), e
 
 def format_documents(documents: DataFrame, profile: str = "github", source_col: str = "source") -> DataFrame:
     """(doc_id, source, changed) of the documents in the common style."""
-    parsed = parse(documents, profile, source_col=source_col).persist()
+    parsed = kept(parse(documents, profile, source_col=source_col, fields=FIELDS, inline_kinds=lint.INLINE_KINDS))
     return patches.apply(documents, format_patches(parsed), source_col=source_col)
 
 

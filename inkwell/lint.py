@@ -19,6 +19,9 @@ from inkwell.parse import blocks, dominant_eol, inlines, lines, references
 FIX = "struct<start:int,end:int,replacement:string>"
 #: Block kinds whose lines keep their trailing blanks.
 OPAQUE = ("fenced-code", "indented-code", "html-block", "frontmatter:block")
+#: What the rules here read of a parse: fields of blocks, and kinds of inlines.
+FIELDS = ("pre", "depth", "kind", "start", "end", "level", "info", "language", "code", "fence_closed", "fence", "text", "fold", "slug", "own", "header", "rows", "row_ranges", "eol")
+INLINE_KINDS = ("link", "image", "autolink", "code-span", "html-inline", "hard-break")
 
 
 class Tables:

@@ -1,18 +1,22 @@
 """Documents to flat tables of blocks, inlines, references and lines.
 
 The grammar runs per document in an Arrow-batched kernel; what it gives is one row a document, from which the flat
-tables are exploded.  parse() should be persisted (persist(), or written with save()) when several tables are read;
+tables are exploded.  parse() should be written once (kept(), save(), or persist() where it is small) when several tables are read;
 filters on documents belong before parse(), since they don't pass a kernel.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,6 +62,9 @@ def own_source(text: str, block) -> str:
     return first + "\n" + text[max(text.rfind("\n", stop, block.end), text.rfind("\r", stop, block.end)) + 1 : block.end]
 
 
+#: Most documents, and most bytes of sources, whose rows a worker holds at once.
+PASS_DOCUMENTS, PASS_BYTES = 200, 1 << 17
+
 REST = re.compile(r"[^\r\n]*")
 EOL = re.compile(r"\r\n|\r|\n")
 
@@ -109,11 +116,36 @@ def _clean(text: str | None) -> str | None:
     return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """Which rows and fields a parse gives: fields of blocks and kinds of inlines (None: all), and most blocks a row of the result (None: one row a document)."""
+
+    fields: tuple[str, ...] | None = None
+    inline_kinds: tuple[str, ...] | None = None
+    part: int | None = None
+
+    def __post_init__(self) -> None:
+        if bad := [f for f in self.fields or () if f not in BLOCK.names]:
+            raise ValueError(f"unknown fields {bad}")
+
+    def __contains__(self, field: str) -> bool:
+        return self.fields is None or field in self.fields
+
+    def block(self) -> T.StructType:
+        return T.StructType([f for f in BLOCK if f.name in self])
+
+
 def document_rows(source: bytes | None, options: Options, with_inlines: bool = True) -> dict:
     """blocks, inlines, refs and parse_error of one document."""
+    return next(document_parts(source, options, with_inlines))
+
+
+def document_parts(source: bytes | None, options: Options, with_inlines: bool = True, wanted: Wanted | None = None) -> Iterator[dict]:
+    """blocks, inlines, refs and parse_error of one document, in parts of wanted.part blocks; the last one has the refs."""
     empty = {"blocks": None, "inlines": None, "refs": None, "parse_error": None}
     if source is None:
-        return empty
+        yield empty
+        return
     original = source.decode("utf-8", "surrogateescape")
     text, place = original.replace("\0", "�"), Places(original)
     try:
@@ -121,9 +153,9 @@ def document_rows(source: bytes | None, options: Options, with_inlines: bool = T
             raise ParseLimit("source-bytes", options.source_bytes, len(source), 0)
         parser = BlockParser(text, options)
         root = parser.parse()
-        return _rows(text, parser, root, place, options, with_inlines)
+        yield from _rows(text, parser, root, place, options, with_inlines, wanted or Wanted())
     except ParseLimit as stop:
-        return empty | {"parse_error": {"kind": stop.kind, "limit": stop.limit, "attempted": stop.attempted, "offset": place(stop.offset)}}
+        yield empty | {"parse_error": {"kind": stop.kind, "limit": stop.limit, "attempted": stop.attempted, "offset": place(stop.offset)}}
 
 
 def inline_row(pre: int, i: int, level: int, node, nodes: InlineParser, place: Places) -> dict:
@@ -136,27 +168,40 @@ def inline_row(pre: int, i: int, level: int, node, nodes: InlineParser, place: P
     }
 
 
-def _rows(text: str, parser: BlockParser, root, place: Places, options: Options, with_inlines: bool) -> dict:
-    blocks, inlines, order, pre_of = [], [], [], {}
-    stack = [(root, 0, -1, 0)]
+def _rows(text: str, parser: BlockParser, root, place: Places, options: Options, with_inlines: bool, wanted: Wanted) -> Iterator[dict]:
+    # Notes get the text of later blocks, and a document beyond its inlines has no rows at all: both stay whole.
+    most = None if options.footnotes or options.inlines is not None else wanted.part
+    kinds = wanted.inline_kinds if wanted.inline_kinds is None else frozenset(wanted.inline_kinds)
+    blocks, inlines, order = [], [], [(root, 0, -1, 0)]
+    pre_of = dict.fromkeys(id(v["block"]) for v in parser.references.values())
+    stack = [(iter(enumerate(root.children)), 0)]
     while stack:
-        block, depth, parent, sibling = stack.pop()
-        pre_of[id(block)] = len(order)
-        order.append((block, depth, parent, sibling))
-        mine = pre_of[id(block)]
-        stack.extend((c, depth + 1, mine, i) for i, c in reversed(list(enumerate(block.children))))
+        children, parent = stack[-1]
+        sibling, block = next(children, (0, None))
+        if block is None:
+            stack.pop()
+            continue
+        mine = len(order)
+        order.append((block, len(stack), parent, sibling))
+        if id(block) in pre_of:
+            pre_of[id(block)] = mine
+        if block.children:
+            stack.append((iter(enumerate(block.children)), mine))
     last = list(range(len(order)))
     for i in range(len(order) - 1, 0, -1):
         last[order[i][2]] = max(last[order[i][2]], last[i])
     total, slugs = 0, Slugs()
     for pre, (block, depth, parent, sibling) in enumerate(order):
         data, kind = block.data, block.kind
+        if most and len(blocks) >= most:
+            yield {"blocks": blocks, "inlines": inlines if with_inlines else None, "refs": None, "parse_error": None}
+            blocks, inlines = [], []
         row = {"pre": pre, "last_pre": last[pre], "depth": depth, "parent_pre": parent, "sibling": sibling, "kind": kind, "start": place(block.start), "end": place(block.end), "level": block.level}
-        if kind in OWN:
+        if kind in OWN and "own" in wanted:
             row["own"] = _clean(own_source(text, block))
-        if depth == 1:
+        if depth == 1 and "lines" in wanted:
             row["lines"] = dict(zip(LINES, map(place, whole_lines(text, block)), strict=True))
-        if depth == 1 or kind in CODE:
+        if (depth == 1 or kind in CODE) and "eol" in wanted:
             found = EOL.search(text, block.start, min(len(text), block.end + 2))
             row["eol"] = found[0] if found else "\n"
         if kind == "footnote:definition":
@@ -165,7 +210,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
             row["ext"] = [(k, str(v)) for k, v in data["state"].items()]
         elif "ext" in data:
             row["ext"] = list(data["ext"].items())
-        if block.pieces:
+        if block.pieces and "content_ranges" in wanted:
             row["content_ranges"] = [{"start": place(a), "end": place(b)} for a, b, _ in block.pieces]
         if kind == "list":
             row |= {"ordered": data["ordered"], "loose": data["loose"], "start_number": data["start"], "marker": data["signature"]}
@@ -189,7 +234,7 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
             if options.footnotes and with_inlines:  # uses of notes count wherever they stand
                 spans = [x for r in (data["header"], *data["rows"]) for x in r]
                 noted = [(p, node) for p in (InlineParser(text, [(a, b, 0)], parser.references, options) for a, b in spans) for node, _ in walk(p.parse()) if node.kind == "footnote:reference"]
-                inlines += [inline_row(pre, i, 0, node, p, place) for i, (p, node) in enumerate(noted, 1)]
+                inlines += [inline_row(pre, i, 0, node, p, place) for i, (p, node) in enumerate(noted, 1) if kinds is None or node.kind in kinds]
             row["row_ranges"] = [{"start": place(r[0][0]) if r else place(block.start), "end": place(r[-1][1]) if r else place(block.start)} for r in data["rows"]]
         elif kind in TEXT_KINDS and with_inlines:
             nodes = InlineParser(text, block.pieces, parser.references, options)
@@ -202,40 +247,96 @@ def _rows(text: str, parser: BlockParser, root, place: Places, options: Options,
                 total += 1
                 if options.inlines is not None and total > options.inlines:
                     raise ParseLimit("inline-count", options.inlines, total, block.start)
-                inlines.append(inline_row(pre, i, level, node, nodes, place))
+                if kinds is None or node.kind in kinds:
+                    inlines.append(inline_row(pre, i, level, node, nodes, place))
         blocks.append(row)
     for row in blocks:
         if row["kind"] == "footnote:definition":  # a note's text is that of its blocks
             row["text"] = "\n\n".join(x["text"] for x in blocks[row["pre"] + 1 : row["last_pre"] + 1] if x.get("text"))
     refs = [{"label_key": _clean(k), "destination": _clean(v["destination"]), "title": _clean(v["title"]), "block_pre": pre_of.get(id(v["block"])), "used": v["used"]} for k, v in parser.references.items()]
-    return {"blocks": blocks, "inlines": inlines if with_inlines else None, "refs": refs, "parse_error": None}
+    yield {"blocks": blocks, "inlines": inlines if with_inlines else None, "refs": refs, "parse_error": None}
+
 
+def _small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 22) -> None:
+    """Arrow batches of few rows and bytes on their way to the kernel, since a row is a whole document."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = re.fullmatch("([0-9]+)b?", spark.conf.get(key))
+        if not held or not 0 < int(held[1]) <= most:
+            spark.conf.set(key, str(most))
 
-def parse(docs: DataFrame, profile: str = "github", id_col: str = "doc_id", source_col: str = "source", with_inlines: bool = True, mode: str = "PERMISSIVE", **limits) -> DataFrame:
+
+def _passes(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of these bytes that are worked on together."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > PASS_BYTES or i - start >= PASS_DOCUMENTS):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def parse(
+    docs: DataFrame, profile: str = "github", id_col: str = "doc_id", source_col: str = "source", with_inlines: bool = True, mode: str = "PERMISSIVE",
+    fields: tuple[str, ...] | None = None, inline_kinds: tuple[str, ...] | None = None, part: int | None = None, **limits,
+) -> DataFrame:
     """(doc_id, source binary, blocks, inlines, refs, parse_error), one row a document.
 
     limits: nesting, blocks, inlines, references, source_bytes; footnotes=True makes [^labels] notes and their uses;
     block_rules and inline_parsers are further syntax.  A document beyond one has null children and a
     parse_error; mode FAILFAST raises instead.  with_inlines=False skips all inline work.
+
+    Columns can't be pruned through a kernel, so fields names the fields of blocks and inline_kinds the kinds of inlines
+    that are wanted.  With part, a document of more blocks than that takes several rows, of which one has the source:
+    the flat tables are the same, and no row holds all of a very long document.
     """
-    options = Options.profile(profile, **limits)
+    options, wanted = Options.profile(profile, **limits), Wanted(fields, inline_kinds, part)
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("source", T.BinaryType()), T.StructField("blocks", T.ArrayType(BLOCK)), T.StructField("inlines", T.ArrayType(INLINE)), T.StructField("refs", T.ArrayType(REFERENCE)), T.StructField("parse_error", ERROR)])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("source", T.BinaryType()), T.StructField("blocks", T.ArrayType(wanted.block())), T.StructField("inlines", T.ArrayType(INLINE)), T.StructField("refs", T.ArrayType(REFERENCE)), T.StructField("parse_error", ERROR)])
     arrow = to_arrow_schema(schema)
+    children = ("blocks", "inlines", "refs", "parse_error")
+    _small_batches(docs.sparkSession)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(ids: pa.Array, sources: pa.Array, rows: list[dict]) -> pa.RecordBatch:
+            if mode == "FAILFAST" and (bad := next((r["parse_error"] for r in rows if r["parse_error"]), None)):
+                raise ValueError(f"parse limit: {bad}")
+            return pa.RecordBatch.from_arrays([ids, sources, *(pa.array([r[c] for r in rows], arrow.field(c).type) for c in children)], schema=arrow)
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                rows = [document_rows(s, options, with_inlines) for s in part.column(1).to_pylist()]
-                if mode == "FAILFAST" and (bad := next((r["parse_error"] for r in rows if r["parse_error"]), None)):
-                    raise ValueError(f"parse limit: {bad}")
-                columns = [part.column(0), part.column(1), *(pa.array([r[c] for r in rows], arrow.field(c).type) for c in ("blocks", "inlines", "refs", "parse_error"))]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for start, stop in _passes(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+                ids, sources = batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
+                if part is None:
+                    yield made(ids, sources, [next(document_parts(s, options, with_inlines, wanted)) for s in sources.to_pylist()])
+                    continue
+                for i, source in enumerate(sources.to_pylist()):
+                    own = sources.slice(i, 1)
+                    for rows in document_parts(source, options, with_inlines, wanted):
+                        yield made(ids.slice(i, 1), own, [rows])
+                        own = pa.nulls(1, own.type)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("binary").alias("source")).mapInArrow(kernel, schema)
 
 
+def kept(parsed: DataFrame) -> DataFrame:
+    """parsed, written once as a compressed table into the folder that driver and executors share.
+
+    Tables read of it load only their own columns; as a cache, rows of whole documents fill the executors' memory, travel
+    between them, and are made anew where two stages begin at once.  Row groups are small, since few rows hold much.
+    """
+    spark = parsed.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/parsed-{uuid.uuid4().hex}"
+    parsed.write.option("compression", "zstd").option("parquet.block.size", 1 << 24).parquet(path)
+    return spark.read.schema(parsed.schema).parquet(path)
+
+
 def blocks(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.inline("blocks"))
 

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from inkwell import intervals
 
 HEADINGS = ("atx-heading", "setext-heading")
+#: Of a heading; a parse of fewer fields has fewer.
+HEADING_COLUMNS = ("pre", "depth", "kind", "level", "text", "fold", "own", "start", "end")
 KINDS = (
     "document", "paragraph", *HEADINGS, "indented-code", "fenced-code", "html-block", "block-quote", "list", "list-item", "thematic-break", "link-reference-definition",
     "gfm:table", "github:alert", "frontmatter:block", "description-list", "description-term", "description",
@@ -43,7 +45,7 @@ class Query:
 def headings(blocks: DataFrame, level: int | None = None) -> DataFrame:
     rows = blocks.where(F.col("kind").isin(*HEADINGS))
     rows = rows if level is None else rows.where(F.col("level") == level)
-    return rows.select("doc_id", "pre", "depth", "kind", "level", "text", "fold", "own", "start", "end")
+    return rows.select("doc_id", *(c for c in HEADING_COLUMNS if c in rows.columns))
 
 
 def titles(blocks: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def sections(blocks: DataFrame, parsed: DataFrame) -> DataFrame:
     # Backwards, so that frames grow row by row: the last start seen of each level, and the least of those that end a section.
     after = Window.partitionBy("doc_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
     ends = [F.when(F.col("level") == n, F.last(F.when(F.col("level") <= n, F.col("start")), ignorenulls=True).over(after)) for n in range(1, 7)]
-    size = parsed.select("doc_id", F.octet_length("source").cast("int").alias("n_bytes"))
+    size = parsed.where("source is not null").select("doc_id", F.octet_length("source").cast("int").alias("n_bytes"))
     return headings(blocks).withColumn("next", F.coalesce(*ends)).join(size, "doc_id").withColumn("section_end", F.coalesce("next", "n_bytes")).drop("next", "n_bytes")
 
 
@@ -123,9 +125,10 @@ def table_rows(blocks: DataFrame) -> DataFrame:
 
 def tasks(blocks: DataFrame) -> DataFrame:
     """List items with a task state, and the text of their first paragraph."""
-    items = blocks.where("task_state is not null").select("doc_id", F.col("pre").alias("item_pre"), "task_state")
-    texts = blocks.where("kind = 'paragraph' and sibling = 0").select("doc_id", F.col("parent_pre").alias("item_pre"), "text")
-    return items.join(texts, ["doc_id", "item_pre"], "left")
+    # One scan of the blocks: an item and its first paragraph meet in a group of the item's number.
+    first = (F.col("kind") == "paragraph") & (F.col("sibling") == 0)
+    rows = blocks.where(F.col("task_state").isNotNull() | first).select("doc_id", F.when(first, F.col("parent_pre")).otherwise(F.col("pre")).alias("item_pre"), "task_state", F.when(first, F.col("text")).alias("text"))
+    return rows.groupBy("doc_id", "item_pre").agg(F.max("task_state").alias("task_state"), F.max("text").alias("text")).where("task_state is not null")
 
 
 def slugs(blocks: DataFrame) -> DataFrame:
