@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkwell import format as formatting
 from inkwell import functions as fn
 from inkwell import lint, patches, stats, views
-from inkwell.parse import blocks, inlines, parse
+from inkwell.parse import blocks, inlines, kept, parse
 from inkwell.sanitize import md_to_html
 
 
@@ -105,7 +105,7 @@ def text_formats(spark, sf_dir):
 def text_problems(spark, sf_dir):
     """Problems of untidy sources by rule."""
     rules = ("no-trailing-spaces", "final-newline", "single-h1", "code-fence-info-spacing", "prefer-fenced-code-blocks")
-    found = lint.check(parse(untidy_documents(spark, sf_dir)).persist(), lint.Config(rules))
+    found = lint.check(kept(parse(untidy_documents(spark, sf_dir), fields=lint.FIELDS, inline_kinds=lint.INLINE_KINDS)), lint.Config(rules))
     return found.groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
