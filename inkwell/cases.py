@@ -21,7 +21,7 @@ from inkwell import lint, patches, sanitize, stats, views
 from inkwell.engine import Engine, Extension
 from inkwell.kernel.render import Decorator, Policy, normalised
 from inkwell.kernel.rules import CLOSE, TABS, AttributePolicy, BlockRule, Go, InlineRule, LineView, Opened
-from inkwell.parse import blocks, inlines, lines, parse, references
+from inkwell.parse import blocks, inlines, kept, lines, parse, references
 
 Cases = list[tuple[str, str, str]]
 
@@ -551,7 +551,7 @@ def _front(content: str) -> dict:
 def structural_views(docs):
     """Every view and extension on the documents of its case."""
     spark = docs.sparkSession
-    parsed = parse(docs, **RULES).persist()
+    parsed = kept(parse(docs, **RULES))
     of = lambda rows, case: rows.where(of_case(VIEWS, case))
     b, i, r = blocks(parsed), inlines(parsed), references(parsed)
     heads, sections = views.headings(b), views.sections(b, parsed)
