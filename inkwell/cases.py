@@ -441,7 +441,7 @@ def formats(docs):
 
 def edits(docs):
     """Every edit on the documents of its case, all applied at once."""
-    parsed = parse(docs).persist()
+    parsed = kept(parse(docs))
     b, i = blocks(parsed), inlines(parsed)
     of = lambda rows, case: rows.where(of_case(EDITS, case))
     heads, sections = views.headings(b), views.sections(b, parsed)
