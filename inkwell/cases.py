@@ -421,7 +421,7 @@ def line_table(docs):
 
 
 def lint_problems(docs):
-    parsed = parse(docs).persist()
+    parsed = kept(parse(docs, fields=lint.FIELDS, inline_kinds=lint.INLINE_KINDS))
     found = lint.check(parsed, lint.Config.all()).join(docs.select("doc_id", "case", F.col("source").cast("binary").alias("source")), "doc_id").where("rule_id = case")
     return answered(docs, joined(found, ["start"], F.concat(F.lit("["), _slice(), F.lit("]")), ""))
 
