@@ -113,7 +113,7 @@ def order_headings(spark, sf_dir):
 
 
 def task_states(spark, sf_dir):
-    found = views.tasks(blocks(parse(order_documents(spark, sf_dir))))
+    found = views.tasks(blocks(parse(order_documents(spark, sf_dir), fields=("pre", "parent_pre", "sibling", "kind", "task_state", "text"), inline_kinds=())))
     return found.groupBy("doc_id", "task_state", "text").agg(F.count(F.lit(1)).alias("cnt"))
 
 
