@@ -81,7 +81,7 @@ def text_blocks(spark, sf_dir):
 
 def text_sections(spark, sf_dir):
     """Bytes and words of the section of every heading of level one."""
-    parsed = parse(text_documents(spark, sf_dir)).persist()
+    parsed = kept(parse(text_documents(spark, sf_dir), fields=views.HEADING_COLUMNS, inline_kinds=()))
     b = blocks(parsed)
     heads = views.sections(b, parsed).where("level = 1")
     return heads.select("doc_id", "text", (F.col("section_end") - F.col("start")).cast("long").alias("n_bytes"))
