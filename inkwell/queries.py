@@ -18,6 +18,8 @@ from inkwell.parse import blocks, dominant_eol, inlines, kept, lines, parse, ref
 
 #: Keys of customers that share the documents of their nations, so that documents stay as long as they are when there are more.
 CUSTOMERS = 1000
+#: Blocks of a document that a row of a parse holds at most, where documents grow with the tables.
+PART = 5000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +34,24 @@ def grouped(rows: DataFrame, key: str, order: list[str], line: Column, head: Col
     return made.select(F.col(key).cast("long").alias("doc_id"), fn.md_document(body).alias("source"))
 
 
-def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document per nation and CUSTOMERS keys: the nation's name, and a section for every customer."""
+def nation_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """Customers with their nation, the section of each, and the heading of its nation."""
     rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     section = F.concat(fn.md_heading(2, F.col("c_name")), F.lit("\n\n"), fn.md_paragraph(F.col("c_mktsegment")))
+    return rows, section, fn.md_heading(1, F.col("n_name"))
+
+
+def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per nation and CUSTOMERS keys: the nation's name, and a section for every customer."""
+    rows, section, head = nation_rows(spark, sf_dir)
     rows = rows.withColumn("doc", F.floor(F.col("c_custkey") / CUSTOMERS) * 25 + F.col("n_nationkey"))
-    return grouped(rows, "doc", ["c_custkey"], section, fn.md_heading(1, F.col("n_name")))
+    return grouped(rows, "doc", ["c_custkey"], section, head)
+
+
+def whole_nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per nation, whose length grows with the customers: its name, and a section for every customer."""
+    rows, section, head = nation_rows(spark, sf_dir)
+    return grouped(rows, "n_nationkey", ["c_custkey"], section, head)
 
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +111,7 @@ def document_titles(spark, sf_dir):
 
 def section_extents(spark, sf_dir):
     """Bytes of every customer's section."""
-    parsed = parse(nation_documents(spark, sf_dir)).persist()
+    parsed = kept(parse(whole_nation_documents(spark, sf_dir), fields=("pre", "kind", "level", "text", "start"), inline_kinds=(), part=PART))
     found = views.sections(blocks(parsed), parsed).where("level = 2")
     return found.select("doc_id", "text", (F.col("section_end") - F.col("start")).cast("long").alias("n_bytes"))
 
@@ -264,8 +278,8 @@ _PART = f"""SELECT p_partkey // 50 AS doc_id, p_partkey, p_name, CASE WHEN p_par
 ORACLE = {
     "heading_levels": f"SELECT CAST(c_nationkey AS BIGINT) AS n_nationkey, 1 AS level, count(DISTINCT {_DOC}) AS cnt FROM customer GROUP BY 1 UNION ALL SELECT CAST(c_nationkey AS BIGINT), 2, count(*) FROM customer GROUP BY 1",
     "document_titles": f"SELECT DISTINCT CAST({_DOC} AS BIGINT) AS doc_id, n_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "section_extents": f"""SELECT CAST({_DOC} AS BIGINT) AS doc_id, c_name AS text,
-        CAST(3 + strlen({_ESC.format("c_name")}) + 2 + strlen({_ESC.format("c_mktsegment")}) + CASE WHEN row_number() OVER (PARTITION BY {_DOC} ORDER BY c_custkey DESC) = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_bytes FROM customer""",
+    "section_extents": f"""SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_name AS text,
+        CAST(3 + strlen({_ESC.format("c_name")}) + 2 + strlen({_ESC.format("c_mktsegment")}) + CASE WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_bytes FROM customer""",
     "section_word_counts": rf"SELECT CAST({_DOC} AS BIGINT) AS doc_id, c_name AS text, CAST(len(regexp_extract_all(c_name, '[\p{{L}}\p{{N}}_]+')) + len(regexp_extract_all(c_mktsegment, '[\p{{L}}\p{{N}}_]+')) AS BIGINT) AS words FROM customer",
     "order_headings": "SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS level, count(*) AS cnt FROM orders GROUP BY 1, 2",
     "task_states": "SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'checked' ELSE 'unchecked' END AS task_state, o_orderpriority AS text, count(*) AS cnt FROM orders GROUP BY 1, 2, 3",
