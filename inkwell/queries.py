@@ -117,7 +117,7 @@ def section_extents(spark, sf_dir):
 
 
 def section_word_counts(spark, sf_dir):
-    parsed = parse(nation_documents(spark, sf_dir)).persist()
+    parsed = kept(parse(whole_nation_documents(spark, sf_dir), fields=("pre", "kind", "level", "text"), inline_kinds=("text", "code-span", "autolink"), part=PART))
     return stats.section_words(blocks(parsed), inlines(parsed)).where("section_pre > 1").select("doc_id", "text", "words")
 
 
@@ -280,7 +280,7 @@ ORACLE = {
     "document_titles": f"SELECT DISTINCT CAST({_DOC} AS BIGINT) AS doc_id, n_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "section_extents": f"""SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_name AS text,
         CAST(3 + strlen({_ESC.format("c_name")}) + 2 + strlen({_ESC.format("c_mktsegment")}) + CASE WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_bytes FROM customer""",
-    "section_word_counts": rf"SELECT CAST({_DOC} AS BIGINT) AS doc_id, c_name AS text, CAST(len(regexp_extract_all(c_name, '[\p{{L}}\p{{N}}_]+')) + len(regexp_extract_all(c_mktsegment, '[\p{{L}}\p{{N}}_]+')) AS BIGINT) AS words FROM customer",
+    "section_word_counts": r"SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_name AS text, CAST(len(regexp_extract_all(c_name, '[\p{L}\p{N}_]+')) + len(regexp_extract_all(c_mktsegment, '[\p{L}\p{N}_]+')) AS BIGINT) AS words FROM customer",
     "order_headings": "SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS level, count(*) AS cnt FROM orders GROUP BY 1, 2",
     "task_states": "SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'checked' ELSE 'unchecked' END AS task_state, o_orderpriority AS text, count(*) AS cnt FROM orders GROUP BY 1, 2, 3",
     "skipped_levels": """WITH h AS (SELECT CAST(o_orderkey // 100 AS BIGINT) AS doc_id, o_orderkey % 6 + 1 AS level, lag(o_orderkey % 6 + 1) OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) AS before FROM orders)
