@@ -243,7 +243,7 @@ def page_hosts(spark, sf_dir):
 def html_documents(spark, sf_dir):
     from inkwell.sanitize import md_to_html
 
-    return nation_documents(spark, sf_dir).select("doc_id", md_to_html()(F.col("source")).alias("html"))
+    return whole_nation_documents(spark, sf_dir).select("doc_id", md_to_html()(F.col("source")).alias("html"))
 
 
 def sanitized_pages(spark, sf_dir):
@@ -318,9 +318,9 @@ ORACLE = {
 }
 
 _HTML = """replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
-ORACLE["html_documents"] = f"""SELECT CAST({_DOC} AS BIGINT) AS doc_id, '<h1>' || {_HTML.format("any_value(n_name)")} || '</h1>' || chr(10)
+ORACLE["html_documents"] = f"""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '<h1>' || {_HTML.format("any_value(n_name)")} || '</h1>' || chr(10)
     || string_agg('<h2>' || {_HTML.format("c_name")} || '</h2>' || chr(10) || '<p>' || {_HTML.format("c_mktsegment")} || '</p>' || chr(10), '' ORDER BY c_custkey) AS html
-    FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY {_DOC}"""
+    FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey"""
 
 QUERIES |= cases.QUERIES | corpus.QUERIES
 ORACLE |= cases.ORACLE | corpus.ORACLE
