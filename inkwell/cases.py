@@ -359,6 +359,11 @@ def case_documents(spark, sf_dir: str, cases: Cases) -> DataFrame:
     return parts.select("doc_id", pick(0).alias("case"), F.replace(pick(1), F.lit("{n}"), F.col("doc_id").cast("string")).alias("source"))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs over all cores: a file of keys is so small that few tasks would parse all of its documents."""
+    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+
+
 def of_case(cases: Cases, name: str) -> Column:
     """Whether a doc_id is one of a case's, as case_documents() deals them."""
     return (F.col("doc_id") % len(cases)).isin([i for i, c in enumerate(cases) if c[0] == name])
@@ -421,7 +426,7 @@ def line_table(docs):
 
 
 def lint_problems(docs):
-    parsed = kept(parse(docs, fields=lint.FIELDS, inline_kinds=lint.INLINE_KINDS))
+    parsed = kept(parse(dealt(docs), fields=lint.FIELDS, inline_kinds=lint.INLINE_KINDS))
     found = lint.check(parsed, lint.Config.all()).join(docs.select("doc_id", "case", F.col("source").cast("binary").alias("source")), "doc_id").where("rule_id = case")
     return answered(docs, joined(found, ["start"], F.concat(F.lit("["), _slice(), F.lit("]")), ""))
 
@@ -441,7 +446,7 @@ def formats(docs):
 
 def edits(docs):
     """Every edit on the documents of its case, all applied at once."""
-    parsed = kept(parse(docs))
+    parsed = kept(parse(dealt(docs)))
     b, i = blocks(parsed), inlines(parsed)
     of = lambda rows, case: rows.where(of_case(EDITS, case))
     heads, sections = views.headings(b), views.sections(b, parsed)
@@ -551,7 +556,7 @@ def _front(content: str) -> dict:
 def structural_views(docs):
     """Every view and extension on the documents of its case."""
     spark = docs.sparkSession
-    parsed = kept(parse(docs, **RULES))
+    parsed = kept(parse(dealt(docs), **RULES))
     of = lambda rows, case: rows.where(of_case(VIEWS, case))
     b, i, r = blocks(parsed), inlines(parsed), references(parsed)
     heads, sections = views.headings(b), views.sections(b, parsed)
@@ -613,7 +618,7 @@ def structural_views(docs):
 
 
 def statistics(docs):
-    parsed = kept(parse(docs))
+    parsed = kept(parse(dealt(docs)))
     s = stats.statistics(parsed, blocks(parsed), inlines(parsed))
     entries = lambda name: F.array_join(F.transform(F.coalesce(F.col(name), F.expr(f"cast(array() as {dict(s.dtypes)[name]})")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["n"].cast("string"))), ",")
     slash = F.concat_ws("/", *(F.col(f"{k}_count").cast("string") for k in ("link", "internal_link", "external_link")))
